@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality_queries
+from . import clean_queries, quality_queries
 
 REGISTRY: dict = {}
-for _mod in (quality_queries,):
+for _mod in (quality_queries, clean_queries):
     REGISTRY.update(_mod.QUERIES)
