@@ -97,7 +97,14 @@ def _fill_cells(a: Analysis, cols, method: str, custom_value, target_of, block:
     raise ValueError(f"unknown method {method!r}")
 
 
+OUTLIER_METHODS = ("Remove Outliers", "Remove Outlier Rows", "Cap to Upper Bound", "Cap Values", "IQR Clipping",
+                   "Winsorization", "Z-Score Clipping", "Replace using Median", "Replace using Mean",
+                   "Replace with Q1", "Replace with Q3", "Replace using Percentile")
+
+
 def _outliers(a: Analysis, cols, method: str) -> DataFrame:
+    if method not in OUTLIER_METHODS:
+        raise ValueError(f"unknown method {method!r}")
     exprs, keep_rows = {}, F.lit(True)
     for c in cols:
         if not _numeric(a, c):

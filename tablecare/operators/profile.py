@@ -128,9 +128,12 @@ def quantile_stats(df: DataFrame, columns=None, qs=None) -> DataFrame | None:
     nums = [c for c in (columns or df.columns) if P.is_numeric(schema[c])]
     if not nums:
         return None
+    # rank on a small int key; names are attached to the one-row-per-column result
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in nums])))
-    return order_stats(long, ["column"], "_x", qs or QUANTILES).drop("n")
+        F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(nums)])))
+    st = order_stats(long, ["_ci"], "_x", qs or QUANTILES).drop("n")
+    names = F.element_at(F.array(*[F.lit(c) for c in nums]), F.col("_ci") + 1)
+    return st.select(names.alias("column"), *[c for c in st.columns if c != "_ci"])
 
 
 def profile(df: DataFrame, columns=None, text_of: dict | None = None, tokens=P.MISSING_TOKENS,

@@ -41,7 +41,12 @@ DIRTY_KEYS = ("row_key", "priority", "price_text", "price", "email", "status", "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table.  The test files hold one row group each, so the scan is a
+    single task; ask for at least the session's parallelism (a no-op for
+    inputs that already split into that many partitions)."""
+    from ..sources.io import read_parquet
+    par = spark.sparkContext.defaultParallelism
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", min_partitions=par)
 
 
 def register(spark: SparkSession, sf_dir: str, names=("orders",)) -> None:

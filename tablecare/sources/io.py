@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.predicates import is_date, is_numeric, is_string
@@ -40,8 +41,28 @@ def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**opts).json(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+    """Parquet scan.  ``min_partitions``: when the scan plans fewer splits than
+    this (a few large single-row-group files), spread the rows round-robin so
+    later passes run in parallel.  Large inputs already have many splits and
+    are left untouched."""
+    df = spark.read.parquet(path)
+    if min_partitions:
+        return with_parallelism(df, min_partitions)
+    return df
+
+
+def with_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
+    """Round-robin repartition only when the plan has fewer partitions than
+    ``min_partitions`` (partition count comes from split planning, no job).
+
+    That only happens for small inputs, which the multi-pass analyses then
+    read several times: the spread copy is persisted (memory, spilling to
+    disk) so every pass reads it in parallel instead of re-decoding the file
+    in one task.  Identical plans share one cache entry."""
+    if df.rdd.getNumPartitions() >= min_partitions:
+        return df
+    return df.repartition(min_partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 READERS = {
