@@ -157,3 +157,21 @@ def profile(df: DataFrame, columns=None, text_of: dict | None = None, tokens=P.M
 def collect_profile(prof: DataFrame) -> dict[str, dict]:
     """Driver copy of a profile: ``{column: {stat: value}}`` (one entry per column)."""
     return {r["column"]: r.asDict() for r in prof.collect()}
+
+
+def reprofile(df: DataFrame, old: DataFrame, columns, text_of: dict | None = None,
+              tokens=P.MISSING_TOKENS) -> DataFrame:
+    """Refresh the profile rows of ``columns`` only (column pruning keeps
+    the scan to those columns); the other rows are kept.  When the row count
+    changed, every column is profiled again."""
+    cols = [c for c in columns if c in df.columns]
+    old_rows = old.agg(F.max("rows")).first()[0]
+    fresh = profile(df, cols or None, text_of=text_of, tokens=tokens)
+    if not cols or fresh.agg(F.max("rows")).first()[0] != old_rows:
+        return profile(df, text_of=text_of, tokens=tokens)
+    pos = {c: i for i, c in enumerate(df.columns)}
+    fresh = fresh.withColumn("position", F.element_at(F.array(*[F.lit(pos[c]) for c in cols]),
+                                                      F.array_position(F.array(*[F.lit(c) for c in cols]),
+                                                                       F.col("column")).cast("int")))
+    keep = old.where(~F.col("column").isin(cols) & F.col("column").isin(list(df.columns)))
+    return keep.unionByName(fresh, allowMissingColumns=True).orderBy("position")
