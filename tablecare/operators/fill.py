@@ -34,18 +34,20 @@ def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str = "fo
     pick = F.max_by if fwd else F.min_by
     summary = d.groupBy("_blk").agg(*[
         pick(F.col(f"_c_{n}"), F.when(F.col(f"_c_{n}").isNotNull(), F.col(id_col))).alias(f"_s_{n}") for n in names])
+    # Both directions use a running frame (unbounded preceding .. current),
+    # which Spark evaluates incrementally; "following" frames would be
+    # re-aggregated per row.  Backward = forward over the reversed order.
+    b_order = F.col("_blk").asc() if fwd else F.col("_blk").desc()
+    r_order = F.col(id_col).asc() if fwd else F.col(id_col).desc()
     # the block table is small (rows / block); its window may sit on one task
-    wb = (Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1) if fwd
-          else Window.orderBy("_blk").rowsBetween(1, Window.unboundedFollowing))
-    agg_b = F.last if fwd else F.first
-    carry = summary.select("_blk", *[agg_b(F.col(f"_s_{n}"), ignorenulls=True).over(wb).alias(f"_k_{n}")
+    wb = Window.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select("_blk", *[F.last(F.col(f"_s_{n}"), ignorenulls=True).over(wb).alias(f"_k_{n}")
                                      for n in names])
     d = d.join(carry, "_blk", "left")
-    wl = (Window.partitionBy("_blk").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0) if fwd
-          else Window.partitionBy("_blk").orderBy(id_col).rowsBetween(0, Window.unboundedFollowing))
+    wl = Window.partitionBy("_blk").orderBy(r_order).rowsBetween(Window.unboundedPreceding, 0)
     out = [F.col(c) for c in df.columns]
     for n in names:
-        local = agg_b(F.col(f"_c_{n}"), ignorenulls=True).over(wl)
+        local = F.last(F.col(f"_c_{n}"), ignorenulls=True).over(wl)
         out.append(F.coalesce(local, F.col(f"_k_{n}")).alias(n))
     return d.select(*out)
 

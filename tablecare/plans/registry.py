@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chart_queries, clean_queries, dashboard_queries, quality_queries, report_queries
+from . import chart_queries, clean_queries, dashboard_queries, io_queries, quality_queries, report_queries
 
 REGISTRY: dict = {}
-for _mod in (quality_queries, clean_queries, chart_queries, report_queries, dashboard_queries):
+for _mod in (quality_queries, clean_queries, chart_queries, report_queries, dashboard_queries, io_queries):
     REGISTRY.update(_mod.QUERIES)
