@@ -93,13 +93,22 @@ class Analysis:
         return {f.name: f.dataType for f in self.typed.schema.fields}
 
     @cached_property
-    def profile_df(self) -> DataFrame:
+    def _profile_rows(self):
+        """The profile, computed once (one small row per column)."""
         text_of = {c: self._text_name(c) for c in self.plan.promoted}
-        return profile(self.both, self.columns, text_of=text_of, tokens=self.tokens)
+        lazy = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens)
+        return lazy.schema, lazy.collect()
+
+    @cached_property
+    def profile_df(self) -> DataFrame:
+        """Per-column profile served from the collected rows: later consumers
+        (scores, health, classes) do not re-run the three profile passes."""
+        schema, rows = self._profile_rows
+        return self.raw.sparkSession.createDataFrame(rows, schema)
 
     @cached_property
     def stats(self) -> dict[str, dict]:
-        return collect_profile(self.profile_df)
+        return {r["column"]: r.asDict() for r in self._profile_rows[1]}
 
     @cached_property
     def rows(self) -> int:
@@ -112,6 +121,11 @@ class Analysis:
     @cached_property
     def category_table(self) -> DataFrame:
         """``(column, value, dominant, n)`` for every non-dominant spelling."""
+        schema, rows = self._category_rows
+        return self.raw.sparkSession.createDataFrame(rows, schema)
+
+    @cached_property
+    def _category_lazy(self) -> DataFrame:
         cand = [c for c in self.columns if P.is_string(self.types[c])
                 and 0 < (self.stats[c]["distinct_nonblank"] or 0) < self.max_categories
                 and (self.stats[c]["lower_distinct"] or 0) < self.stats[c]["distinct_nonblank"]]
@@ -126,10 +140,15 @@ class Analysis:
         return ranked.where(F.col("v") != F.col("dominant")).select(
             "column", F.col("v").alias("value"), "dominant", F.col("cnt").alias("n"))
 
+    @cached_property
+    def _category_rows(self):
+        t = self._category_lazy
+        return t.schema, t.collect()  # < max_categories rows per column
+
     @cached_property
     def inconsistent_values(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
-        for r in self.category_table.collect():  # < max_categories rows per column
+        for r in self._category_rows[1]:
             out.setdefault(r["column"], []).append(r["value"])
         return out
 
@@ -199,9 +218,16 @@ class Analysis:
                     .where(F.col("n") > 1))
 
     def duplicate_rows_total(self) -> DataFrame:
-        """Every member of every duplicate group, and the group count."""
-        return self.duplicate_keys().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"),
-                                         F.count(F.lit(1)).alias("duplicate_groups"))
+        """Every member of every duplicate group, and the group count
+        (computed once)."""
+        schema, rows = self._dup_total_rows
+        return self.raw.sparkSession.createDataFrame(rows, schema)
+
+    @cached_property
+    def _dup_total_rows(self):
+        t = self.duplicate_keys().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"),
+                                      F.count(F.lit(1)).alias("duplicate_groups"))
+        return t.schema, t.collect()
 
     # ---- flag table (I2) ----------------------------------------------------
     def flag_frame(self, keep_text: bool = False) -> DataFrame:
@@ -224,7 +250,17 @@ class Analysis:
 
     # ---- per-column issue counts (one aggregate) ---------------------------
     def issue_counts(self) -> DataFrame:
-        """``(column, missing, empty, outliers, invalid, inconsistent)``."""
+        """``(column, missing, empty, outliers, invalid, inconsistent)``,
+        computed once (one aggregate) and served from the collected rows."""
+        schema, rows = self._issue_rows
+        return self.raw.sparkSession.createDataFrame(rows, schema)
+
+    @cached_property
+    def _issue_rows(self):
+        t = self._issue_counts_lazy()
+        return t.schema, t.collect()
+
+    def _issue_counts_lazy(self) -> DataFrame:
         aggs = []
         for kind in ("missing", "empty", "outlier", "invalid", "inconsistent"):
             for c, p in self.issue_preds(kind):

@@ -35,7 +35,7 @@ def quality_scores(a: Analysis, cols: DataFrame | None = None) -> DataFrame:
                 F.sum("missing").alias("missing"), F.sum("empty").alias("empty"),
                 F.sum("outliers").alias("outliers"), F.sum("invalid").alias("invalid"),
                 F.count_if(F.col("class") == "Numeric").alias("n_numeric"))
-    s = s.withColumn("duplicate_rows", dups.scalar())
+    s = s.withColumn("duplicate_rows", F.lit(dups.first()["duplicate_rows"]))
     rows, cells = F.col("rows"), F.col("rows") * F.col("n_cols")
     miss_emp = F.try_divide((F.col("missing") + F.col("empty")) * 100.0, cells)
     dup_pct = F.try_divide(F.col("duplicate_rows") * 100.0, rows)
