@@ -284,3 +284,25 @@ class Analysis:
         rows = [(c, r["method"], r["lower"], r["upper"]) for c, r in self.outlier_rules.items()]
         return self.raw.sparkSession.createDataFrame(
             rows, "column string, method string, lower double, upper double")
+
+
+def outlier_extremes(a: Analysis, columns=None) -> DataFrame:
+    """Smallest and largest outlier value over ``columns`` (default: all
+    numeric columns with a rule) and their columns; ties go to the earlier
+    column.  Outlier cells are unpivoted and reduced with ``min_by``/``max_by``
+    (a partial aggregate, no sort)."""
+    cols = [c for c in (columns or a.columns) if a.outlier_pred(c) is not None]
+    spark = a.raw.sparkSession
+    schema = ("minimum_outlier_column string, minimum_outlier_value double, largest_outlier_column string, "
+              "largest_outlier_value double")
+    if not cols:
+        return spark.createDataFrame([("None", None, "None", None)], schema)
+    items = [F.when(a.outlier_pred(c), F.struct(F.lit(a.columns.index(c)).alias("p"), F.lit(c).alias("c"),
+                                                F.col(c).cast("double").alias("v"))) for c in cols]
+    cells = a.both.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("o"))
+    r = cells.agg(F.min_by("o", F.struct(F.col("o.v"), F.col("o.p"))).alias("lo"),
+                  F.max_by("o", F.struct(F.col("o.v"), -F.col("o.p"))).alias("hi"))
+    return r.select(F.coalesce(F.col("lo.c"), F.lit("None")).alias("minimum_outlier_column"),
+                    F.col("lo.v").alias("minimum_outlier_value"),
+                    F.coalesce(F.col("hi.c"), F.lit("None")).alias("largest_outlier_column"),
+                    F.col("hi.v").alias("largest_outlier_value"))

@@ -243,3 +243,18 @@ QUERIES = {
     "upper_anomalies": (q_upper_anomalies, SQL_ANOMALIES),
     "scatter_sample": (q_scatter_sample, None),
 }
+
+
+def q_value_counts_labelled(spark, sf):
+    """Category distribution with null labelled 'Unknown' (dirty priority)."""
+    from ..operators.analysis import Analysis
+    from .views import dirty_orders
+    a = Analysis(dirty_orders(spark, sf))
+    return C.value_counts(a.typed, "priority", 10, null_label="Unknown")
+
+
+SQL_VC_LABELLED = ("WITH dirty_orders AS (" + __import__("tablecare.plans.views", fromlist=["x"]).DIRTY_ORDERS_SQL +
+                   ")\nSELECT coalesce(priority, 'Unknown') AS priority, count FROM (SELECT priority, count(*) AS count "
+                   "FROM dirty_orders GROUP BY priority ORDER BY count DESC, priority ASC NULLS LAST LIMIT 10)")
+
+QUERIES["value_counts_labelled"] = (q_value_counts_labelled, SQL_VC_LABELLED)

@@ -69,9 +69,9 @@ def usable(c):
     return f"(NOT {miss(c)} AND NOT {emp(c)} AND {S.q(c)} IS NOT NULL)"
 
 
-def out_sql(exprs: dict[str, str], where: str = "true", src: str = "typed") -> str:
+def out_sql(exprs: dict[str, str], where: str = "true", src: str = "typed", cols=OUT_COLS) -> str:
     sel = []
-    for c in OUT_COLS:
+    for c in cols:
         e = exprs.get(c, S.q(c))
         k = DIRTY_KINDS[c]
         if c in DIRTY_PROMOTED or k == "float":
@@ -244,3 +244,46 @@ QUERIES = {
                              TYPED + "\n" + out_sql({"priority": "lower(priority)"})),
     "clean_dates": (q_clean_dates, SQL_CLEAN_DATES),
 }
+
+
+# ------------------------------------------------- more issue x method pairs ---
+def out_sql_without(drop, where="true"):
+    return out_sql({}, where, cols=[c for c in OUT_COLS if c not in drop])
+
+
+def q_clean_drop_rows(spark, sf):
+    a = Analysis(dirty_orders(spark, sf))
+    return shape(clean(a, "Manual Removal", ["all"], "Drop Row", "0, 5, 10, 15, 20", order_by=list(DIRTY_ORDER)))
+
+
+def q_ignore_missing_flags(spark, sf):
+    a = Analysis(dirty_orders(spark, sf), ignored={"Missing Values": ["priority"]})
+    f = a.flag_frame()
+    return f.select("row_key", "copy_no", F.concat_ws(",", "_missing_cols").alias("_missing_cols"))
+
+
+SQL_IGNORE = TYPED + "\nSELECT row_key, copy_no, concat_ws(',', " + ", ".join(
+    f"CASE WHEN {miss(c)} THEN {S.lit(c)} END" for c in DIRTY_KINDS if c != "priority") + \
+    ") AS _missing_cols FROM typed"
+
+QUERIES.update({
+    "clean_drop_column": (step("High Null Percentage Columns", ["price_text"], "Drop Column"),
+                          TYPED + "\n" + out_sql_without(["price_text"])),
+    "clean_drop_rows": (q_clean_drop_rows,
+                        TYPED + "\n" + out_sql({}, "rid NOT IN (0, 5, 10, 15, 20)").replace(
+                            "SELECT ", "SELECT rid AS _row_id, ", 1)),
+    "ignore_missing_flags": (q_ignore_missing_flags, SQL_IGNORE),
+    "clean_empty_trim": (step("Empty Cells", ["priority"], "Trim Spaces"),
+                         TYPED + "\n" + out_sql({"priority": f"CASE WHEN {emp('priority')} THEN {S.strip('priority')} "
+                                                             f"ELSE priority END"})),
+    "clean_empty_mode": (step("Empty Cells", ["priority"], "Fill with Mode"), fill_stat_sql(["priority"], emp, "mode")),
+    "clean_empty_median": (step("Empty Cells", ["price_text"], "Fill with Median"),
+                           fill_stat_sql(["price_text"], emp, "median")),
+    "clean_outliers_mean": (step("Outliers", ["price"], "Replace using Mean"), outlier_sql("price", "mean")),
+    "clean_outliers_q1": (step("Outliers", ["price"], "Replace with Q1"), outlier_sql("price", "q1")),
+    "clean_to_string": (step("Invalid Data Types", ["row_key", "copy_no"], "Convert to String"),
+                        TYPED + "\n" + out_sql({"row_key": "CAST(row_key AS VARCHAR)", "copy_no": "CAST(copy_no AS VARCHAR)"})),
+    "clean_to_numeric": (step("Invalid Data Types", ["email", "status"], "Convert to Numeric"),
+                         TYPED + "\n" + out_sql({"email": "CAST(NULL AS DOUBLE)", "status": "CAST(NULL AS DOUBLE)"})),
+    "clean_ignore": (step("Missing Values", ["all"], "Ignore"), TYPED + "\n" + out_sql({})),
+})

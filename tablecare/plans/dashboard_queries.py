@@ -202,3 +202,19 @@ QUERIES = {
     "extra_duplicates": (q_extra_duplicates, SQL_EXTRA_DUPS),
     "chart_plan": (q_chart_plan, None),
 }
+
+
+def q_recipe_version(spark, sf):
+    """The version after the first two recipe steps."""
+    return shape(RECIPE.apply(dirty_orders(spark, sf), upto=2))
+
+
+def _version_sql():
+    full = _recipe_sql()
+    head = full[:full.index(",\ns3 AS")]
+    return head + """
+SELECT row_key, priority, round(price_text, 4) AS price_text, round(price, 4) AS price, email, status,
+  CAST(ordered_at AS VARCHAR) AS ordered_at, copy_no FROM s2"""
+
+
+QUERIES["recipe_version"] = (q_recipe_version, _version_sql())

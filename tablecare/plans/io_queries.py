@@ -131,3 +131,63 @@ QUERIES = {
     "head_rows": (q_head_rows, SQL_HEAD),
     "auto_dashboard": (q_auto_dashboard, SQL_AUTO_DASH),
 }
+
+
+def q_tsv_roundtrip(spark, sf):
+    """A2: customer written as TSV, read back all-string, promotion decided."""
+    path = _scratch(spark, "tsv") + ".tsv"
+    write_csv(table(spark, sf, "customer"), path, sep="\t")
+    return type_evidence(read_table(spark, path)).select("column", "valid", "numeric_valid", "promoted")
+
+
+def _tsv_sql():
+    parts = []
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"):
+        x = f"CAST({c} AS VARCHAR)"
+        v = S.valid(x, "text")
+        parts.append(f"SELECT {S.lit(c)} AS \"column\", count_if({v}) AS valid, "
+                     f"count_if({v} AND {S.matches(x, 'numeric')}) AS numeric_valid, "
+                     f"coalesce(count_if({v} AND {S.matches(x, 'numeric')}) / nullif(count_if({v}), 0) >= 0.9, false) "
+                     f"AS promoted FROM customer")
+    return "\nUNION ALL\n".join(parts)
+
+
+def q_named_dataset(spark, sf):
+    """A4: a dataset of named tables; the first name is the default."""
+    from ..sources.io import default_name, load_dataset
+    names = ("orders", "customer", "nation")
+    ds = load_dataset(spark, {n: f"{sf.rstrip('/')}/{n}.parquet" for n in names})
+    first = default_name(ds)
+    parts = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(n == first).alias("is_default"))
+             for n, df in ds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+SQL_NAMED = ("SELECT 'orders' AS name, count(*) AS rows, true AS is_default FROM orders UNION ALL "
+             "SELECT 'customer', count(*), false FROM customer UNION ALL SELECT 'nation', count(*), false FROM nation")
+
+
+def q_quoted_export(spark, sf):
+    """The searched, sorted view exported with every value quoted; read back."""
+    from ..sources.io import read_csv
+    path = _scratch(spark, "export") + ".csv"
+    view = sort_by(search(table(spark, sf, "orders"), "urgent"), "o_orderkey", tie=None)
+    write_csv(view, path, quote_all=True)
+    lines = spark.read.text(path)
+    unquoted = lines.where(~F.col("value").startswith('"')).agg(F.count(F.lit(1))).scalar()
+    back = read_csv(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("o_orderkey").cast("bigint")).alias("key_sum"),
+                    unquoted.alias("unquoted_lines"))
+
+
+SQL_QUOTED = ("SELECT count(*) AS rows, sum(o_orderkey) AS key_sum, 0 AS unquoted_lines FROM orders "
+              "WHERE contains(lower(o_orderstatus), 'urgent') OR contains(lower(o_orderpriority), 'urgent')")
+
+QUERIES.update({
+    "tsv_roundtrip": (q_tsv_roundtrip, _tsv_sql()),
+    "named_dataset": (q_named_dataset, SQL_NAMED),
+    "quoted_export": (q_quoted_export, SQL_QUOTED),
+})

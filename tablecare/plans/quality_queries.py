@@ -301,3 +301,29 @@ QUERIES = {
     "inconsistent_cats": (q_inconsistent_cats, SQL_INCONSISTENT),
     "flag_table": (q_flag_table, _flag_sql()),
 }
+
+
+# ---------------------------------------------------------- outlier extremes ---
+def q_outlier_extremes(spark, sf):
+    from ..operators.analysis import outlier_extremes
+    from ..operators.classify import date_share, quality_classes
+    a = Analysis(dirty_orders(spark, sf))
+    cls = quality_classes(a.profile_df, date_share(a.raw))
+    numeric = [r["column"] for r in cls.where(F.col("class") == "Numeric").select("column").collect()]
+    return outlier_extremes(a, numeric)
+
+
+def _extremes_sql():
+    cols = {c: (S.numeral(S.q(c)) if c in DIRTY_PROMOTED else f"CAST({S.q(c)} AS DOUBLE)")
+            for c in ("price_text", "price", "copy_no")}   # the Numeric-class columns (checked by column_classes)
+    rules = outlier_rules_sql("dirty_orders", cols)
+    cells = "\nUNION ALL\n".join(
+        f"SELECT {list(DIRTY_KINDS).index(c)} AS p, {S.lit(c)} AS c, v FROM (SELECT {e} AS v FROM dirty_orders) t "
+        f"LEFT JOIN rules r ON r.col = {S.lit(c)} WHERE coalesce({outlier_pred_sql('v', 'r')}, false)"
+        for c, e in cols.items())
+    return dirty_cte(f""", rules AS ({rules}), cells AS ({cells})
+SELECT (SELECT c FROM cells ORDER BY v, p LIMIT 1) AS minimum_outlier_column, (SELECT min(v) FROM cells) AS minimum_outlier_value,
+  (SELECT c FROM cells ORDER BY v DESC, p LIMIT 1) AS largest_outlier_column, (SELECT max(v) FROM cells) AS largest_outlier_value""")
+
+
+QUERIES["outlier_extremes"] = (q_outlier_extremes, _extremes_sql())

@@ -127,8 +127,8 @@ def table_summary(df: DataFrame) -> DataFrame:
                       F.lit(None).cast("bigint").alias("file_bytes"))
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite", sep: str = ",") -> None:
     """CSV sink of a version (A7); ``quote_all`` for the searched-view export.
     Written in parallel, one file per partition."""
     (df.write.mode(mode).option("header", "true").option("quoteAll", str(quote_all).lower())
-       .option("escape", '"').csv(path))
+       .option("escape", '"').option("sep", sep).csv(path))
