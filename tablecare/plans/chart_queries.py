@@ -98,31 +98,31 @@ SELECT l_quantity, round(m, 4) AS l_extendedprice, round(cv, 4) AS cv FROM g, c
 
 def q_mean_by_nation(spark, sf):
     g = C.mean_by(table(spark, sf, "supplier"), "s_nationkey", "s_acctbal", 20)
-    return g.select("s_nationkey", F.round("s_acctbal", 4).alias("s_acctbal"), F.round("cv", 4).alias("cv"))
+    return g.select("s_nationkey", F.round("s_acctbal", 5).alias("s_acctbal"), F.round("cv", 4).alias("cv"))
 
 
 SQL_MEAN_BY_NATION = """WITH g AS (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier WHERE s_nationkey IS NOT NULL
                  GROUP BY s_nationkey HAVING avg(s_acctbal) IS NOT NULL ORDER BY m DESC, s_nationkey LIMIT 20),
 c AS (SELECT stddev_samp(m) / avg(m) AS cv FROM g)
-SELECT s_nationkey, round(m, 4) AS s_acctbal, round(cv, 4) AS cv FROM g, c WHERE abs(coalesce(cv, 0)) > 0.05"""
+SELECT s_nationkey, round(m, 5) AS s_acctbal, round(cv, 4) AS cv FROM g, c WHERE abs(coalesce(cv, 0)) > 0.05"""
 
 
 def q_monthly_mean(spark, sf):
     m = C.monthly_mean(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
-    return m.select(F.date_format("month", "yyyy-MM-dd").alias("month"), F.round("o_totalprice", 4).alias("o_totalprice"))
+    return m.select(F.date_format("month", "yyyy-MM-dd").alias("month"), F.round("o_totalprice", 5).alias("o_totalprice"))
 
 
 SQL_MONTHLY = """WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders),
 sp AS (SELECT last_day(CAST(m AS DATE)) AS month FROM b, generate_series(b.a, b.z, INTERVAL 1 MONTH) t(m)),
 g AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, avg(o_totalprice) AS v FROM orders
       WHERE o_orderdate IS NOT NULL GROUP BY 1)
-SELECT strftime(sp.month, '%Y-%m-%d') AS month, round(g.v, 4) AS o_totalprice FROM sp LEFT JOIN g USING (month)"""
+SELECT strftime(sp.month, '%Y-%m-%d') AS month, round(g.v, 5) AS o_totalprice FROM sp LEFT JOIN g USING (month)"""
 
 
 def q_trend_summary(spark, sf):
     m = C.monthly_mean(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
     t = C.trend_summary(m, "o_totalprice")
-    return t.select("months", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"),
+    return t.select("months", F.round("first", 5).alias("first"), F.round("last", 5).alias("last"),
                     F.round("pct_change", 4).alias("pct_change"),
                     F.date_format("peak_month", "yyyy-MM-dd").alias("peak_month"), F.round("cv", 4).alias("cv"), "keep")
 
@@ -137,7 +137,7 @@ s AS (SELECT count(*) AS months, arg_min(v, month) AS first, arg_max(v, month) A
 t AS (SELECT months, first, last,
         CASE WHEN first IS NOT NULL AND first <> 0 THEN (last - first) / first * 100 ELSE 0 END AS pct_change,
         peak_month, CASE WHEN mu <> 0 THEN abs(sd / mu) ELSE 0 END AS cv FROM s)
-SELECT months, round(first, 4) AS first, round(last, 4) AS last, round(pct_change, 4) AS pct_change,
+SELECT months, round(first, 5) AS first, round(last, 5) AS last, round(pct_change, 4) AS pct_change,
   strftime(peak_month, '%Y-%m-%d') AS peak_month, round(cv, 4) AS cv,
   months >= 2 AND NOT (coalesce(cv, 0) < 0.05 AND abs(pct_change) < 5) AS keep FROM t"""
 

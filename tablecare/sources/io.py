@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.predicates import is_date, is_numeric, is_string
@@ -56,13 +55,12 @@ def with_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
     """Round-robin repartition only when the plan has fewer partitions than
     ``min_partitions`` (partition count comes from split planning, no job).
 
-    That only happens for small inputs, which the multi-pass analyses then
-    read several times: the spread copy is persisted (memory, spilling to
-    disk) so every pass reads it in parallel instead of re-decoding the file
-    in one task.  Identical plans share one cache entry."""
+    That only happens for small inputs (a file of one row group is one
+    task).  Catalyst pushes filters and column pruning through the
+    repartition, so the scan still reads only what the query needs."""
     if df.rdd.getNumPartitions() >= min_partitions:
         return df
-    return df.repartition(min_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.repartition(min_partitions)
 
 
 READERS = {
