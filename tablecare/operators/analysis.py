@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicates as P
 from .infer import TypePlan, invalid_predicate, numeral_to_double
-from .profile import collect_profile, profile, value_counts_long
+from .profile import (MOMENT_KEYS, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
+                      value_counts_long)
 
 FLAG_COLUMNS = ("_is_duplicate", "_outlier_cols", "_empty_cols", "_missing_cols",
                 "_invalid_type_cols", "_inconsistent_category_cols")
@@ -60,8 +61,10 @@ def normalised(c: str, dtype, tokens=P.MISSING_TOKENS) -> Column:
 
 class Analysis:
     def __init__(self, raw: DataFrame, tokens=P.MISSING_TOKENS, threshold: float = 0.9, share: float = 0.8,
-                 max_categories: int = 1000, ignored: dict | None = None, dup_keys: list[str] | None = None):
+                 max_categories: int = 1000, ignored: dict | None = None, dup_keys: list[str] | None = None,
+                 approx: bool = False):
         self.raw = raw
+        self.approx = approx
         self.tokens = tokens
         self.threshold, self.share, self.max_categories = threshold, share, max_categories
         self.ignored = ignored or {}
@@ -70,9 +73,15 @@ class Analysis:
         self.raw_types = {f.name: f.dataType for f in raw.schema.fields}
 
     # ---- decisions (small jobs, results on the driver) -------------------
+    @cached_property
+    def _first(self) -> dict:
+        """One aggregate over the table as read: type evidence + moments."""
+        return first_pass(self.raw, self.columns, self.tokens)
+
     @cached_property
     def plan(self) -> TypePlan:
-        return TypePlan.of(self.raw, threshold=self.threshold, share=self.share, tokens=self.tokens)
+        texts = {c for c in self.columns if P.is_string(self.raw_types[c])}
+        return TypePlan.from_counts(self._first, self.columns, texts, self.threshold, self.share)
 
     def _text_name(self, c: str) -> str:
         return f"__text_{self.columns.index(c)}"
@@ -92,12 +101,39 @@ class Analysis:
     def types(self) -> dict:
         return {f.name: f.dataType for f in self.typed.schema.fields}
 
+    def _moment_row(self, i: int, c: str) -> dict:
+        f = self._first
+        dt = self.types[c]
+        promoted = c in self.plan.promoted
+        key = f"{i}_x" if promoted else f"{i}"
+        row = {"column": c, "position": i, "dtype": dt.simpleString(), "rows": f["rows"],
+               "nulls": f[f"{i}_xnulls"] if promoted else f[f"{i}_nulls"],
+               "missing": f[f"{i}_missing"], "empty": f[f"{i}_empty"],
+               "valid": f["rows"] - f[f"{i}_missing"] - f[f"{i}_empty"]}
+        for k in MOMENT_KEYS:
+            row[k] = f.get(f"{key}_{k}") if P.is_numeric(dt) else None
+        return row
+
     @cached_property
     def _profile_rows(self):
-        """The profile, computed once (one small row per column)."""
+        """The profile, computed once (one small row per column): moments from
+        the first pass, distinct counts and quantiles from the typed table."""
         text_of = {c: self._text_name(c) for c in self.plan.promoted}
-        lazy = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens)
-        return lazy.schema, lazy.collect()
+        schema = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, approx=self.approx).schema
+        if self.approx:
+            rest = approx_stats(self.both, self.columns, self.tokens)
+        else:
+            rest = distinct_stats(self.both, self.columns, self.tokens)
+            q = quantile_stats(self.both, self.columns)
+            if q is not None:
+                rest = rest.join(q, "column", "left")
+        extra = {r["column"]: r.asDict() for r in rest.collect()}
+        rows = []
+        for i, c in enumerate(self.columns):
+            d = self._moment_row(i, c)
+            d.update({k: v for k, v in extra.get(c, {}).items() if k != "column"})
+            rows.append(tuple(d.get(f.name) for f in schema.fields))
+        return schema, rows
 
     @cached_property
     def profile_df(self) -> DataFrame:
@@ -108,7 +144,9 @@ class Analysis:
 
     @cached_property
     def stats(self) -> dict[str, dict]:
-        return {r["column"]: r.asDict() for r in self._profile_rows[1]}
+        schema, rows = self._profile_rows
+        names = [f.name for f in schema.fields]
+        return {r[0]: dict(zip(names, r)) for r in rows}
 
     @cached_property
     def rows(self) -> int:

@@ -61,7 +61,7 @@ class TypePlan:
     pattern each text column is checked against (one entry per column)."""
 
     def __init__(self, rows):
-        self.rows = {r["column"]: r.asDict() for r in rows}
+        self.rows = {r["column"]: (r if isinstance(r, dict) else r.asDict()) for r in rows}
         self.promoted = [c for c, r in self.rows.items() if r["promoted"]]
         self.pattern = {c: r["pattern"] for c, r in self.rows.items() if r["pattern"]}
 
@@ -69,6 +69,22 @@ class TypePlan:
     def of(cls, df: DataFrame, **kw) -> "TypePlan":
         return cls(type_evidence(df, **kw).collect())
 
+    @classmethod
+    def from_counts(cls, first: dict, columns, text_cols, threshold: float = 0.9, share: float = 0.8) -> "TypePlan":
+        """The same decisions as ``type_evidence``, from ``profile.first_pass`` counts."""
+        rows = []
+        for i, c in enumerate(columns):
+            if c not in text_cols:
+                continue
+            v, vn, b = first[f"{i}_v"], first[f"{i}_vn"], first[f"{i}_b"]
+            sh = vn / v if v > 0 else None
+            promoted = sh is not None and sh >= threshold
+            pattern = "numeric" if promoted else next(
+                (k for k in KINDS if b > 0 and first[f"{i}_b{k}"] / b > share), None)
+            rows.append({"column": c, "valid": v, "numeric_valid": vn, "numeric_share": sh, "promoted": promoted,
+                         "nonblank": b, **{f"{k}_nonblank": first[f"{i}_b{k}"] for k in KINDS}, "pattern": pattern})
+        return cls(rows)
+
 
 def numeral_to_double(c) -> Column:
     """Numerals become doubles; anything else (text, blanks, sentinels) null."""

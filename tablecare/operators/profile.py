@@ -136,12 +136,50 @@ def quantile_stats(df: DataFrame, columns=None, qs=None) -> DataFrame | None:
     return st.select(names.alias("column"), *[c for c in st.columns if c != "_ci"])
 
 
+def approx_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, accuracy: int = 10000) -> DataFrame:
+    """Passes B and C in bounded memory, as ONE aggregate: HyperLogLog
+    distinct counts and ``percentile_approx`` quantiles (rank error about
+    ``1/accuracy``).  Modes and repeated-cell counts are not derived."""
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    columns = list(columns or df.columns)
+    aggs = []
+    for i, c in enumerate(columns):
+        dt, x = schema[c], F.col(c)
+        nonblank = x.isNotNull() & (P.strip_ws(x.cast("string")) != "")
+        aggs += [F.approx_count_distinct(x, 0.01).alias(f"{i}_d"), F.max(x.isNull().cast("int")).alias(f"{i}_hasnull"),
+                 F.approx_count_distinct(F.when(nonblank, x.cast("string")), 0.01).alias(f"{i}_db"),
+                 F.approx_count_distinct(F.when(nonblank, F.lower(x.cast("string"))), 0.01).alias(f"{i}_dl")]
+        if P.is_numeric(dt):
+            v = _num(c, dt)
+            near = [q for q, rule in QUANTILES.values() if rule == "nearest"]
+            aggs += [F.percentile_approx(v, near, accuracy).alias(f"{i}_q"),
+                     F.percentile_approx(v, 0.5, accuracy).alias(f"{i}_med")]
+    row = df.agg(*aggs)
+    items = []
+    near_names = [k for k, (q, rule) in QUANTILES.items() if rule == "nearest"]
+    for i, c in enumerate(columns):
+        num = P.is_numeric(schema[c])
+        qv = {k: (F.col(f"{i}_q")[j] if num else F.lit(None).cast("double")) for j, k in enumerate(near_names)}
+        items.append(F.struct(
+            F.lit(c).alias("column"),
+            (F.col(f"{i}_d") + F.coalesce(F.col(f"{i}_hasnull"), F.lit(0))).alias("distinct"),
+            F.col(f"{i}_d").alias("distinct_nonnull"), F.col(f"{i}_db").alias("distinct_nonblank"),
+            F.col(f"{i}_dl").alias("lower_distinct"), F.lit(None).cast("bigint").alias("dup_cells"),
+            F.lit(None).cast("string").alias("mode"), F.lit(None).cast("double").alias("mode_num"),
+            (F.col(f"{i}_med").cast("double") if num else F.lit(None).cast("double")).alias("median"),
+            *[qv[k].cast("double").alias(k) for k in near_names]))
+    return row.select(F.inline(F.array(*items)))
+
+
 def profile(df: DataFrame, columns=None, text_of: dict | None = None, tokens=P.MISSING_TOKENS,
-            with_distinct: bool = True, with_quantiles: bool = True) -> DataFrame:
+            with_distinct: bool = True, with_quantiles: bool = True, approx: bool = False) -> DataFrame:
     """One row per column (ordered by ``position``) with every statistic the
-    quality, cleaning and dashboard operators use."""
+    quality, cleaning and dashboard operators use.  ``approx=True`` replaces
+    the exact distinct/quantile passes by one bounded-memory aggregate."""
     columns = list(columns or [c for c in df.columns if c not in (text_of or {}).values()])
     out = moments(df, columns, text_of, tokens)
+    if approx:
+        return out.join(approx_stats(df, columns, tokens), "column", "left").orderBy("position")
     if with_distinct:
         out = out.join(distinct_stats(df, columns, tokens), "column", "left")
     if with_quantiles:
@@ -175,3 +213,42 @@ def reprofile(df: DataFrame, old: DataFrame, columns, text_of: dict | None = Non
                                                                        F.col("column")).cast("int")))
     keep = old.where(~F.col("column").isin(cols) & F.col("column").isin(list(df.columns)))
     return keep.unionByName(fresh, allowMissingColumns=True).orderBy("position")
+
+
+MOMENT_KEYS = ("n", "mean", "std", "min", "max", "sum", "skew")
+
+
+def _moment_aggs(x, p: str) -> list:
+    return [F.count(x).alias(f"{p}_n"), F.avg(x).alias(f"{p}_mean"), F.stddev_samp(x).alias(f"{p}_std"),
+            F.min(x).alias(f"{p}_min"), F.max(x).alias(f"{p}_max"), F.sum(x).alias(f"{p}_sum"),
+            F.skewness(x).alias(f"{p}_skew")]
+
+
+def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("numeric", "email", "phone")) -> dict:
+    """Type evidence and moments in ONE aggregate over the table as read.
+
+    Per column: null/missing/empty counts on the cells as read; moments of
+    numeric columns; for text columns the pattern counts that decide
+    promotion and the invalid-type pattern, plus the moments (and null
+    count) of their numeral reading -- so the promoted column's statistics
+    need no second scan.  Returns the single collected row as a dict."""
+    from .infer import numeral_to_double
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    columns = list(columns or df.columns)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        dt, x = schema[c], F.col(c)
+        aggs += [F.count_if(x.isNull()).alias(f"{i}_nulls"),
+                 F.count_if(P.is_missing(c, dt, tokens)).alias(f"{i}_missing"),
+                 F.count_if(P.is_empty(c, dt)).alias(f"{i}_empty")]
+        if P.is_numeric(dt):
+            aggs += _moment_aggs(_num(c, dt), f"{i}")
+        elif P.is_string(dt):
+            valid = P.is_valid(c, dt, tokens)
+            nonblank = x.isNotNull() & (P.strip_ws(x) != "")
+            aggs += [F.count_if(valid).alias(f"{i}_v"), F.count_if(valid & P.matches(x, "numeric")).alias(f"{i}_vn"),
+                     F.count_if(nonblank).alias(f"{i}_b")]
+            aggs += [F.count_if(nonblank & P.matches(x, k)).alias(f"{i}_b{k}") for k in kinds]
+            num = numeral_to_double(x)
+            aggs += [F.count_if(num.isNull()).alias(f"{i}_xnulls")] + _moment_aggs(num, f"{i}_x")
+    return df.agg(*aggs).first().asDict()

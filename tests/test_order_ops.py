@@ -67,3 +67,15 @@ def test_order_stats_exact_with_hot_group(spark):
         assert got[g].q1 == vals[int(0.25 * (n - 1) + 0.5)]
         assert abs(got[g].med - float(np.quantile(vals, 0.5))) < 1e-9
         assert got[g].q3b == vals[min(n - 1, int(0.75 * n))]
+
+
+def test_approx_profile_close_to_exact(spark):
+    from tablecare.operators.profile import profile
+    df = spark.range(0, 20000).select((F.col("id") % 997).cast("double").alias("x"),
+                                      (F.col("id") % 13).cast("string").alias("s"))
+    ex = {r.column: r for r in profile(df).collect()}
+    ap = {r.column: r for r in profile(df, approx=True).collect()}
+    assert abs(ap["x"].distinct - ex["x"].distinct) / ex["x"].distinct < 0.05
+    assert ap["s"].distinct == ex["s"].distinct == 13
+    for q in ("q1", "median", "q3", "p95"):
+        assert abs(ap["x"][q] - ex["x"][q]) <= 997 * 0.01
