@@ -84,8 +84,9 @@ def moments(df: DataFrame, columns=None, text_of: dict | None = None,
 
 
 def value_counts_long(df: DataFrame, columns=None) -> DataFrame:
-    """``(column, v, vn, cnt)``: every distinct value of every column.  ``v`` is
-    the text (non-numeric columns), ``vn`` the number (numeric columns)."""
+    """``(column, v, vn, vi, cnt)``: every distinct value of every column.  ``v``
+    is the text (non-numeric columns), ``vn`` the number (numeric columns),
+    ``vi`` the exact integer (integral columns)."""
     schema = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns or df.columns)
     items = []
@@ -93,12 +94,15 @@ def value_counts_long(df: DataFrame, columns=None) -> DataFrame:
         dt = schema[c]
         if P.is_numeric(dt):
             x = F.col(c).cast("double") + F.lit(0.0)
-            items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("v"), x.alias("vn")))
+            # integers also group on their exact value: doubles merge keys above 2^53
+            exact = F.col(c).cast("bigint") if isinstance(dt, P.INTEGRAL_TYPES) else F.lit(None).cast("bigint")
+            items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("v"), x.alias("vn"),
+                                  exact.alias("vi")))
         else:
             items.append(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"),
-                                  F.lit(None).cast("double").alias("vn")))
+                                  F.lit(None).cast("double").alias("vn"), F.lit(None).cast("bigint").alias("vi")))
     long = df.select(F.inline(F.array(*items)))
-    return long.groupBy("column", "v", "vn").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy("column", "v", "vn", "vi").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def distinct_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS) -> DataFrame:
