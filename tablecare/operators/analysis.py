@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicates as P
 from .infer import TypePlan, invalid_predicate, numeral_to_double
+from .rowid import ROW_ID
 from .profile import (MOMENT_KEYS, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
                       value_counts_long)
 
@@ -68,7 +69,10 @@ class Analysis:
         self.tokens = tokens
         self.threshold, self.share, self.max_categories = threshold, share, max_categories
         self.ignored = ignored or {}
-        self.columns = list(raw.columns)
+        # the row id (if any) is carried through, never analysed or used as a key
+        self.out_cols = list(raw.columns)
+        self.carried = [c for c in raw.columns if c == ROW_ID]
+        self.columns = [c for c in raw.columns if c != ROW_ID]
         self.dup_keys = list(dup_keys) if dup_keys else list(self.columns)
         self.raw_types = {f.name: f.dataType for f in raw.schema.fields}
 
@@ -89,13 +93,13 @@ class Analysis:
     @cached_property
     def both(self) -> DataFrame:
         """Typed columns plus the original text of promoted columns."""
-        typed = [numeral_to_double(c).alias(c) if c in self.plan.promoted else F.col(c) for c in self.columns]
+        typed = [numeral_to_double(c).alias(c) if c in self.plan.promoted else F.col(c) for c in self.out_cols]
         texts = [F.col(c).alias(self._text_name(c)) for c in self.plan.promoted]
         return self.raw.select(*typed, *texts)
 
     @cached_property
     def typed(self) -> DataFrame:
-        return self.both.select(*self.columns)
+        return self.both.select(*self.out_cols)
 
     @cached_property
     def types(self) -> dict:
@@ -284,7 +288,7 @@ class Analysis:
             P.flagged_names(self.issue_preds("inconsistent")).alias("_inconsistent_category_cols"),
         ]
         extra = [self._text_name(c) for c in self.plan.promoted] if keep_text else []
-        return joined.select(*self.columns, *extra, *flags)
+        return joined.select(*self.out_cols, *extra, *flags)
 
     # ---- per-column issue counts (one aggregate) ---------------------------
     def issue_counts(self) -> DataFrame:

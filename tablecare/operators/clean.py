@@ -45,7 +45,7 @@ def _numeric(a: Analysis, c: str) -> bool:
 
 def _replace(a: Analysis, exprs: dict[str, Column], base: DataFrame | None = None) -> DataFrame:
     base = base if base is not None else a.both
-    return base.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in a.columns])
+    return base.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in a.out_cols])
 
 
 def _custom(a: Analysis, c: str, value) -> Column:
@@ -92,8 +92,7 @@ def _fill_cells(a: Analysis, cols, method: str, custom_value, target_of, block:
         usable = {c: ~a.missing_pred(c) & ~a.empty_pred(c) & F.col(c).isNotNull() for c in cols}
         targets = {c: target_of(c) for c in cols}
         out = fill(base, targets, usable, kind, ROW_ID, block)
-        keep_id = [ROW_ID] if ROW_ID in a.columns else []
-        return out.select(*[c for c in a.columns if c not in keep_id], *keep_id)
+        return out.select(*a.out_cols)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -151,7 +150,7 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             anym = F.lit(False)
             for c in cols:
                 anym = anym | a.missing_pred(c)
-            return a.both.where(~anym).select(*a.columns)
+            return a.both.where(~anym).select(*a.out_cols)
         if method in ("Drop Column", "Delete Columns containing Missing Values"):
             return a.typed.drop(*cols)
         return _fill_cells(a, cols, method, custom_value, a.missing_pred, block, order_by)
@@ -160,7 +159,7 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             anye = F.lit(False)
             for c in cols:
                 anye = anye | a.empty_pred(c)
-            return a.both.where(~anye).select(*a.columns)
+            return a.both.where(~anye).select(*a.out_cols)
         if method in ("Remove Columns", "Remove Columns containing Empty Cells"):
             return a.typed.drop(*cols)
         if method == "Trim Spaces":

@@ -30,3 +30,13 @@ def test_keep_first_last_most_complete(spark):
     assert (first, last, full) == ([0, 2], [2, 3], [2, 3])
     g = duplicate_groups(df.drop("_row_id"), keys=["k", "s"], order_by=["k", "t"]).collect()
     assert len(g) == 1 and g[0].group_rows == 3
+
+
+def test_row_id_is_carried_not_analysed(spark):
+    from tablecare.operators.analysis import Analysis
+    from tablecare.operators.rowid import with_row_id
+    df = with_row_id(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], "s string, x double"), ["s"])
+    a = Analysis(df)
+    assert a.columns == ["s", "x"] and "_row_id" in a.typed.columns
+    dups = sorted(r._row_id for r in a.flag_frame().where("_is_duplicate").collect())
+    assert dups == [0, 1]
