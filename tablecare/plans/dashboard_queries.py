@@ -172,7 +172,7 @@ def q_duplicate_totals(spark, sf):
     return duplicate_totals(a.typed, keys=list(DIRTY_KEYS))
 
 
-SQL_DUP_TOTALS = dirty_cte(f"""SELECT coalesce(sum(n), 0) AS duplicate_rows, count(*) AS duplicate_groups FROM (
+SQL_DUP_TOTALS = dirty_cte(f"""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows, count(*) AS duplicate_groups FROM (
   SELECT count(*) AS n FROM dirty_orders GROUP BY {', '.join(dirty_norm_sql(c) for c in DIRTY_KEYS)}) WHERE n > 1""")
 
 

@@ -183,7 +183,8 @@ def q_quoted_export(spark, sf):
                     unquoted.alias("unquoted_lines"))
 
 
-SQL_QUOTED = ("SELECT count(*) AS rows, sum(o_orderkey) AS key_sum, 0 AS unquoted_lines FROM orders "
+SQL_QUOTED = ("SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, CAST(0 AS BIGINT) AS unquoted_lines "
+              "FROM orders "
               "WHERE contains(lower(o_orderstatus), 'urgent') OR contains(lower(o_orderpriority), 'urgent')")
 
 QUERIES.update({

@@ -211,7 +211,7 @@ def _col_dup_sql():
     for c in DIRTY_KINDS:
         x = S.numeral(S.q(c)) if c in DIRTY_PROMOTED else (
             f"CAST({S.q(c)} AS DOUBLE) + 0.0" if DIRTY_KINDS[c] in ("int", "float") else S.q(c))
-        parts.append(f"SELECT {S.lit(c)} AS \"column\", coalesce(sum(n) FILTER (WHERE n > 1), 0) AS dup_cells, "
+        parts.append(f"SELECT {S.lit(c)} AS \"column\", CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS dup_cells, "
                      f"round(coalesce(sum(n) FILTER (WHERE n > 1), 0) / sum(n) * 100, 2) AS dup_pct "
                      f"FROM (SELECT count(*) AS n FROM (SELECT {x} AS v FROM dirty_orders) GROUP BY v)")
     return dirty_cte("\nUNION ALL\n".join(parts))

@@ -126,7 +126,7 @@ o AS (SELECT 'outliers' AS kind, "column", outliers AS count,
         round(outliers / greatest(1, k.rows * k.n_num) * 100 / 4, 2) AS impact, position AS sk
       FROM act, k WHERE outliers > 0 ORDER BY position LIMIT 2),
 b AS (SELECT * FROM m UNION ALL SELECT * FROM o)
-SELECT row_number() OVER (ORDER BY CASE WHEN kind = 'missing' THEN 0 ELSE 1 END, sk) AS priority, kind, "column",
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'missing' THEN 0 ELSE 1 END, sk) AS INTEGER) AS priority, kind, "column",
   count, impact FROM b WHERE impact > 0.01"""
 
 

@@ -68,3 +68,27 @@ def nearest(x: str, qv: float, n: str | None = None) -> str:
 def floor_n(x: str, qv: float) -> str:
     n = f"count({x})"
     return f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))[least(CAST(floor({qv} * {n}) AS BIGINT), {n} - 1) + 1]"
+
+
+def bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB types
+    ``count_if`` as HUGEINT, Spark as bigint."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "'":                       # skip string literals
+                k = sql.index("'", k + 1)
+            k += 1
+        inner = bigint_counts(sql[j + len(key):k - 1])
+        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        i = k
