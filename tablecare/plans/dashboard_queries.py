@@ -218,3 +218,59 @@ SELECT row_key, priority, round(price_text, 4) AS price_text, round(price, 4) AS
 
 
 QUERIES["recipe_version"] = (q_recipe_version, _version_sql())
+
+
+def _plan_sql() -> str:
+    """J12 plan for ``orders``: the same candidates and scores in SQL, ordered
+    by score with the planner's insertion order breaking ties."""
+    nums = ["o_orderkey", "o_custkey", "o_totalprice"]
+    cats = ["o_orderstatus", "o_orderpriority"]
+    parts = ["SELECT 0 AS seq, 'heatmap' AS type, 'ALL_NUMERICAL' AS x, 'ALL_NUMERICAL' AS y, 95 AS score"]
+    seq = 1
+    for i, a in enumerate(nums):
+        for b in nums[i + 1:]:
+            r = f"coalesce(round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 2), 0)"
+            parts.append(f"SELECT {seq}, 'scatter', {S.lit(a)}, {S.lit(b)}, CAST(floor(70 + abs({r}) * 30) AS INTEGER) "
+                         f"FROM orders HAVING abs({r}) >= 0.15")
+            seq += 1
+    for c in nums:
+        parts.append(f"SELECT {seq}, 'histogram', {S.lit(c)}, 'count', 85 FROM orders HAVING count({c}) > 0")
+        seq += 1
+    for i, c in enumerate(cats):
+        u = f"count(DISTINCT {c})"
+        kind = f"CASE WHEN {u} <= 6 THEN {S.lit('pie' if i % 2 == 0 else 'donut')} ELSE 'bar' END"
+        parts.append(f"SELECT {seq}, {kind}, {S.lit(c)}, 'count', 80 FROM orders HAVING {u} > 1 AND {u} <= 50")
+        seq += 1
+    for i, y in enumerate(nums):
+        parts.append(f"""SELECT {seq}, {S.lit('area' if i % 2 == 0 else 'line')}, 'o_orderdate', {S.lit(y)},
+  CAST(floor(80 + least(20, cv * 50)) AS INTEGER) FROM (
+  WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders),
+  sp AS (SELECT last_day(CAST(m AS DATE)) AS month FROM b, generate_series(b.a, b.z, INTERVAL 1 MONTH) t(m)),
+  g AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, avg({y}) AS v FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+  m AS (SELECT sp.month, g.v FROM sp LEFT JOIN g USING (month)),
+  s AS (SELECT count(*) AS months, arg_min(v, month) AS f, arg_max(v, month) AS l, stddev_samp(v) AS sd, avg(v) AS mu FROM m)
+  SELECT months, CASE WHEN mu <> 0 THEN abs(sd / mu) ELSE 0 END AS cv,
+         CASE WHEN f IS NOT NULL AND f <> 0 THEN (l - f) / f * 100 ELSE 0 END AS chg FROM s)
+WHERE months >= 2 AND NOT (coalesce(cv, 0) < 0.05 AND abs(chg) < 5)""")
+        seq += 1
+    for i in range(len(cats)):
+        for j in range(i + 1, len(cats)):
+            x, y = cats[i], cats[j]
+            kind = "stacked_bar" if (i + j) % 2 == 0 else "grouped_bar"
+            parts.append(f"SELECT {seq}, {S.lit(kind)}, {S.lit(x)}, {S.lit(y)}, 75 FROM orders "
+                         f"HAVING count(DISTINCT {y}) <= 10 AND count(DISTINCT {x}) <= 15 "
+                         f"AND count(DISTINCT {x}) BETWEEN 2 AND 50 AND count(DISTINCT {y}) BETWEEN 2 AND 50")
+            seq += 1
+    for x in cats:
+        for y in nums:
+            parts.append(f"""SELECT {seq}, 'bar', {S.lit(x)}, {S.lit(y)}, CAST(floor(75 + least(25, abs(cv) * 20)) AS INTEGER)
+FROM (SELECT stddev_samp(m) / avg(m) AS cv, (SELECT count(DISTINCT {x}) FROM orders) AS u FROM (
+  SELECT avg({y}) AS m FROM orders WHERE {x} IS NOT NULL GROUP BY {x} HAVING avg({y}) IS NOT NULL
+  ORDER BY m DESC, {x} LIMIT 20)) WHERE u BETWEEN 2 AND 20 AND abs(coalesce(cv, 0)) > 0.05""")
+            seq += 1
+    body = "\nUNION ALL\n".join(parts)
+    return f"""SELECT CAST(row_number() OVER (ORDER BY least(score, 100) DESC, seq) AS INTEGER) AS rank, type, x, y,
+  CAST(least(score, 100) AS INTEGER) AS score FROM ({body})"""
+
+
+QUERIES["chart_plan"] = (q_chart_plan, _plan_sql())
