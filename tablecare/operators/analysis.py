@@ -302,17 +302,26 @@ class Analysis:
         t = self._issue_counts_lazy()
         return t.schema, t.collect()
 
-    def _issue_counts_lazy(self) -> DataFrame:
+    def _issue_counts_lazy(self, chunk: int = 50) -> DataFrame:
+        """Wide tables are counted in chunks of ``chunk`` columns per aggregate."""
+        parts = [self._issue_counts_for(self.columns[s:s + chunk]) for s in range(0, len(self.columns), chunk)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _issue_counts_for(self, columns) -> DataFrame:
         aggs = []
         for kind in ("missing", "empty", "outlier", "invalid", "inconsistent"):
             for c, p in self.issue_preds(kind):
-                aggs.append(F.count_if(p).alias(f"{kind}|{c}"))
+                if c in columns:
+                    aggs.append(F.count_if(p).alias(f"{kind}|{c}"))
         if not aggs:
             aggs = [F.count(F.lit(1)).alias("_rows")]
         row = self.both.agg(*aggs)
         names = set(row.columns)
         items = []
-        for c in self.columns:
+        for c in columns:
             def get(kind):
                 k = f"{kind}|{c}"
                 return F.col(f"`{k}`") if k in names else F.lit(0).cast("bigint")

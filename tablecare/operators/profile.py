@@ -228,7 +228,8 @@ def _moment_aggs(x, p: str) -> list:
             F.skewness(x).alias(f"{p}_skew")]
 
 
-def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("numeric", "email", "phone")) -> dict:
+def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("numeric", "email", "phone"),
+               chunk: int = 50) -> dict:
     """Type evidence and moments in ONE aggregate over the table as read.
 
     Per column: null/missing/empty counts on the cells as read; moments of
@@ -239,6 +240,16 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
     from .infer import numeral_to_double
     schema = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns or df.columns)
+    if len(columns) > chunk:
+        # wide tables: one aggregate per chunk keeps generated code small
+        out: dict = {}
+        for start in range(0, len(columns), chunk):
+            part = first_pass(df, columns[start:start + chunk], tokens, kinds, chunk)
+            out["rows"] = part.pop("rows")
+            for k, v in part.items():
+                i, rest = k.split("_", 1)
+                out[f"{int(i) + start}_{rest}"] = v
+        return out
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         dt, x = schema[c], F.col(c)

@@ -81,3 +81,15 @@ def test_unknown_method_raises(spark):
     except ValueError:
         return
     raise AssertionError("expected ValueError")
+
+
+def test_wide_table_is_chunked(spark):
+    from pyspark.sql import functions as F
+    cols = [F.when(F.col("id") % (i + 2) == 0, None).otherwise(F.col("id") * (i + 1)).cast("double").alias(f"c{i}")
+            for i in range(120)]
+    df = spark.range(0, 200).select(*cols, F.lit("N/A").alias("t"))
+    a = Analysis(df)
+    assert len(a.stats) == 121
+    assert a.stats["c0"]["missing"] == 100 and a.stats["c118"]["missing"] == 2
+    counts = {r.column: r.missing for r in a.issue_counts().collect()}
+    assert counts["c119"] == 2 and counts["t"] == 200
