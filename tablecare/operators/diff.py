@@ -7,13 +7,30 @@ from pyspark.sql import DataFrame, functions as F
 from .rowid import ROW_ID
 
 
-def removed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Bag difference on the common columns (null-safe, duplicates
-    counted) -- the rows a step removed."""
+def removed_rows(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> DataFrame:
+    """The rows a step removed.
+
+    With a row id on both sides this is an anti join on the unique id (no hot
+    keys).  Without ids it is the bag difference on the common columns
+    (null-safe, duplicates counted, ``exceptAll``)."""
+    if id_col in before.columns and id_col in after.columns:
+        return before.join(after.select(id_col), id_col, "left_anti")
     common = [c for c in before.columns if c in after.columns]
     return before.select(*common).exceptAll(after.select(*common))
 
 
+def removed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """D1 as the reference previews it: each distinct row with the number of
+    copies removed (bag difference without replicating rows)."""
+    common = [c for c in before.columns if c in after.columns]
+    key = F.struct(*[F.col(c) for c in common])
+    b = before.groupBy(key.alias("_r")).agg(F.count(F.lit(1)).alias("_b"))
+    a = after.groupBy(key.alias("_r")).agg(F.count(F.lit(1)).alias("_a"))
+    j = b.join(a.withColumnRenamed("_r", "_ra"), F.col("_r").eqNullSafe(F.col("_ra")), "left")
+    n = F.col("_b") - F.coalesce(F.col("_a"), F.lit(0))
+    return j.where(n > 0).select("_r.*", n.alias("removed"))
+
+
 def changed_rows(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> DataFrame:
     """Rows (by id) where any common column differs, null-safe; with the
     list of changed columns.  One join on the unique id."""

@@ -44,14 +44,23 @@ def plan_charts(df: DataFrame, max_charts: int = 150, max_heat: int = 30) -> lis
     for i, c in enumerate(valid):
         kind = ("pie" if i % 2 == 0 else "donut") if st[c]["distinct_nonnull"] <= 6 else "bar"
         plans.append({"type": kind, "x": c, "y": "count", "score": 80, "data": C.value_counts(df, c, 20)})
+    spark = df.sparkSession
     for d in dates:
+        if not nums:
+            break
+        # one aggregate per date column: monthly means of every numeric column
+        dd = df.where(F.col(d).isNotNull())
+        means = dd.groupBy(F.last_day(F.to_date(d)).alias("month")).agg(
+            *[F.avg(y).alias(f"_m{i}") for i, y in enumerate(nums)])
+        rows = C.month_spine(dd, d).join(means, "month", "left").collect()   # one row per month
+        small = spark.createDataFrame(rows, C.month_spine(dd, d).join(means, "month", "left").schema)
         for i, y in enumerate(nums):
-            m = C.monthly_mean(df, d, y)
+            m = small.select("month", F.col(f"_m{i}").alias(y))
             t = C.trend_summary(m, y).first()
             if t is None or not t["keep"]:
                 continue
             plans.append({"type": "area" if i % 2 == 0 else "line", "x": d, "y": y,
-                          "score": int(80 + min(20, (t["cv"] or 0) * 50)), "data": m})
+                          "score": int(80 + min(20, (t["cv"] or 0) * 50)), "data": C.monthly_mean(df, d, y)})
     for i in range(len(valid)):
         for j in range(i + 1, len(valid)):
             x, y = valid[i], valid[j]
@@ -59,15 +68,24 @@ def plan_charts(df: DataFrame, max_charts: int = 150, max_heat: int = 30) -> lis
                 plans.append({"type": "stacked_bar" if (i + j) % 2 == 0 else "grouped_bar", "x": x, "y": y,
                               "score": 75, "data": C.crosstab(df, x, y, 15)})
     for x in valid:
-        if st[x]["distinct_nonnull"] > 20:
+        if st[x]["distinct_nonnull"] > 20 or not nums:
             continue
-        for y in nums:
-            g = C.mean_by(df, x, y, 20, 0.05)
-            first = g.select("cv").first()
-            if first is None:
+        # one aggregate per category column: group means of every numeric column
+        g = df.where(F.col(x).isNotNull()).groupBy(x).agg(*[F.avg(y).alias(f"_m{i}") for i, y in enumerate(nums)])
+        groups = g.collect()                                               # <= 20 groups
+        for i, y in enumerate(nums):
+            top = sorted(((r[x], r[f"_m{i}"]) for r in groups if r[f"_m{i}"] is not None),
+                         key=lambda t: (-t[1], t[0]))[:20]
+            vals = [v for _, v in top]
+            if len(vals) < 2:
+                continue
+            mu = sum(vals) / len(vals)
+            sd = (sum((v - mu) ** 2 for v in vals) / (len(vals) - 1)) ** 0.5
+            cv = sd / mu if mu != 0 else 0.0
+            if abs(cv) <= 0.05:
                 continue
-            plans.append({"type": "bar", "x": x, "y": y, "score": int(75 + min(25, abs(first["cv"]) * 20)),
-                          "data": g.drop("cv")})
+            plans.append({"type": "bar", "x": x, "y": y, "score": int(75 + min(25, abs(cv) * 20)),
+                          "data": C.mean_by(df, x, y, 20, 0.05).drop("cv")})
     for p in plans:
         p["score"] = min(100, p["score"])
     plans.sort(key=lambda p: -p["score"])

@@ -79,3 +79,12 @@ def test_planner_and_recommender(spark):
     rec = {(r.column, r.issue): r.method for r in recommend_methods(column_table(Analysis(dirty))).collect()}
     assert rec[("v", "Missing Values")] == "Fill with Mean"
     assert rec[("s", "Missing Values")] == "Fill with Mode"
+
+
+def test_removed_by_id_and_counts(spark):
+    from tablecare.operators.diff import removed_counts
+    b = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "_row_id long, s string")
+    a = b.where("_row_id != 1")
+    assert [r._row_id for r in removed_rows(b, a).collect()] == [1]
+    c = removed_counts(b.drop("_row_id"), a.drop("_row_id")).collect()
+    assert [(r.s, r.removed) for r in c] == [("a", 1)]
