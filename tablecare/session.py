@@ -19,9 +19,6 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # wide profiles generate large methods; above HotSpot's 8 KB limit they
-        # would run interpreted, so let Spark split/fall back instead
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
