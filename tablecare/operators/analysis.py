@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import predicates as P
 from .infer import TypePlan, invalid_predicate, numeral_to_double
 from .rowid import ROW_ID
-from .profile import (MOMENT_KEYS, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
+from .profile import (MOMENT_KEYS, QUANTILES, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
                       value_counts_long)
 
 FLAG_COLUMNS = ("_is_duplicate", "_outlier_cols", "_empty_cols", "_missing_cols",
@@ -123,15 +123,20 @@ class Analysis:
         """The profile, computed once (one small row per column): moments from
         the first pass, distinct counts and quantiles from the typed table."""
         text_of = {c: self._text_name(c) for c in self.plan.promoted}
-        schema = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, approx=self.approx).schema
+        pins: list = []
         if self.approx:
+            schema = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, approx=True).schema
             rest = approx_stats(self.both, self.columns, self.tokens)
         else:
+            base = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, with_quantiles=False).schema
+            schema = T.StructType(base.fields + [T.StructField(k, T.DoubleType()) for k in QUANTILES])
             rest = distinct_stats(self.both, self.columns, self.tokens)
-            q = quantile_stats(self.both, self.columns)
+            q = quantile_stats(self.both, self.columns, pins=pins)
             if q is not None:
                 rest = rest.join(q, "column", "left")
         extra = {r["column"]: r.asDict() for r in rest.collect()}
+        for p in pins:          # the rank-selection copy is no longer needed
+            p.unpersist()
         rows = []
         for i, c in enumerate(self.columns):
             d = self._moment_row(i, c)

@@ -11,8 +11,8 @@ B. unpivot to ``(column, value)`` and count each value (partial aggregation
 C. exact order statistics by range-partitioned rank selection
    (``quantiles.order_stats``).
 
-The result is a DataFrame; ``collect_profile`` turns it into a dict on the
-driver (one entry per column, bounded by the schema, not by the data).
+The result is a DataFrame of one row per column (bounded by the schema, not
+by the data).
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def distinct_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS) -> Data
     )
 
 
-def quantile_stats(df: DataFrame, columns=None, qs=None) -> DataFrame | None:
+def quantile_stats(df: DataFrame, columns=None, qs=None, pins: list | None = None) -> DataFrame | None:
     """Pass C over the numeric columns."""
     schema = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in (columns or df.columns) if P.is_numeric(schema[c])]
@@ -196,11 +196,6 @@ def profile(df: DataFrame, columns=None, text_of: dict | None = None, tokens=P.M
     return out.orderBy("position")
 
 
-def collect_profile(prof: DataFrame) -> dict[str, dict]:
-    """Driver copy of a profile: ``{column: {stat: value}}`` (one entry per column)."""
-    return {r["column"]: r.asDict() for r in prof.collect()}
-
-
 def reprofile(df: DataFrame, old: DataFrame, columns, text_of: dict | None = None,
               tokens=P.MISSING_TOKENS) -> DataFrame:
     """Refresh the profile rows of ``columns`` only (column pruning keeps

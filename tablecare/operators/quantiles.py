@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .rowid import _n_partitions
 
 
-def ranked(df: DataFrame, groups: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], value: str, n_partitions: int | None = None,
+           pins: list | None = None) -> DataFrame:
     """``(groups..., _v, _rank, _n)``: each non-null, non-NaN value with its 0-based
     rank inside its group, and the group's size."""
     v = F.col(value)
@@ -34,6 +35,8 @@ def ranked(df: DataFrame, groups: list[str], value: str, n_partitions: int | Non
     keys = [F.col(g) for g in groups] + [F.col("_v")]
     # one pinned lineage so the counting and ranking branches share boundaries
     s = s.repartitionByRange(n, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    if pins is not None:  # caller unpersists once the result is collected
+        pins.append(s)
     s = (s.withColumn("_qp", F.spark_partition_id())
            .withColumn("_ql", F.monotonically_increasing_id() - F.shiftleft(F.col("_qp").cast("bigint"), 33)))
     part = s.groupBy("_qp", *groups).agg(F.count(F.lit(1)).alias("_qc"), F.min("_ql").alias("_qf"))
@@ -63,11 +66,11 @@ def rank_of(q: float, n: int, rule: str) -> list[int]:
 
 
 def order_stats(df: DataFrame, groups: list[str], value: str, qs: dict[str, tuple[float, str]],
-                n_partitions: int | None = None) -> DataFrame:
+                n_partitions: int | None = None, pins: list | None = None) -> DataFrame:
     """Exact quantiles per group: one row per group with a column per name in
     ``qs`` (``{name: (q, rule)}``) plus ``n``.  Ranks are derived on the
     executors from each group's size, so no driver round trip is needed."""
-    r = ranked(df, groups, value, n_partitions)
+    r = ranked(df, groups, value, n_partitions, pins)
     nd = F.col("_n").cast("double")
     last = F.col("_n") - 1
     aggs = []
