@@ -110,11 +110,11 @@ r AS (
   SELECT "column", 'Missing Values' AS issue, CASE WHEN missing * 100.0 / rows > 50 THEN 'Drop Column'
     WHEN class = 'Numeric' AND outliers > 0 THEN 'Fill with Median' WHEN class = 'Numeric' THEN 'Fill with Mean'
     WHEN class = 'Date' THEN 'Fill using Previous Value' ELSE 'Fill with Mode' END AS method FROM act WHERE missing > 0
-  UNION ALL SELECT "column", 'Empty Cells', CASE WHEN class = 'Numeric' THEN 'Fill with Mean'
-    WHEN class = 'Categorical' THEN 'Fill with Mode' WHEN class = 'Date' THEN 'Fill using Previous Value'
+  UNION ALL SELECT "column", 'Empty Cells', CASE WHEN class = 'Numeric' THEN 'Replace with Mean'
+    WHEN class = 'Categorical' THEN 'Replace with Mode' WHEN class = 'Date' THEN 'Replace with Previous Value'
     ELSE 'Replace with Custom Value' END FROM act WHERE empty > 0
   UNION ALL SELECT "column", 'Outliers', CASE WHEN outliers * 100.0 / rows < 1 THEN 'Manual Review'
-    WHEN regexp_matches(lower("column"), 'price|amount|revenue|sales|salary|cost|profit') THEN 'Keep'
+    WHEN regexp_matches(lower("column"), 'price|amount|salary|revenue') THEN 'Keep Outliers'
     ELSE 'Replace using Median' END FROM act WHERE outliers > 0
   UNION ALL SELECT "column", 'Invalid Data Types', 'Convert to Numeric' FROM act WHERE invalid > 0
   UNION ALL SELECT "column", 'Inconsistent Categories', 'Standardize Format' FROM act WHERE inconsistent)

@@ -94,10 +94,45 @@ def recommendations(a: Analysis, cols: DataFrame | None = None) -> DataFrame:
     return both.select(F.row_number().over(w).alias("priority"), "kind", "column", "count", "impact")
 
 
+def poor_quality_rows(a: Analysis, cols: DataFrame | None = None) -> DataFrame:
+    """Rows where blank cells (null, whitespace-only, NaN; sentinels do
+    not count) outnumber half of the active columns, with their blank count."""
+    from ..functions import predicates as P
+    cols = cols if cols is not None else column_table(a)
+    active = [r["column"] for r in cols.where("active").select("column").collect()]   # one name per column
+    blanks = P.non_null_count([P.is_blank(*a.text_col(c)) for c in active])
+    return (a.both.withColumn("blank_cells", blanks).where(F.col("blank_cells") > len(active) / 2)
+             .select(*a.out_cols, "blank_cells"))
+
+
+def top_missing(cols: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` active columns with the most missing cells."""
+    return (cols.where("active").orderBy(F.desc("missing"), "position").limit(k)
+                .select("column", "missing", F.round(F.col("missing") / F.col("rows") * 100, 2).alias("missing_pct")))
+
+
+def duplicate_value_columns(cols: DataFrame, k: int = 10) -> DataFrame:
+    """Active columns whose values repeat, most repeated cells first."""
+    return (cols.where(F.col("active") & (F.col("dup_cells") > 0)).orderBy(F.desc("dup_cells"), "position").limit(k)
+                .select("column", "dup_cells", F.round(F.col("dup_cells") / F.col("rows") * 100, 2).alias("dup_pct")))
+
+
+def class_counts(cols: DataFrame) -> DataFrame:
+    """Dataset summary: number of active columns per class."""
+    return cols.where("active").groupBy("class").agg(F.count(F.lit(1)).alias("columns"))
+
+
 def quality_report(a: Analysis) -> dict[str, DataFrame]:
     """The report as named small DataFrames."""
+    from ..operators.analysis import outlier_extremes
     cols = column_table(a)
+    numeric = [r["column"] for r in cols.where(F.col("active") & (F.col("class") == "Numeric")).collect()]
     return {
+        "top_missing": top_missing(cols),
+        "duplicate_values": duplicate_value_columns(cols),
+        "class_counts": class_counts(cols),
+        "outlier_summary": outlier_extremes(a, numeric),
+        "poor_quality_rows": poor_quality_rows(a, cols),
         "columns": cols,
         "scores": quality_scores(a, cols),
         "health": column_health(a, cols),

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# --- fixed values: money-like column names kept as "business amounts" -------
-AMOUNT_WORDS = ("price", "amount", "revenue", "sales", "salary", "cost", "profit")
+# --- fixed values: column names taken as business transactions ---------------
+AMOUNT_WORDS = ("price", "amount", "salary", "revenue")
 # --- end of fixed values ----------------------------------------------------
 
 
-def recommend_methods(cols: DataFrame) -> DataFrame:
+def recommend_methods(cols: DataFrame, duplicate_rows: int = 0) -> DataFrame:
     """``(column, issue, method)`` for each active column with an issue.
 
     ``cols`` is ``plans.quality.column_table``.  Rules: missing > 50 % ->
     Drop Column; numeric with outliers -> Median, without -> Mean;
     categorical -> Mode; date -> Forward Fill.  Empty cells: numeric Mean,
-    categorical Mode, text Custom Value, date Previous.  Outliers under 1 %
-    -> Manual Review; amounts -> Keep; otherwise Replace using Median.
+    categorical Mode, text Custom Value, date Previous Value.  Outliers under
+    1 % -> Manual Review; business amounts -> Keep Outliers; otherwise
+    Replace using Median.  Exact duplicate rows -> Remove Exact Duplicates.
     """
     act = cols.where("active")
     name = F.lower(F.col("column"))
@@ -36,9 +37,9 @@ def recommend_methods(cols: DataFrame) -> DataFrame:
                 .when(cls == "Numeric", "Fill with Mean")
                 .when(cls == "Date", "Fill using Previous Value")
                 .otherwise("Fill with Mode"))
-    empty = (F.when(cls == "Numeric", "Fill with Mean").when(cls == "Categorical", "Fill with Mode")
-              .when(cls == "Date", "Fill using Previous Value").otherwise("Replace with Custom Value"))
-    outliers = (F.when(out_pct < 1, "Manual Review").when(amount, "Keep")
+    empty = (F.when(cls == "Numeric", "Replace with Mean").when(cls == "Categorical", "Replace with Mode")
+              .when(cls == "Date", "Replace with Previous Value").otherwise("Replace with Custom Value"))
+    outliers = (F.when(out_pct < 1, "Manual Review").when(amount, "Keep Outliers")
                  .otherwise("Replace using Median"))
     recs = [
         act.where(F.col("missing") > 0).select("column", F.lit("Missing Values").alias("issue"), missing.alias("method")),
@@ -49,6 +50,9 @@ def recommend_methods(cols: DataFrame) -> DataFrame:
         act.where(F.col("inconsistent")).select("column", F.lit("Inconsistent Categories").alias("issue"),
                                                  F.lit("Standardize Format").alias("method")),
     ]
+    if duplicate_rows:
+        recs.append(act.limit(1).select(F.lit("all").alias("column"), F.lit("Exact Duplicates").alias("issue"),
+                                        F.lit("Remove Exact Duplicates").alias("method")))
     out = recs[0]
     for r in recs[1:]:
         out = out.unionByName(r)

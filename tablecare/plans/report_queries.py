@@ -218,11 +218,9 @@ def _blank_count(a: Analysis):
 
 
 def q_poor_quality_rows(spark, sf):
-    """Rows with more blank cells (null, whitespace, NaN) than half the columns."""
-    a = Analysis(dirty_orders(spark, sf))
-    n = len(a.columns)
-    d = a.both.withColumn("blank_cells", _blank_count(a))
-    return d.where(F.col("blank_cells") > n / 2).select("row_key", "copy_no", "blank_cells")
+    """Rows with more blank cells (null, whitespace, NaN) than half the active columns."""
+    from .quality import poor_quality_rows
+    return poor_quality_rows(Analysis(dirty_orders(spark, sf))).select("row_key", "copy_no", "blank_cells")
 
 
 def _blank_sql(c):

@@ -88,3 +88,14 @@ def test_removed_by_id_and_counts(spark):
     assert [r._row_id for r in removed_rows(b, a).collect()] == [1]
     c = removed_counts(b.drop("_row_id"), a.drop("_row_id")).collect()
     assert [(r.s, r.removed) for r in c] == [("a", 1)]
+
+
+def test_report_pieces(spark):
+    from tablecare.plans.quality import quality_report
+    rows = [(None, None, None, 1.0), ("a", " ", None, 2.0), ("b", "x", "y", None)] * 5
+    a = Analysis(spark.createDataFrame(rows, "p string, q string, r string, v double"))
+    rep = quality_report(a)
+    assert rep["poor_quality_rows"].count() == 5          # 3 of 4 columns blank
+    top = [r.column for r in rep["top_missing"].collect()]
+    assert top[0] == "r"
+    assert {r["class"] for r in rep["class_counts"].collect()} >= {"Categorical"}
