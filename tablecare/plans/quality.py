@@ -125,6 +125,8 @@ def class_counts(cols: DataFrame) -> DataFrame:
 def quality_report(a: Analysis) -> dict[str, DataFrame]:
     """The report as named small DataFrames."""
     from ..operators.analysis import outlier_extremes
+    if a.rows == 0:
+        return {"error": a.raw.sparkSession.createDataFrame([("Dataset is empty.",)], "error string")}
     cols = column_table(a)
     numeric = [r["column"] for r in cols.where(F.col("active") & (F.col("class") == "Numeric")).collect()]
     return {

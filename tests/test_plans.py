@@ -99,3 +99,12 @@ def test_report_pieces(spark):
     top = [r.column for r in rep["top_missing"].collect()]
     assert top[0] == "r"
     assert {r["class"] for r in rep["class_counts"].collect()} >= {"Categorical"}
+
+
+def test_empty_table(spark):
+    from tablecare.operators.dashboard import auto_dashboard
+    from tablecare.plans.quality import quality_report
+    df = spark.createDataFrame([], "a string, b double")
+    rep = quality_report(Analysis(df))
+    assert rep["error"].first().error == "Dataset is empty."
+    assert auto_dashboard(df) == []
