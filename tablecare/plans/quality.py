@@ -144,3 +144,33 @@ def quality_report(a: Analysis) -> dict[str, DataFrame]:
         "categories": a.category_table,
         "recommendations": recommendations(a, cols),
     }
+
+
+def table_page(a: Analysis, search_term: str = "", sort: str | None = None, desc: bool = False,
+               page_no: int = 1, limit: int = 100, order_by=None):
+    """One page of the flagged table and its stats row.
+
+    Rows get a row id (``order_by`` or the frame's order), are searched
+    (literal, text columns), sorted (nulls first, ties by row id) and sliced;
+    the six flag columns ride along.  Stats: total rows/columns, missing and
+    empty cells (active columns), duplicate rows, outlier cells (every numeric
+    column with a rule), total pages and the overall score."""
+    from ..operators.rowid import ROW_ID, with_row_id
+    from ..operators.table import page, search, sort_by, total_pages
+    flagged = a.flag_frame()
+    if ROW_ID not in flagged.columns:
+        flagged = with_row_id(flagged, order_by)
+    found = search(flagged, search_term)
+    rows = page(sort_by(found, sort, desc), page_no, limit)
+    cols = column_table(a)
+    act = cols.where("active")
+    n_found = found.count() if search_term else a.rows
+    outliers = sum(r["outliers"] for r in a.issue_counts().collect())
+    stats = (act.agg(F.sum("missing").alias("missing_values"), F.sum("empty").alias("empty_cells"))
+                .select(F.lit(a.rows).cast("bigint").alias("total_rows"),
+                        F.lit(len(a.columns)).alias("total_columns"), "missing_values", "empty_cells",
+                        F.lit(a.duplicate_rows_total().first()["duplicate_rows"]).cast("bigint").alias("duplicates"),
+                        F.lit(outliers).cast("bigint").alias("outliers"),
+                        F.lit(total_pages(n_found, limit)).alias("total_pages"),
+                        F.lit(quality_scores(a, cols).first()["overall"]).alias("quality_score")))
+    return rows, stats

@@ -350,8 +350,28 @@ WHERE contains(lower(priority), 'urgent') OR contains(lower(price_text_raw), 'ur
 ORDER BY rid LIMIT 100"""
 
 
+def q_table_page_stats(spark, sf):
+    """J1 stats row for the dirty table, 100 rows a page."""
+    from .quality import table_page
+    d = with_row_id(dirty_orders(spark, sf), list(DIRTY_ORDER))
+    return table_page(Analysis(d), limit=100)[1]
+
+
+SQL_TABLE_STATS = dirty_columns_sql() + """,
+sc AS (""" + SQL_QUALITY_SCORES[SQL_QUALITY_SCORES.index("s AS (SELECT count(*) AS n_cols"):].replace(
+    "s AS (SELECT count(*) AS n_cols", "SELECT * FROM (WITH s AS (SELECT count(*) AS n_cols", 1) + """))
+SELECT (SELECT max(rows) FROM cols) AS total_rows, CAST(count(*) AS INTEGER) AS total_columns,
+  CAST(sum(missing) FILTER (WHERE active) AS BIGINT) AS missing_values,
+  CAST(sum(empty) FILTER (WHERE active) AS BIGINT) AS empty_cells,
+  CAST((SELECT duplicate_rows FROM dup) AS BIGINT) AS duplicates, CAST(sum(outliers_raw) AS BIGINT) AS outliers,
+  CAST(greatest(1, ceil((SELECT max(rows) FROM cols) / 100.0)) AS INTEGER) AS total_pages,
+  (SELECT overall FROM sc) AS quality_score
+FROM cols"""
+
+
 QUERIES = {
     "quality_scores": (q_quality_scores, SQL_QUALITY_SCORES),
+    "table_page_stats": (q_table_page_stats, SQL_TABLE_STATS),
     "column_health": (q_column_health, SQL_COLUMN_HEALTH),
     "recommend_fixes": (q_recommend_fixes, SQL_RECOMMEND),
     "column_classes": (q_column_classes, SQL_COLUMN_CLASSES),
