@@ -223,6 +223,13 @@ def q_poor_quality_rows(spark, sf):
     return poor_quality_rows(Analysis(dirty_orders(spark, sf))).select("row_key", "copy_no", "blank_cells")
 
 
+def q_poor_quality_rows_narrow(spark, sf):
+    """B13 on four columns of the dirty view, where rows can be mostly blank."""
+    from .quality import poor_quality_rows
+    d = dirty_orders(spark, sf).select("row_key", "priority", "price_text", "price")
+    return poor_quality_rows(Analysis(d)).select("row_key", "blank_cells")
+
+
 def _blank_sql(c):
     k = DIRTY_KINDS[c]
     x = "price_text_raw" if c in DIRTY_PROMOTED else S.q(c)
@@ -379,6 +386,9 @@ QUERIES = {
     "auto_classes": (q_auto_classes, SQL_AUTO_CLASSES),
     "col_anomalies": (q_col_anomalies, SQL_COL_ANOMALIES),
     "poor_quality_rows": (q_poor_quality_rows, SQL_POOR_ROWS),
+    "poor_quality_rows_narrow": (q_poor_quality_rows_narrow, TYPED + "\nSELECT row_key, blank_cells FROM (SELECT row_key, "
+                                 + " + ".join(_blank_sql(c) for c in ("row_key", "priority", "price_text", "price"))
+                                 + " AS blank_cells FROM typed) WHERE blank_cells > 2"),
     "missing_rows": (q_missing_rows, SQL_MISSING_ROWS),
     "missing_heatmap": (q_missing_heatmap, SQL_HEATMAP),
     "diff_removed": (q_diff_removed, SQL_DIFF_REMOVED),
