@@ -8,7 +8,7 @@ from ..operators import charts as C
 from ..operators.analysis import Analysis
 from ..operators.dashboard import auto_kpis, classes_of, insights, kpis, slicers
 from ..operators.duplicates import duplicate_totals, extra_duplicates
-from ..operators.profile import profile, reprofile
+from ..operators.profile import reprofile
 from ..operators.table import apply_filters
 from . import sqlgen as S
 from .clean_queries import TYPED, emp, miss, shape

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import predicates as P
 from ..operators.analysis import Analysis
 from ..operators.duplicates import duplicate_groups
 from ..operators.infer import type_evidence

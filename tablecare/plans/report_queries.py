@@ -16,7 +16,7 @@ from .clean_queries import TYPED, emp, miss, out_sql, shape
 from .quality import column_health, quality_scores, recommendations
 from .quality_queries import DIRTY_KINDS, DIRTY_NUMERIC, DIRTY_PROMOTED, dirty_norm_sql, inconsistent_sql, \
     outlier_pred_sql, outlier_rules_sql
-from .views import DIRTY_ORDER, dirty_cte, dirty_orders, table
+from .views import DIRTY_ORDER, dirty_orders, table
 
 DIRTY_DTYPES = {"row_key": "bigint", "priority": "string", "price_text": "double", "price": "double",
                 "email": "string", "status": "string", "ordered_at": "timestamp_ntz", "copy_no": "int"}
