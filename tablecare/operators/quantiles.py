@@ -110,3 +110,96 @@ def order_stats(df: DataFrame, groups: list[str], value: str, qs: dict[str, tupl
         else:
             out.append(name)
     return res.select(*out)
+
+
+def bracketed_stats(df: DataFrame, columns: list[str], qs: dict[str, tuple[float, str]],
+                    accuracy: int = 10000, max_inside: int = 1_000_000, pins: list | None = None) -> DataFrame:
+    """Exact quantiles per column without sorting every value.
+
+    1. one aggregate: ``n`` and ``percentile_approx`` brackets ``q -/+ 3/accuracy``
+       around every wanted quantile (rank error of the sketch <= n/accuracy);
+    2. one aggregate: per bracket, the values below it and inside it;
+    3. only the values inside the brackets (about ``6n/accuracy`` per quantile)
+       are ranked, by a window partitioned by (column, quantile).
+
+    Columns whose bracket holds more than ``max_inside`` values, or misses the
+    wanted rank, are answered exactly by ``order_stats`` (range-partitioned
+    rank selection).  Returns ``(column, n, <quantile names>...)``."""
+    spark = df.sparkSession
+    names = list(qs)
+    if not columns:
+        return spark.createDataFrame([], "column string, n bigint, " + ", ".join(f"{k} double" for k in names))
+    delta = 3.0 / accuracy
+    xs = {c: F.col(c).cast("double") for c in columns}
+    valid = {c: F.when(~F.isnan(xs[c]), xs[c] + F.lit(0.0)) for c in columns}
+    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q, _ in qs.values() for s in (-1, 1)})
+    row = df.agg(*[F.count(valid[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+                 *[F.percentile_approx(valid[c], probes, accuracy).alias(f"p{i}") for i, c in enumerate(columns)]
+                 ).first()
+    plan = {}   # (i, name) -> (lo, hi, ranks)
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        if not n:
+            continue
+        pv = dict(zip(probes, row[f"p{i}"]))
+        for name, (q, rule) in qs.items():
+            lo = pv[min(1.0, max(0.0, q - delta))]
+            hi = pv[min(1.0, max(0.0, q + delta))]
+            plan[(i, name)] = (lo, hi, rank_of(q, n, rule))
+    if not plan:
+        return spark.createDataFrame([(c, row[f"n{i}"] or 0, *[None] * len(names)) for i, c in enumerate(columns)],
+                                     "column string, n bigint, " + ", ".join(f"{k} double" for k in names))
+    keys = sorted(plan)
+    cnt = df.agg(*[F.count_if(valid[columns[i]] < F.lit(plan[(i, k)][0])).alias(f"b{j}") for j, (i, k) in enumerate(keys)],
+                 *[F.count_if(valid[columns[i]].between(F.lit(plan[(i, k)][0]), F.lit(plan[(i, k)][1])))
+                   .alias(f"w{j}") for j, (i, k) in enumerate(keys)]).first()
+    fast, slow = {}, set()
+    for j, (i, k) in enumerate(keys):
+        below, inside = cnt[f"b{j}"], cnt[f"w{j}"]
+        lo, hi, ranks = plan[(i, k)]
+        if inside > max_inside or any(not (below <= r < below + inside) for r in ranks):
+            slow.add(i)
+        else:
+            fast[(i, k)] = (j, below, ranks)
+    values: dict = {}
+    if fast:
+        cells = F.array(*[F.when(valid[columns[i]].between(F.lit(plan[(i, k)][0]), F.lit(plan[(i, k)][1])),
+                                 F.struct(F.lit(j).alias("j"), valid[columns[i]].alias("v")))
+                          for (i, k), (j, _, _) in fast.items()])
+        inside = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select("c.j", "c.v")
+        w = Window.partitionBy("j").orderBy("v")       # each partition: one bracket, <= max_inside values
+        local = inside.withColumn("_r", F.row_number().over(w) - 1)
+        wanted = F.lit(False)
+        for (i, k), (j, below, ranks) in fast.items():
+            for r in ranks:
+                wanted = wanted | ((F.col("j") == j) & (F.col("_r") == r - below))
+        for rr in local.where(wanted).collect():                       # <= 2 rows per quantile
+            values[(rr["j"], rr["_r"])] = rr["v"]
+    out = []
+    slow_cols = sorted(slow)
+    slow_res = {}
+    if slow_cols:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), valid[columns[i]].alias("_x"))
+                                            for i in slow_cols])))
+        for r in order_stats(long, ["_ci"], "_x", qs, pins=pins).collect():
+            slow_res[r["_ci"]] = r
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"] or 0
+        if i in slow_res:
+            out.append((c, n, *[slow_res[i][k] for k in names]))
+            continue
+        vals = []
+        for k in names:
+            if (i, k) not in fast:
+                vals.append(None)
+                continue
+            j, below, ranks = fast[(i, k)]
+            got = [values[(j, r - below)] for r in ranks]
+            q, rule = qs[k]
+            if rule == "linear" and len(got) == 2:
+                h = q * (n - 1)
+                vals.append(got[0] + (got[1] - got[0]) * (h - int(h)))
+            else:
+                vals.append(got[0])
+        out.append((c, n, *vals))
+    return spark.createDataFrame(out, "column string, n bigint, " + ", ".join(f"{k} double" for k in names))

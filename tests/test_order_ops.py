@@ -79,3 +79,25 @@ def test_approx_profile_close_to_exact(spark):
     assert ap["s"].distinct == ex["s"].distinct == 13
     for q in ("q1", "median", "q3", "p95"):
         assert abs(ap["x"][q] - ex["x"][q]) <= 997 * 0.01
+
+
+def test_bracketed_equals_rank_selection(spark):
+    from tablecare.operators.profile import QUANTILES
+    from tablecare.operators.quantiles import bracketed_stats
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 40)), rnd.gauss(0, 1), None if i % 7 == 0 else float(i % 13), float(i))
+            for i in range(5000)]
+    df = spark.createDataFrame(rows, "ties double, g double, sparse double, seq double")
+    cols = ["ties", "g", "sparse", "seq"]
+    fast = {r.column: r for r in bracketed_stats(df, cols, QUANTILES, accuracy=1000).collect()}
+    forced = {r.column: r for r in bracketed_stats(df, cols, QUANTILES, accuracy=1000, max_inside=0).collect()}
+    for c in cols:
+        vals = sorted(v for v in (r[cols.index(c)] for r in rows) if v is not None)
+        n = len(vals)
+        for k, (q, rule) in QUANTILES.items():
+            if rule == "nearest":
+                want = vals[int(q * (n - 1) + 0.5)]
+            else:
+                want = float(np.quantile(vals, q))
+            assert abs(fast[c][k] - want) < 1e-9, (c, k)
+            assert abs(forced[c][k] - want) < 1e-9, (c, k)
