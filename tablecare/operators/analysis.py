@@ -131,7 +131,7 @@ class Analysis:
             base = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, with_quantiles=False).schema
             schema = T.StructType(base.fields + [T.StructField(k, T.DoubleType()) for k in QUANTILES])
             rest = distinct_stats(self.both, self.columns, self.tokens)
-            q = quantile_stats(self.both, self.columns, pins=pins)
+            q = quantile_stats(self.both, self.columns, pins=pins, rows=self._first["rows"])
             if q is not None:
                 rest = rest.join(q, "column", "left")
         extra = {r["column"]: r.asDict() for r in rest.collect()}

@@ -8,10 +8,10 @@ B. unpivot to ``(column, value)`` and count each value (partial aggregation
    absorbs hot values), then per column: distinct counts (null is a value),
    cells whose value repeats, the mode (count desc, value asc) and the number
    of case-insensitive spellings;
-C. exact order statistics: ``percentile_approx`` brackets around each wanted
-   rank, exact counts below/inside them, and a rank of only the values inside
-   (``quantiles.bracketed_stats``); a column whose bracket is too full falls
-   back to range-partitioned rank selection (``quantiles.order_stats``).
+C. exact order statistics: one range-partitioned rank selection of all
+   numeric values (``quantiles.order_stats``), or -- for very large tables --
+   sketch brackets around each wanted rank and a rank of only the values
+   inside them (``quantiles.bracketed_stats``).
 
 The result is a DataFrame of one row per column (bounded by the schema, not
 by the data).
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import predicates as P
-from .quantiles import bracketed_stats
+from .quantiles import bracketed_stats, order_stats
 
 # quantile name -> (q, rule)
 QUANTILES = {
@@ -128,16 +128,34 @@ def distinct_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS) -> Data
     )
 
 
-def quantile_stats(df: DataFrame, columns=None, qs=None, pins: list | None = None) -> DataFrame | None:
-    """Pass C over the numeric columns: exact quantiles by bracket-then-select
-    (``quantiles.bracketed_stats``; columns it cannot settle fall back to the
-    range-partitioned rank selection).  Runs its small jobs when called and
-    returns one row per column."""
+SORT_ALL_LIMIT = 100_000_000   # numeric values up to which one exact sort is the cheaper plan
+
+
+def quantile_stats(df: DataFrame, columns=None, qs=None, pins: list | None = None,
+                   rows: int | None = None) -> DataFrame | None:
+    """Pass C over the numeric columns, exact either way:
+
+    * up to ``SORT_ALL_LIMIT`` values: range-partitioned rank selection of all
+      values (one sort; ``quantiles.order_stats``);
+    * above: bracket-then-select (``quantiles.bracketed_stats``): a sketch
+      brackets each rank and only the values inside are ranked; columns it
+      cannot settle fall back to rank selection.
+
+    ``rows`` (the table's row count, when known) picks the plan; otherwise
+    it is counted."""
     schema = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in (columns or df.columns) if P.is_numeric(schema[c])]
     if not nums:
         return None
-    return bracketed_stats(df, nums, qs or QUANTILES, pins=pins).drop("n")
+    rows = df.count() if rows is None else rows
+    if rows * len(nums) > SORT_ALL_LIMIT:
+        return bracketed_stats(df, nums, qs or QUANTILES, pins=pins).drop("n")
+    # rank on a small int key; names are attached to the one-row-per-column result
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(nums)])))
+    st = order_stats(long, ["_ci"], "_x", qs or QUANTILES, pins=pins).drop("n")
+    names = F.element_at(F.array(*[F.lit(c) for c in nums]), F.col("_ci") + 1)
+    return st.select(names.alias("column"), *[c for c in st.columns if c != "_ci"])
 
 
 def approx_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, accuracy: int = 10000) -> DataFrame:

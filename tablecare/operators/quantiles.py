@@ -153,12 +153,14 @@ def bracketed_stats(df: DataFrame, columns: list[str], qs: dict[str, tuple[float
     cnt = df.agg(*[F.count_if(valid[columns[i]] < F.lit(plan[(i, k)][0])).alias(f"b{j}") for j, (i, k) in enumerate(keys)],
                  *[F.count_if(valid[columns[i]].between(F.lit(plan[(i, k)][0]), F.lit(plan[(i, k)][1])))
                    .alias(f"w{j}") for j, (i, k) in enumerate(keys)]).first()
-    fast, slow = {}, set()
+    fast, slow, settled = {}, set(), {}
     for j, (i, k) in enumerate(keys):
         below, inside = cnt[f"b{j}"], cnt[f"w{j}"]
         lo, hi, ranks = plan[(i, k)]
-        if inside > max_inside or any(not (below <= r < below + inside) for r in ranks):
+        if any(not (below <= r < below + inside) for r in ranks) or (inside > max_inside and lo != hi):
             slow.add(i)
+        elif lo == hi:
+            settled[(i, k)] = lo          # every value inside the bracket equals lo
         else:
             fast[(i, k)] = (j, below, ranks)
     values: dict = {}
@@ -190,6 +192,9 @@ def bracketed_stats(df: DataFrame, columns: list[str], qs: dict[str, tuple[float
             continue
         vals = []
         for k in names:
+            if (i, k) in settled:
+                vals.append(settled[(i, k)])
+                continue
             if (i, k) not in fast:
                 vals.append(None)
                 continue

@@ -101,3 +101,12 @@ def test_bracketed_equals_rank_selection(spark):
                 want = float(np.quantile(vals, q))
             assert abs(fast[c][k] - want) < 1e-9, (c, k)
             assert abs(forced[c][k] - want) < 1e-9, (c, k)
+
+
+def test_quantile_stats_large_table_path(spark):
+    from tablecare.operators.profile import quantile_stats
+    df = spark.range(0, 3000).select(((F.col("id") * 7919) % 1009).cast("double").alias("x"))
+    small = {r.column: r for r in quantile_stats(df).collect()}["x"]
+    large = {r.column: r for r in quantile_stats(df, rows=10**9).collect()}["x"]   # forces brackets
+    for k in ("median", "q1", "q3", "p5", "p90", "p95"):
+        assert small[k] == large[k], k
