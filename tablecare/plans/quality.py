@@ -174,3 +174,39 @@ def table_page(a: Analysis, search_term: str = "", sort: str | None = None, desc
                         F.lit(total_pages(n_found, limit)).alias("total_pages"),
                         F.lit(quality_scores(a, cols).first()["overall"]).alias("quality_score")))
     return rows, stats
+
+
+def preview(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", custom_value=None,
+            order_by=None, samples: int = 5) -> dict:
+    """What a cleaning step would do, without applying it.
+
+    ``metrics``: dropped columns, rows removed, cells changed, rows remaining,
+    current and estimated score and the improvement (never negative);
+    ``before`` / ``after``: up to ``samples`` affected rows (removed rows for
+    row-dropping steps, changed rows otherwise, first rows when columns are
+    dropped)."""
+    from ..operators.clean import clean
+    from ..operators.diff import changed_rows, removed_counts, step_summary
+    from ..operators.rowid import ROW_ID, with_row_id
+    base = a if ROW_ID in a.raw.columns else Analysis(with_row_id(a.raw, order_by), a.tokens, a.threshold, a.share,
+                                                        a.max_categories, a.ignored)
+    after = clean(base, issue, list(columns), method, custom_value, order_by=order_by)
+    summary = step_summary(base.typed, after).first()
+    before_score = quality_scores(base).first()["overall"]
+    after_score = quality_scores(Analysis(after, base.tokens, base.threshold, base.share, base.max_categories,
+                                          base.ignored)).first()["overall"]
+    if summary["dropped_columns"]:
+        b, c = base.typed.orderBy(ROW_ID).limit(samples), after.orderBy(ROW_ID).limit(samples)
+    elif summary["rows_removed"]:
+        b = removed_counts(base.typed.drop(ROW_ID), after.drop(ROW_ID)).limit(samples)
+        c = b.limit(0)
+    else:
+        ids = changed_rows(base.typed, after).select(ROW_ID).orderBy(ROW_ID).limit(samples)
+        b = base.typed.join(ids, ROW_ID, "left_semi").orderBy(ROW_ID)
+        c = after.join(ids, ROW_ID, "left_semi").orderBy(ROW_ID)
+    metrics = a.raw.sparkSession.createDataFrame([(
+        summary["dropped_columns"], summary["rows_removed"], summary["values_changed"], summary["rows_remaining"],
+        before_score, after_score, round(max(0.0, after_score - before_score), 2))],
+        "dropped_columns string, rows_removed bigint, values_changed bigint, rows_remaining bigint, "
+        "current_score double, estimated_score double, improvement double")
+    return {"metrics": metrics, "before": b, "after": c}

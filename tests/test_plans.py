@@ -108,3 +108,14 @@ def test_empty_table(spark):
     rep = quality_report(Analysis(df))
     assert rep["error"].first().error == "Dataset is empty."
     assert auto_dashboard(df) == []
+
+
+def test_step_preview(spark):
+    from tablecare.plans.quality import preview
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    p = preview(Analysis(df), "Missing Values", ["v"], "Fill with Mean", order_by=["k"])
+    m = p["metrics"].first()
+    assert m.rows_removed == 0 and m.values_changed == 10 and m.improvement >= 0
+    assert p["before"].count() == 5 and p["after"].where("v IS NULL").count() == 0
+    d = preview(Analysis(df), "Missing Values", ["s"], "Drop Rows", order_by=["k"])
+    assert d["metrics"].first().rows_removed == 8
