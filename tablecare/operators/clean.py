@@ -24,6 +24,7 @@ DUP_ISSUES = ("Duplicate Rows", "Exact Duplicates", "Business Duplicates", "Near
 DROP_ISSUES = ("Constant Columns", "High Cardinality", "Duplicate Columns", "High Null Percentage Columns")
 DROP_METHODS = ("Drop Column", "Drop Duplicate Columns", "Drop Columns")
 PREVIOUS = ("Fill using Previous Value", "Replace with Previous Value")
+KEEP_AS_IS = ("Keep As Is", "Keep Outliers", "Manual Review")   # advisory choices: the table is unchanged
 NEXT = ("Fill using Next Value", "Replace with Next Value")
 # --- end of fixed values ----------------------------------------------------
 
@@ -143,7 +144,7 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
           order_by=None, block: int = DEFAULT_BLOCK) -> DataFrame:
     """One named cleaning step over the analysed table; returns the typed frame."""
     cols = _targets(a, columns)
-    if method == "Ignore":
+    if method in ("Ignore",) + KEEP_AS_IS:
         return a.typed
     if issue == "Missing Values":
         if method in ("Drop Rows", "Delete Rows containing Missing Values"):
