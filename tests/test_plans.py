@@ -119,3 +119,16 @@ def test_step_preview(spark):
     assert p["before"].count() == 5 and p["after"].where("v IS NULL").count() == 0
     d = preview(Analysis(df), "Missing Values", ["s"], "Drop Rows", order_by=["k"])
     assert d["metrics"].first().rows_removed == 8
+
+
+def test_dashboard_composite(spark):
+    from tablecare.operators.dashboard import dashboard, filtered_dashboard
+    df = spark.createDataFrame([(f"c{i % 3}", float(i), f"r{i % 7}") for i in range(40)],
+                               "cat string, amount double, region string")
+    d = dashboard(df)
+    s = d["summary"].first()
+    assert (s.rows, s.cols, s.numeric) == (40, 3, 1) and 0 <= s.quality <= 100
+    kinds = [k for k, _, _ in d["charts"]]
+    assert "donut" in kinds and "horizontal_bar" in kinds and "histogram" in kinds
+    f = filtered_dashboard(df, {"cat": ["c0"]}, d["classes"])
+    assert f["kpis"].where("title = 'Total Records'").first().value == 14
