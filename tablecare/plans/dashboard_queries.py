@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts as C
 from ..operators.analysis import Analysis
-from ..operators.dashboard import auto_kpis, classes_of, insights, kpis, slicers
+from ..operators.dashboard import auto_kpis, auto_slicers, classes_of, insights, kpis, slicers
 from ..operators.duplicates import duplicate_totals, extra_duplicates
 from ..operators.profile import reprofile
 from ..operators.table import apply_filters
@@ -274,3 +274,21 @@ FROM (SELECT stddev_samp(m) / avg(m) AS cv, (SELECT count(DISTINCT {x}) FROM ord
 
 
 QUERIES["chart_plan"] = (q_chart_plan, _plan_sql())
+
+
+def q_auto_slicers(spark, sf):
+    """E33, auto-dashboard variant, on orders."""
+    s = auto_slicers(table(spark, sf, "orders"))
+    return s.select("column", "type", F.concat_ws("|", "options").alias("options"), "min", "max")
+
+
+SQL_AUTO_SLICERS = """SELECT 'o_orderstatus' AS "column", 'category' AS type,
+  (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus IS NOT NULL)) AS options,
+  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max
+UNION ALL SELECT 'o_orderpriority', 'category',
+  (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority IS NOT NULL)),
+  NULL, NULL
+UNION ALL SELECT 'o_totalprice', 'numeric', '', min(o_totalprice), max(o_totalprice) FROM orders
+  HAVING min(o_totalprice) <> max(o_totalprice)"""
+
+QUERIES["auto_slicers"] = (q_auto_slicers, SQL_AUTO_SLICERS)
