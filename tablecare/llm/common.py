@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,22 @@ from tablecare.session import checkpoint_dir
 SLICE_ROWS = 256
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if getattr(sc, "_tablecare_shipped", False) or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="tablecare-")) / "tablecare.zip"  # the driver serves it to all executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._tablecare_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

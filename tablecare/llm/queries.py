@@ -9,10 +9,12 @@ Their tests compare them with brute force on small fixtures.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack_documents
+from .pii import personal_data_report
+from .quality import quality_scores
+from .secret_scan import secret_report
 from .token_counts import token_counts
 
 
@@ -20,8 +22,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {f.__name__: (f, None) for f in (op4_token_counts, op10_packing)}
+QUERIES: dict = {f.__name__: (f, None) for f in (
+    op4_token_counts, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
