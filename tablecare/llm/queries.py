@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import with_edits
 from .packing import pack_documents
 from .pii import personal_data_report
 from .quality import quality_scores
@@ -18,6 +19,10 @@ from .secret_scan import secret_report
 from .token_counts import token_counts
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,4 +44,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: (f, None) for f in (
-    op4_token_counts, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
+    op1_fingerprints, op4_token_counts, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
