@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import with_edits
+from .html_text import main_texts
 from .packing import pack_documents
 from .pii import personal_data_report
 from .quality import quality_scores
@@ -27,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(table(spark, sf_dir, "documents"))
 
@@ -44,4 +49,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: (f, None) for f in (
-    op1_fingerprints, op4_token_counts, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
+    op1_fingerprints, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
