@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .fingerprints import with_edits
 from .html_text import main_texts
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pii import personal_data_report
 from .quality import quality_scores
@@ -24,6 +25,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -49,4 +54,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: (f, None) for f in (
-    op1_fingerprints, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
+    op1_fingerprints, op3_near_duplicates, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
