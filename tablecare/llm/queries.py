@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import leaks
 from .fingerprints import with_edits
 from .html_text import main_texts
 from .near_dup import near_duplicates
@@ -45,6 +46,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,4 +59,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: (f, None) for f in (
-    op1_fingerprints, op3_near_duplicates, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op9_quality, op10_packing)}
+    op1_fingerprints, op3_near_duplicates, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op8_decontamination, op9_quality, op10_packing)}
