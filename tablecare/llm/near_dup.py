@@ -227,3 +227,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .join(final, "class", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``df`` with one document of each group; of rows equal in id and text one stays, rows without id all stay."""
+    kept = near_duplicates(df, id_col, text_col, k, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    own = F.col(f"`{id_col}`")
+    chosen = df.where(own.isNotNull()).join(kept, own.cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return chosen.unionByName(df.where(own.isNull()))

@@ -23,8 +23,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -122,22 +123,27 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(good, bad, slope, intercept)
 
 
-def scores(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``: one scan, no shuffle.  The model's two dictionaries, 64 KB, go with the tasks."""
-    spark = df.sparkSession
+def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of a text column.  The model's two dictionaries, 64 KB, go with the tasks."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(texts: pd.Series) -> pd.Series:
         m = sent.value
         return texts.map(lambda t: m.score(difference(t, m.good, m.bad) if t and m.good else 0.0)).astype(float)
 
-    return df.withColumn("score", score(F.col(f"`{text_col}`")))
+    return score(text)
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, learned from the labels of the other folds."""
+    """doc_id, held_out, score, predicted of every document, learned from the labels of the other folds.  One scan, no shuffle."""
     model = train(df, labels, learn=fold(F.col("doc_id"), folds) != held)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), folds) == held).alias("held_out"))
-    return (scores(rows, model).select("doc_id", "held_out", "score")
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out"),
+                     score_of(df.sparkSession, model, F.col("text")).alias("score")
+                     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(df: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` that score at least ``threshold``."""
+    model = train(df, labels, learn=fold(F.col("doc_id"), folds) != held)
+    return df.where(score_of(df.sparkSession, model, F.col("text")) >= threshold)

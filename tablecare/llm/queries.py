@@ -14,6 +14,7 @@ from .common import table
 from .decontam import leaks
 from .fingerprints import with_edits
 from .html_text import main_texts
+from .lm import lm_scores
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pii import personal_data_report
@@ -26,6 +27,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -59,4 +64,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: (f, None) for f in (
-    op1_fingerprints, op3_near_duplicates, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op8_decontamination, op9_quality, op10_packing)}
+    op1_fingerprints, op2_lm_scores, op3_near_duplicates, op4_token_counts, op5_main_text, op6_personal_data, op7_secrets, op8_decontamination, op9_quality, op10_packing)}
