@@ -42,7 +42,7 @@ DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return c if not isinstance(c, str) else F.col(c if c.startswith("`") else quoted(c))
 
 
 def is_string(dtype: T.DataType) -> bool:
@@ -130,3 +130,8 @@ def flagged_names(pairs) -> Column:
         return F.array().cast("array<string>")
     arr = F.array(*[F.when(p, F.lit(name)) for name, p in pairs])
     return F.filter(arr, lambda x: x.isNotNull())
+
+
+def quoted(name: str) -> str:
+    """A column's name as an identifier: dots and blanks in it stay part of the name."""
+    return "`" + name.replace("`", "``") + "`"

@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import predicates as P
+from ..session import pinned
 from .infer import TypePlan, invalid_predicate, numeral_to_double
 from .rowid import ROW_ID
 from .profile import (MOMENT_KEYS, QUANTILES, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
@@ -27,16 +28,18 @@ DUPLICATE_ISSUES = ("Duplicate Rows", "Exact Duplicates")
 def outlier_rule(st: dict, min_n: int = 10, z_min_n: int = 50000, max_skew: float = 0.5) -> dict:
     """Method and bounds for one numeric column's profile row."""
     n = st.get("n") or 0
-    if n < min_n or st.get("q1") is None:
+    if n < min_n:
         return {"method": None, "lower": None, "upper": None}
-    q1, q3 = st["q1"], st["q3"]
-    iqr = q3 - q1
     skew = st.get("skew")
     if n > z_min_n and skew is not None and abs(skew) < max_skew:
         std, mean = st.get("std"), st.get("mean")
         if std is not None and std > 0:
             return {"method": "Z-Score", "lower": mean - 3 * std, "upper": mean + 3 * std, "mean": mean, "std": std}
         return {"method": "None", "lower": None, "upper": None}
+    q1, q3 = st.get("q1"), st.get("q3")  # only here are the quartiles needed
+    if q1 is None:
+        return {"method": None, "lower": None, "upper": None}
+    iqr = q3 - q1
     return {"method": "IQR", "lower": q1 - 1.5 * iqr, "upper": q3 + 1.5 * iqr}
 
 
@@ -50,24 +53,44 @@ def outlier_predicate(c, rule: dict) -> Column:
 
 
 def normalised(c: str, dtype, tokens=P.MISSING_TOKENS) -> Column:
-    """Duplicate key of a cell: stripped text with sentinels as null, numbers as double."""
-    x = F.col(c)
+    """Duplicate key of a cell: stripped text with sentinels as null, integers
+    and decimals as they are (exact), floats as double with one zero."""
+    x = F.col(P.quoted(c))
     if P.is_string(dtype):
         s = P.strip_ws(x)
         return F.when(~F.lower(s).isin(*tokens), s)
-    if P.is_numeric(dtype):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return x.cast("double") + F.lit(0.0)
     return x
 
 
+class ColumnStats:
+    """One column's statistics; a pass over the table runs when the first of
+    its results is asked for, and serves all columns."""
+
+    def __init__(self, analysis: Analysis, column: str):
+        self.analysis, self.column = analysis, column
+
+    def get(self, key: str):
+        a, c = self.analysis, self.column
+        if key in a._moments[c]:
+            return a._moments[c][key]
+        if key in QUANTILES:
+            return a._quantiles.get(c, {}).get(key) if P.is_numeric(a.types[c]) else None
+        return a._distinct.get(c, {}).get(key)
+
+    def __getitem__(self, key: str):
+        return self.get(key)
+
+
 class Analysis:
     def __init__(self, raw: DataFrame, tokens=P.MISSING_TOKENS, threshold: float = 0.9, share: float = 0.8,
-                 max_categories: int = 1000, ignored: dict | None = None, dup_keys: list[str] | None = None,
+                 ignored: dict | None = None, dup_keys: list[str] | None = None,
                  approx: bool = False):
         self.raw = raw
         self.approx = approx
         self.tokens = tokens
-        self.threshold, self.share, self.max_categories = threshold, share, max_categories
+        self.threshold, self.share = threshold, share
         self.ignored = ignored or {}
         # the row id (if any) is carried through, never analysed or used as a key
         self.out_cols = list(raw.columns)
@@ -93,13 +116,18 @@ class Analysis:
     @cached_property
     def both(self) -> DataFrame:
         """Typed columns plus the original text of promoted columns."""
-        typed = [numeral_to_double(c).alias(c) if c in self.plan.promoted else F.col(c) for c in self.out_cols]
-        texts = [F.col(c).alias(self._text_name(c)) for c in self.plan.promoted]
+        typed = [numeral_to_double(c).alias(c) if c in self.plan.promoted else F.col(P.quoted(c)) for c in self.out_cols]
+        texts = [F.col(P.quoted(c)).alias(self._text_name(c)) for c in self.plan.promoted]
         return self.raw.select(*typed, *texts)
 
+    @property
+    def out(self) -> list[Column]:
+        """The table's columns, whatever their names."""
+        return [F.col(P.quoted(c)) for c in self.out_cols]
+
     @cached_property
     def typed(self) -> DataFrame:
-        return self.both.select(*self.out_cols)
+        return self.both.select(*self.out)
 
     @cached_property
     def types(self) -> dict:
@@ -118,31 +146,35 @@ class Analysis:
             row[k] = f.get(f"{key}_{k}") if P.is_numeric(dt) else None
         return row
 
+    @cached_property
+    def _moments(self) -> dict[str, dict]:
+        """Per column, what the first pass already holds."""
+        return {c: self._moment_row(i, c) for i, c in enumerate(self.columns)}
+
+    @cached_property
+    def _distinct(self) -> dict[str, dict]:
+        """Distinct counts and modes, when first asked for."""
+        part = approx_stats if self.approx else distinct_stats
+        return {r["column"]: r.asDict() for r in part(self.both, self.columns, self.tokens).collect()}
+
+    @cached_property
+    def _quantiles(self) -> dict[str, dict]:
+        """Order statistics of the numeric columns, when first asked for."""
+        if self.approx:
+            return self._distinct
+        q = quantile_stats(self.both, self.columns)
+        return {} if q is None else {r["column"]: r.asDict() for r in q.collect()}
+
     @cached_property
     def _profile_rows(self):
-        """The profile, computed once (one small row per column): moments from
-        the first pass, distinct counts and quantiles from the typed table."""
+        """The whole profile (one small row per column)."""
         text_of = {c: self._text_name(c) for c in self.plan.promoted}
-        pins: list = []
         if self.approx:
             schema = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, approx=True).schema
-            rest = approx_stats(self.both, self.columns, self.tokens)
         else:
             base = profile(self.both, self.columns, text_of=text_of, tokens=self.tokens, with_quantiles=False).schema
             schema = T.StructType(base.fields + [T.StructField(k, T.DoubleType()) for k in QUANTILES])
-            rest = distinct_stats(self.both, self.columns, self.tokens)
-            q = quantile_stats(self.both, self.columns, pins=pins, rows=self._first["rows"])
-            if q is not None:
-                rest = rest.join(q, "column", "left")
-        extra = {r["column"]: r.asDict() for r in rest.collect()}
-        for p in pins:          # the rank-selection copy is no longer needed
-            p.unpersist()
-        rows = []
-        for i, c in enumerate(self.columns):
-            d = self._moment_row(i, c)
-            d.update({k: v for k, v in extra.get(c, {}).items() if k != "column"})
-            rows.append(tuple(d.get(f.name) for f in schema.fields))
-        return schema, rows
+        return schema, [tuple(self.stats[c].get(f.name) for f in schema.fields) for c in self.columns]
 
     @cached_property
     def profile_df(self) -> DataFrame:
@@ -152,51 +184,59 @@ class Analysis:
         return self.raw.sparkSession.createDataFrame(rows, schema)
 
     @cached_property
-    def stats(self) -> dict[str, dict]:
-        schema, rows = self._profile_rows
-        names = [f.name for f in schema.fields]
-        return {r[0]: dict(zip(names, r)) for r in rows}
+    def stats(self) -> dict[str, ColumnStats]:
+        return {c: ColumnStats(self, c) for c in self.columns}
+
+    @cached_property
+    def date_shares(self) -> DataFrame:
+        """``(column, date_share)`` of the text columns, from the first pass."""
+        f = self._first
+        texts = [(i, c) for i, c in enumerate(self.columns) if P.is_string(self.raw_types[c])]
+        rows = [(c, f[f"{i}_dates"] / (f["rows"] - f[f"{i}_nulls"]) if f["rows"] > f[f"{i}_nulls"] else None) for i, c in texts]
+        return self.raw.sparkSession.createDataFrame(rows, "column string, date_share double")
 
     @cached_property
     def rows(self) -> int:
-        return next(iter(self.stats.values()))["rows"] if self.stats else 0
+        return self._first["rows"] if self.columns else 0
 
     @cached_property
     def outlier_rules(self) -> dict[str, dict]:
         return {c: outlier_rule(self.stats[c]) for c in self.columns if P.is_numeric(self.types[c])}
 
     @cached_property
-    def category_table(self) -> DataFrame:
-        """``(column, value, dominant, n)`` for every non-dominant spelling."""
-        schema, rows = self._category_rows
-        return self.raw.sparkSession.createDataFrame(rows, schema)
+    def _category_columns(self) -> list[str]:
+        """Text columns in which some value has several spellings."""
+        return [c for c in self.columns if P.is_string(self.types[c])
+                and (self.stats[c]["lower_distinct"] or 0) < (self.stats[c]["distinct_nonblank"] or 0)]
 
     @cached_property
-    def _category_lazy(self) -> DataFrame:
-        cand = [c for c in self.columns if P.is_string(self.types[c])
-                and 0 < (self.stats[c]["distinct_nonblank"] or 0) < self.max_categories
-                and (self.stats[c]["lower_distinct"] or 0) < self.stats[c]["distinct_nonblank"]]
+    def category_table(self) -> DataFrame:
+        """``(column, value, dominant, n)`` for every non-dominant spelling,
+        computed once; it stays on the executors, whatever its size."""
+        cand = self._category_columns
         spark = self.raw.sparkSession
         if not cand:
             return spark.createDataFrame([], "column string, value string, dominant string, n bigint")
-        vc = value_counts_long(self.typed.select(*cand))
+        vc = value_counts_long(self.typed.select(*[F.col(P.quoted(c)) for c in cand]))
         vc = vc.where(F.col("v").isNotNull() & (P.strip_ws("v") != ""))
         w = Window.partitionBy("column", F.lower("v")).orderBy(F.desc("cnt"), F.asc("v"))
-        # each partition holds the spellings of one lower-cased value (< max_categories per column)
+        # each partition holds the spellings of one lower-cased value
         ranked = vc.select("column", "v", "cnt", F.first("v").over(w).alias("dominant"))
-        return ranked.where(F.col("v") != F.col("dominant")).select(
-            "column", F.col("v").alias("value"), "dominant", F.col("cnt").alias("n"))
+        return pinned(ranked.where(F.col("v") != F.col("dominant")).select(
+            "column", F.col("v").alias("value"), "dominant", F.col("cnt").alias("n")))
 
-    @cached_property
-    def _category_rows(self):
-        t = self._category_lazy
-        return t.schema, t.collect()  # < max_categories rows per column
+    def _spelling_name(self, c: str) -> str:
+        return f"__spelling_{self.columns.index(c)}"
 
     @cached_property
-    def inconsistent_values(self) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {}
-        for r in self._category_rows[1]:
-            out.setdefault(r["column"], []).append(r["value"])
+    def judged(self) -> DataFrame:
+        """``both`` with, for every column of several spellings, whether the
+        cell is a non-dominant one: a join with the spelling table."""
+        out = self.both
+        for c in self._category_columns:
+            name = self._spelling_name(c)
+            other = self.category_table.where(F.col("column") == c).select(F.col("value").alias(f"{name}_v"), F.lit(True).alias(name))
+            out = out.join(other, F.col(P.quoted(c)) == F.col(f"{name}_v"), "left").drop(f"{name}_v")
         return out
 
     # ---- row predicates ---------------------------------------------------
@@ -207,7 +247,7 @@ class Analysis:
     def text_col(self, c: str) -> tuple[Column, object]:
         if c in self.plan.promoted:
             return F.col(self._text_name(c)), self.raw_types[c]
-        return F.col(c), self.types[c]
+        return F.col(P.quoted(c)), self.types[c]
 
     def missing_pred(self, c: str) -> Column:
         x, dt = self.text_col(c)
@@ -226,7 +266,7 @@ class Analysis:
     def invalid_pred(self, c: str) -> Column | None:
         if c not in self.plan.rows:
             return None
-        x = F.col(self._text_name(c)) if c in self.plan.promoted else F.col(c)
+        x = F.col(self._text_name(c)) if c in self.plan.promoted else F.col(P.quoted(c))
         pred = invalid_predicate(c, self.plan, self.raw_types[c], self.tokens)
         if pred is None:
             return None
@@ -236,10 +276,8 @@ class Analysis:
         return pred
 
     def inconsistent_pred(self, c: str) -> Column | None:
-        vals = self.inconsistent_values.get(c)
-        if not vals:
-            return None
-        return F.col(c).isin(*vals)
+        """Of a row of ``judged``."""
+        return F.coalesce(F.col(self._spelling_name(c)), F.lit(False)) if c in self._category_columns else None
 
     def issue_preds(self, kind: str) -> list[tuple[str, Column]]:
         fn = {"missing": (self.missing_pred, "Missing Values"), "empty": (self.empty_pred, "Empty Cells"),
@@ -277,13 +315,7 @@ class Analysis:
         return t.schema, t.collect()
 
     # ---- flag table (I2) ----------------------------------------------------
-    def flag_frame(self, keep_text: bool = False) -> DataFrame:
-        base = self.both
-        if self._ignored(DUPLICATE_ISSUES[0]) or self._ignored(DUPLICATE_ISSUES[1]):
-            joined = base.withColumn("_dup", F.lit(False))
-        else:
-            keys = self.duplicate_keys().select(F.col("_k").alias("_dk"), F.lit(True).alias("_dup"))
-            joined = base.withColumn("_k", self.dup_key()).join(keys, F.col("_k").eqNullSafe(F.col("_dk")), "left")
+    def _flags(self, joined: DataFrame, extra: list[str]) -> DataFrame:
         flags = [
             F.coalesce(F.col("_dup"), F.lit(False)).alias("_is_duplicate"),
             P.flagged_names(self.issue_preds("outlier")).alias("_outlier_cols"),
@@ -292,8 +324,46 @@ class Analysis:
             P.flagged_names(self.issue_preds("invalid")).alias("_invalid_type_cols"),
             P.flagged_names(self.issue_preds("inconsistent")).alias("_inconsistent_category_cols"),
         ]
-        extra = [self._text_name(c) for c in self.plan.promoted] if keep_text else []
-        return joined.select(*self.out_cols, *extra, *flags)
+        return joined.select(*[F.col(P.quoted(c)) for c in [*self.out_cols, *extra]], *flags)
+
+    def _duplicates_ignored(self) -> bool:
+        return self._ignored(DUPLICATE_ISSUES[0]) or self._ignored(DUPLICATE_ISSUES[1])
+
+    def flag_frame(self, keep_text: bool = False) -> DataFrame:
+        """Every row with its six flags.  Rows meet the repeated keys by a
+        128-bit digest of the key (two hashes), so the row travels once."""
+        base = self.judged
+        if self._duplicates_ignored():
+            joined = base.withColumn("_dup", F.lit(False))
+        else:
+            # hashes pass over nulls, so each cell goes with whether it is null
+            cells = [normalised(c, self.types[c], self.tokens) for c in self.dup_keys]
+            key = [x for cell in cells for x in (cell, cell.isNull())]
+            digest = [F.xxhash64(F.lit(seed), *key).alias(f"_h{seed}") for seed in (1, 2)]
+            keys = (self.both.select(*digest).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                        .select("_h1", "_h2", F.lit(True).alias("_dup")))
+            joined = base.select("*", *digest).join(keys, ["_h1", "_h2"], "left")
+        return self._flags(joined, [self._text_name(c) for c in self.plan.promoted] if keep_text else [])
+
+    def flag_rows(self, rows: DataFrame) -> DataFrame:
+        """A few rows of ``both`` (a page; they may carry a row id of their
+        own) with their flags.  The whole table is only counted against the
+        page's own keys, which are few enough to broadcast."""
+        page = pinned(rows)
+        more = [c for c in page.columns if c not in self.both.columns]
+        out = page
+        for c in self._category_columns:
+            name = self._spelling_name(c)
+            other = self.category_table.where(F.col("column") == c).select(F.col("value").alias(f"{name}_v"), F.lit(True).alias(name))
+            out = other.join(F.broadcast(out), F.col(P.quoted(c)) == F.col(f"{name}_v"), "right").drop(f"{name}_v")
+        if self._duplicates_ignored():
+            joined = out.withColumn("_dup", F.lit(False))
+        else:
+            keys = page.select(self.dup_key().alias("_pk")).distinct()
+            counted = (self.both.select(self.dup_key().alias("_k")).join(F.broadcast(keys), F.col("_k").eqNullSafe(F.col("_pk")))
+                           .groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", F.lit(True).alias("_dup")))
+            joined = out.withColumn("_key", self.dup_key()).join(counted, F.col("_key").eqNullSafe(F.col("_k")), "left")
+        return self._flags(joined, more)
 
     # ---- per-column issue counts (one aggregate) ---------------------------
     def issue_counts(self) -> DataFrame:
@@ -323,7 +393,7 @@ class Analysis:
                     aggs.append(F.count_if(p).alias(f"{kind}|{c}"))
         if not aggs:
             aggs = [F.count(F.lit(1)).alias("_rows")]
-        row = self.both.agg(*aggs)
+        row = self.judged.agg(*aggs)
         names = set(row.columns)
         items = []
         for c in columns:
@@ -354,7 +424,7 @@ def outlier_extremes(a: Analysis, columns=None) -> DataFrame:
     if not cols:
         return spark.createDataFrame([("None", None, "None", None)], schema)
     items = [F.when(a.outlier_pred(c), F.struct(F.lit(a.columns.index(c)).alias("p"), F.lit(c).alias("c"),
-                                                F.col(c).cast("double").alias("v"))) for c in cols]
+                                                F.col(P.quoted(c)).cast("double").alias("v"))) for c in cols]
     cells = a.both.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("o"))
     r = cells.agg(F.min_by("o", F.struct(F.col("o.v"), F.col("o.p"))).alias("lo"),
                   F.max_by("o", F.struct(F.col("o.v"), -F.col("o.p"))).alias("hi"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import predicates as P
 from .quantiles import order_stats
 
 
@@ -26,11 +27,14 @@ def value_counts(df: DataFrame, col: str, k: int | None = 10, null_label: str |
     return g
 
 
-def sum_by(df: DataFrame, cat: str, num: str, k: int | None = 15) -> DataFrame:
-    """``(cat, num)`` = total of ``num`` per category, largest first."""
+def sum_by(df: DataFrame, cat: str, num: str, k: int | None = 15, null_label: str | None = None) -> DataFrame:
+    """``(cat, num)`` = total of ``num`` per category, largest first; null is a group (optionally labelled)."""
     g = df.groupBy(cat).agg(F.coalesce(F.sum(num), F.lit(0)).alias(num))
     g = g.orderBy(F.desc(num), F.asc_nulls_last(cat))
-    return g.limit(k) if k else g
+    g = g.limit(k) if k else g
+    if null_label is not None:
+        g = g.select(F.coalesce(F.col(cat).cast("string"), F.lit(null_label)).alias(cat), num)
+    return g
 
 
 def sum_by_date(df: DataFrame, date: str, num: str, last: int | None = 50) -> DataFrame:
@@ -43,8 +47,9 @@ def sum_by_date(df: DataFrame, date: str, num: str, last: int | None = 50) -> Da
 
 def sum_matrix(df: DataFrame, c1: str, c2: str, num: str, pivot: bool = False) -> DataFrame:
     """Totals per pair of categories; ``pivot=True`` for the matrix display."""
-    if pivot:
-        return df.groupBy(c1).pivot(c2).agg(F.coalesce(F.sum(num), F.lit(0))).na.fill(0)
+    if pivot:  # the values become columns, so they are listed first
+        values = [r[0] for r in df.select(c2).distinct().orderBy(F.asc_nulls_last(c2)).collect()]
+        return df.groupBy(c1).pivot(c2, values).agg(F.coalesce(F.sum(num), F.lit(0))).na.fill(0)
     return df.groupBy(c1, c2).agg(F.coalesce(F.sum(num), F.lit(0)).alias(num))
 
 
@@ -91,15 +96,18 @@ def trend_summary(monthly: DataFrame, num: str, min_cv: float = 0.05, min_change
 
 def crosstab(df: DataFrame, x: str, y: str, rows: int = 15) -> DataFrame:
     """Long ``(x, y, n)``, zero-filled, first ``rows`` x values in sort
-    order; null x or y rows are left out.  Pivot + unpivot, no product join."""
+    order; null x or y rows are left out.  Any number of y values: the zeros
+    come from the list of y values, each beside the ``rows`` x values."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    piv = d.groupBy(x).pivot(y).count().na.fill(0).orderBy(x).limit(rows)
-    ys = [c for c in piv.columns if c != x]
-    if not ys:
+    first = d.select(x).distinct().orderBy(x).limit(rows)
+    ys = d.select(F.col(y).cast("string").alias(y)).distinct()
+    xs = [r[0] for r in first.collect()]                                # at most ``rows`` values
+    if not xs:
         return d.select(F.col(x), F.col(y).cast("string"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    longf = piv.select(F.col(x), F.inline(F.array(*[
-        F.struct(F.lit(v).alias(y), F.col(f"`{v}`").cast("bigint").alias("n")) for v in ys])))
-    return longf
+    kind = d.schema[x].dataType
+    cells = ys.select(F.explode(F.array(*[F.lit(v).cast(kind) for v in xs])).alias(x), y)
+    counted = d.join(F.broadcast(first), x, "left_semi").groupBy(x, F.col(y).cast("string").alias(y)).agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(counted, [x, y], "left").select(x, y, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def corr_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
@@ -204,8 +212,14 @@ def count_matching(df: DataFrame, col: str, term: str) -> Column:
     return F.count_if(F.lower(F.col(col).cast("string")).contains(term.lower()))
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, n: int = 500, seed: int = 42) -> DataFrame:
-    """Deterministic sample of complete (x, y) points: smallest hash of the
-    row first, so the same rows come back on every run and partitioning."""
-    d = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return d.orderBy(F.xxhash64(F.col(x), F.col(y), F.lit(seed))).limit(n)
+def scatter_sample(df: DataFrame, x: str, y: str, n: int = 500, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """A sample of complete (x, y) points.  Every row draws its own number,
+    so equal points are in or out one by one, and the ``n`` smallest numbers
+    win (a top-k, no full sort).  With ``key``, columns that tell rows apart,
+    the number is the md5 of the seed and the key, and the sample depends on
+    the rows alone; without, it comes from a seeded generator, and the same
+    table read in the same splits gives the same sample."""
+    xs, ys = F.col(P.quoted(x)), F.col(P.quoted(y))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(P.quoted(k)).cast("string") for k in key])) if key else F.rand(seed)
+    d = df.where(xs.isNotNull() & ys.isNotNull()).select(xs.alias(x), ys.alias(y), draw.alias("_draw"))
+    return d.orderBy("_draw", x, y).limit(n).drop("_draw")

@@ -20,7 +20,6 @@ AUTO_ID_WORDS = ("id", "uuid", "key")
 PLANNER_ID_WORDS = ("id", "uuid", "guid", "hash")
 # --- end of fixed values ----------------------------------------------------
 
-DATE_SAMPLE = 50
 INT_TYPES = ("bigint", "int")
 ALL_INT = ("tinyint", "smallint", "int", "bigint")
 FLOATS = ("float", "double")
@@ -38,23 +37,21 @@ def _is_date(dt: Column) -> Column:
     return dt.isin("date", "timestamp", "timestamp_ntz")
 
 
-def date_share(df: DataFrame, columns=None, sample: int = DATE_SAMPLE) -> DataFrame:
-    """``(column, date_share)`` for text columns: share of the first ``sample``
-    values (nulls dropped) that parse with a known date format; four-digit
-    numbers are not taken as dates.  Reads ``sample`` rows only -- that limit
-    is the rule itself."""
+def date_share(df: DataFrame, columns=None) -> DataFrame:
+    """``(column, date_share)`` for text columns: the share of all their
+    non-null cells that parse with a known date format; four-digit numbers are
+    not taken as dates."""
     from .clean import unify_dates
     cols = [f.name for f in df.schema.fields if P.is_string(f.dataType) and (columns is None or f.name in columns)]
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, date_share double")
-    head = df.select(*cols).limit(sample)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = F.col(P.quoted(c))
         four = P.strip_ws(x).rlike(r"^[0-9]{4}\z")
         aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNotNull() & ~four & unify_dates(x).isNotNull()).alias(f"p{i}")]
-    row = head.agg(*aggs)
+    row = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("column"), F.try_divide(F.col(f"p{i}"), F.col(f"n{i}")).alias("date_share"))
              for i, c in enumerate(cols)]
     return row.select(F.inline(F.array(*items)))

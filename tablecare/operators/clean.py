@@ -46,7 +46,7 @@ def _numeric(a: Analysis, c: str) -> bool:
 
 def _replace(a: Analysis, exprs: dict[str, Column], base: DataFrame | None = None) -> DataFrame:
     base = base if base is not None else a.both
-    return base.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in a.out_cols])
+    return base.select(*[exprs[c].alias(c) if c in exprs else F.col(P.quoted(c)) for c in a.out_cols])
 
 
 def _custom(a: Analysis, c: str, value) -> Column:
@@ -76,24 +76,24 @@ def _stat_lit(a: Analysis, c: str, stat: str) -> Column | None:
 def _fill_cells(a: Analysis, cols, method: str, custom_value, target_of, block: int, order_by) -> DataFrame:
     """Shared by missing and empty cells: replace target cells per method."""
     if method == "Replace with Custom Value":
-        return _replace(a, {c: F.when(target_of(c), _custom(a, c, custom_value)).otherwise(F.col(c)) for c in cols})
+        return _replace(a, {c: F.when(target_of(c), _custom(a, c, custom_value)).otherwise(F.col(P.quoted(c))) for c in cols})
     for stat in ("Mean", "Median", "Mode"):
         if method in (f"Fill with {stat}", f"Replace with {stat}"):
             exprs = {}
             for c in cols:
                 v = _stat_lit(a, c, stat.lower())
                 if v is not None:
-                    exprs[c] = F.when(target_of(c), v).otherwise(F.col(c))
+                    exprs[c] = F.when(target_of(c), v).otherwise(F.col(P.quoted(c)))
             return _replace(a, exprs)
     if method in PREVIOUS + NEXT + ("Linear Interpolation",):
         kind = "previous" if method in PREVIOUS else "next" if method in NEXT else "linear"
         if kind == "linear":
             cols = [c for c in cols if _numeric(a, c)]
         base = ensure_row_id(a.both, order_by)
-        usable = {c: ~a.missing_pred(c) & ~a.empty_pred(c) & F.col(c).isNotNull() for c in cols}
+        usable = {c: ~a.missing_pred(c) & ~a.empty_pred(c) & F.col(P.quoted(c)).isNotNull() for c in cols}
         targets = {c: target_of(c) for c in cols}
         out = fill(base, targets, usable, kind, ROW_ID, block)
-        return out.select(*a.out_cols)
+        return out.select(*a.out)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -117,7 +117,7 @@ def _outliers(a: Analysis, cols, method: str) -> DataFrame:
             iqr = st["q3"] - st["q1"]
             rule = {"method": "IQR", "lower": st["q1"] - 1.5 * iqr, "upper": st["q3"] + 1.5 * iqr}
         lo, hi = F.lit(rule["lower"]), F.lit(rule["upper"])
-        x = F.col(c)
+        x = F.col(P.quoted(c))
         out = (x < lo) | (x > hi)
         if method in ("Remove Outliers", "Remove Outlier Rows"):
             keep_rows = keep_rows & (~out | x.isNull())
@@ -151,7 +151,7 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             anym = F.lit(False)
             for c in cols:
                 anym = anym | a.missing_pred(c)
-            return a.both.where(~anym).select(*a.out_cols)
+            return a.both.where(~anym).select(*a.out)
         if method in ("Drop Column", "Delete Columns containing Missing Values"):
             return a.typed.drop(*cols)
         return _fill_cells(a, cols, method, custom_value, a.missing_pred, block, order_by)
@@ -160,14 +160,14 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             anye = F.lit(False)
             for c in cols:
                 anye = anye | a.empty_pred(c)
-            return a.both.where(~anye).select(*a.out_cols)
+            return a.both.where(~anye).select(*a.out)
         if method in ("Remove Columns", "Remove Columns containing Empty Cells"):
             return a.typed.drop(*cols)
         if method == "Trim Spaces":
-            return _replace(a, {c: F.when(a.empty_pred(c), P.strip_ws(c)).otherwise(F.col(c))
+            return _replace(a, {c: F.when(a.empty_pred(c), P.strip_ws(c)).otherwise(F.col(P.quoted(c)))
                                 for c in cols if P.is_string(a.types[c])})
         if method == "Replace with NULL":
-            return _replace(a, {c: F.when(a.empty_pred(c), F.lit(None)).otherwise(F.col(c)) for c in cols})
+            return _replace(a, {c: F.when(a.empty_pred(c), F.lit(None)).otherwise(F.col(P.quoted(c))) for c in cols})
         return _fill_cells(a, cols, method, custom_value, a.empty_pred, block, order_by)
     if issue == "Outliers":
         return _outliers(a, cols, method)
@@ -188,15 +188,15 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
         raise ValueError(f"unknown method {method!r}")
     if issue == "Invalid Data Types":
         if method == "Convert to Numeric":
-            return _replace(a, {c: (F.when(F.col(c).cast("string").rlike(NUMBER_TEXT), F.col(c).cast("double"))
-                                    if not _numeric(a, c) else F.col(c).cast("double")) for c in cols}, a.typed)
+            return _replace(a, {c: (F.when(F.col(P.quoted(c)).cast("string").rlike(NUMBER_TEXT), F.col(P.quoted(c)).cast("double"))
+                                    if not _numeric(a, c) else F.col(P.quoted(c)).cast("double")) for c in cols}, a.typed)
         if method == "Convert to String":
-            return _replace(a, {c: F.col(c).cast("string") for c in cols}, a.typed)
+            return _replace(a, {c: F.col(P.quoted(c)).cast("string") for c in cols}, a.typed)
         raise ValueError(f"unknown method {method!r}")
     if issue == "Inconsistent Categories" and method == "Standardize Format":
         return _replace(a, {c: F.lower(c) for c in cols if P.is_string(a.types[c])}, a.typed)
     if issue == "Date Format Problems" and method == "Convert to Single Format":
-        return _replace(a, {c: unify_dates(F.col(c)) for c in cols}, a.typed)
+        return _replace(a, {c: unify_dates(F.col(P.quoted(c))) for c in cols}, a.typed)
     if issue == "Manual Removal":
         if method == "Drop Column":
             return a.typed.drop(*cols)
@@ -214,13 +214,12 @@ def unify_dates(x: Column, formats=DATE_FORMATS) -> Column:
 
 
 def drop_rows(df: DataFrame, ids, id_col: str = ROW_ID) -> DataFrame:
-    """Remove rows by id.  A short list is an ``IN`` filter; a long
-    one (or a DataFrame of ids) an anti join."""
+    """Remove rows by id: an anti join with the ids (a list or a DataFrame)."""
     if isinstance(ids, DataFrame):
         return df.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_anti")
     ids = list(ids)
-    if len(ids) <= 10000:
-        return df.where(~F.col(id_col).isin(ids)) if ids else df
+    if not ids:
+        return df
     spark = df.sparkSession
     return df.join(spark.createDataFrame([(int(i),) for i in ids], f"{id_col} bigint"), id_col, "left_anti")
 

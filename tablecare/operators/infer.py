@@ -36,7 +36,7 @@ def type_evidence(df: DataFrame, columns=None, threshold: float = 0.9, share: fl
     for i, c in enumerate(cols):
         dt = st[c].dataType
         valid = P.is_valid(c, dt, tokens)
-        nonblank = F.col(c).isNotNull() & (P.strip_ws(c) != "")
+        nonblank = F.col(P.quoted(c)).isNotNull() & (P.strip_ws(c) != "")
         aggs += [F.count_if(valid).alias(f"{i}_v"), F.count_if(valid & P.matches(c, "numeric")).alias(f"{i}_vn"),
                  F.count_if(nonblank).alias(f"{i}_b")]
         aggs += [F.count_if(nonblank & P.matches(c, k)).alias(f"{i}_b{k}") for k in KINDS]
@@ -94,7 +94,7 @@ def numeral_to_double(c) -> Column:
 
 def promote_numeric(df: DataFrame, plan: TypePlan | None = None, threshold: float = 0.9) -> DataFrame:
     plan = plan or TypePlan.of(df, threshold=threshold)
-    return df.select(*[numeral_to_double(c).alias(c) if c in plan.promoted else F.col(c) for c in df.columns])
+    return df.select(*[numeral_to_double(c).alias(c) if c in plan.promoted else F.col(P.quoted(c)) for c in df.columns])
 
 
 def invalid_predicate(c: str, plan: TypePlan, dtype, tokens=P.MISSING_TOKENS) -> Column | None:
@@ -102,7 +102,7 @@ def invalid_predicate(c: str, plan: TypePlan, dtype, tokens=P.MISSING_TOKENS) ->
     kind = plan.pattern.get(c)
     if kind is None:
         return None
-    x = F.col(c)
+    x = F.col(P.quoted(c))
     if c in plan.promoted:
         return P.is_valid(x, dtype, tokens) & ~P.matches(x, "numeric")
     nonblank = x.isNotNull() & (P.strip_ws(x) != "")

@@ -8,10 +8,8 @@ B. unpivot to ``(column, value)`` and count each value (partial aggregation
    absorbs hot values), then per column: distinct counts (null is a value),
    cells whose value repeats, the mode (count desc, value asc) and the number
    of case-insensitive spellings;
-C. exact order statistics: one range-partitioned rank selection of all
-   numeric values (``quantiles.order_stats``), or -- for very large tables --
-   sketch brackets around each wanted rank and a rank of only the values
-   inside them (``quantiles.bracketed_stats``).
+C. exact order statistics: rank selection over the counted values of the
+   numeric columns (``quantiles.order_stats``).
 
 The result is a DataFrame of one row per column (bounded by the schema, not
 by the data).
@@ -22,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import predicates as P
-from .quantiles import bracketed_stats, order_stats
+from .quantiles import order_stats
 
 # quantile name -> (q, rule)
 QUANTILES = {
@@ -42,7 +40,7 @@ PROFILE_SCHEMA = (
 
 def _num(c: str, dtype) -> Column:
     """Numeric value with NaN treated as absent and -0.0 folded into 0.0."""
-    x = F.col(c).cast("double")
+    x = F.col(P.quoted(c)).cast("double")
     return F.when(~F.isnan(x), x + F.lit(0.0))
 
 
@@ -58,7 +56,7 @@ def moments(df: DataFrame, columns=None, text_of: dict | None = None,
         dt = schema[c]
         src, sdt = (text_of[c], T.StringType()) if c in text_of else (c, dt)
         aggs += [
-            F.count_if(F.col(c).isNull()).alias(f"{i}_nulls"),
+            F.count_if(F.col(P.quoted(c)).isNull()).alias(f"{i}_nulls"),
             F.count_if(P.is_missing(src, sdt, tokens)).alias(f"{i}_missing"),
             F.count_if(P.is_empty(src, sdt)).alias(f"{i}_empty"),
         ]
@@ -95,13 +93,13 @@ def value_counts_long(df: DataFrame, columns=None) -> DataFrame:
     for c in columns:
         dt = schema[c]
         if P.is_numeric(dt):
-            x = F.col(c).cast("double") + F.lit(0.0)
+            x = F.col(P.quoted(c)).cast("double") + F.lit(0.0)
             # integers also group on their exact value: doubles merge keys above 2^53
-            exact = F.col(c).cast("bigint") if isinstance(dt, P.INTEGRAL_TYPES) else F.lit(None).cast("bigint")
+            exact = F.col(P.quoted(c)).cast("bigint") if isinstance(dt, P.INTEGRAL_TYPES) else F.lit(None).cast("bigint")
             items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("v"), x.alias("vn"),
                                   exact.alias("vi")))
         else:
-            items.append(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"),
+            items.append(F.struct(F.lit(c).alias("column"), F.col(P.quoted(c)).cast("string").alias("v"),
                                   F.lit(None).cast("double").alias("vn"), F.lit(None).cast("bigint").alias("vi")))
     long = df.select(F.inline(F.array(*items)))
     return long.groupBy("column", "v", "vn", "vi").agg(F.count(F.lit(1)).alias("cnt"))
@@ -128,32 +126,17 @@ def distinct_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS) -> Data
     )
 
 
-SORT_ALL_LIMIT = 100_000_000   # numeric values up to which one exact sort is the cheaper plan
-
-
-def quantile_stats(df: DataFrame, columns=None, qs=None, pins: list | None = None,
-                   rows: int | None = None) -> DataFrame | None:
-    """Pass C over the numeric columns, exact either way:
-
-    * up to ``SORT_ALL_LIMIT`` values: range-partitioned rank selection of all
-      values (one sort; ``quantiles.order_stats``);
-    * above: bracket-then-select (``quantiles.bracketed_stats``): a sketch
-      brackets each rank and only the values inside are ranked; columns it
-      cannot settle fall back to rank selection.
-
-    ``rows`` (the table's row count, when known) picks the plan; otherwise
-    it is counted."""
+def quantile_stats(df: DataFrame, columns=None, qs=None) -> DataFrame | None:
+    """Pass C over the numeric columns: exact order statistics of their counted
+    values (``quantiles.order_stats``), at every size by the same plan."""
     schema = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in (columns or df.columns) if P.is_numeric(schema[c])]
     if not nums:
         return None
-    rows = df.count() if rows is None else rows
-    if rows * len(nums) > SORT_ALL_LIMIT:
-        return bracketed_stats(df, nums, qs or QUANTILES, pins=pins).drop("n")
     # rank on a small int key; names are attached to the one-row-per-column result
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(nums)])))
-    st = order_stats(long, ["_ci"], "_x", qs or QUANTILES, pins=pins).drop("n")
+        F.struct(F.lit(i).alias("_ci"), F.col(P.quoted(c)).cast("double").alias("_x")) for i, c in enumerate(nums)])))
+    st = order_stats(long, ["_ci"], "_x", qs or QUANTILES).drop("n")
     names = F.element_at(F.array(*[F.lit(c) for c in nums]), F.col("_ci") + 1)
     return st.select(names.alias("column"), *[c for c in st.columns if c != "_ci"])
 
@@ -166,7 +149,7 @@ def approx_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, accuracy:
     columns = list(columns or df.columns)
     aggs = []
     for i, c in enumerate(columns):
-        dt, x = schema[c], F.col(c)
+        dt, x = schema[c], F.col(P.quoted(c))
         nonblank = x.isNotNull() & (P.strip_ws(x.cast("string")) != "")
         aggs += [F.approx_count_distinct(x, 0.01).alias(f"{i}_d"), F.max(x.isNull().cast("int")).alias(f"{i}_hasnull"),
                  F.approx_count_distinct(F.when(nonblank, x.cast("string")), 0.01).alias(f"{i}_db"),
@@ -245,11 +228,14 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
                chunk: int = 50) -> dict:
     """Type evidence and moments in ONE aggregate over the table as read.
 
+    Wide tables are read once per ``chunk`` columns, with the same results.
+
     Per column: null/missing/empty counts on the cells as read; moments of
-    numeric columns; for text columns the pattern counts that decide
+    numeric columns; of text columns how many cells are dates; for text columns the pattern counts that decide
     promotion and the invalid-type pattern, plus the moments (and null
     count) of their numeral reading -- so the promoted column's statistics
     need no second scan.  Returns the single collected row as a dict."""
+    from .clean import unify_dates
     from .infer import numeral_to_double
     schema = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns or df.columns)
@@ -265,7 +251,7 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
         return out
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        dt, x = schema[c], F.col(c)
+        dt, x = schema[c], F.col(P.quoted(c))
         aggs += [F.count_if(x.isNull()).alias(f"{i}_nulls"),
                  F.count_if(P.is_missing(c, dt, tokens)).alias(f"{i}_missing"),
                  F.count_if(P.is_empty(c, dt)).alias(f"{i}_empty")]
@@ -277,6 +263,8 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
             aggs += [F.count_if(valid).alias(f"{i}_v"), F.count_if(valid & P.matches(x, "numeric")).alias(f"{i}_vn"),
                      F.count_if(nonblank).alias(f"{i}_b")]
             aggs += [F.count_if(nonblank & P.matches(x, k)).alias(f"{i}_b{k}") for k in kinds]
+            four = P.strip_ws(x).rlike(r"^[0-9]{4}\z")
+            aggs.append(F.count_if(x.isNotNull() & P.strip_ws(x).rlike("[0-9]") & ~four & unify_dates(x).isNotNull()).alias(f"{i}_dates"))
             num = numeral_to_double(x)
             aggs += [F.count_if(num.isNull()).alias(f"{i}_xnulls")] + _moment_aggs(num, f"{i}_x")
     return df.agg(*aggs).first().asDict()

@@ -2,11 +2,13 @@
 
 ``percentile``/``percentile_disc``/``mode`` keep a map of every distinct value
 of a group and merge it on one task: unbounded for a hot or high-cardinality
-group.  Here values are range-partitioned on ``(group, value)`` (an explicit
-partition count keeps partition ids stable under AQE), every partition counts
-its rows per group, a prefix sum over that small ``(partition, group)`` table
-gives each row its rank, and only the wanted ranks are kept.  Work per task is
-bounded by the partition size however skewed the groups are.
+group.  Here equal values are counted first (partial aggregation takes a value
+that fills most of a column down to one row per task), the distinct
+``(group, value, count)`` rows are range-partitioned on ``(group, value)``,
+running sums of the counts inside each partition plus a prefix sum over the
+small ``(partition, group)`` table give each value its first rank, and only the
+values that hold a wanted rank are kept.  A task gets an even share of the
+distinct values however the rows are spread over groups or values.
 
 Rank rules (0-based ``k`` over the ``n`` non-null values of a group, ascending):
 * ``nearest`` -- ``k = floor(q*(n-1) + 0.5)`` (round half away from zero);
@@ -16,90 +18,76 @@ Rank rules (0-based ``k`` over the ``n`` non-null values of a group, ascending):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import pinned
 from .rowid import _n_partitions
 
 
-def ranked(df: DataFrame, groups: list[str], value: str, n_partitions: int | None = None,
-           pins: list | None = None) -> DataFrame:
-    """``(groups..., _v, _rank, _n)``: each non-null, non-NaN value with its 0-based
-    rank inside its group, and the group's size."""
+def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``(groups..., _v, _c)``: every non-null, non-NaN value of a group and how often it occurs."""
     v = F.col(value)
     keep = v.isNotNull() & ~F.isnan(v.cast("double"))
     for g in groups:  # rows without a group are not ranked
         keep = keep & F.col(g).isNotNull()
-    s = df.select(*groups, v.cast("double").alias("_v")).where(keep)
-    n = _n_partitions(df, n_partitions)
+    return (df.select(*groups, (v.cast("double") + F.lit(0.0)).alias("_v")).where(keep)
+              .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def ranked(counts: DataFrame, groups: list[str], n_partitions: int | None = None) -> DataFrame:
+    """``counts`` (groups, ``_v``, ``_c``) with ``_rank``, the 0-based rank of a
+    value's first copy in its group, and the group's size ``_n``."""
     keys = [F.col(g) for g in groups] + [F.col("_v")]
-    # one pinned lineage so the counting and ranking branches share boundaries
-    s = s.repartitionByRange(n, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
-    if pins is not None:  # caller unpersists once the result is collected
-        pins.append(s)
-    s = (s.withColumn("_qp", F.spark_partition_id())
-           .withColumn("_ql", F.monotonically_increasing_id() - F.shiftleft(F.col("_qp").cast("bigint"), 33)))
-    part = s.groupBy("_qp", *groups).agg(F.count(F.lit(1)).alias("_qc"), F.min("_ql").alias("_qf"))
+    # counting and ranking must see the same range boundaries
+    s = pinned(counts.repartitionByRange(_n_partitions(counts, n_partitions), *keys).withColumn("_qp", F.spark_partition_id()))
+    part = s.groupBy("_qp", *groups).agg(F.sum("_c").alias("_qc"))
     w_prev = Window.partitionBy(*groups).orderBy("_qp").rowsBetween(Window.unboundedPreceding, -1) if groups \
         else Window.orderBy("_qp").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    part = part.select("_qp", *groups, "_qf",
-                       F.coalesce(F.sum("_qc").over(w_prev), F.lit(0)).alias("_qb"),
+    part = part.select("_qp", *groups, F.coalesce(F.sum("_qc").over(w_prev), F.lit(0)).alias("_qb"),
                        F.sum("_qc").over(w_all).alias("_n"))
+    inside = Window.partitionBy("_qp", *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumn("_ql", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     # (partition, group) pairs <= partitions + groups: small, size-checked join.
-    out = s.join(part, ["_qp", *groups])
-    return out.select(*groups, "_v", (F.col("_qb") + F.col("_ql") - F.col("_qf")).alias("_rank"), "_n")
-
-
-def rank_of(q: float, n: int, rule: str) -> list[int]:
-    if n <= 0:
-        return []
-    if rule == "nearest":
-        return [min(n - 1, int(q * (n - 1) + 0.5))]
-    if rule == "linear":
-        h = q * (n - 1)
-        lo = int(h)
-        return sorted({lo, min(n - 1, lo + (0 if h == lo else 1))})
-    if rule == "floor_n":
-        return [min(n - 1, int(q * n))]
-    raise ValueError(rule)
+    return local.join(part, ["_qp", *groups]).select(*groups, "_v", "_c", (F.col("_qb") + F.col("_ql")).alias("_rank"), "_n")
 
 
 def order_stats(df: DataFrame, groups: list[str], value: str, qs: dict[str, tuple[float, str]],
-                n_partitions: int | None = None, pins: list | None = None) -> DataFrame:
+                n_partitions: int | None = None) -> DataFrame:
     """Exact quantiles per group: one row per group with a column per name in
-    ``qs`` (``{name: (q, rule)}``) plus ``n``.  Ranks are derived on the
-    executors from each group's size, so no driver round trip is needed."""
-    r = ranked(df, groups, value, n_partitions, pins)
+    ``qs`` (``{name: (q, rule)}``) plus ``n``."""
+    return order_stats_of(value_counts(df, groups, value), groups, qs, n_partitions)
+
+
+def order_stats_of(counts: DataFrame, groups: list[str], qs: dict[str, tuple[float, str]],
+                   n_partitions: int | None = None) -> DataFrame:
+    """``order_stats`` from counted values (groups, ``_v``, ``_c``).  Ranks are
+    derived on the executors from each group's size, without a driver round trip."""
+    r = ranked(counts, groups, n_partitions)
     nd = F.col("_n").cast("double")
     last = F.col("_n") - 1
-    aggs = []
+    aggs, wanted = [], F.lit(False)
+
+    def at(k):  # the value whose copies hold rank k
+        return (F.col("_rank") <= k) & (k < F.col("_rank") + F.col("_c"))
+
     for name, (q, rule) in qs.items():
+        if rule == "linear":
+            h = F.lit(q) * (nd - 1)
+            lo, hi = F.floor(h).cast("bigint"), F.least(last, F.ceil(h).cast("bigint"))
+            aggs += [F.max(F.when(at(lo), F.col("_v"))).alias(f"{name}__lo"), F.max(F.when(at(hi), F.col("_v"))).alias(f"{name}__hi"),
+                     F.max(h - F.floor(h)).alias(f"{name}__fr")]
+            wanted = wanted | at(lo) | at(hi)
+            continue
         if rule == "nearest":
             k = F.least(last, F.floor(F.lit(q) * (nd - 1) + 0.5).cast("bigint"))
-            aggs.append(F.max(F.when(F.col("_rank") == k, F.col("_v"))).alias(name))
         elif rule == "floor_n":
             k = F.least(last, F.floor(F.lit(q) * nd).cast("bigint"))
-            aggs.append(F.max(F.when(F.col("_rank") == k, F.col("_v"))).alias(name))
-        elif rule == "linear":
-            h = F.lit(q) * (nd - 1)
-            lo = F.floor(h).cast("bigint")
-            hi = F.least(last, F.ceil(h).cast("bigint"))
-            aggs.append(F.max(F.when(F.col("_rank") == lo, F.col("_v"))).alias(f"{name}__lo"))
-            aggs.append(F.max(F.when(F.col("_rank") == hi, F.col("_v"))).alias(f"{name}__hi"))
-            aggs.append(F.max(h - F.floor(h)).alias(f"{name}__fr"))
         else:
             raise ValueError(rule)
-    # keep only candidate ranks before aggregating: the filter runs map-side
-    wanted = F.lit(False)
-    for name, (q, rule) in qs.items():
-        if rule == "linear":
-            h = F.lit(q) * (nd - 1)
-            wanted = wanted | (F.col("_rank") == F.floor(h)) | (F.col("_rank") == F.least(last, F.ceil(h)))
-        elif rule == "nearest":
-            wanted = wanted | (F.col("_rank") == F.least(last, F.floor(F.lit(q) * (nd - 1) + 0.5)))
-        else:
-            wanted = wanted | (F.col("_rank") == F.least(last, F.floor(F.lit(q) * nd)))
+        aggs.append(F.max(F.when(at(k), F.col("_v"))).alias(name))
+        wanted = wanted | at(k)
+    # keep only the values that hold a wanted rank before aggregating: the filter runs map-side
     g = r.where(wanted).groupBy(*groups) if groups else r.where(wanted).groupBy()
     res = g.agg(F.max("_n").alias("n"), *aggs)
     out = [*groups, "n"]
@@ -110,101 +98,3 @@ def order_stats(df: DataFrame, groups: list[str], value: str, qs: dict[str, tupl
         else:
             out.append(name)
     return res.select(*out)
-
-
-def bracketed_stats(df: DataFrame, columns: list[str], qs: dict[str, tuple[float, str]],
-                    accuracy: int = 10000, max_inside: int = 1_000_000, pins: list | None = None) -> DataFrame:
-    """Exact quantiles per column without sorting every value.
-
-    1. one aggregate: ``n`` and ``percentile_approx`` brackets ``q -/+ 3/accuracy``
-       around every wanted quantile (rank error of the sketch <= n/accuracy);
-    2. one aggregate: per bracket, the values below it and inside it;
-    3. only the values inside the brackets (about ``6n/accuracy`` per quantile)
-       are ranked, by a window partitioned by (column, quantile).
-
-    Columns whose bracket holds more than ``max_inside`` values, or misses the
-    wanted rank, are answered exactly by ``order_stats`` (range-partitioned
-    rank selection).  Returns ``(column, n, <quantile names>...)``."""
-    spark = df.sparkSession
-    names = list(qs)
-    if not columns:
-        return spark.createDataFrame([], "column string, n bigint, " + ", ".join(f"{k} double" for k in names))
-    delta = 3.0 / accuracy
-    xs = {c: F.col(c).cast("double") for c in columns}
-    valid = {c: F.when(~F.isnan(xs[c]), xs[c] + F.lit(0.0)) for c in columns}
-    probes = sorted({min(1.0, max(0.0, q + s * delta)) for q, _ in qs.values() for s in (-1, 1)})
-    row = df.agg(*[F.count(valid[c]).alias(f"n{i}") for i, c in enumerate(columns)],
-                 *[F.percentile_approx(valid[c], probes, accuracy).alias(f"p{i}") for i, c in enumerate(columns)]
-                 ).first()
-    plan = {}   # (i, name) -> (lo, hi, ranks)
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        if not n:
-            continue
-        pv = dict(zip(probes, row[f"p{i}"]))
-        for name, (q, rule) in qs.items():
-            lo = pv[min(1.0, max(0.0, q - delta))]
-            hi = pv[min(1.0, max(0.0, q + delta))]
-            plan[(i, name)] = (lo, hi, rank_of(q, n, rule))
-    if not plan:
-        return spark.createDataFrame([(c, row[f"n{i}"] or 0, *[None] * len(names)) for i, c in enumerate(columns)],
-                                     "column string, n bigint, " + ", ".join(f"{k} double" for k in names))
-    keys = sorted(plan)
-    cnt = df.agg(*[F.count_if(valid[columns[i]] < F.lit(plan[(i, k)][0])).alias(f"b{j}") for j, (i, k) in enumerate(keys)],
-                 *[F.count_if(valid[columns[i]].between(F.lit(plan[(i, k)][0]), F.lit(plan[(i, k)][1])))
-                   .alias(f"w{j}") for j, (i, k) in enumerate(keys)]).first()
-    fast, slow, settled = {}, set(), {}
-    for j, (i, k) in enumerate(keys):
-        below, inside = cnt[f"b{j}"], cnt[f"w{j}"]
-        lo, hi, ranks = plan[(i, k)]
-        if any(not (below <= r < below + inside) for r in ranks) or (inside > max_inside and lo != hi):
-            slow.add(i)
-        elif lo == hi:
-            settled[(i, k)] = lo          # every value inside the bracket equals lo
-        else:
-            fast[(i, k)] = (j, below, ranks)
-    values: dict = {}
-    if fast:
-        cells = F.array(*[F.when(valid[columns[i]].between(F.lit(plan[(i, k)][0]), F.lit(plan[(i, k)][1])),
-                                 F.struct(F.lit(j).alias("j"), valid[columns[i]].alias("v")))
-                          for (i, k), (j, _, _) in fast.items()])
-        inside = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select("c.j", "c.v")
-        w = Window.partitionBy("j").orderBy("v")       # each partition: one bracket, <= max_inside values
-        local = inside.withColumn("_r", F.row_number().over(w) - 1)
-        wanted = F.lit(False)
-        for (i, k), (j, below, ranks) in fast.items():
-            for r in ranks:
-                wanted = wanted | ((F.col("j") == j) & (F.col("_r") == r - below))
-        for rr in local.where(wanted).collect():                       # <= 2 rows per quantile
-            values[(rr["j"], rr["_r"])] = rr["v"]
-    out = []
-    slow_cols = sorted(slow)
-    slow_res = {}
-    if slow_cols:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), valid[columns[i]].alias("_x"))
-                                            for i in slow_cols])))
-        for r in order_stats(long, ["_ci"], "_x", qs, pins=pins).collect():
-            slow_res[r["_ci"]] = r
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"] or 0
-        if i in slow_res:
-            out.append((c, n, *[slow_res[i][k] for k in names]))
-            continue
-        vals = []
-        for k in names:
-            if (i, k) in settled:
-                vals.append(settled[(i, k)])
-                continue
-            if (i, k) not in fast:
-                vals.append(None)
-                continue
-            j, below, ranks = fast[(i, k)]
-            got = [values[(j, r - below)] for r in ranks]
-            q, rule = qs[k]
-            if rule == "linear" and len(got) == 2:
-                h = q * (n - 1)
-                vals.append(got[0] + (got[1] - got[0]) * (h - int(h)))
-            else:
-                vals.append(got[0])
-        out.append((c, n, *vals))
-    return spark.createDataFrame(out, "column string, n bigint, " + ", ".join(f"{k} double" for k in names))

@@ -3,22 +3,24 @@
 Spark rows have no position.  ``with_row_id`` gives consecutive 0-based ids
 without pulling the data into one partition:
 
-1. order (optional): range-partition on the keys with an explicit partition
-   count (AQE leaves explicit counts alone, so partition ids stay stable),
-   sort inside each partition and persist that one lineage;
-2. count rows per partition (one tiny row per partition);
-3. prefix-sum those counts into per-partition offsets (a window over at most
-   ``#partitions`` rows) and join them back -- the offset table is bounded by
-   the partition count, so broadcasting it is safe;
+1. order (optional): range-partition on the keys, sort inside each partition;
+2. write every row's partition and position to the shared checkpoint folder,
+   once: counting and numbering then read the same rows, whatever plan each of
+   them gets, and a lost executor changes nothing;
+3. count rows per partition (one tiny row per partition), prefix-sum the
+   counts into offsets (a window over at most ``#partitions`` rows) and join
+   them back -- bounded by the partition count, so broadcasting is safe;
 4. id = offset + position inside the partition
    (``monotonically_increasing_id`` minus the partition's high bits).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.predicates import quoted
+from ..session import pinned
+
 ROW_ID = "_row_id"
 
 
@@ -42,22 +44,17 @@ def with_row_id(df: DataFrame, order_by=None, name: str = ROW_ID, n_partitions:
     but consecutive numbering); without it the frame's own partition order is
     used (file order for a plain file scan).
     """
+    cols = list(df.columns)
     if order_by:
-        # Pin the ordered partitions: the counting branch and the numbering
-        # branch must see the same range boundaries.  Two independent range
-        # exchanges would each sample their own boundaries; one persisted
-        # lineage (recomputed from the same shuffle dependency after a lost
-        # executor) keeps them identical.
-        df = order_partitions(df, order_by, n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    tagged = (df.withColumn("_tc_pid", F.spark_partition_id())
-                .withColumn("_tc_pos", F.monotonically_increasing_id()
-                            - F.shiftleft(F.col("_tc_pid").cast("bigint"), 33)))
+        df = order_partitions(df, order_by, n_partitions)
+    tagged = pinned(df.withColumn("_tc_pid", F.spark_partition_id())
+                      .withColumn("_tc_pos", F.monotonically_increasing_id()
+                                  - F.shiftleft(F.col("_tc_pid").cast("bigint"), 33)))
     counts = tagged.groupBy("_tc_pid").agg(F.count(F.lit(1)).alias("_tc_cnt"))
     before = Window.orderBy("_tc_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_tc_pid", F.coalesce(F.sum("_tc_cnt").over(before), F.lit(0)).alias("_tc_off"))
     out = tagged.join(F.broadcast(offsets), "_tc_pid")
-    cols = [c for c in df.columns]
-    return out.select(*cols, (F.col("_tc_off") + F.col("_tc_pos")).alias(name))
+    return out.select(*[F.col(quoted(c)) for c in cols], (F.col("_tc_off") + F.col("_tc_pos")).alias(name))
 
 
 def ensure_row_id(df: DataFrame, order_by=None, name: str = ROW_ID) -> DataFrame:

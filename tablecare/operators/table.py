@@ -30,21 +30,22 @@ def apply_filters(df: DataFrame, filters: dict) -> DataFrame:
     return out
 
 
-def search(df: DataFrame, term: str, regex: bool = False, all_types: bool = False) -> DataFrame:
+def search(df: DataFrame, term: str, regex: bool = False, all_types: bool = False, columns=None) -> DataFrame:
     """Rows where any text column (or, with ``all_types``, any
     column as text) contains ``term``, case-insensitively.  A literal
-    substring by default; ``regex=True`` treats the term as a pattern."""
+    substring by default; ``regex=True`` treats the term as a pattern.
+    ``columns`` restricts the search to some columns."""
     if not term:
         return df
     t = term.lower()
     preds = []
     for f in df.schema.fields:
-        if f.name == ROW_ID:
+        if f.name == ROW_ID or (columns is not None and f.name not in columns):
             continue
         if P.is_string(f.dataType):
-            x = F.lower(F.col(f.name))
+            x = F.lower(F.col(P.quoted(f.name)))
         elif all_types:
-            x = F.lower(F.col(f.name).cast("string"))
+            x = F.lower(P.as_text(P.quoted(f.name), f.dataType))
         else:
             continue
         preds.append(x.rlike(t) if regex else x.contains(t))

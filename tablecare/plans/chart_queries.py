@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import charts as C
 from ..operators.table import apply_filters
 from . import sqlgen as S
-from .views import table
+from .views import DIRTY_ORDERS_SQL, table
 
 
 def _date_txt(c):
@@ -216,7 +216,33 @@ SQL_ANOMALIES = "\nUNION ALL\n".join(
 
 
 def q_scatter_sample(spark, sf):
-    return C.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 500)
+    return C.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 500, key=["l_orderkey", "l_linenumber"])
+
+
+SQL_SCATTER = """SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+ORDER BY md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), l_quantity, l_extendedprice LIMIT 500"""
+
+
+def q_strongest_pair(spark, sf):
+    """The strongest pair of a correlation matrix."""
+    li = table(spark, sf, "lineitem")
+    return C.strongest_pair(C.corr_matrix(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2), 0.0)
+
+
+SQL_STRONGEST = "SELECT x, y, r FROM (" + "\nUNION ALL\n".join(
+    f"SELECT {S.lit(a)} AS x, {S.lit(b)} AS y, round(corr({a}, {b}), 2) AS r FROM lineitem"
+    for a, b in (("l_extendedprice", "l_quantity"), ("l_discount", "l_quantity"), ("l_discount", "l_extendedprice"), ("l_quantity", "l_tax"),
+                 ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))) + ") WHERE abs(r) > 0 ORDER BY abs(r) DESC, x, y LIMIT 1"
+
+
+def q_peak_bin(spark, sf):
+    """The fullest of 20 bins."""
+    p = C.peak_bin(C.histogram(table(spark, sf, "orders"), "o_totalprice", 20, "right"))
+    return p.select("bin", "n", F.round("share_pct", 6).alias("share_pct"))
+
+
+SQL_PEAK = ("WITH h AS (" + hist_sql("orders", "o_totalprice", 20, "right") +
+            ") SELECT bin, n, round(n / (SELECT sum(n) FROM h) * 100, 6) AS share_pct FROM h ORDER BY n DESC, bin LIMIT 1")
 
 
 QUERIES = {
@@ -241,7 +267,9 @@ QUERIES = {
     "box_by_cat": (q_box_by_cat, SQL_BOX),
     "filtered_sum": (q_filtered_sum, SQL_FILTERED),
     "upper_anomalies": (q_upper_anomalies, SQL_ANOMALIES),
-    "scatter_sample": (q_scatter_sample, None),
+    "scatter_sample": (q_scatter_sample, SQL_SCATTER),
+    "strongest_pair": (q_strongest_pair, SQL_STRONGEST),
+    "peak_bin": (q_peak_bin, SQL_PEAK),
 }
 
 
@@ -253,7 +281,7 @@ def q_value_counts_labelled(spark, sf):
     return C.value_counts(a.typed, "priority", 10, null_label="Unknown")
 
 
-SQL_VC_LABELLED = ("WITH dirty_orders AS (" + __import__("tablecare.plans.views", fromlist=["x"]).DIRTY_ORDERS_SQL +
+SQL_VC_LABELLED = ("WITH dirty_orders AS (" + DIRTY_ORDERS_SQL +
                    ")\nSELECT coalesce(priority, 'Unknown') AS priority, count FROM (SELECT priority, count(*) AS count "
                    "FROM dirty_orders GROUP BY priority ORDER BY count DESC, priority ASC NULLS LAST LIMIT 10)")
 

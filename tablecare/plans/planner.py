@@ -17,7 +17,9 @@ from ..operators.classify import planner_id_columns
 from ..operators.profile import profile
 
 
-def plan_charts(df: DataFrame, max_charts: int = 150, max_heat: int = 30) -> list[dict]:
+def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | None = None) -> list[dict]:
+    """Every candidate chart of an active column, most relevant first; a caller
+    may limit the charts and the heatmap's columns."""
     prof = profile(df, with_quantiles=False)
     ids = {r["column"] for r in planner_id_columns(prof).collect()}
     st = {r["column"]: r for r in prof.collect()}
@@ -31,7 +33,7 @@ def plan_charts(df: DataFrame, max_charts: int = 150, max_heat: int = 30) -> lis
         heat = nums[:max_heat]
         corr = C.corr_matrix(df, heat, 2)
         plans.append({"type": "heatmap", "x": "ALL_NUMERICAL", "y": "ALL_NUMERICAL", "score": 95, "data": corr})
-        # <= max_heat^2 correlation rows on the driver
+        # one row for each pair of columns
         pairs = [(r["x"], r["y"], r["r"]) for r in corr.collect()
                  if heat.index(r["x"]) < heat.index(r["y"]) and abs(r["r"]) >= 0.15]
         for x, y, r in pairs:
@@ -43,7 +45,7 @@ def plan_charts(df: DataFrame, max_charts: int = 150, max_heat: int = 30) -> lis
     valid = [c for c in cats if 1 < (st[c]["distinct_nonnull"] or 0) <= 50]
     for i, c in enumerate(valid):
         kind = ("pie" if i % 2 == 0 else "donut") if st[c]["distinct_nonnull"] <= 6 else "bar"
-        plans.append({"type": kind, "x": c, "y": "count", "score": 80, "data": C.value_counts(df, c, 20)})
+        plans.append({"type": kind, "x": c, "y": "count", "score": 80, "data": C.value_counts(df.where(F.col(c).isNotNull()), c, 20)})
     spark = df.sparkSession
     for d in dates:
         if not nums:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.analysis import Analysis
-from ..operators.classify import active_flag, column_anomalies, date_share, quality_classes
+from ..operators.classify import active_flag, column_anomalies, quality_classes
 
 
 def column_table(a: Analysis) -> DataFrame:
     """Per column: class, activity and every count the scores use."""
-    prof = quality_classes(a.profile_df, date_share(a.raw))
+    prof = quality_classes(a.profile_df, a.date_shares)
     counts = a.issue_counts()
     # issue counts honour ignored issues, so they replace the profile's counts
     t = prof.drop("missing", "empty").join(counts, "column").withColumn("active", active_flag(prof))
@@ -102,7 +102,7 @@ def poor_quality_rows(a: Analysis, cols: DataFrame | None = None) -> DataFrame:
     active = [r["column"] for r in cols.where("active").select("column").collect()]   # one name per column
     blanks = P.non_null_count([P.is_blank(*a.text_col(c)) for c in active])
     return (a.both.withColumn("blank_cells", blanks).where(F.col("blank_cells") > len(active) / 2)
-             .select(*a.out_cols, "blank_cells"))
+             .select(*a.out, "blank_cells"))
 
 
 def top_missing(cols: DataFrame, k: int = 10) -> DataFrame:
@@ -152,16 +152,15 @@ def table_page(a: Analysis, search_term: str = "", sort: str | None = None, desc
 
     Rows get a row id (``order_by`` or the frame's order), are searched
     (literal, text columns), sorted (nulls first, ties by row id) and sliced;
-    the six flag columns ride along.  Stats: total rows/columns, missing and
-    empty cells (active columns), duplicate rows, outlier cells (every numeric
+    only the page's rows are then flagged.  Stats: total rows/columns, rows
+    found by the search, missing and empty cells (active columns), duplicate rows, outlier cells (every numeric
     column with a rule), total pages and the overall score."""
     from ..operators.rowid import ROW_ID, with_row_id
     from ..operators.table import page, search, sort_by, total_pages
-    flagged = a.flag_frame()
-    if ROW_ID not in flagged.columns:
-        flagged = with_row_id(flagged, order_by)
-    found = search(flagged, search_term)
-    rows = page(sort_by(found, sort, desc), page_no, limit)
+    numbered = a.both if ROW_ID in a.both.columns else with_row_id(a.both, order_by)
+    found = search(numbered, search_term, columns=a.columns)
+    rows = a.flag_rows(page(sort_by(found, sort, desc), page_no, limit))
+    rows = sort_by(rows, sort, desc)
     cols = column_table(a)
     act = cols.where("active")
     n_found = found.count() if search_term else a.rows
@@ -171,6 +170,7 @@ def table_page(a: Analysis, search_term: str = "", sort: str | None = None, desc
                         F.lit(len(a.columns)).alias("total_columns"), "missing_values", "empty_cells",
                         F.lit(a.duplicate_rows_total().first()["duplicate_rows"]).cast("bigint").alias("duplicates"),
                         F.lit(outliers).cast("bigint").alias("outliers"),
+                        F.lit(n_found).cast("bigint").alias("filtered_rows"),
                         F.lit(total_pages(n_found, limit)).alias("total_pages"),
                         F.lit(quality_scores(a, cols).first()["overall"]).alias("quality_score")))
     return rows, stats
@@ -188,13 +188,11 @@ def preview(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", c
     from ..operators.clean import clean
     from ..operators.diff import changed_rows, removed_counts, step_summary
     from ..operators.rowid import ROW_ID, with_row_id
-    base = a if ROW_ID in a.raw.columns else Analysis(with_row_id(a.raw, order_by), a.tokens, a.threshold, a.share,
-                                                        a.max_categories, a.ignored)
+    base = a if ROW_ID in a.raw.columns else Analysis(with_row_id(a.raw, order_by), a.tokens, a.threshold, a.share, a.ignored)
     after = clean(base, issue, list(columns), method, custom_value, order_by=order_by)
     summary = step_summary(base.typed, after).first()
     before_score = quality_scores(base).first()["overall"]
-    after_score = quality_scores(Analysis(after, base.tokens, base.threshold, base.share, base.max_categories,
-                                          base.ignored)).first()["overall"]
+    after_score = quality_scores(Analysis(after, base.tokens, base.threshold, base.share, base.ignored)).first()["overall"]
     if summary["dropped_columns"]:
         b, c = base.typed.orderBy(ROW_ID).limit(samples), after.orderBy(ROW_ID).limit(samples)
     elif summary["rows_removed"]:

@@ -256,7 +256,7 @@ SQL_INCONSISTENT = dirty_cte("\nUNION ALL\n".join(
 
 # ------------------------------------------------------------- flag table ---
 def q_flag_table(spark, sf):
-    f = Analysis(dirty_orders(spark, sf)).flag_frame()
+    f = Analysis(dirty_orders(spark, sf), dup_keys=list(DIRTY_KEYS)).flag_frame()
     arr = lambda c: F.concat_ws(",", F.col(c)).alias(c)
     return f.select("row_key", "copy_no", "_is_duplicate", arr("_outlier_cols"), arr("_empty_cols"),
                     arr("_missing_cols"), arr("_invalid_type_cols"), arr("_inconsistent_category_cols"))
@@ -275,11 +275,12 @@ def _flag_sql():
     inv = (f"CASE WHEN {S.nonblank(x)} AND NOT {S.missing(x, 'text')} AND NOT {S.matches(x, 'email')} "
            f"THEN 'email' END")
     pt = "d.price_text"
+    dup_keys = ", ".join(dirty_norm_sql(c).replace(S.q(c), "d." + S.q(c)) for c in DIRTY_KEYS)
     inv_p = f"CASE WHEN {S.valid(pt, 'text')} AND NOT {S.matches(pt, 'numeric')} THEN 'price_text' END"
     return dirty_cte(f"""
 , rules AS ({rules}),
 cats AS ({inconsistent_sql('dirty_orders', 'priority')})
-SELECT d.row_key, d.copy_no, false AS _is_duplicate,
+SELECT d.row_key, d.copy_no, count(*) OVER (PARTITION BY {dup_keys}) > 1 AS _is_duplicate,
   concat_ws(',', {outl}) AS _outlier_cols,
   concat_ws(',', {emp}) AS _empty_cols,
   concat_ws(',', {miss}) AS _missing_cols,
@@ -305,9 +306,9 @@ QUERIES = {
 # ---------------------------------------------------------- outlier extremes ---
 def q_outlier_extremes(spark, sf):
     from ..operators.analysis import outlier_extremes
-    from ..operators.classify import date_share, quality_classes
+    from ..operators.classify import quality_classes
     a = Analysis(dirty_orders(spark, sf))
-    cls = quality_classes(a.profile_df, date_share(a.raw))
+    cls = quality_classes(a.profile_df, a.date_shares)
     numeric = [r["column"] for r in cls.where(F.col("class") == "Numeric").select("column").collect()]
     return outlier_extremes(a, numeric)
 
@@ -326,3 +327,39 @@ SELECT (SELECT c FROM cells ORDER BY v, p LIMIT 1) AS minimum_outlier_column, (S
 
 
 QUERIES["outlier_extremes"] = (q_outlier_extremes, _extremes_sql())
+
+
+# ---------------------------------------------- duplicates of whole rows ---
+def q_keep_first_unordered(spark, sf):
+    """H1/F5 without order keys, on a shuffled frame: whole rows, normalised."""
+    from ..operators.clean import clean
+    d = dirty_orders(spark, sf).drop("copy_no").repartition(7, "status", "row_key")
+    return clean(Analysis(d), "Duplicate Rows", ["all"], "Keep First").select("row_key", "email", "status")
+
+
+QUERIES["keep_first_unordered"] = (q_keep_first_unordered, dirty_cte("SELECT DISTINCT row_key, email, status FROM dirty_orders"))
+
+
+def q_exact_duplicate_keys(spark, sf):
+    """E10 on integers above 2^53 and decimals that differ in the last place only."""
+    d = table(spark, sf, "orders").selectExpr("o_custkey + 9007199254740992 AS big", "CAST(o_totalprice AS DECIMAL(20, 2)) AS price")
+    return Analysis(d).duplicate_rows_total()
+
+
+QUERIES["exact_duplicate_keys"] = (q_exact_duplicate_keys, """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows,
+  count(*) AS duplicate_groups FROM (SELECT count(*) AS n FROM (
+    SELECT o_custkey + 9007199254740992 AS big, CAST(o_totalprice AS DECIMAL(20, 2)) AS price FROM orders)
+  GROUP BY big, price) WHERE n > 1""")
+
+
+def q_date_share_all_cells(spark, sf):
+    """C1's date evidence over all cells: a text column that is a date in one row of ten,
+    and one that is a date in every row."""
+    d = table(spark, sf, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 10 = 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE o_orderpriority END AS mixed",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS day_text")
+    return Analysis(d).date_shares.select("column", F.round("date_share", 6).alias("date_share"))
+
+
+QUERIES["date_share_all_cells"] = (q_date_share_all_cells, """SELECT 'mixed' AS "column",
+  round(count_if(o_orderkey % 10 = 1) / count(*), 6) AS date_share FROM orders UNION ALL SELECT 'day_text', 1.0""")

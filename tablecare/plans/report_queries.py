@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.analysis import Analysis
-from ..operators.classify import auto_classes, column_anomalies, dashboard_classes, date_share, quality_classes
+from ..operators.classify import auto_classes, column_anomalies, dashboard_classes, quality_classes
 from ..operators.clean import clean
 from ..operators.diff import changed_rows, removed_rows, step_summary
 from ..operators.rowid import ROW_ID, with_row_id
@@ -42,7 +42,7 @@ def dirty_columns_sql() -> str:
         if dt == "string":
             share = (f"(SELECT count_if(v IS NOT NULL AND NOT regexp_matches(trim(v), '^[0-9]{{4}}$') AND "
                      f"try_strptime(trim(v), {SQL_DATE_FORMATS}) IS NOT NULL) / nullif(count(v), 0) "
-                     f"FROM (SELECT {x} AS v FROM typed LIMIT 50))")
+                     f"FROM (SELECT {x} AS v FROM typed))")
         else:
             share = "NULL"
         if c in DIRTY_NUMERIC:
@@ -132,7 +132,7 @@ SELECT CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'missing' THEN 0 ELSE 1
 
 def q_column_classes(spark, sf):
     a = Analysis(dirty_orders(spark, sf))
-    return quality_classes(a.profile_df, date_share(a.raw)).select("column", "class")
+    return quality_classes(a.profile_df, a.date_shares).select("column", "class")
 
 
 SQL_COLUMN_CLASSES = dirty_columns_sql() + "\nSELECT \"column\", class FROM cols"
@@ -324,8 +324,7 @@ def q_table_page_sorted(spark, sf):
     with the row's missing and outlier flags."""
     d = with_row_id(dirty_orders(spark, sf), list(DIRTY_ORDER))
     a = Analysis(d)
-    f = a.flag_frame()
-    p = page(sort_by(f, "price", desc=True), 2, 100)
+    p = a.flag_rows(page(sort_by(a.both, "price", desc=True), 2, 100))
     return p.select(ROW_ID, "row_key", F.round("price", 4).alias("price"),
                     F.concat_ws(",", "_missing_cols").alias("_missing_cols"),
                     F.concat_ws(",", "_outlier_cols").alias("_outlier_cols"))
@@ -371,12 +370,40 @@ SELECT (SELECT max(rows) FROM cols) AS total_rows, CAST(count(*) AS INTEGER) AS
   CAST(sum(missing) FILTER (WHERE active) AS BIGINT) AS missing_values,
   CAST(sum(empty) FILTER (WHERE active) AS BIGINT) AS empty_cells,
   CAST((SELECT duplicate_rows FROM dup) AS BIGINT) AS duplicates, CAST(sum(outliers_raw) AS BIGINT) AS outliers,
+  (SELECT max(rows) FROM cols) AS filtered_rows,
   CAST(greatest(1, ceil((SELECT max(rows) FROM cols) / 100.0)) AS INTEGER) AS total_pages,
   (SELECT overall FROM sc) AS quality_score
 FROM cols"""
 
 
+def q_table_page_search_stats(spark, sf):
+    """J1 stats row of a search: the rows found and their pages."""
+    from .quality import table_page
+    d = with_row_id(dirty_orders(spark, sf), list(DIRTY_ORDER))
+    return table_page(Analysis(d), search_term="URGENT", limit=100)[1].select("total_rows", "filtered_rows", "total_pages")
+
+
+SQL_TABLE_SEARCH_STATS = TYPED + """
+SELECT (SELECT count(*) FROM typed) AS total_rows, count(*) AS filtered_rows,
+  CAST(greatest(1, ceil(count(*) / 100.0)) AS INTEGER) AS total_pages FROM typed
+WHERE contains(lower(priority), 'urgent') OR contains(lower(price_text_raw), 'urgent') OR contains(lower(email), 'urgent')
+   OR contains(lower(status), 'urgent')"""
+
+
+def q_top_missing(spark, sf):
+    """The active columns with the most missing cells."""
+    from .quality import column_table, top_missing
+    return top_missing(column_table(Analysis(dirty_orders(spark, sf))), 3)
+
+
+SQL_TOP_MISSING = dirty_columns_sql() + """
+SELECT "column", missing, round(missing / rows * 100, 2) AS missing_pct FROM cols WHERE active
+ORDER BY missing DESC, position LIMIT 3"""
+
+
 QUERIES = {
+    "table_page_search_stats": (q_table_page_search_stats, SQL_TABLE_SEARCH_STATS),
+    "top_missing": (q_top_missing, SQL_TOP_MISSING),
     "quality_scores": (q_quality_scores, SQL_QUALITY_SCORES),
     "table_page_stats": (q_table_page_stats, SQL_TABLE_STATS),
     "column_health": (q_column_health, SQL_COLUMN_HEALTH),

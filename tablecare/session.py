@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tablecare") -> SparkSession:
@@ -41,3 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tablecare-ckpt-")  # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, so that
+    every branch of a later plan reads the same rows in the same partitions."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

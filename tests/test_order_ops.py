@@ -81,32 +81,70 @@ def test_approx_profile_close_to_exact(spark):
         assert abs(ap["x"][q] - ex["x"][q]) <= 997 * 0.01
 
 
-def test_bracketed_equals_rank_selection(spark):
-    from tablecare.operators.profile import QUANTILES
-    from tablecare.operators.quantiles import bracketed_stats
+def test_quantiles_equal_sorted_values(spark):
+    from tablecare.operators.profile import QUANTILES, quantile_stats
     rnd = random.Random(11)
-    rows = [(float(rnd.randint(0, 40)), rnd.gauss(0, 1), None if i % 7 == 0 else float(i % 13), float(i))
+    rows = [(float(rnd.randint(0, 40)), rnd.gauss(0, 1), None if i % 7 == 0 else float(i % 13), float(i), 0.0 if i % 5 else float(i))
             for i in range(5000)]
-    df = spark.createDataFrame(rows, "ties double, g double, sparse double, seq double")
-    cols = ["ties", "g", "sparse", "seq"]
-    fast = {r.column: r for r in bracketed_stats(df, cols, QUANTILES, accuracy=1000).collect()}
-    forced = {r.column: r for r in bracketed_stats(df, cols, QUANTILES, accuracy=1000, max_inside=0).collect()}
+    cols = ["ties", "g", "sparse", "seq", "mostly.zero"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in cols))
+    got = {r.column: r for r in quantile_stats(df, cols).collect()}
     for c in cols:
         vals = sorted(v for v in (r[cols.index(c)] for r in rows) if v is not None)
         n = len(vals)
         for k, (q, rule) in QUANTILES.items():
-            if rule == "nearest":
-                want = vals[int(q * (n - 1) + 0.5)]
-            else:
-                want = float(np.quantile(vals, q))
-            assert abs(fast[c][k] - want) < 1e-9, (c, k)
-            assert abs(forced[c][k] - want) < 1e-9, (c, k)
-
-
-def test_quantile_stats_large_table_path(spark):
-    from tablecare.operators.profile import quantile_stats
-    df = spark.range(0, 3000).select(((F.col("id") * 7919) % 1009).cast("double").alias("x"))
-    small = {r.column: r for r in quantile_stats(df).collect()}["x"]
-    large = {r.column: r for r in quantile_stats(df, rows=10**9).collect()}["x"]   # forces brackets
-    for k in ("median", "q1", "q3", "p5", "p90", "p95"):
-        assert small[k] == large[k], k
+            want = vals[int(q * (n - 1) + 0.5)] if rule == "nearest" else float(np.quantile(vals, q))
+            assert abs(got[c][k] - want) < 1e-9, (c, k)
+
+
+def test_hot_value_is_one_row(spark):
+    """A value that fills 80 % of a column is one row to rank, so no task gets more than its share."""
+    from tablecare.operators.quantiles import ranked, value_counts
+    df = spark.range(0, 40000).select(F.lit("g").alias("g"), F.when(F.col("id") % 5 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    counts = value_counts(df, ["g"], "v")
+    assert counts.count() == 8000
+    r = ranked(counts, ["g"], n_partitions=8)
+    zero = r.where("_v = 0").first()
+    assert (zero._c, zero._rank, zero._n) == (32001, 0, 40000)
+    sizes = [x["count"] for x in counts.repartitionByRange(8, "g", "_v").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * (sum(sizes) / len(sizes))
+
+
+
+
+def test_row_ids_without_keys_lose_no_rows(spark):
+    """On a shuffled frame, read back after a write: every row, every id once."""
+    import tempfile
+    from tablecare.operators.rowid import with_row_id
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 20000).groupBy((F.col("id") % 20000).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("pad"))
+        path = tempfile.mkdtemp() + "/out"
+        with_row_id(df).write.parquet(path)
+        got = spark.read.parquet(path)
+        assert got.count() == 20000 and got.select("k").distinct().count() == 20000
+        assert got.agg(F.count_distinct("_row_id"), F.min("_row_id"), F.max("_row_id")).first() == (20000, 0, 19999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_exact_duplicate_keys(spark):
+    from decimal import Decimal
+    from tablecare.operators.analysis import Analysis
+    from tablecare.operators.clean import clean
+    rows = [(2**53, Decimal("1.000000000000000001"), 1.0), (2**53 + 1, Decimal("1.000000000000000001"), 1.0),
+            (2**53, Decimal("1.000000000000000002"), 1.0), (2**53, Decimal("1.000000000000000001"), 1.0), (None, None, 0.0), (None, None, -0.0)]
+    df = spark.createDataFrame(rows, "i bigint, d decimal(38,18), f double")
+    a = Analysis(df)
+    assert clean(a, "Duplicate Rows", ["all"], "Keep First").count() == 4
+    assert sorted(r._is_duplicate for r in a.flag_frame().collect()) == [False, False, True, True, True, True]
+
+
+def test_names_with_dots(spark):
+    from tablecare.operators.analysis import Analysis
+    from tablecare.operators.clean import clean
+    df = spark.createDataFrame([("1.5", None), ("2", " x"), ("N/A", "y"), ("3", "y")] * 5, "`unit.price` string, `a b.c` string")
+    a = Analysis(df)
+    assert a.flag_frame().count() == 20 and a.types["unit.price"].simpleString() == "double"
+    assert clean(a, "Missing Values", ["unit.price"], "Fill with Mean").where("`unit.price` IS NULL").count() == 0
