@@ -412,6 +412,26 @@ class Analysis:
             rows, "column string, method string, lower double, upper double")
 
 
+def outlier_report(a: Analysis) -> DataFrame:
+    """``(column, outliers, outlier_pct, method, lower, upper)`` of the
+    numeric columns that have outliers."""
+    counts = a.issue_counts().where("outliers > 0").select("column", "outliers")
+    return counts.join(a.outlier_table(), "column").select(
+        "column", "outliers", F.round(F.col("outliers") / F.lit(float(max(a.rows, 1))) * 100, 2).alias("outlier_pct"), "method", "lower", "upper")
+
+
+def outlier_preview(a: Analysis, column: str, order: str | None = None, k: int = 5) -> DataFrame:
+    """The first ``k`` outlier cells of a column, by ``order`` (the row id, if the table has one)."""
+    pred = a.outlier_pred(column)
+    order = order or (ROW_ID if ROW_ID in a.out_cols else None)
+    if pred is None:
+        return a.both.select(F.col(P.quoted(column)).alias("value")).limit(0)
+    rows = a.both.where(pred)
+    if order:
+        return rows.select(F.col(P.quoted(order)).alias(order), F.col(P.quoted(column)).alias("value")).orderBy(order).limit(k)
+    return rows.select(F.col(P.quoted(column)).alias("value")).limit(k)
+
+
 def outlier_extremes(a: Analysis, columns=None) -> DataFrame:
     """Smallest and largest outlier value over ``columns`` (default: all
     numeric columns with a rule) and their columns; ties go to the earlier

@@ -15,39 +15,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.predicates import quoted
 from .rowid import ROW_ID
 
-DEFAULT_BLOCK = 1 << 20
+DEFAULT_BLOCK = 1 << 16
 
 
-def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str = "forward",
+def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str | dict[str, str] = "forward",
                    id_col: str = ROW_ID, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Add, for each ``name -> candidate``, the candidate value of the nearest
     row at or before (``forward``) / at or after (``backward``) the current row
-    whose candidate is not null."""
-    fwd = direction == "forward"
+    whose candidate is not null.  Candidates of both directions share one
+    shuffle by block; ``direction`` then names each one's."""
     names = list(cands)
-    b = F.floor(F.col(id_col) / F.lit(block)).cast("bigint")
-    d = df.withColumn("_blk", b)
+    ways = direction if isinstance(direction, dict) else dict.fromkeys(names, direction)
+    d = df.withColumn("_blk", F.floor(F.col(id_col) / F.lit(block)).cast("bigint"))
     for n in names:
         d = d.withColumn(f"_c_{n}", cands[n])
-    pick = F.max_by if fwd else F.min_by
-    summary = d.groupBy("_blk").agg(*[
-        pick(F.col(f"_c_{n}"), F.when(F.col(f"_c_{n}").isNotNull(), F.col(id_col))).alias(f"_s_{n}") for n in names])
+
+    def pick(n):
+        return (F.max_by if ways[n] == "forward" else F.min_by)(F.col(f"_c_{n}"), F.when(F.col(f"_c_{n}").isNotNull(), F.col(id_col)))
+
     # Both directions use a running frame (unbounded preceding .. current),
     # which Spark evaluates incrementally; "following" frames would be
     # re-aggregated per row.  Backward = forward over the reversed order.
-    b_order = F.col("_blk").asc() if fwd else F.col("_blk").desc()
-    r_order = F.col(id_col).asc() if fwd else F.col(id_col).desc()
+    def running(column, way, last, window=Window):
+        order = F.col(column).asc() if way == "forward" else F.col(column).desc()
+        return window.orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+
+    summary = d.groupBy("_blk").agg(*[pick(n).alias(f"_s_{n}") for n in names])
     # the block table is small (rows / block); its window may sit on one task
-    wb = Window.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select("_blk", *[F.last(F.col(f"_s_{n}"), ignorenulls=True).over(wb).alias(f"_k_{n}")
+    carry = summary.select("_blk", *[F.last(F.col(f"_s_{n}"), ignorenulls=True).over(running("_blk", ways[n], -1)).alias(f"_k_{n}")
                                      for n in names])
     d = d.join(carry, "_blk", "left")
-    wl = Window.partitionBy("_blk").orderBy(r_order).rowsBetween(Window.unboundedPreceding, 0)
-    out = [F.col(c) for c in df.columns]
+    inside = Window.partitionBy("_blk")
+    out = [F.col(quoted(c)) for c in df.columns]
     for n in names:
-        local = F.last(F.col(f"_c_{n}"), ignorenulls=True).over(wl)
+        local = F.last(F.col(f"_c_{n}"), ignorenulls=True).over(running(id_col, ways[n], 0, inside))
         out.append(F.coalesce(local, F.col(f"_k_{n}")).alias(n))
     return d.select(*out)
 
@@ -63,28 +67,25 @@ def fill(df: DataFrame, targets: dict[str, Column], usable: dict[str, Column], m
     cols = list(targets)
     if not cols:
         return df
+    at = {c: i for i, c in enumerate(cols)}  # helper columns are numbered: names may hold dots
+    col = {c: F.col(quoted(c)) for c in df.columns}
     if method in ("previous", "next"):
-        cand = {f"_f_{c}": F.when(usable[c], F.col(c)) for c in cols}
+        cand = {f"_f_{at[c]}": F.when(usable[c], col[c]) for c in cols}
         d = nearest_values(df, cand, "forward" if method == "previous" else "backward", id_col, block)
-        sel = [F.when(targets[c], F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
-               for c in df.columns]
-        return d.select(*sel)
+        return d.select(*[F.when(targets[c], F.col(f"_f_{at[c]}")).otherwise(col[c]).alias(c) if c in at else col[c] for c in df.columns])
     if method == "linear":
-        cand = {f"_p_{c}": F.when(usable[c], F.struct(F.col(id_col).alias("i"), F.col(c).cast("double").alias("v")))
-                for c in cols}
-        d = nearest_values(df, cand, "forward", id_col, block)
-        cand_n = {f"_n_{c}": F.when(usable[c], F.struct(F.col(id_col).alias("i"), F.col(c).cast("double").alias("v")))
-                  for c in cols}
-        d = nearest_values(d, cand_n, "backward", id_col, block)
+        known = {c: F.when(usable[c], F.struct(F.col(id_col).alias("i"), col[c].cast("double").alias("v"))) for c in cols}
+        ways = {f"_p_{at[c]}": "forward" for c in cols} | {f"_n_{at[c]}": "backward" for c in cols}
+        d = nearest_values(df, {f"{k}_{at[c]}": known[c] for c in cols for k in ("_p", "_n")}, ways, id_col, block)
         sel = []
         for c in df.columns:
-            if c not in cols:
-                sel.append(F.col(c))
+            if c not in at:
+                sel.append(col[c])
                 continue
-            p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+            p, n = F.col(f"_p_{at[c]}"), F.col(f"_n_{at[c]}")
             span = (n["i"] - p["i"]).cast("double")
             interp = F.when(span == 0, p["v"]).otherwise(
                 p["v"] + (n["v"] - p["v"]) * ((F.col(id_col) - p["i"]).cast("double") / span))
-            sel.append(F.when(targets[c], interp).otherwise(F.col(c)).alias(c))
+            sel.append(F.when(targets[c], interp).otherwise(col[c]).alias(c))
         return d.select(*sel)
     raise ValueError(method)

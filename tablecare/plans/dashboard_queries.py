@@ -292,3 +292,25 @@ UNION ALL SELECT 'o_totalprice', 'numeric', '', min(o_totalprice), max(o_totalpr
   HAVING min(o_totalprice) <> max(o_totalprice)"""
 
 QUERIES["auto_slicers"] = (q_auto_slicers, SQL_AUTO_SLICERS)
+
+
+def q_recommend_duplicates(spark, sf):
+    """J14 where rows repeat: the whole rows of the dirty table without their copy number."""
+    from .recommend import recommend
+    return recommend(Analysis(dirty_orders(spark, sf).drop("copy_no"))).where(F.col("issue") == "Exact Duplicates")
+
+
+QUERIES["recommend_duplicates"] = (q_recommend_duplicates, dirty_cte("""SELECT 'all' AS "column", 'Exact Duplicates' AS issue,
+  'Remove Exact Duplicates' AS method FROM dirty_orders HAVING count(*) > count(DISTINCT row_key)"""))
+
+
+def q_auto_insights(spark, sf):
+    """What the auto-dashboard says about orders."""
+    from ..operators.dashboard import auto_insights
+    return auto_insights(table(spark, sf, "orders")).select("kind", "column", F.round("value", 4).alias("value"))
+
+
+QUERIES["auto_insights"] = (q_auto_insights, """SELECT 'records' AS kind, CAST(NULL AS VARCHAR) AS "column",
+  CAST(count(*) AS DOUBLE) AS value FROM orders
+UNION ALL SELECT 'dominant', 'o_orderstatus', CAST(max(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)
+UNION ALL SELECT 'average', 'o_totalprice', round(avg(o_totalprice), 4) FROM orders""")

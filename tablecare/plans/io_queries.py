@@ -58,6 +58,17 @@ SQL_JSON = ("SELECT count(*) AS rows, round(sum(l_extendedprice), 2) AS sum_pric
             "count(DISTINCT l_orderkey) AS orders FROM lineitem")
 
 
+def q_json_array(spark, sf):
+    """A3: customers as JSON arrays, one for each nation, read back without being told so."""
+    path = _scratch(spark, "array")
+    rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_acctbal"))).alias("value")).select("value")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return read_json(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.sum("c_custkey").alias("keys"))
+
+
+SQL_JSON_ARRAY = "SELECT count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer"
+
+
 def q_table_overview(spark, sf):
     """Rows and columns of a table (bytes come from file metadata)."""
     return table_summary(spark.read.parquet(f"{sf.rstrip('/')}/customer.parquet")).select("rows", "cols")
@@ -123,6 +134,7 @@ FROM (SELECT *, row_number() OVER () AS uc_order FROM cand)"""
 
 
 QUERIES = {
+    "json_array": (q_json_array, SQL_JSON_ARRAY),
     "csv_roundtrip": (q_csv_roundtrip, _csv_sql()),
     "json_roundtrip": (q_json_roundtrip, SQL_JSON),
     "table_overview": (q_table_overview, SQL_OVERVIEW),

@@ -16,6 +16,10 @@ from ..operators import charts as C
 from ..operators.classify import planner_id_columns
 from ..operators.profile import profile
 
+# The scores named above, and the least correlation and variation that make a chart.
+HEATMAP, HISTOGRAM, CATEGORY, CROSSTAB = 95, 85, 80, 75
+LEAST_R, LEAST_CV = 0.15, 0.05
+
 
 def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | None = None) -> list[dict]:
     """Every candidate chart of an active column, most relevant first; a caller
@@ -32,20 +36,20 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
     if len(nums) >= 2:
         heat = nums[:max_heat]
         corr = C.corr_matrix(df, heat, 2)
-        plans.append({"type": "heatmap", "x": "ALL_NUMERICAL", "y": "ALL_NUMERICAL", "score": 95, "data": corr})
+        plans.append({"type": "heatmap", "x": "ALL_NUMERICAL", "y": "ALL_NUMERICAL", "score": HEATMAP, "data": corr})
         # one row for each pair of columns
         pairs = [(r["x"], r["y"], r["r"]) for r in corr.collect()
-                 if heat.index(r["x"]) < heat.index(r["y"]) and abs(r["r"]) >= 0.15]
+                 if heat.index(r["x"]) < heat.index(r["y"]) and abs(r["r"]) >= LEAST_R]
         for x, y, r in pairs:
             plans.append({"type": "scatter", "x": x, "y": y, "score": int(70 + abs(r) * 30),
                           "data": C.scatter_sample(df, x, y, 2000)})
     for c in nums:
         if (st[c]["n"] or 0) > 0:
-            plans.append({"type": "histogram", "x": c, "y": "count", "score": 85, "data": C.histogram(df, c, 20, "right")})
+            plans.append({"type": "histogram", "x": c, "y": "count", "score": HISTOGRAM, "data": C.histogram(df, c, 20, "right")})
     valid = [c for c in cats if 1 < (st[c]["distinct_nonnull"] or 0) <= 50]
     for i, c in enumerate(valid):
         kind = ("pie" if i % 2 == 0 else "donut") if st[c]["distinct_nonnull"] <= 6 else "bar"
-        plans.append({"type": kind, "x": c, "y": "count", "score": 80, "data": C.value_counts(df.where(F.col(c).isNotNull()), c, 20)})
+        plans.append({"type": kind, "x": c, "y": "count", "score": CATEGORY, "data": C.value_counts(df.where(F.col(c).isNotNull()), c, 20)})
     spark = df.sparkSession
     for d in dates:
         if not nums:
@@ -68,7 +72,7 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
             x, y = valid[i], valid[j]
             if st[y]["distinct_nonnull"] <= 10 and st[x]["distinct_nonnull"] <= 15:
                 plans.append({"type": "stacked_bar" if (i + j) % 2 == 0 else "grouped_bar", "x": x, "y": y,
-                              "score": 75, "data": C.crosstab(df, x, y, 15)})
+                              "score": CROSSTAB, "data": C.crosstab(df, x, y, 15)})
     for x in valid:
         if st[x]["distinct_nonnull"] > 20 or not nums:
             continue
@@ -84,7 +88,7 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
             mu = sum(vals) / len(vals)
             sd = (sum((v - mu) ** 2 for v in vals) / (len(vals) - 1)) ** 0.5
             cv = sd / mu if mu != 0 else 0.0
-            if abs(cv) <= 0.05:
+            if abs(cv) <= LEAST_CV:
                 continue
             plans.append({"type": "bar", "x": x, "y": y, "score": int(75 + min(25, abs(cv) * 20)),
                           "data": C.mean_by(df, x, y, 20, 0.05).drop("cv")})
@@ -95,6 +99,8 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
 
 
 def plan_table(plans: list[dict], spark) -> DataFrame:
-    """The plan itself as a DataFrame ``(rank, type, x, y, score)``."""
+    """The plan itself as a DataFrame ``(rank, type, x, y, score)``; a plan
+    without charts is one row of type ``none``."""
+    plans = plans or [{"type": "none", "x": None, "y": None, "score": 0}]
     rows = [(i + 1, p["type"], p["x"], p["y"], int(p["score"])) for i, p in enumerate(plans)]
     return spark.createDataFrame(rows, "rank int, type string, x string, y string, score int")

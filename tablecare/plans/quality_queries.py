@@ -363,3 +363,21 @@ def q_date_share_all_cells(spark, sf):
 
 QUERIES["date_share_all_cells"] = (q_date_share_all_cells, """SELECT 'mixed' AS "column",
   round(count_if(o_orderkey % 10 = 1) / count(*), 6) AS date_share FROM orders UNION ALL SELECT 'day_text', 1.0""")
+
+
+def q_outlier_report(spark, sf):
+    """Outlier counts and shares of the dirty table's numeric columns."""
+    from ..operators.analysis import outlier_report
+    return outlier_report(Analysis(dirty_orders(spark, sf))).select("column", "outliers", "outlier_pct")
+
+
+def _outlier_report_sql():
+    cols = {c: (S.numeral(S.q(c)) if c in DIRTY_PROMOTED else f"CAST({S.q(c)} AS DOUBLE)") for c in DIRTY_NUMERIC}
+    parts = "\nUNION ALL\n".join(
+        f"SELECT {S.lit(c)} AS \"column\", count_if(coalesce({outlier_pred_sql('v', 'r')}, false)) AS outliers, count(*) AS n "
+        f"FROM (SELECT {e} AS v FROM dirty_orders) t LEFT JOIN rules r ON r.col = {S.lit(c)}" for c, e in cols.items())
+    return dirty_cte(f""", rules AS ({outlier_rules_sql("dirty_orders", cols)})
+SELECT "column", outliers, round(outliers / n * 100, 2) AS outlier_pct FROM ({parts}) WHERE outliers > 0""")
+
+
+QUERIES["outlier_report"] = (q_outlier_report, _outlier_report_sql())

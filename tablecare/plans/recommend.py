@@ -57,3 +57,9 @@ def recommend_methods(cols: DataFrame, duplicate_rows: int = 0) -> DataFrame:
     for r in recs[1:]:
         out = out.unionByName(r)
     return out
+
+
+def recommend(a) -> DataFrame:
+    """The recommendations for an analysed table, its repeated rows included."""
+    from .quality import column_table
+    return recommend_methods(column_table(a), a.duplicate_rows_total().first()["duplicate_rows"])

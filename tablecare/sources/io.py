@@ -17,7 +17,7 @@ TEXT_OPTIONS = {
     "header": "true",
     "inferSchema": "false",   # every column string; promotion is value-driven
     "mode": "PERMISSIVE",     # malformed rows become nulls instead of failing
-    "multiLine": "true",      # quoted fields may span lines
+    "multiLine": "false",     # files split at lines; pass multiLine="true" where quoted fields span lines
     "escape": '"',
     "encoding": "UTF-8",      # invalid bytes decode to U+FFFD (lossy)
 }
@@ -34,10 +34,12 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A JSON array of records (or JSON lines with ``multiLine=False``)."""
-    opts = {"multiLine": "true"}
-    opts.update(options)
-    return spark.read.options(**opts).json(path)
+    """JSON lines, which split, or an array of records, which one task reads
+    whole: the first line with text says which, unless ``multiLine`` does."""
+    if "multiLine" not in options:
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        options["multiLine"] = str(first is not None and first[0].lstrip().startswith("[")).lower()
+    return spark.read.options(**options).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import tempfile
 
 import pytest
 
-from tablecare.sources.io import load_dataset, overview, read_table, table_summary, write_csv
+from tablecare.sources.io import load_dataset, overview, read_csv, read_table, table_summary, write_csv
 
 
 def _write(folder, name, text):
@@ -18,7 +18,7 @@ def _write(folder, name, text):
 def test_csv_all_string_multiline_and_bad_rows(spark):
     d = tempfile.mkdtemp(prefix="tc-src-")
     p = _write(d, "t.csv", 'id,age,note\n1,25.5,"two\nlines"\n2,NULL,plain\n3,x,"a ""quoted"" word"\n4\n')
-    df = read_table(spark, p)
+    df = read_csv(spark, p, multiLine="true")     # quoted fields that span lines are asked for
     assert [t for _, t in df.dtypes] == ["string", "string", "string"]
     rows = {r.id: r for r in df.collect()}
     assert rows["1"].note == "two\nlines" and rows["3"].note == 'a "quoted" word'
@@ -48,3 +48,20 @@ def test_overview_summary_and_csv_sink(spark):
     assert back.first().asDict() == {"n": "1", "s": "a", "x": "2.5"}
     s = table_summary(back).first()
     assert (s.rows, s.cols) == (1, 3) and s.file_bytes > 0
+
+
+def test_text_files_split(spark):
+    """A large CSV, TSV or JSON-lines file is read by several tasks; an array of records is recognised."""
+    d = tempfile.mkdtemp(prefix="tc-src-")
+    body = "".join(f"{i},value {i}\n" for i in range(60_000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(200_000))
+    try:
+        assert read_table(spark, _write(d, "big.csv", "id,note\n" + body)).rdd.getNumPartitions() > 1
+        assert read_table(spark, _write(d, "big.tsv", "id\tnote\n" + body.replace(",", "\t"))).rdd.getNumPartitions() > 1
+        lines = read_table(spark, _write(d, "big.json", "".join(f'{{"id": {i}, "note": "v"}}\n' for i in range(60_000))))
+        assert lines.rdd.getNumPartitions() > 1 and lines.count() == 60_000
+        array = read_table(spark, _write(d, "array.json", '[\n {"id": 1,\n "note": "a"},\n {"id": 2, "note": "b"}]\n'))
+        assert array.count() == 2 and array.columns == ["id", "note"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
