@@ -21,7 +21,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import sys
 from array import array
 
 import public_tokenizers
@@ -74,9 +73,8 @@ class ByteBpe:
         self.to_model = {b: c for b, c in alphabet.items()}
         self.model = self.library.model
         self.whole = self._whole_tokens(model["vocab"], {c: b for b, c in alphabet.items()}) if self.plain else {}
-        self.piece_ids = _Table(self._piece)
-        self.chunk_ids = _Table(self._chunk)
-        self.chunk_sizes = _Table(lambda chunk: len(self._chunk(chunk)) // 4)
+        self.chunk_ids = _Table(lambda chunk: self._cut(" " + chunk))
+        self.chunk_sizes = _Table(lambda chunk: len(self._cut(" " + chunk)) // 4)
 
     def _whole_tokens(self, vocab: dict[str, int], byte_of: dict[str, int]) -> dict[str, int]:
         """Strings proved to encode alone as their own single id."""
@@ -90,20 +88,18 @@ class ByteBpe:
         got = self.library.encode_batch_fast(strings, add_special_tokens=False)
         return {s: i for s, i, e in zip(strings, ids, got) if e.ids == [i]}
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token: by the whole-token table, else by merges."""
         i = self.whole.get(piece)
         if i is not None:
-            return i.to_bytes(4, sys.byteorder)
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_model))
-        return array("I", [t.id for t in tokens]).tobytes()
+            return [i]
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_model))]
 
     def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece_ids.__getitem__, self.pattern.findall(text)))
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk after its space; letters alone are one pre-token with it."""
-        return self.piece_ids[" " + chunk] if chunk.isalpha() else self._cut(" " + chunk)
+        out = array("I")
+        for piece in self.pattern.findall(text):
+            out.extend(self._piece(piece))
+        return out.tobytes()
 
     def _route(self, text: str) -> str:
         if not self.plain or _UNSURE.search(text) or any(s in text for s in self.special):
