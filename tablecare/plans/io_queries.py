@@ -6,7 +6,6 @@ checkpoint folder and read it back with the text readers.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,19 +13,19 @@ from ..operators.dashboard import auto_dashboard
 from ..operators.infer import type_evidence
 from ..operators.rowid import ROW_ID, with_row_id
 from ..operators.table import head, page, search, sort_as_text, sort_by
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sources.io import read_json, read_table, table_summary, write_csv
 from . import sqlgen as S
 from .views import table
 
 
-def _scratch(spark, kind):
-    return f"{checkpoint_dir(spark).rstrip('/')}/tablecare-io-{kind}-{uuid.uuid4().hex}"
+def _scratch(spark, kind, suffix=""):
+    return scratch_path(spark, f"io-{kind}", suffix)
 
 
 def q_csv_roundtrip(spark, sf):
     """A7 -> A1/A5 -> B5: write orders as CSV, read it back all-string, decide promotion."""
-    path = _scratch(spark, "csv") + ".csv"
+    path = _scratch(spark, "csv", ".csv")
     write_csv(table(spark, sf, "orders"), path)
     back = read_table(spark, path)
     ev = type_evidence(back)
@@ -147,7 +146,7 @@ QUERIES = {
 
 def q_tsv_roundtrip(spark, sf):
     """A2: customer written as TSV, read back all-string, promotion decided."""
-    path = _scratch(spark, "tsv") + ".tsv"
+    path = _scratch(spark, "tsv", ".tsv")
     write_csv(table(spark, sf, "customer"), path, sep="\t")
     return type_evidence(read_table(spark, path)).select("column", "valid", "numeric_valid", "promoted")
 
@@ -185,7 +184,7 @@ SQL_NAMED = ("SELECT 'orders' AS name, count(*) AS rows, true AS is_default FROM
 def q_quoted_export(spark, sf):
     """The searched, sorted view exported with every value quoted; read back."""
     from ..sources.io import read_csv
-    path = _scratch(spark, "export") + ".csv"
+    path = _scratch(spark, "export", ".csv")
     view = sort_by(search(table(spark, sf, "orders"), "urgent"), "o_orderkey", tie=None)
     write_csv(view, path, quote_all=True)
     lines = spark.read.text(path)

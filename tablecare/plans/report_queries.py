@@ -20,6 +20,7 @@ from .views import DIRTY_ORDER, dirty_orders, table
 
 DIRTY_DTYPES = {"row_key": "bigint", "priority": "string", "price_text": "double", "price": "double",
                 "email": "string", "status": "string", "ordered_at": "timestamp_ntz", "copy_no": "int"}
+# The words that make a column an identifier, and the date formats.
 ID_WORDS = ("id", "uuid", "code", "key", "token", "number", "serial")
 SQL_DATE_FORMATS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%m/%d/%Y', '%d/%m/%Y', '%Y/%m/%d', " \
                    "'%d-%m-%Y', '%d.%m.%Y', '%b %d, %Y', '%d %b %Y', '%Y%m%d']"

@@ -11,6 +11,7 @@ from ..functions.predicates import MISSING_TOKENS
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 TOKENS = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
+# The cell patterns.
 NUMERIC_RE = r"^-?\d+\.?\d*$"
 EMAIL_RE = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 PHONE_RE = r"^\+?[\d\s\-\(\)]{7,15}$"

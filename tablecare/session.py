@@ -4,6 +4,7 @@ checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,12 @@ def pinned(df: DataFrame) -> DataFrame:
     every branch of a later plan reads the same rows in the same partitions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, kind: str, suffix: str = "") -> str:
+    """A new folder's path in the shared checkpoint folder; what is written
+    there goes when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tablecare-{kind}-{uuid.uuid4().hex}{suffix}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path

@@ -4,6 +4,8 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -46,3 +48,30 @@ def test_group_samples_use_partial_group_limit(spark):
     import __spark_entry__ as E
     p = plan_of(E.queries()["dup_groups"](spark, SF))
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_statistics_on_demand(spark):
+    """A mean needs neither the value-count nor the quantile pass, a mode no quantiles."""
+    from tablecare.operators.analysis import Analysis
+    from tablecare.operators.clean import clean
+    df = spark.range(0, 100).select(F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("x"), F.lit("a").alias("s"))
+    a = Analysis(df)
+    assert clean(a, "Missing Values", ["x"], "Fill with Mean").where("x IS NULL").count() == 0
+    assert "_distinct" not in a.__dict__ and "_quantiles" not in a.__dict__
+    clean(a, "Missing Values", ["s"], "Fill with Mode").count()
+    assert "_distinct" in a.__dict__ and "_quantiles" not in a.__dict__
+
+
+def test_page_is_cut_before_it_is_flagged(spark):
+    """The flags of a page join the page's rows, never the whole table, to the repeated keys."""
+    from tablecare.operators.analysis import Analysis
+    from tablecare.operators.rowid import with_row_id
+    from tablecare.plans.quality import table_page
+    df = with_row_id(spark.range(0, 500).select((F.col("id") % 50).alias("k"), F.lit("text").alias("s")), ["k"])
+    rows, stats = table_page(Analysis(df), search_term="TEXT", sort="k", limit=20)
+    got = rows.collect()
+    assert len(got) == 20 and all(r._is_duplicate for r in got) and [r._row_id for r in got] == list(range(20))
+    assert stats.first().filtered_rows == 500 and stats.first().total_pages == 25
+    plan = plan_of(Analysis(df).flag_rows(df.orderBy("k").limit(20)))
+    keys = plan[plan.index("_pk"):]
+    assert "BroadcastHashJoin" in plan and "BroadcastExchange" in keys  # the table meets the page's keys, broadcast
