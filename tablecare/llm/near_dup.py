@@ -42,6 +42,8 @@ PERCENT = 80
 #: Most classes and shingles of a group verified in one task; a larger one is cut into blocks of about that size.
 GROUP_CLASSES, GROUP_SHINGLES = 1000, 2_000_000
 PIVOTS = 8
+#: Most marks, of a few bytes each, by which texts that no group needs are kept out of a join.
+MARKS = 1 << 18
 
 _SEEDS = np.random.default_rng(20_240_229).integers(1, 2**63, (2 * HALVES * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +146,16 @@ def _links(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
     return rows.select(*by, "class", "label", "side", "set").groupBy(*by).applyInArrow(_verify(percent), "a long, b long")
 
 
+def possibly_in(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` without most of those whose id isn't among ``ids``: the ids
+    leave marks, and at most ``MARKS`` marks are broadcast whatever their number."""
+    def mark(df):
+        return F.pmod(F.xxhash64(df[id_col]), F.lit(MARKS))
+
+    marks = ids.select(mark(ids).alias("mark")).distinct()
+    return rows.join(F.broadcast(marks), mark(rows) == F.col("mark"), "left_semi")
+
+
 def class_sets(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(group, class, set) for ``firsts`` (group, class, doc_id): one document of each class gives the set."""
     schema = pa.schema([("group", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
@@ -158,7 +170,9 @@ def class_sets(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k:
             if out:
                 yield batch_of(schema, *zip(*out))
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(firsts, "doc_id")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
+    # only texts that may be wanted go to the join
+    rows = possibly_in(rows, firsts, "doc_id").join(firsts, "doc_id")
     return rows.select("group", "class", "text").mapInArrow(build, "group long, class long, n long, set binary").dropDuplicates(["class"])
 
 
