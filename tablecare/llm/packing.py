@@ -79,6 +79,7 @@ def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     row = (doc, start, len(piece) // 4, zlib.crc32(piece), total, draw)
                     rows.append(row + (piece,) if with_ids else row)
             yield batch_of(schema, *zip(*rows))
+        bpe.forget()
 
     draw = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.monotonically_increasing_id())
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), draw.alias("draw"), F.col(f"`{text_col}`").alias("text"))

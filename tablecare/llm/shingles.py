@@ -12,7 +12,7 @@ import xxhash
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Words whose hashes a worker remembers; a full memory is emptied.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 150_000
 
 
 class _WordHashes(dict):

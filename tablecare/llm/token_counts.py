@@ -32,6 +32,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = part.column(1).to_pylist()
             yield batch_of(schema, part.column(0), [len(t.encode()) if t else 0 for t in texts],
                            [bpe.count(t) for t in texts])
+        bpe.forget()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return (rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
