@@ -57,7 +57,7 @@ PRIOR, FLOOR = -1.0, 0.05
 def _subwords(bpe: ByteBpe, word: str) -> np.ndarray:
     if word == END_WORD:
         return np.array([END_ID], np.uint32)
-    return np.frombuffer(bpe.chunk_ids[word], np.uint32)
+    return np.frombuffer(bpe.word_ids(word), np.uint32)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -79,15 +79,26 @@ def word_counts(rows: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def _pair_counts(counts: DataFrame, tokenizer: str, cls: np.ndarray) -> DataFrame:
+def spelled_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
+    """``counts`` with every word's subwords: each distinct word is spelled once."""
+    schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("ids", pa.binary())])
+
+    def spell(batches):
+        bpe = byte_bpe(public_tokenizers.path(tokenizer))
+        for part in slices(batches, 50_000):
+            yield batch_of(schema, part.column(0), part.column(1), [_subwords(bpe, w).tobytes() for w in part.column(0).to_pylist()])
+
+    return counts.mapInArrow(spell, "word string, c long, ids binary")
+
+
+def _pair_counts(counts: DataFrame, cls: np.ndarray) -> DataFrame:
     """(kind, a, b, n): subword counts (0, id, 0), pairs inside words (1, before, id), and by class of a
     word's first subword the words' tokens (2, class, 0) and distinct words (3, class, 0)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def spell(batches):
-        bpe = byte_bpe(public_tokenizers.path(tokenizer))
         for part in slices(batches, 50_000):
-            spelled = [_subwords(bpe, w) for w in part.column(0).to_pylist()]
+            spelled = [np.frombuffer(s, np.uint32) for s in part.column(2).to_pylist()]
             c = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             size = np.array([len(s) for s in spelled])
             ids, times = np.concatenate(spelled).astype(np.int64), np.repeat(c, size)
@@ -148,14 +159,15 @@ class Corpus:
         return out
 
 
-def _block_scores(corpus: Corpus, bpe: ByteBpe, texts: list[str], dictionary: dict[str, int]):
-    """(n_tokens, n_known, base, score, subword score) in log10 of each text; ``dictionary``: words of the block and their counts."""
-    names = [*dictionary, END_WORD]
-    count = np.array([*dictionary.values(), corpus.ends], float)
+def _block_scores(corpus: Corpus, bpe: ByteBpe, texts: list[str], names: list[str], counts: list[int], spelled: list[bytes | None]):
+    """(n_tokens, n_known, base, score, subword score) in log10 of each text; the block's words with their counts and,
+    if a training document has them, their subwords."""
+    names = [*names, END_WORD]
+    count = np.array([*counts, corpus.ends], float)
     number = {w.encode(): i for i, w in enumerate(names)}
-    spelled = [_subwords(bpe, w) for w in names]
-    size = np.array([len(s) for s in spelled])
-    ids = np.concatenate(spelled).astype(np.int64)
+    spelled = [bpe.word_ids(w) if s is None else s for w, s in zip(names, spelled)] + [_subwords(bpe, END_WORD).tobytes()]
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+    ids = np.frombuffer(b"".join(spelled), np.uint32).astype(np.int64)
     starts = np.cumsum(size) - size
     first = np.zeros(len(ids), bool)
     first[starts] = True
@@ -208,11 +220,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     model = train([np.concatenate([*(_subwords(bpe, w.decode()) for w in words(r.text)), _subwords(bpe, END_WORD)]).astype(np.int64)
                    for r in sampled], VOCABULARY, END_ID)
 
-    counts = stored(word_counts(rows))
+    counts = stored(spelled_counts(word_counts(rows), tokenizer))
     totals = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"),
                         F.max(F.when(F.col("word") == END_WORD, F.col("c"))).alias("ends"),
                         ).first()
-    pairs = stored(_pair_counts(counts, tokenizer, model.cls))
+    pairs = stored(_pair_counts(counts, model.cls))
     kept = pairs.where("kind <> 1")
     seen = pairs.where("kind = 1")
     many = seen.count()
@@ -232,8 +244,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
 
     def score(key: tuple[pa.Scalar, ...], docs: pa.Table, lookup: pa.Table) -> pa.Table:
         bpe = byte_bpe(public_tokenizers.path(tokenizer))
-        dictionary = dict(zip(lookup["word"].to_pylist(), lookup["c"].to_pylist()))
-        found = _block_scores(sent.value, bpe, docs["text"].to_pylist(), dictionary) if docs.num_rows else []
+        block = (lookup[c].to_pylist() for c in ("word", "c", "ids"))
+        found = _block_scores(sent.value, bpe, docs["text"].to_pylist(), *block) if docs.num_rows else []
         columns = list(zip(*found)) or [[]] * 5
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c, t) for c, t in zip(columns, types))],
@@ -241,7 +253,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
 
     by_block = placed.groupBy("block")
     named = by_block.applyInArrow(distinct, "block long, word string")
-    lookup = named.join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    lookup = named.join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), "ids")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, attention_score double"
     return (by_block.cogroup(lookup.groupBy("block")).applyInArrow(score, ddl)
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.total).cast("long").alias("train_tokens"), "base_score", "score", "attention_score"))
