@@ -22,7 +22,9 @@ training documents (``SAMPLE_DOCS``, of each ``SAMPLE_CHARS``); every count is
 of all of them.  Texts are cut into blocks of about ``BLOCK_BYTES`` by a hash
 of their ids.  A block's distinct words meet the corpus counts in a join on
 the word, so the most frequent word costs one row a block, and come back as
-the block's own dictionary: no task holds the corpus vocabulary.
+the block's own dictionary: no task holds the corpus vocabulary.  Pairs of
+subwords stay a table too: the distinct words of all rows, in parts, meet the
+counts of all pairs and keep of them one number a word.
 
 Null and empty texts are one end.  A null id counts as '' for the fold.
 """
@@ -45,8 +47,8 @@ from .token_counts import DEFAULT_TOKENIZER
 
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 3000
 BLOCK_BYTES = 8 << 20
-#: Subword pairs that the model keeps; beyond, the rarest go, as in any n-gram model of fixed size.
-MOST_PAIRS = 4_000_000
+#: Bytes of subword ids in a part of the distinct words.
+PART_BYTES = 2 << 20
 DISCOUNT, BACK = 0.75, 5.0
 #: The end of a text, as a word (no word holds white space) and as a subword (the vocabulary's own end).
 END_WORD, END_ID, VOCABULARY = "\n", 50256, 50257
@@ -61,21 +63,22 @@ def _subwords(bpe: ByteBpe, word: str) -> np.ndarray:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, c) over the rows not held out; one scan, tasks count before the shuffle."""
+    """(word, c): every word, with its count over the rows not held out (0: in no such row); one scan, tasks count
+    before the shuffle."""
     schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
     def count(batches):
         held: Counter = Counter()
         for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                held.update(words(text))
-                held[END_WORD.encode()] += 1
+            for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                held.update(dict.fromkeys(words(text), 0) if out else words(text))
+                held[END_WORD.encode()] += not out
             if len(held) > 500_000:
                 yield batch_of(schema, [w.decode() for w in held], list(held.values()))
                 held.clear()
         yield batch_of(schema, [w.decode() for w in held], list(held.values()))
 
-    return (rows.where("NOT held_out").select("text").mapInArrow(count, "word string, c long")
+    return (rows.select("text", "held_out").mapInArrow(count, "word string, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
@@ -91,87 +94,104 @@ def spelled_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
     return counts.mapInArrow(spell, "word string, c long, ids binary")
 
 
+def _laid(spelled: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Subwords of some words one after the other: (their numbers by word, ids, starts of words, places of later subwords)."""
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+    ids = np.frombuffer(b"".join(spelled), np.uint32).astype(np.int64)
+    starts = np.cumsum(size) - size
+    later = np.ones(len(ids), bool)
+    later[starts] = False
+    return size, ids, starts, np.nonzero(later)[0]
+
+
 def _pair_counts(counts: DataFrame, cls: np.ndarray) -> DataFrame:
-    """(kind, a, b, n): subword counts (0, id, 0), pairs inside words (1, before, id), and by class of a
-    word's first subword the words' tokens (2, class, 0) and distinct words (3, class, 0)."""
+    """(kind, a, b, n): subword counts (0, id, 0), pairs inside words (1, before, id), by class of a word's first
+    subword the words' tokens (2, class, 0) and distinct words (3, class, 0), and pairs by the class of the later
+    subword (4, before, class)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def spell(batches):
         for part in slices(batches, 50_000):
-            spelled = [np.frombuffer(s, np.uint32) for s in part.column(2).to_pylist()]
             c = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            size = np.array([len(s) for s in spelled])
-            ids, times = np.concatenate(spelled).astype(np.int64), np.repeat(c, size)
-            starts = np.cumsum(size) - size
-            first = np.zeros(len(ids), bool)
-            first[starts] = True
-            later = np.nonzero(~first)[0]
-            of = cls[ids[starts]]
-            pair = ids[later - 1] * VOCABULARY + ids[later]
-            for kind, keys, n in ((0, ids * VOCABULARY, times), (1, pair, times[later]), (2, of * VOCABULARY, c), (3, of * VOCABULARY, np.ones_like(c))):
+            size, ids, starts, later = _laid(part.column(2).to_pylist())
+            times = np.repeat(c, size)
+            of, before = cls[ids[starts]], ids[later - 1] * VOCABULARY
+            for kind, keys, n in ((0, ids * VOCABULARY, times), (1, before + ids[later], times[later]), (2, of * VOCABULARY, c),
+                                  (3, of * VOCABULARY, np.ones_like(c)), (4, before + cls[ids[later]], times[later])):
                 found, where = np.unique(keys, return_inverse=True)
                 if len(found):
                     n = np.rint(np.bincount(where, n)).astype(np.int64)
                     yield batch_of(schema, np.full(len(found), kind, np.int32), found // VOCABULARY, found % VOCABULARY, n)
 
-    return counts.mapInArrow(spell, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return counts.where("c > 0").mapInArrow(spell, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def with_log_within(counts: DataFrame, pairs: DataFrame, cls: np.ndarray, log_within: np.ndarray, parts: int) -> DataFrame:
+    """``counts`` with every word's ``within``: the log probability of its subwords in their classes, each given the one
+    before it inside the word, by the counts of all pairs.  Words go in ``parts`` by hash; a part asks for each of its
+    distinct pairs once, so the most frequent pair costs one row a part."""
+    keyed = counts.select(F.pmod(F.xxhash64("word"), F.lit(parts)).alias("part"), "word", "c", "ids")
+
+    def keys_of(ids, later):
+        before = ids[later - 1] * VOCABULARY
+        return before + ids[later], before + cls[ids[later]]
+
+    def ask(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        _, ids, _, later = _laid(group["ids"].to_pylist())
+        pair, after = (np.unique(k) for k in keys_of(ids, later))
+        asked, kind = np.concatenate([pair, after]), np.repeat(np.array([1, 4], np.int32), [len(pair), len(after)])
+        return pa.table({"part": pa.array(np.full(len(asked), key[0].as_py()), pa.int64()), "kind": kind,
+                         "a": asked // VOCABULARY, "b": asked % VOCABULARY})
+
+    def add(key: tuple[pa.Scalar, ...], group: pa.Table, found: pa.Table) -> pa.Table:
+        size, ids, starts, later = _laid(group["ids"].to_pylist())
+        kind, a, b, n = (np.asarray(found[c].to_pylist(), np.int64) for c in ("kind", "a", "b", "n"))
+        keys = a * VOCABULARY + b
+        each = log_within[ids]
+        if len(later):
+            held = []
+            for k, wanted in zip((1, 4), keys_of(ids, later)):
+                by = np.argsort(keys[kind == k])
+                held.append(_find(keys[kind == k][by], n[kind == k][by], wanted))
+            each[later] = np.log((held[0] + BACK * np.exp(each[later])) / (held[1] + BACK))
+        within = np.add.reduceat(each, starts) if len(starts) else each
+        return pa.table({"word": group["word"], "c": group["c"], "ids": group["ids"], "within": pa.array(within, pa.float64())})
+
+    asked = keyed.groupBy("part").applyInArrow(ask, "part long, kind int, a long, b long")
+    found = asked.join(pairs, ["kind", "a", "b"]).select("part", "kind", "a", "b", "n")
+    return keyed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(add, "word string, c long, ids binary, within double")
+
+
+def _find(keys, counts, wanted):
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0.0)
 
 
 class Corpus:
-    """What the scores take from the corpus: bounded tables (subwords, kept pairs, classes) and totals."""
+    """What the scores take from the corpus beside its words: bounded tables (subwords, classes) and totals."""
 
     def __init__(self, model: Attention, total: int, distinct: int, ends: int, rows: list):
         self.model, self.total, self.distinct, self.ends = model, total, distinct, ends
         ids = np.zeros(VOCABULARY)
         self.of_class, self.kinds = np.zeros(HEAD + TAIL), np.zeros(HEAD + TAIL)
-        pairs = {}
         for r in rows:
             if r.kind == 0:
                 ids[r.a] = r.n
-            elif r.kind == 1:
-                pairs[r.a * VOCABULARY + r.b] = r.n
             else:
                 (self.of_class if r.kind == 2 else self.kinds)[r.a] = r.n
         model.set_counts(ids)
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.pair_counts = np.array([pairs[k] for k in self.pairs.tolist()], float)
-        classes = HEAD + TAIL
-        after = self.pairs // VOCABULARY * classes + model.cls[self.pairs % VOCABULARY]
-        self.after, where = np.unique(after, return_inverse=True)
-        self.after_counts = np.bincount(where, self.pair_counts, len(self.after)) if len(after) else np.empty(0)
-
-    @staticmethod
-    def _find(keys, counts, wanted):
-        if not len(keys):
-            return np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, counts[at], 0.0)
-
-    def log_within(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log probability of each subword in its class, given the one before it inside a word."""
-        model = self.model
-        out = model.log_within[ids]
-        later = np.nonzero(~first)[0]
-        before, now = ids[later - 1], ids[later]
-        n = self._find(self.pairs, self.pair_counts, before * VOCABULARY + now)
-        total = self._find(self.after, self.after_counts, before * (HEAD + TAIL) + model.cls[now])
-        out[later] = np.log((n + BACK * np.exp(out[later])) / (total + BACK))
-        return out
-
-
-def _block_scores(corpus: Corpus, bpe: ByteBpe, texts: list[str], names: list[str], counts: list[int], spelled: list[bytes | None]):
-    """(n_tokens, n_known, base, score, subword score) in log10 of each text; the block's words with their counts and,
-    if a training document has them, their subwords."""
+
+
+def _block_scores(corpus: Corpus, texts: list[str], names: list[str], counts: list[int], spelled: list[bytes], within: list[float]):
+    """(n_tokens, n_known, base, score, subword score) in log10 of each text; the block's words with their counts,
+    subwords and ``within``."""
     names = [*names, END_WORD]
     count = np.array([*counts, corpus.ends], float)
     number = {w.encode(): i for i, w in enumerate(names)}
-    spelled = [bpe.word_ids(w) if s is None else s for w, s in zip(names, spelled)] + [_subwords(bpe, END_WORD).tobytes()]
-    size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
-    ids = np.frombuffer(b"".join(spelled), np.uint32).astype(np.int64)
-    starts = np.cumsum(size) - size
-    first = np.zeros(len(ids), bool)
-    first[starts] = True
-    within = corpus.log_within(ids, first)
+    size, ids, starts, _ = _laid([*spelled, np.array([END_ID], np.uint32).tobytes()])
+    within = np.array([*within, corpus.model.log_within[END_ID]])
     cls = corpus.model.cls[ids[starts]]
     of_class = corpus.of_class[cls]
     known = np.where(count > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(of_class, 1), 0.0)
@@ -194,7 +214,7 @@ def _block_scores(corpus: Corpus, bpe: ByteBpe, texts: list[str], names: list[st
         windows, begins, targets, real = windows_of(np.split(stream, cuts[:-1]), END_ID)
         log_class = corpus.model.log_probabilities(windows, begins, targets)[real]
         log_first = log_class[ends - n]
-        spelled_out = np.add.reduceat(log_class + within[place], ends - n) - log_first
+        spelled_out = np.add.reduceat(log_class, ends - n) - log_first + within[word]
         counted = np.log(known[word] + left[word] * np.exp(spelled_out) + 1e-300)
         lead = np.cumsum(spelled_out - counted)
         lead = np.concatenate([[0], lead[:-1]])
@@ -222,15 +242,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
 
     counts = stored(spelled_counts(word_counts(rows), tokenizer))
     totals = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"),
-                        F.max(F.when(F.col("word") == END_WORD, F.col("c"))).alias("ends"),
-                        ).first()
+                        F.max(F.when(F.col("word") == END_WORD, F.col("c"))).alias("ends"), F.sum(F.length("ids")).alias("bytes")).first()
     pairs = stored(_pair_counts(counts, model.cls))
-    kept = pairs.where("kind <> 1")
-    seen = pairs.where("kind = 1")
-    many = seen.count()
-    least = 0 if many <= MOST_PAIRS else seen.approxQuantile("n", [1 - MOST_PAIRS / many], 0.001)[0] + 1
-    corpus = Corpus(model, totals.n or 0, totals.v or 0, totals.ends or 0, kept.unionByName(seen.where(F.col("n") >= least)).collect())
-    sent = spark.sparkContext.broadcast(corpus)  # bounded: the vocabulary, MOST_PAIRS pairs, the weights
+    corpus = Corpus(model, totals.n or 0, totals.v or 0, totals.ends or 0, pairs.where("kind IN (0, 2, 3)").collect())
+    counts = stored(with_log_within(counts, pairs.where("kind IN (1, 4)"), model.cls, model.log_within, 1 + (totals.bytes or 0) // PART_BYTES))
+    sent = spark.sparkContext.broadcast(corpus)  # bounded: the vocabulary and the weights
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     placed = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
@@ -243,9 +259,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
                         schema=pa.schema([("block", pa.int64()), ("word", pa.string())]))
 
     def score(key: tuple[pa.Scalar, ...], docs: pa.Table, lookup: pa.Table) -> pa.Table:
-        bpe = byte_bpe(public_tokenizers.path(tokenizer))
-        block = (lookup[c].to_pylist() for c in ("word", "c", "ids"))
-        found = _block_scores(sent.value, bpe, docs["text"].to_pylist(), *block) if docs.num_rows else []
+        block = (lookup[c].to_pylist() for c in ("word", "c", "ids", "within"))
+        found = _block_scores(sent.value, docs["text"].to_pylist(), *block) if docs.num_rows else []
         columns = list(zip(*found)) or [[]] * 5
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c, t) for c, t in zip(columns, types))],
@@ -253,7 +268,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
 
     by_block = placed.groupBy("block")
     named = by_block.applyInArrow(distinct, "block long, word string")
-    lookup = named.join(counts, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"), "ids")
+    lookup = named.join(counts, "word").select("block", "word", "c", "ids", "within")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, attention_score double"
     return (by_block.cogroup(lookup.groupBy("block")).applyInArrow(score, ddl)
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.total).cast("long").alias("train_tokens"), "base_score", "score", "attention_score"))

@@ -50,6 +50,16 @@ def test_blocks_do_not_change_scores(documents, monkeypatch):
         assert many[d] == pytest.approx(one[d], rel=1e-4)
 
 
+def test_all_pairs_count(documents, monkeypatch):
+    """Every pair of subwords counts, however rare and however many there are, and parts don't matter."""
+    some = documents.limit(60)
+    one = {r.doc_id: r.score for r in lm.lm_scores(some).collect()}
+    monkeypatch.setattr(lm, "MOST_PAIRS", 100, raising=False)
+    monkeypatch.setattr(lm, "PART_BYTES", 5_000, raising=False)
+    many = {r.doc_id: r.score for r in lm.lm_scores(some).collect()}
+    assert many == pytest.approx(one, rel=1e-6)
+
+
 def test_lm_edge_cases(odd_documents, no_documents):
     ids = odd_documents.where("doc_id is not null")
     check_contract(lm.lm_scores(ids).collect(), {r.doc_id: r.text for r in ids.collect()})
