@@ -17,9 +17,12 @@ So each word's probability is one of a proper distribution given the words
 before it, known words profit from counts that grow with the corpus, and
 unseen words are spelled out.
 
-The network's weights are fitted on the driver to a bounded sample of the
-training documents (``SAMPLE_DOCS``, of each ``SAMPLE_CHARS``); every count is
-of all of them.  Texts are cut into blocks of about ``BLOCK_BYTES`` by a hash
+Counts, classes, embeddings and weights are of all training documents, whole.
+The weights are fitted in ``ROUNDS`` rounds: documents are dealt into shards,
+each shard goes on from the common weights with its next documents, and what
+it moved them by is averaged over the shards, a subword's rows by how often
+each shard has it.  Together the rounds read every document once, and as often
+as gives ``LEAST_SUBWORDS`` (at most ``MOST_EPOCHS`` times) where there are few.  Texts are cut into blocks of about ``BLOCK_BYTES`` by a hash
 of their ids.  A block's distinct words meet the corpus counts in a join on
 the word, so the most frequent word costs one row a block, and come back as
 the block's own dictionary: no task holds the corpus vocabulary.  Pairs of
@@ -39,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import HEAD, TAIL, WINDOW, Attention, train, windows_of
+from .attention import BY_ROW, HEAD, RATE, TAIL, Attention, add_company, fit, marks_of, ranked, windows_of
 from .bpe import ByteBpe, byte_bpe
-from .common import batch_of, fold, slices, stored
+from .common import batch_of, fold, slices, spread_id, stored
 from .shingles import words
 from .token_counts import DEFAULT_TOKENIZER
 
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 3000
+#: Bytes of text in a shard of the fit; its rounds; and how often few documents are read again.
+SHARD_BYTES, ROUNDS, LEAST_SUBWORDS, MOST_EPOCHS = 16 << 20, 3, 4 << 20, 7
 BLOCK_BYTES = 8 << 20
 #: Bytes of subword ids in a part of the distinct words.
 PART_BYTES = 2 << 20
@@ -104,9 +108,157 @@ def _laid(spelled: list[bytes]) -> tuple[np.ndarray, ...]:
     return size, ids, starts, np.nonzero(later)[0]
 
 
+def _subword_counts(counts: DataFrame) -> np.ndarray:
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        n = np.zeros(VOCABULARY)
+        for part in slices(batches, 50_000):
+            size, ids, _, _ = _laid(part.column(1).to_pylist())
+            n += np.bincount(ids, np.repeat(part.column(0).to_numpy(zero_copy_only=False), size), VOCABULARY)
+        seen = np.nonzero(n)[0]
+        yield batch_of(schema, seen, np.rint(n[seen]).astype(np.int64))
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in counts.select("c", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r.id] = r.n
+    return out
+
+
+def _streams(rows: DataFrame, tokenizer: str, shards: int, seed: int) -> DataFrame:
+    """(shard, sizes, ids): the subwords of the training documents, one row a shard."""
+    schema = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
+    place = F.xxhash64(F.lit(seed), spread_id(F.col("doc_id")), "text")
+
+    def spell(batches):
+        bpe = byte_bpe(public_tokenizers.path(tokenizer))
+        end = np.array([END_ID], np.uint16).tobytes()
+        for part in slices(batches):
+            ids = [np.frombuffer(b"".join(bpe.chunk_ids[w.decode()] for w in words(t)), np.uint32).astype(np.uint16).tobytes() + end
+                   for t in part.column(2).to_pylist()]
+            yield batch_of(schema, part.column(0), part.column(1), ids)
+        bpe.forget()
+
+    def pack(group: pa.Table) -> pa.Table:
+        ids = [i for _, i in sorted(zip(group["place"].to_pylist(), group["ids"].to_pylist()))]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
+        return pa.table({"shard": group["shard"].slice(0, 1), "sizes": [sizes.astype(np.int32).tobytes()], "ids": [b"".join(ids)]})
+
+    each = (rows.where("NOT held_out").select(F.pmod(place, F.lit(shards)).alias("shard"), place.alias("place"), "text")
+            .mapInArrow(spell, "shard long, place long, ids binary"))
+    return each.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "shard long, sizes binary, ids binary")
+
+
+def _documents(sizes: bytes, ids: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(ids, np.uint16).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+
+
+def _profiles(streams: DataFrame, count: np.ndarray, seed: int) -> np.ndarray:
+    """The neighbour profiles that the classes come from; a task writes one row a subword that needs one."""
+    parts, wanted = 32, ranked(count)[1]
+    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("profile", pa.binary())])
+
+    def gather(batches):
+        profile, marks = np.zeros((VOCABULARY, 96)), marks_of(count, seed)
+        for part in slices(batches, 1):
+            stream = np.frombuffer(part.column(0)[0].as_py(), np.uint16).astype(np.int64)
+            for at in range(0, len(stream), 1 << 17):
+                add_company(profile, stream[at:at + (1 << 17) + 1], marks)
+        seen = wanted[profile[wanted].any(axis=1)]
+        yield batch_of(schema, (seen % parts).astype(np.int32), seen, [v.tobytes() for v in profile[seen].astype(np.float32)])
+
+    def add(group: pa.Table) -> pa.Table:
+        ids, where = np.unique(group["id"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(ids), 96))
+        np.add.at(total, where, np.frombuffer(b"".join(group["profile"].to_pylist()), np.float32).reshape(-1, 96))
+        return pa.table({"id": ids, "profile": [v.tobytes() for v in total.astype(np.float32)]},
+                        schema=pa.schema([("id", pa.int64()), ("profile", pa.binary())]))
+
+    out = np.zeros((VOCABULARY, 96), np.float32)
+    for r in (streams.select("ids").mapInArrow(gather, "part int, id long, profile binary")
+              .groupBy("part").applyInArrow(add, "id long, profile binary").collect()):
+        out[r.id] = np.frombuffer(r.profile, np.float32)
+    return out
+
+
+def fitted(streams: DataFrame, count: np.ndarray, shards: int, seed: int) -> Attention:
+    """The attention model of all streams (see the module's head)."""
+    spark = streams.sparkSession
+    model = Attention.of_counts(count, _profiles(streams, count, seed), seed)
+    model.set_counts(count)
+    epochs = min(MOST_EPOCHS, max(1, -(-LEAST_SUBWORDS // max(1, int(count.sum())))))
+    turns = [t % ROUNDS for t in range(epochs * ROUNDS)]
+    small = [k for k in model.p if k not in BY_ROW]
+    parts = 16 + shards // 8
+    ddl = "part int, shard long, rows binary, times binary, moved binary"
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("rows", pa.binary()), ("times", pa.binary()), ("moved", pa.binary())])
+    width = sum(model.p[k].shape[1] for k in BY_ROW)
+
+    def merge(group: pa.Table) -> pa.Table:
+        got = sorted(zip(*(group[c].to_pylist() for c in ("shard", "rows", "times", "moved"))))
+        part = group["part"][0].as_py()
+        times = [np.frombuffer(t, np.float64) for _, _, t, _ in got]
+        if part < 0:  # the weights that have no rows
+            rows = np.zeros(1, np.int64)
+            moved = sum(t[0] * np.frombuffer(m, np.float32).astype(float) for t, (*_, m) in zip(times, got)) / sum(t[0] for t in times)
+        else:
+            rows, where = np.unique(np.concatenate([np.frombuffer(r, np.int64) for _, r, _, _ in got]), return_inverse=True)
+            moved, weight, at = np.zeros((len(rows), width)), np.zeros(len(rows)), 0
+            for t, (*_, m) in zip(times, got):
+                here = where[at:at + len(t)]
+                moved[here] += t[:, None] * np.frombuffer(m, np.float16).reshape(-1, width)
+                weight[here] += t
+                at += len(t)
+            moved /= weight[:, None]
+        return pa.table({"part": group["part"].slice(0, 1), "rows": [rows.tobytes()], "moved": [moved.astype(np.float32).tobytes()]})
+
+    for r in range(ROUNDS):
+        mine = turns[r * epochs:(r + 1) * epochs]
+        rates = tuple(RATE * (1 - 0.95 * x / ROUNDS) for x in (r, r + 1))
+        sent = spark.sparkContext.broadcast(model)  # bounded: the vocabulary and the weights
+
+        def go_on(batches, sent=sent, mine=mine, rates=rates):
+            for batch in slices(batches, 1):
+                shard, sizes, ids = (batch.column(i)[0].as_py() for i in range(3))
+                docs = _documents(sizes, ids)
+                visits = [v for v in (docs[t::ROUNDS] for t in mine) if v]
+                if not visits:
+                    continue
+                read = np.concatenate([d for v in visits for d in v])
+                start = sent.value
+                here, used = start.part(np.append(read, END_ID))
+                fit(here, visits, END_ID, rates, seed=seed + shard % 1_000_003)
+                times = np.bincount(here.row[read], minlength=len(used)) + 1.0
+                moved = np.concatenate([here.p[k] - start.p[k][used] for k in BY_ROW], axis=1).astype(np.float16)
+                out = [(-1, shard, b"", np.array([float(len(read))]).tobytes(),
+                        np.concatenate([(here.p[k] - start.p[k]).ravel() for k in small]).astype(np.float32).tobytes())]
+                for part in range(parts):
+                    at = used % parts == part
+                    if at.any():
+                        out.append((part, shard, used[at].tobytes(), times[at].tobytes(), moved[at].tobytes()))
+                yield batch_of(schema, *zip(*out))
+
+        found = (streams.mapInArrow(go_on, ddl).groupBy("part").applyInArrow(merge, "part int, rows binary, moved binary")).collect()
+        p = {k: v.copy() for k, v in model.p.items()}
+        for f in found:
+            moved = np.frombuffer(f.moved, np.float32)
+            if f.part < 0:
+                at = 0
+                for k in small:
+                    p[k] += moved[at:at + p[k].size].reshape(p[k].shape)
+                    at += p[k].size
+            else:
+                at = 0
+                for k in BY_ROW:
+                    p[k][np.frombuffer(f.rows, np.int64)] += moved.reshape(-1, width)[:, at:at + p[k].shape[1]]
+                    at += p[k].shape[1]
+        model = Attention(model.row, model.cls, p, model.log_within)
+        sent.unpersist()
+    return model
+
+
 def _pair_counts(counts: DataFrame, cls: np.ndarray) -> DataFrame:
-    """(kind, a, b, n): subword counts (0, id, 0), pairs inside words (1, before, id), by class of a word's first
-    subword the words' tokens (2, class, 0) and distinct words (3, class, 0), and pairs by the class of the later
+    """(kind, a, b, n): pairs inside words (1, before, id), by class of a word's first subword the words' tokens (2, class, 0) and distinct words (3, class, 0), and pairs by the class of the later
     subword (4, before, class)."""
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -116,7 +268,7 @@ def _pair_counts(counts: DataFrame, cls: np.ndarray) -> DataFrame:
             size, ids, starts, later = _laid(part.column(2).to_pylist())
             times = np.repeat(c, size)
             of, before = cls[ids[starts]], ids[later - 1] * VOCABULARY
-            for kind, keys, n in ((0, ids * VOCABULARY, times), (1, before + ids[later], times[later]), (2, of * VOCABULARY, c),
+            for kind, keys, n in ((1, before + ids[later], times[later]), (2, of * VOCABULARY, c),
                                   (3, of * VOCABULARY, np.ones_like(c)), (4, before + cls[ids[later]], times[later])):
                 found, where = np.unique(keys, return_inverse=True)
                 if len(found):
@@ -174,14 +326,9 @@ class Corpus:
 
     def __init__(self, model: Attention, total: int, distinct: int, ends: int, rows: list):
         self.model, self.total, self.distinct, self.ends = model, total, distinct, ends
-        ids = np.zeros(VOCABULARY)
         self.of_class, self.kinds = np.zeros(HEAD + TAIL), np.zeros(HEAD + TAIL)
         for r in rows:
-            if r.kind == 0:
-                ids[r.a] = r.n
-            else:
-                (self.of_class if r.kind == 2 else self.kinds)[r.a] = r.n
-        model.set_counts(ids)
+            (self.of_class if r.kind == 2 else self.kinds)[r.a] = r.n
 
 
 def _block_scores(corpus: Corpus, texts: list[str], names: list[str], counts: list[int], spelled: list[bytes], within: list[float]):
@@ -234,20 +381,16 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     spark = df.sparkSession
     doc: Column = F.col(f"`{id_col}`").cast("long")
     rows = df.select(doc.alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), (fold(doc, folds) == held).alias("held_out"))
-    sampled = rows.where("NOT held_out").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").select(
-        F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
-    bpe = byte_bpe(public_tokenizers.path(tokenizer))
-    model = train([np.concatenate([*(_subwords(bpe, w.decode()) for w in words(r.text)), _subwords(bpe, END_WORD)]).astype(np.int64)
-                   for r in sampled], VOCABULARY, END_ID)
-
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counts = stored(spelled_counts(word_counts(rows), tokenizer))
     totals = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"),
                         F.max(F.when(F.col("word") == END_WORD, F.col("c"))).alias("ends"), F.sum(F.length("ids")).alias("bytes")).first()
+    shards = 1 + size // SHARD_BYTES
+    model = fitted(stored(_streams(rows, tokenizer, shards, seed)), _subword_counts(counts.where("c > 0")), shards, seed)
     pairs = stored(_pair_counts(counts, model.cls))
-    corpus = Corpus(model, totals.n or 0, totals.v or 0, totals.ends or 0, pairs.where("kind IN (0, 2, 3)").collect())
+    corpus = Corpus(model, totals.n or 0, totals.v or 0, totals.ends or 0, pairs.where("kind IN (2, 3)").collect())
     counts = stored(with_log_within(counts, pairs.where("kind IN (1, 4)"), model.cls, model.log_within, 1 + (totals.bytes or 0) // PART_BYTES))
     sent = spark.sparkContext.broadcast(corpus)  # bounded: the vocabulary and the weights
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     placed = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
 

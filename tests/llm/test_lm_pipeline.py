@@ -60,6 +60,15 @@ def test_all_pairs_count(documents, monkeypatch):
     assert many == pytest.approx(one, rel=1e-6)
 
 
+def test_model_learns_from_whole_documents(spark, monkeypatch):
+    """What comes late in the documents is learned, from all shards."""
+    cycle = "zebra quartz violin marble copper walnut saddle ribbon " * 80
+    docs = spark.createDataFrame([(i, ("plain words again " * 200 if i % 9 else "") + cycle) for i in range(90)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100_000, raising=False)
+    rows = [r for r in lm.lm_scores(docs).collect() if r.held_out]
+    assert rows and all(r.attention_score / r.n_tokens > -0.5 for r in rows)
+
+
 def test_lm_edge_cases(odd_documents, no_documents):
     ids = odd_documents.where("doc_id is not null")
     check_contract(lm.lm_scores(ids).collect(), {r.doc_id: r.text for r in ids.collect()})
