@@ -1,17 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is a row of tokens: the element openings, each told apart by the path
-of structural elements it opens under, and the short text nodes under each
-path.  A token's *occurrence vector* holds how often it occurs in every page
+of structural elements it opens under, and the text nodes under each path.  A token's *occurrence vector* holds how often it occurs in every page
 of its host.  Tokens with equal vectors form an equivalence class.  A class
 that occurs in at least half of the host's pages is valid, and the classes
 nest by their paths: those that occur once a page are the template's skeleton,
 those that occur any number of times (paragraphs, list items) repeat inside
-it, and text in a class is part of the template.  What the template doesn't
-fix are its slots.  The main element of a host is found on the skeleton: from
+it, and text in the class of an element (of at least ``_LEAST`` pages) is part
+of the template.  What the template doesn't fix are its slots.  The main element of a host is found on the skeleton: from
 the root downwards, as long as one container holds most of its parent's slot
 text.  A page's main text is the text of the slots in that element, without
-elements that name themselves as menus, adverts, comments and the like.
+elements that name themselves as menus, adverts, comments and the like; a page
+without any text of its own (copies of one page on a host) keeps the template's.
 
 Vectors are never held: equal vectors are recognised by two sums of hashes of
 (page, count), which aggregate partially before the shuffle, so a host with a
@@ -54,7 +54,8 @@ signup login share sharing social related recommended comment comments respond r
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>"'/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SHARE, _MOST = 0.5, 0.6
-_SHORT = 80
+#: Pages that a class needs before its text counts as the template's.
+_LEAST = 3
 
 
 def events(page: str):
@@ -107,6 +108,10 @@ def _hash(parent: int, label: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent} {label}".encode()) - (1 << 63)
 
 
+def _text_token(path: int, text: str) -> int:
+    return _hash(path, "text " + " ".join(text.split()))
+
+
 def _is_aside(name: str, words: list[str]) -> bool:
     if name in _RAW or name in _ASIDE_TAGS:
         return True
@@ -153,7 +158,7 @@ class _Walk:
 
 
 def page_tokens(page: str) -> list[tuple]:
-    """(token, parent, container, aside, count, chars) of a page's elements, and of its short texts with container -1."""
+    """(token, parent, container, aside, count, chars) of a page's elements, and of its texts with container -1."""
     count, facts, chars = Counter(), {}, Counter()
 
     def opened(path, parent, name, aside):
@@ -166,12 +171,11 @@ def page_tokens(page: str) -> list[tuple]:
         n = len(t.strip())
         if not in_link:
             chars[path] += n
-        if n <= _SHORT:
-            token = _hash(path, "text " + " ".join(t.split()))
-            count[token] += 1
-            facts[token] = (path, -1, aside)
-            if not in_link:
-                chars[token] += n
+        token = _text_token(path, t)
+        count[token] += 1
+        facts[token] = (path, -1, aside)
+        if not in_link:
+            chars[token] += n
 
     _Walk(opened, text, lambda: None).run(page)
     return [(token, *facts[token], n, chars[token]) for token, n in count.items()] + (
@@ -214,15 +218,22 @@ def main_element(tokens, pages: int) -> int:
     return at
 
 
-def main_text(page: str | None, main: int) -> str:
-    """Text under the path ``main`` (0: anywhere), block by block."""
+def template_texts(tokens, pages: int) -> list[int]:
+    """The text tokens that are in a valid class with an element, from tokens as in ``main_element``."""
+    valid = [t for t in tokens if t[4] >= max(_LEAST, _SHARE * pages)]
+    elements = {t[7] for t in valid if t[2] >= 0}
+    return sorted(t[0] for t in valid if t[2] < 0 and t[7] in elements)
+
+
+def main_text(page: str | None, main: int, fixed: frozenset[int] = frozenset()) -> str:
+    """Text under the path ``main`` (0: anywhere), block by block, without the text tokens ``fixed``."""
     blocks, block, under = [], [], {0: main == 0}
 
     def opened(path, parent, name, aside):
         under[path] = path == main or under.get(parent, False)
 
     def text(path, t, in_link, aside):
-        if not aside and under.get(path, False):
+        if not aside and under.get(path, False) and not (fixed and not t.isspace() and _text_token(path, t) in fixed):
             block.append(t)
 
     def broken():
@@ -249,7 +260,8 @@ _TOKEN = "host string, token long, parent long, container int, aside boolean, lo
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, pages, classes (valid equivalence classes) and main (path of the main element) of every host."""
+    """host, pages, classes (valid equivalence classes), main (path of the main element) and fixed (the template's text
+    tokens, no more than twice those of a page) of every host."""
     schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("container", pa.int32()),
                         ("aside", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("count", pa.int64()), ("chars", pa.int64())])
 
@@ -279,27 +291,28 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         n = group["n"][0].as_py()
         classes = len({r[7] for r in rows if r[4] >= _SHARE * n})
         return pa.table({"host": group["host"].slice(0, 1), "pages": pa.array([n], pa.int64()),
-                         "classes": pa.array([classes], pa.int64()), "main": pa.array([main_element(rows, n)], pa.int64())})
+                         "classes": pa.array([classes], pa.int64()), "main": pa.array([main_element(rows, n)], pa.int64()),
+                         "fixed": pa.array([template_texts(rows, n)], pa.list_(pa.int64()))})
 
-    return kept.groupBy("host").applyInArrow(deduce, "host string, pages long, classes long, main long")
+    return kept.groupBy("host").applyInArrow(deduce, "host string, pages long, classes long, main long, fixed array<long>")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    found = stored(templates(pages, url_col, html_col)).select("host", "main")
+    found = stored(templates(pages, url_col, html_col)).select("host", "main", "fixed")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def extract(batches):
         for part in slices(batches, 64):
             texts = []
-            for page, main in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                text = main_text(page, main or 0)
+            for page, main, fixed in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
+                text = main_text(page, main or 0, frozenset(fixed or ()))
                 if not text and page:
-                    text = main_text(page, own_main(page))
+                    text = main_text(page, main or 0) or main_text(page, own_main(page))
                 texts.append(text)
             yield batch_of(schema, part.column(0), part.column(1), texts, [len(t) for t in texts])
 
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                         F.col(f"`{html_col}`").alias("html"), _host(F.col(f"`{url_col}`")).alias("host"))
-    return (rows.join(found, "host", "left").select("page_id", "url", "html", "main")
+    return (rows.join(found, "host", "left").select("page_id", "url", "html", "main", "fixed")
             .mapInArrow(extract, "page_id long, url string, text string, n_chars long"))

@@ -47,6 +47,17 @@ def test_template_of_a_host(spark):
         assert "comment" not in r.text and "Read more" not in r.text and "& delta" in r.text or "gamma" not in r.text
 
 
+def test_template_text_inside_the_main_element(spark):
+    """Text that a host's template fixes is left out wherever it stands; a page of nothing else keeps its text."""
+    legal = "All rights in this text remain with the people who wrote it, and nobody else may print it anywhere at all."
+    page = "<body><div class=post><h1>Title {}</h1><p>{}</p><div class=tail>Tell a friend</div><p class=small>" + legal + "</p></div></body>"
+    rows = [(i, "http://one.example/p", page.format(i, " ".join(f"word{i}x{j}" for j in range(40)))) for i in range(9)]
+    rows += [(100 + i, "http://copies.example/p", page.format(0, "same words")) for i in range(9)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\n" + " ".join(f"word{i}x{j}" for j in range(40)) for i in range(9))
+    assert all("same words" in got[100 + i] for i in range(9))
+
+
 def test_odd_markup():
     assert list(events('a<b c="x>y">t</b><!-- <p> -->')) == [("text", "a"), ("open", "b", []), ("text", "t"), ("close", "b")]
     page = '<body><article><p>one &lt; two<p>three<br>four <b>five</article><footer>no</footer><p class="unclosed'
