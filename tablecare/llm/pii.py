@@ -8,11 +8,12 @@ of hex digits between colons) is a *candidate* with patterns of its own.
 Spark scores the graph of patterns and instances in rounds: a pattern's
 confidence in a kind is the share of its distinct instances that are of that
 kind so far (those that may be count a quarter against it), an instance's score joins the confidences of the trusted patterns
-it occurs with, and instances that score high count for their patterns in the
-next round.  Candidates beside a trusted pattern, or whose string has scored
+it occurs with, and instances that score high count for their patterns, in
+confidence and in support, in the next round.  Rounds go on until no further
+pattern is trusted; trust only grows, so they end.  Candidates beside a trusted pattern, or whose string has scored
 high elsewhere, become new spans; seeds always stay.
 
-A pattern needs ``support`` distinct seeds and a ``trust`` of 0.9 at least, so
+A pattern needs ``support`` distinct seeds or confirmed instances and a ``trust`` of 0.9 at least, so
 ordinary text, where numbers of all kinds follow the same words, adds nothing.
 
 Null and empty texts have no spans; rows that repeat or lack an id get theirs
@@ -33,7 +34,7 @@ from .common import batch_of, slices, stored
 from .secret_scan import SPANS, of_kind, spans_type, written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, TRUST, ROUNDS = 10, 0.9, 3
+SUPPORT, TRUST = 10, 0.9
 #: What an instance that may be of the kind, but isn't known to be, counts against a pattern.
 UNKNOWN = 0.25
 
@@ -182,7 +183,7 @@ def slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return rows.mapInArrow(scan, f"row long, doc_id long, text_key string, base {SPANS}, slots array<{_SLOT}>")
 
 
-def bootstrap(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(found: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """New spans (row, text_key, start, kind, end) from stored ``slots``.
 
     Edges of the graph are distinct (pattern, instance) pairs, so a string or a
@@ -201,34 +202,38 @@ def bootstrap(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, ro
         return unseeded & (F.col("kinds").bitwiseAND(1 << k) > 0) & (F.col(f"score{k}") == 0)
 
     scored = edges.select("*", *[F.col(f"seed{k}").alias(n) for k, n in enumerate(names)])
-    for r in range(rounds):
+    before = -1
+    while True:
         confidence = [(F.sum(n) / (F.count(F.lit(1)) - (1 - UNKNOWN) * F.sum(open_to(k).cast("double")) + 1)).alias(f"trust{k}")
                       for k, n in enumerate(names)]
-        enough = [F.sum(f"seed{k}").alias(f"seeds{k}") for k in range(len(KINDS))]
+        enough = [F.sum((F.col(n) > 0).cast("long")).alias(f"known{k}") for k, n in enumerate(names)]
         trusted = scored.groupBy("pattern").agg(*confidence, *enough)
-        trusted = trusted.select("pattern", *[F.when((F.col(f"seeds{k}") >= support) & (F.col(f"trust{k}") >= trust), F.col(f"trust{k}"))
+        trusted = trusted.select("pattern", *[F.when((F.col(f"known{k}") >= support) & (F.col(f"trust{k}") >= trust), F.col(f"trust{k}"))
                                               .otherwise(0.0).alias(f"trust{k}") for k in range(len(KINDS))])
-        trusted = trusted.where(F.greatest(*[F.col(f"trust{k}") for k in range(len(KINDS))]) > 0)
+        trusted = stored(trusted.where(F.greatest(*[F.col(f"trust{k}") for k in range(len(KINDS))]) > 0))
+        many = trusted.agg(sum(F.count_if(F.col(f"trust{k}") > 0) for k in range(len(KINDS)))).first()[0]
         # noisy or over the trusted patterns of an instance, for the kinds its form allows
         heard = (edges.where("kinds > 0").join(trusted, "pattern").groupBy("instance")
                  .agg(*[(1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.999), F.col(f"trust{k}")))))).alias(f"heard{k}")
                         for k in range(len(KINDS))], F.bit_or("kinds").alias("form")))
         heard = stored(heard.select("instance", *[F.when(F.col("form").bitwiseAND(1 << k) > 0, F.col(f"heard{k}")).otherwise(0.0)
                                                   .alias(f"heard{k}") for k in range(len(KINDS))]))
-        if r < rounds - 1:
-            scored = edges.join(heard, "instance", "left").select(
-                *edges.columns, *[F.greatest(F.col(f"seed{k}"), F.when(F.col(f"heard{k}") >= trust, F.col(f"heard{k}")).otherwise(0.0))
-                                  .alias(n) for k, n in enumerate(names)])
+        if many in (0, before):
+            break
+        before = many
+        scored = edges.join(heard, "instance", "left").select(
+            *edges.columns, *[F.greatest(F.col(f"seed{k}"), F.when(F.col(f"heard{k}") >= trust, F.col(f"heard{k}")).otherwise(0.0))
+                              .alias(n) for k, n in enumerate(names)])
     best = F.array_max(F.array(*[F.struct(F.col(f"heard{k}").alias("h"), F.lit(k).alias("kind")) for k in range(len(KINDS))]))
     known = heard.select("instance", best.alias("b")).where(F.col("b.h") >= trust).select("instance", F.col("b.kind").alias("kind"))
     return every.where("seed < 0").join(known, "instance").select("row", "text_key", "start", "kind", "end")
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
-                  trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+                  trust: float = TRUST) -> DataFrame:
     """doc_id, base and ``found`` (base and new spans, sorted) of every row."""
     rows = stored(slots(df, id_col, text_col))
-    new = bootstrap(rows, support, trust, rounds).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
+    new = bootstrap(rows, support, trust).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
     none = F.array().cast(SPANS)
     return (rows.select("row", "doc_id", "base").join(new, "row", "left")
             .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("new", none))).alias("found")))
@@ -243,14 +248,14 @@ def personal_data_report(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
-           trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+           trust: float = TRUST) -> DataFrame:
     """``df`` with every span of personal data replaced by ``[kind]``.
 
     New spans depend only on the text, so they come back to the rows by its
     md5; rows of equal text share them, whatever their ids.
     """
     rows = stored(slots(df, id_col, text_col))
-    new = (bootstrap(rows, support, trust, rounds).dropDuplicates(["text_key", "start", "kind", "end"])
+    new = (bootstrap(rows, support, trust).dropDuplicates(["text_key", "start", "kind", "end"])
            .groupBy("text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__new")))
     columns = df.columns
 

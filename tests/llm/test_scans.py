@@ -105,6 +105,20 @@ def test_bootstrap_finds_unseen_identifiers(contacts):
     assert all(rows[i].spans.startswith("phone:") and "," not in rows[i].spans for i in range(12))
 
 
+def test_bootstrap_goes_on_until_nothing_changes(spark):
+    """Numbers without + lead from one context to the next; the last is beside a context that no seed has."""
+    contexts = ["please call me at {} tomorrow", "my mobile no {} thanks", "then reach desk {} always", "or dial line {} soon"]
+    number = iter(f"({200 + i // 1000}) 555-{i % 1000:04d}" for i in range(10_000)).__next__
+    texts = [contexts[0].format("+1 " + number()) for _ in range(900)]
+    for here, size in enumerate((300, 80, 20)):
+        for n in [number() for _ in range(size)]:
+            texts += [contexts[here].format(n), contexts[here + 1].format(n)]
+    texts.append(contexts[3].format("(719) 555-7777"))
+    rows = pii.personal_data_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows}[len(texts) - 1] == "phone:13:27"
+    assert all(r.spans.startswith("phone:") for r in rows)
+
+
 def test_redaction(contacts, odd_documents, no_documents):
     got = {r.doc_id: r.text for r in pii.redact(contacts).collect()}
     assert got[0] == "Hello there, call me at [phone] tomorrow" and got[100] == "Hi, call me at [phone] today"
