@@ -71,3 +71,18 @@ def spread_id(id_col: Column) -> Column:
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (a null id counts as '')."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+#: Most marks, of a few bytes each, by which rows that a table does not need are kept out of a join.
+MARKS = 1 << 18
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """``rows`` whose ``key`` leaves a mark that one of ``keys`` leaves too (so all that are among them, and some
+    others), or with ``inside`` false all the other rows.  At most ``MARKS`` marks are broadcast whatever the number
+    of keys."""
+    def mark(df):
+        return F.pmod(F.xxhash64(df[key]), F.lit(MARKS))
+
+    marks = keys.select(mark(keys).alias("mark")).distinct()
+    return rows.join(F.broadcast(marks), mark(rows) == F.col("mark"), "left_semi" if inside else "left_anti")
