@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, ship, slices, stored
+from .common import batch_of, ship, stored
 
-#: Entries of a list that a search reads at once; entries a search tries before the first list.
-BLOCK, STARTS = 32, 8
-_ROWS = 8192
+#: A list is read up to these places at a time, further ones four times as far; entries a search tries before its first list.
+FIRST_READS, STARTS = (16, 64), 8
+#: Vectors whose searches advance together.
+_ROWS = 1 << 16
 
 
 class Codebook:
@@ -47,6 +48,9 @@ class Codebook:
         self.order = np.argsort(apart, axis=1, kind="stable")
         self.apart = np.take_along_axis(apart, self.order, axis=1)
         self.most = most
+        self.ends = [e for e in FIRST_READS if e < self.k]
+        while not self.ends or self.ends[-1] < self.k:
+            self.ends.append(min(self.k, 4 * self.ends[-1] if self.ends else FIRST_READS[0]))
         # entries far from each other, to start from: each next one is the farthest from those before it
         starts, gap = [0], apart[0].copy()
         while len(starts) < min(STARTS, self.k):
@@ -73,37 +77,33 @@ class Codebook:
         marked[:, self.starts] = True
         compared, place = first.size, np.zeros(n, np.int64)
         active = np.arange(n)
-        blocks = -(-self.k // BLOCK)
-        far = np.iinfo(np.int64).max if x.dtype == np.int64 else np.inf
+        blocks = len(self.ends)
         while len(active):
             spot = near[active] * blocks + place[active]
             by = np.argsort(spot, kind="stable")
             active, spot = active[by], spot[by]
             cuts = np.nonzero(np.diff(spot, prepend=-1))[0]
             going = np.ones(len(active), bool)
-            for a, b in zip(cuts, [*cuts[1:], len(active)]):
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(active)]):
                 who, (entry, block) = active[a:b], divmod(int(spot[a]), blocks)
-                here = slice(block * BLOCK, min(self.k, (block + 1) * BLOCK))
-                some, gap = self.order[entry, here], self.apart[entry, here]
-                reach = 4 * best[who]
-                if here.start and gap[0] > reach.max():  # twice the distance, squared
-                    going[a:b] = False
-                    continue
-                by_index = np.argsort(some)
-                some, gap = some[by_index], gap[by_index]
-                d = self.distances(x[who], norm[who], some)
-                new = ~marked[who[:, None], some] & (gap <= reach[:, None])
-                compared += int(new.sum())
-                d[~new] = far
-                marked[who[:, None], some] |= new
-                low = d.argmin(axis=1)  # the lowest index of equals, as they are in order
-                least, found = d[np.arange(len(who)), low], some[low]
-                better = (least < best[who]) | ((least == best[who]) & (found < near[who]))
-                moved = who[better]
-                near[moved], best[moved], place[moved] = found[better], least[better], 0
-                stay = who[~better]
-                place[stay] += 1
-                going[a:b] = better | ((here.stop < self.k) & (self.apart[entry, min(here.stop, self.k - 1)] <= reach))
+                until = self.ends[block]
+                some = np.sort(self.order[entry, self.ends[block - 1] if block else 0:until])  # by index, so the first of equals is the lowest
+                some = some[~marked[who][:, some].all(axis=0)]  # what all of them have seen is not compared again
+                better = np.zeros(b - a, bool)
+                if len(some):
+                    d = self.distances(x[who], norm[who], some)
+                    compared += d.size
+                    marked[who[:, None], some] = True
+                    low = d.argmin(axis=1)
+                    least, found = d[np.arange(b - a), low], some[low]
+                    better = (least < best[who]) | ((least == best[who]) & (found < near[who]))
+                    moved = who[better]
+                    near[moved], best[moved], place[moved] = found[better], least[better], 0
+                place[who[~better]] += 1
+                if until == self.k:
+                    going[a:b] = better
+                else:  # squared: no further than twice the distance
+                    going[a:b] = better | (self.apart[entry, until] <= 4 * best[who])
             active = active[going]
         return near, best.astype(np.int64), compared
 
@@ -114,6 +114,18 @@ def usable(vector: Column) -> Column:
         ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))), F.lit(False))
 
 
+def _together(batches, rows: int):
+    """The batches joined to ``rows`` rows or a little more: more searches stand at one place."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _matrix(column: pa.Array, width: int, scale: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     whole = np.floor(flat.astype(np.float64) * scale)
@@ -142,13 +154,16 @@ def train(kept: DataFrame, width: int, parts: int, entries: int, rounds: int, sc
             search = [Codebook(b) for b in sent.value]
             n = np.zeros((parts, len(search[0].entries)), np.int64)
             total = np.zeros((*n.shape, each), np.int64)
-            for part in slices(batches, _ROWS):
+            for part in _together(batches, _ROWS):
                 x = _matrix(part.column(0), width, scale)
                 for p, s in enumerate(search):
                     mine = x[:, p * each:(p + 1) * each]
                     code = s.nearest(mine)[0]
-                    n[p] += np.bincount(code, minlength=s.k)
-                    np.add.at(total[p], code, mine)
+                    here = np.bincount(code, minlength=s.k)
+                    n[p] += here
+                    seen = np.nonzero(here)[0]
+                    if len(seen):
+                        total[p, seen] += np.add.reduceat(mine[np.argsort(code, kind="stable")], (np.cumsum(here) - here)[seen])
             used = np.nonzero(n.ravel())[0]
             yield batch_of(schema, used.astype(np.int32), n.ravel()[used], list(total.reshape(-1, each)[used]))
 
@@ -192,7 +207,7 @@ def vector_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
         def code(batches):
             search = [Codebook(b) for b in sent.value]
-            for part in slices(batches, _ROWS):
+            for part in _together(batches, _ROWS):
                 x = _matrix(part.column(1), width, scale)
                 found = [s.nearest(x[:, p * each:(p + 1) * each])[:2] for p, s in enumerate(search)]
                 codes = np.stack([c for c, _ in found], axis=1).tolist()
