@@ -19,8 +19,9 @@ into such blocks from its first word on.  So:
    repeats, whose words go.
 
 A hash that a third of all documents share costs one entry a chunk in either
-step, so no document is ever paired with another.  Entries travel packed, some
-hundreds to a row; buckets follow the number of words.  Documents of equal
+step, so no document is ever paired with another.  Entries travel packed, and
+so do the places found on their way back to the documents; the number of
+buckets follows the number of words.  Documents of equal
 text are one in step 2: only the smallest id's words are looked at, later
 copies go whole (if they hold a window).
 
@@ -42,12 +43,12 @@ from .common import batch_of, marked, ship, slices, stored
 from .shingles import mix
 
 #: Words of a chunk, about (a document is never cut), and entries that a bucket holds, about.
-CHUNK_WORDS, BUCKET_ENTRIES = 1 << 20, 1 << 21
+CHUNK_WORDS, BUCKET_ENTRIES = 1 << 20, 1 << 19
 #: Words whose hashes a worker remembers; a full memory is emptied.
 _REMEMBERED = 150_000
 _ENTRY = "bucket int, hashes binary, flags binary, gaps binary, runs binary, ids binary, rows binary"
 _ENTRIES = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("hashes", "flags", "gaps", "runs", "ids", "rows")])
-_PLACES = pa.schema([("row", pa.int64()), ("places", pa.binary())])
+_HOMES = pa.schema([("home", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
 
 class _Hashes(dict):
@@ -148,20 +149,28 @@ def _unpacked(group: pa.Table, dtype):
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _places(rows: np.ndarray, places: np.ndarray):
-    """(row, places) with the places of each row as packed 32-bit numbers."""
-    order = np.lexsort((places, rows))
-    rows, places = rows[order], places[order].astype(np.uint32)
-    cuts = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0] if len(rows) else []
-    ends = [*cuts[1:], len(rows)]
-    return batch_of(_PLACES, rows[cuts] if len(rows) else [], [places[a:b].tobytes() for a, b in zip(cuts, ends)])
+def _homes(rows: np.ndarray, places: np.ndarray, homes: int):
+    """(home, rows, counts, places) of found places: a document's home is drawn from its row, and a home's documents
+    travel packed, each with its places."""
+    home = (rows % homes).astype(np.int32)
+    order = np.lexsort((places, rows, home))
+    home, rows, places = home[order], rows[order], places[order].astype(np.uint32)
+    cuts = np.nonzero(np.diff(home, prepend=-1))[0]
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(home)]):
+        r = rows[a:b]
+        begin = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
+        out.append((int(home[a]), r[begin].tobytes(), _planes(np.diff(begin, append=b - a).astype(np.uint32)), _planes(places[a:b])))
+    return out
 
 
-def _local(batch: pa.RecordBatch, buckets: int):
-    """Places found inside a chunk, as rows that pass the buckets unchanged: without runs."""
-    n, rows = batch.num_rows, batch.column(0).to_numpy()
-    return pa.RecordBatch.from_arrays([pa.array((rows % buckets).astype(np.int32)), batch.column(1)] + [pa.nulls(n, pa.binary())] * 4
-                                      + [pa.array([r.tobytes() for r in rows], pa.binary())], schema=_ENTRIES)
+def _local(rows: np.ndarray, places: np.ndarray, homes: int):
+    """What a chunk decides itself, as rows that pass the buckets unchanged: without runs."""
+    found = _homes(rows, places, homes)
+    for at in range(0, len(found), 4096):
+        home, row, counts, place = zip(*found[at:at + 4096])
+        none = [None] * len(home)
+        yield batch_of(_ENTRIES, home, place, counts, none, none, none, row)
 
 
 def _runs_of(key: np.ndarray, second: np.ndarray | None = None):
@@ -195,7 +204,7 @@ def anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame
         size = np.diff(first, append=len(order))
         again = order[size[run] > 1]  # more than once in this chunk
         if len(again):
-            yield _local(_places(rows[doc[again]], place[again] - starts[doc[again]]), buckets)
+            yield from _local(rows[doc[again]], place[again] - starts[doc[again]], buckets)
         some = order[first]
         by_place = np.argsort(some)
         some, flag = some[by_place], flag[by_place]
@@ -219,20 +228,33 @@ def anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame
     return docs.select("doc_id", "row", "text").mapInArrow(read, _ENTRY)
 
 
-def _gathered(entries: DataFrame, decide, dtype) -> DataFrame:
-    """(row, places): what ``decide`` picks in each bucket, and the places that chunks found themselves."""
+def _gathered(entries: DataFrame, homes: int, decide, dtype) -> DataFrame:
+    """(row, places), one row a document: what ``decide`` picks in each bucket, and what chunks decided themselves."""
     def pick(group: pa.Table) -> pa.Table:
-        found = group["runs"].is_null().combine_chunks()
-        out = [pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(group.filter(found)["rows"].to_pylist()), np.int64)),
-                                           group.filter(found)["hashes"].combine_chunks()], schema=_PLACES)]
-        asked = group.filter(pc.invert(found))
+        decided = group["runs"].is_null()
+        local = group.filter(decided)
+        out = [pa.table([local["bucket"], local["rows"], local["flags"], local["hashes"]], schema=_HOMES)]
+        asked = group.filter(pc.invert(decided))
         if asked.num_rows:
             hashes, flags, places, ids, rows = _unpacked(asked, dtype)
             kept = decide(hashes, flags, ids)
-            out.append(_places(rows[kept], places[kept]))
-        return pa.Table.from_batches(out)
+            if kept.any():
+                out.append(pa.Table.from_batches([batch_of(_HOMES, *zip(*_homes(rows[kept], places[kept], homes)))]))
+        return pa.concat_tables(out)
+
+    def bring(group: pa.Table) -> pa.Table:
+        rows, places = [], []
+        for row, counts, place in zip(*(group[c].to_pylist() for c in ("rows", "counts", "places"))):
+            rows.append(np.repeat(np.frombuffer(row, np.int64), _from_planes(counts, np.uint32)))
+            places.append(_from_planes(place, np.uint32))
+        rows, places = np.concatenate(rows), np.concatenate(places)
+        order = np.lexsort((places, rows))
+        rows, places = rows[order], places[order]
+        cuts = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
+        return pa.table({"row": rows[cuts], "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])], pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(pick, "row long, places binary")
+    found = entries.groupBy("bucket").applyInArrow(pick, "home int, rows binary, counts binary, places binary")
+    return found.groupBy("home").applyInArrow(bring, "row long, places binary")
 
 
 def _shared(hashes, flags, ids):
@@ -254,7 +276,7 @@ def _later(hashes, flags, ids):
 
 
 def extensions(hits: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
-    """Entries of step 2 (and windows decided inside a chunk) of ``hits`` (doc_id, row, text, places: list of packed
+    """Entries of step 2 (and windows decided inside a chunk) of ``hits`` (doc_id, row, text, places: packed
     places of hits)."""
     def send(chunk: _Chunk, hit: list[np.ndarray]):
         ids, rows, starts, lengths, w = chunk.laid()
@@ -270,7 +292,7 @@ def extensions(hits: DataFrame, block: int, window: int, buckets: int) -> DataFr
         least = np.minimum.reduceat(ids[doc[order]], first)
         later = order[ids[doc[order]] > least[run]]
         if len(later):
-            yield _local(_places(rows[doc[later]], place[later] - starts[doc[later]]), buckets)
+            yield from _local(rows[doc[later]], place[later] - starts[doc[later]], buckets)
         some = np.sort(order[ids[doc[order]] == least[run]])  # of one document, as a rule
         bucket = (other[some] % np.uint64(buckets)).astype(np.int32)
         packed = _packed(bucket, key[some], np.zeros(len(some), bool), place[some], doc[some], starts, ids, rows)
@@ -282,7 +304,7 @@ def extensions(hits: DataFrame, block: int, window: int, buckets: int) -> DataFr
         for part in slices(batches):
             for doc, row, text, places in zip(*(c.to_pylist() for c in part.columns)):
                 chunk.add(doc, row, words(text))
-                hit.append(np.frombuffer(b"".join(places), np.uint32))
+                hit.append(np.frombuffer(places, np.uint32))
                 if chunk.size >= CHUNK_WORDS:
                     yield from send(chunk, hit)
                     chunk, hit = _Chunk(), []
@@ -296,11 +318,6 @@ def _buckets(words_bound: int) -> int:
     return 1 + words_bound // BUCKET_ENTRIES
 
 
-def _by_row(places: DataFrame) -> DataFrame:
-    """One row a document: its own places only, so as many as it has words at most."""
-    return places.groupBy("row").agg(F.collect_list("places").alias("places"))
-
-
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a window that starts at one of ``starts``: the union of the maximal repeats."""
     marks = np.zeros(n + 1, np.int64)
@@ -320,19 +337,19 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(size // 6)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hits = stored(_gathered(anchors(known, block, window, buckets), _shared, np.uint32))
+    hits = stored(_gathered(anchors(known, block, window, buckets), buckets, _shared, np.uint32))
     copies = known.select("doc_id", "row", F.xxhash64("text").alias("low"), F.xxhash64(F.lit(1), "text").alias("high"))
     first = copies.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     later = copies.join(first.where("least < most"), ["low", "high"]).where("doc_id > least").select("row").distinct()
-    hit = _by_row(hits).select("row", "places", F.lit(False).alias("whole"))
+    hit = hits.withColumn("whole", F.lit(False))
     told = stored(hit.join(later, "row", "left_anti").unionByName(
-        later.select("row", F.lit(None).cast("array<binary>").alias("places"), F.lit(True).alias("whole"))))
+        later.select("row", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("whole"))))
     near = stored(marked(docs, told, "row").join(told, "row", "left"))
-    starts = _gathered(extensions(near.where("places IS NOT NULL"), block, window, buckets), _later, np.uint64)
-    starts = stored(_by_row(starts).withColumnRenamed("places", "starts"))
+    starts = stored(_gathered(extensions(near.where("places IS NOT NULL"), block, window, buckets), buckets, _later, np.uint64)
+                    .withColumnRenamed("places", "starts"))
     found = near.join(starts, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("starts").alias("places"))
     return found.unionByName(marked(docs, told, "row", False).select(
-        "doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<binary>").alias("places")))
+        "doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast("binary").alias("places")))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -348,7 +365,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if whole and n >= window:
                     found = []
                 elif places:
-                    gone = covered(n, np.frombuffer(b"".join(places), np.uint32).astype(np.int64), window)
+                    gone = covered(n, np.frombuffer(places, np.uint32).astype(np.int64), window)
                     found = [w for w, g in zip(found, gone.tolist()) if not g]
                 n_words.append(n)
                 n_removed.append(n - len(found))
