@@ -20,8 +20,9 @@ into such blocks from its first word on.  So:
 
 A hash that a third of all documents share costs one entry a chunk in either
 step, so no document is ever paired with another.  Entries travel packed, and
-so do the places found on their way back to the documents; the number of
-buckets follows the number of words.  Documents of equal
+so do the places found on their way back to the documents, both by their place
+in the chunk, whose list of documents travels once; the number of buckets
+follows the number of words.  Documents of equal
 text are one in step 2: only the smallest id's words are looked at, later
 copies go whole (if they hold a window).
 
@@ -43,12 +44,14 @@ from .common import batch_of, marked, ship, slices, stored
 from .shingles import mix
 
 #: Words of a chunk, about (a document is never cut), and entries that a bucket holds, about.
-CHUNK_WORDS, BUCKET_ENTRIES = 1 << 20, 1 << 19
+CHUNK_WORDS, BUCKET_ENTRIES = 1 << 20, 1 << 21
 #: Words whose hashes a worker remembers; a full memory is emptied.
 _REMEMBERED = 150_000
-_ENTRY = "bucket int, hashes binary, flags binary, gaps binary, runs binary, ids binary, rows binary"
-_ENTRIES = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("hashes", "flags", "gaps", "runs", "ids", "rows")])
-_HOMES = pa.schema([("home", pa.int32()), ("rows", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+# A row of entries has hashes; one of places that a chunk decided itself has only gaps; a chunk's list of documents has
+# neither, but rows and starts.
+_ENTRY = "bucket int, chunk long, hashes binary, flags binary, gaps binary, ids binary, rows binary, starts binary"
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(n, pa.binary()) for n in ("hashes", "flags", "gaps", "ids", "rows", "starts")])
+_FOUND = pa.schema([("chunk", pa.int64()), ("gaps", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary())])
 
 
 class _Hashes(dict):
@@ -117,62 +120,44 @@ def _from_planes(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel()
 
 
-def _packed(bucket, key, flag, place, doc, starts, ids, rows):
-    """Rows of entries, one a bucket: hashes, flags (bits), and for each entry its document and its place there.
-    Entries come sorted by place."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, key, flag, place, doc = bucket[order], key[order], flag[order], place[order], doc[order]
+def _gaps(places: np.ndarray) -> bytes:
+    """Places in increasing order."""
+    return _planes(np.diff(places, prepend=0).astype(np.uint32))
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint32), dtype=np.int64)
+
+
+def _entries(buckets: int, rows: np.ndarray, starts: np.ndarray, decided: np.ndarray, bucket, key, flag, place, ids):
+    """Batches of ``_ENTRIES`` of a chunk: its documents, the places decided in it, and for each bucket its entries, in
+    order of their places, with the ids of their documents if asked for."""
+    chunk = xxhash.xxh3_64_intdigest(rows.tobytes()) - (1 << 63)
+    home, none = chunk % buckets, None
+    out = [(home, chunk, none, none, none, none, rows.tobytes(), _planes(starts.astype(np.uint64)))]
+    if len(decided):
+        out.append((home, chunk, none, none, _gaps(np.sort(decided)), none, none, none))
+    order = np.lexsort((place, bucket))
+    bucket, key, flag, place = bucket[order], key[order], flag[order], place[order]
+    ids = ids[order] if ids is not None else None
     cuts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        d = doc[a:b]
-        begin = np.nonzero(np.diff(d, prepend=-1))[0]
-        runs = np.diff(begin, append=b - a)
-        within = (place[a:b] - starts[d])
-        gaps = np.diff(within, prepend=0)
-        gaps[begin] = within[begin]
-        out.append((int(bucket[a]), key[a:b].tobytes(), np.packbits(flag[a:b]).tobytes(), _planes(gaps.astype(np.uint32)),
-                    _planes(runs.astype(np.uint32)), _planes(ids[d[begin]]), rows[d[begin]].tobytes()))
-    return out
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+        out.append((int(bucket[a]), chunk, key[a:b].tobytes(), np.packbits(flag[a:b]).tobytes(), _gaps(place[a:b]),
+                    _planes(ids[a:b]) if ids is not None else none, none, none))
+    for at in range(0, len(out), 4096):
+        yield batch_of(_ENTRIES, *zip(*out[at:at + 4096]))
 
 
 def _unpacked(group: pa.Table, dtype):
-    """(hashes, flags, places in the document, ids, rows) of all entries of a bucket."""
+    """(hashes, flags, number of the row, ids) of all entries of a bucket."""
     parts = []
-    for hashes, flags, gaps, runs, ids, rows in zip(*(group[c].to_pylist() for c in _ENTRIES.names[1:])):
+    for i, (hashes, flags, ids) in enumerate(zip(*(group[c].to_pylist() for c in ("hashes", "flags", "ids")))):
         key = np.frombuffer(hashes, dtype)
-        n, gap = _from_planes(runs, np.uint32).astype(np.int64), _from_planes(gaps, np.uint32).astype(np.int64)
-        total, ends = np.cumsum(gap), np.cumsum(n)
-        base = np.concatenate([[0], total[ends[:-1] - 1]])
-        parts.append((key, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(key)).astype(bool), total - np.repeat(base, n),
-                      np.repeat(_from_planes(ids, np.int64), n), np.repeat(np.frombuffer(rows, np.int64), n)))
+        parts.append((key, np.unpackbits(np.frombuffer(flags, np.uint8), count=len(key)).astype(bool), np.full(len(key), i, np.int64),
+                      _from_planes(ids, np.int64) if ids is not None else np.zeros(0, np.int64)))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _homes(rows: np.ndarray, places: np.ndarray, homes: int):
-    """(home, rows, counts, places) of found places: a document's home is drawn from its row, and a home's documents
-    travel packed, each with its places."""
-    home = (rows % homes).astype(np.int32)
-    order = np.lexsort((places, rows, home))
-    home, rows, places = home[order], rows[order], places[order].astype(np.uint32)
-    cuts = np.nonzero(np.diff(home, prepend=-1))[0]
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(home)]):
-        r = rows[a:b]
-        begin = np.nonzero(np.concatenate([[True], r[1:] != r[:-1]]))[0]
-        out.append((int(home[a]), r[begin].tobytes(), _planes(np.diff(begin, append=b - a).astype(np.uint32)), _planes(places[a:b])))
-    return out
-
-
-def _local(rows: np.ndarray, places: np.ndarray, homes: int):
-    """What a chunk decides itself, as rows that pass the buckets unchanged: without runs."""
-    found = _homes(rows, places, homes)
-    for at in range(0, len(found), 4096):
-        home, row, counts, place = zip(*found[at:at + 4096])
-        none = [None] * len(home)
-        yield batch_of(_ENTRIES, home, place, counts, none, none, none, row)
-
-
 def _runs_of(key: np.ndarray, second: np.ndarray | None = None):
     """Order that brings equal keys together, the first of each run, and the run of each ordered entry."""
     order = np.argsort(key, kind="stable") if second is None else np.lexsort((second, key))
@@ -203,14 +188,8 @@ def anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame
         flag = np.logical_or.reduceat(in_index[order], first)
         size = np.diff(first, append=len(order))
         again = order[size[run] > 1]  # more than once in this chunk
-        if len(again):
-            yield from _local(rows[doc[again]], place[again] - starts[doc[again]], buckets)
         some = order[first]
-        by_place = np.argsort(some)
-        some, flag = some[by_place], flag[by_place]
-        packed = _packed(bucket[some], low[some], flag, place[some], doc[some], starts, ids, rows)
-        for at in range(0, len(packed), 4096):
-            yield batch_of(_ENTRIES, *zip(*packed[at:at + 4096]))
+        yield from _entries(buckets, rows, starts, place[again], bucket[some], low[some], flag, place[some], None)
 
     def read(batches):
         chunk = _Chunk()
@@ -228,33 +207,37 @@ def anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFrame
     return docs.select("doc_id", "row", "text").mapInArrow(read, _ENTRY)
 
 
-def _gathered(entries: DataFrame, homes: int, decide, dtype) -> DataFrame:
+def _gathered(entries: DataFrame, decide, dtype) -> DataFrame:
     """(row, places), one row a document: what ``decide`` picks in each bucket, and what chunks decided themselves."""
     def pick(group: pa.Table) -> pa.Table:
-        decided = group["runs"].is_null()
-        local = group.filter(decided)
-        out = [pa.table([local["bucket"], local["rows"], local["flags"], local["hashes"]], schema=_HOMES)]
-        asked = group.filter(pc.invert(decided))
-        if asked.num_rows:
-            hashes, flags, places, ids, rows = _unpacked(asked, dtype)
+        asked = pc.is_valid(group["hashes"])
+        out = [group.filter(pc.invert(asked)).select(_FOUND.names)]
+        group = group.filter(asked)
+        if group.num_rows:
+            hashes, flags, source, ids = _unpacked(group, dtype)
             kept = decide(hashes, flags, ids)
-            if kept.any():
-                out.append(pa.Table.from_batches([batch_of(_HOMES, *zip(*_homes(rows[kept], places[kept], homes)))]))
+            ends = np.cumsum(np.bincount(source, minlength=group.num_rows))
+            rows = []
+            for chunk, gaps, a, b in zip(group["chunk"].to_pylist(), group["gaps"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                if kept[a:b].any():
+                    rows.append((chunk, _gaps(_from_gaps(gaps)[kept[a:b]]), None, None))
+            if rows:
+                out.append(pa.Table.from_batches([batch_of(_FOUND, *zip(*rows))]))
         return pa.concat_tables(out)
 
     def bring(group: pa.Table) -> pa.Table:
-        rows, places = [], []
-        for row, counts, place in zip(*(group[c].to_pylist() for c in ("rows", "counts", "places"))):
-            rows.append(np.repeat(np.frombuffer(row, np.int64), _from_planes(counts, np.uint32)))
-            places.append(_from_planes(place, np.uint32))
-        rows, places = np.concatenate(rows), np.concatenate(places)
-        order = np.lexsort((places, rows))
-        rows, places = rows[order], places[order]
-        cuts = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
-        return pa.table({"row": rows[cuts], "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])], pa.binary())})
+        lists = [(r, s) for r, s in zip(group["rows"].to_pylist(), group["starts"].to_pylist()) if r is not None]
+        rows, starts = np.frombuffer(lists[0][0], np.int64), _from_planes(lists[0][1], np.uint64).astype(np.int64)
+        places = np.sort(np.concatenate([np.zeros(0, np.int64), *(_from_gaps(g) for g in group["gaps"].to_pylist() if g is not None)]))
+        doc = np.searchsorted(starts, places, side="right") - 1
+        cuts = np.nonzero(np.diff(doc, prepend=-1))[0]
+        found = [(int(rows[doc[a]]), (places[a:b] - starts[doc[a]]).astype(np.uint32).tobytes())
+                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)])]
+        return pa.table({"row": pa.array([r for r, _ in found], pa.int64()), "places": pa.array([p for _, p in found], pa.binary())})
 
-    found = entries.groupBy("bucket").applyInArrow(pick, "home int, rows binary, counts binary, places binary")
-    return found.groupBy("home").applyInArrow(bring, "row long, places binary")
+    found = entries.groupBy("bucket").applyInArrow(pick, "chunk long, gaps binary, rows binary, starts binary")
+    # rows equal in id and text find the same places that matter
+    return found.groupBy("chunk").applyInArrow(bring, "row long, places binary").dropDuplicates(["row"])
 
 
 def _shared(hashes, flags, ids):
@@ -291,13 +274,9 @@ def extensions(hits: DataFrame, block: int, window: int, buckets: int) -> DataFr
         order, first, run = _runs_of(key, other)
         least = np.minimum.reduceat(ids[doc[order]], first)
         later = order[ids[doc[order]] > least[run]]
-        if len(later):
-            yield from _local(rows[doc[later]], place[later] - starts[doc[later]], buckets)
-        some = np.sort(order[ids[doc[order]] == least[run]])  # of one document, as a rule
+        some = order[ids[doc[order]] == least[run]]  # of one document, as a rule
         bucket = (other[some] % np.uint64(buckets)).astype(np.int32)
-        packed = _packed(bucket, key[some], np.zeros(len(some), bool), place[some], doc[some], starts, ids, rows)
-        for at in range(0, len(packed), 4096):
-            yield batch_of(_ENTRIES, *zip(*packed[at:at + 4096]))
+        yield from _entries(buckets, rows, starts, place[later], bucket, key[some], np.zeros(len(some), bool), place[some], ids[doc[some]])
 
     def read(batches):
         chunk, hit = _Chunk(), []
@@ -337,7 +316,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(size // 6)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hits = stored(_gathered(anchors(known, block, window, buckets), buckets, _shared, np.uint32))
+    hits = stored(_gathered(anchors(known, block, window, buckets), _shared, np.uint32))
     copies = known.select("doc_id", "row", F.xxhash64("text").alias("low"), F.xxhash64(F.lit(1), "text").alias("high"))
     first = copies.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     later = copies.join(first.where("least < most"), ["low", "high"]).where("doc_id > least").select("row").distinct()
@@ -345,7 +324,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     told = stored(hit.join(later, "row", "left_anti").unionByName(
         later.select("row", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("whole"))))
     near = stored(marked(docs, told, "row").join(told, "row", "left"))
-    starts = stored(_gathered(extensions(near.where("places IS NOT NULL"), block, window, buckets), buckets, _later, np.uint64)
+    starts = stored(_gathered(extensions(near.where("places IS NOT NULL"), block, window, buckets), _later, np.uint64)
                     .withColumnRenamed("places", "starts"))
     found = near.join(starts, "row", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("starts").alias("places"))
     return found.unionByName(marked(docs, told, "row", False).select(

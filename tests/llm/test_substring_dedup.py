@@ -67,7 +67,7 @@ def test_hot_passage(spark, monkeypatch):
     got = check(df, 50)
     assert sum(r[2] == 60 for r in got) == 599
     docs = df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS row")
-    sent = [r for r in sd.anchors(docs, 25, 50, 1).collect() if r.runs is not None]
+    sent = [r for r in sd.anchors(docs, 25, 50, 1).collect() if r.hashes is not None]
     assert sum(len(r.hashes) // 4 for r in sent) < 2 * 36 * len(sent) + sum(len(WORD.findall(t)) - 60 + 25 for _, t in rows)
 
 
