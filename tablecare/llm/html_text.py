@@ -6,17 +6,27 @@ of its host.  Tokens with equal vectors form an equivalence class.  A class
 that occurs in at least half of the host's pages is valid, and the classes
 nest by their paths: those that occur once a page are the template's skeleton,
 those that occur any number of times (paragraphs, list items) repeat inside
-it, and text in the class of an element (of at least ``_LEAST`` pages) is part
+it, and text in the class of an element (of at least two pages) may be part
 of the template.  What the template doesn't fix are its slots.  The main element of a host is found on the skeleton: from
 the root downwards, as long as one container holds most of its parent's slot
 text.  A page's main text is the text of the slots in that element, without
-elements that name themselves as menus, adverts, comments and the like; a page
-without any text of its own (copies of one page on a host) keeps the template's.
+elements that name themselves as menus, adverts, comments and the like.
+
+Text counts as the template's only beside an article of the page's own: where
+what the host repeats is more than ``_OWN`` of the text in a page's main
+element, the page is a copy or a near copy of others and keeps it all.  Names
+only confirm: what a ``main`` element, or else the page's first article, stands
+in is no aside whatever its classes say; classes that tell of other elements
+(``has-sidebar``, ``no-header``) are not names; and a page that names would
+leave without text is read again without its classes.
 
 Vectors are never held: equal vectors are recognised by two sums of hashes of
 (page, count), which aggregate partially before the shuffle, so a host with a
-third of all pages costs one row a task and token.  The templates, a row a
-host, meet the pages in a join whose form Spark picks by their size.
+third of all pages costs one row a task and token.  Every page adds up the text
+below each of its elements itself, so a host's deduction sees only tokens of at
+least half of its pages: no more than twice those of a page, however many rare
+paths there are.  The templates, a row a host, meet the pages in a join whose
+form Spark picks by their size.
 
 A null or empty page, or one without text, has the empty text.  Pages without
 a host in their url are taken as one host; a page that lacks its host's main
@@ -53,9 +63,21 @@ signup login share sharing social related recommended comment comments respond r
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>"'/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-_SHARE, _MOST = 0.5, 0.6
-#: Pages that a class needs before its text counts as the template's.
-_LEAST = 3
+_SHARE, _MOST, _OWN = 0.5, 0.6, 0.5
+#: Pages that a class needs before its text counts as the template's: one page repeats nothing.
+_LEAST = 2
+#: Beginnings of classes that tell what stands elsewhere.
+_ABOUT = ("has", "no", "with", "without", "hide", "show", "is", "not")
+
+
+def _named(value: str) -> list[str]:
+    """The words of the names in an attribute."""
+    out = []
+    for name in value.split():
+        found = re.findall("[a-z]+", name)
+        if found and (len(found) == 1 or found[0] not in _ABOUT):
+            out += found
+    return out
 
 
 def events(page: str):
@@ -88,7 +110,7 @@ def events(page: str):
             if a:
                 at = a.end()
                 if a[1].lower() in ("class", "id", "role"):
-                    words += re.findall("[a-z]+", (a[2] or a[3] or a[4] or "").lower())
+                    words += _named((a[2] or a[3] or a[4] or "").lower())
             elif page[at] in "\"'":  # a quote that nothing closes takes the rest
                 close = page.find(page[at], at + 1)
                 at = end if close < 0 else close + 1
@@ -112,22 +134,59 @@ def _text_token(path: int, text: str) -> int:
     return _hash(path, "text " + " ".join(text.split()))
 
 
-def _is_aside(name: str, words: list[str]) -> bool:
+def _is_aside(name: str, words: list[str], names: bool = True) -> bool:
     if name in _RAW or name in _ASIDE_TAGS:
         return True
-    return name not in ("html", "body", "main", "article") and not _ASIDE_WORDS.isdisjoint(words)
+    return names and name not in ("html", "body", "main", "article") and not _ASIDE_WORDS.isdisjoint(words)
+
+
+_ANCHOR = re.compile(r"<(?:main|article)[\s/>]", re.I)
 
 
 class _Walk:
     """Walks a page; calls ``opened(path, parent, name, aside)`` and ``text(path, text, in_link, aside)``, and
-    ``broken()`` where a block ends."""
-
-    def __init__(self, opened=None, text=None, broken=None):
-        self.opened, self.text, self.broken = opened, text, broken
+    ``broken()`` where a block ends.  Without ``names``, classes make no asides."""
+
+    def __init__(self, opened=None, text=None, broken=None, names: bool = True):
+        self.opened, self.text, self.broken, self.names = opened, text, broken, names
+
+    @staticmethod
+    def _nested(found: list, k: int, stack: list) -> bool:
+        """Follows element event ``k`` on a stack of (name, event, ...): whether it opened an element there."""
+        event = found[k]
+        kind, name = event[0], event[1]
+        if kind == "close":
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == name:
+                    del stack[i:]
+                    break
+            return False
+        if stack[-1][0] == "p" or stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
+            stack.pop()
+        return name not in _VOID
+
+    def _around(self, found: list) -> frozenset[int]:
+        """The events that open what the page's first main element, or else its first article, stands in."""
+        stack, article = [("", -1)], None
+        for k, event in enumerate(found):
+            if event[0] == "text" or event[1] in _INLINE or not self._nested(found, k, stack):
+                continue
+            name = event[1]
+            if name in ("main", "article"):
+                outer = frozenset(i for _, i in stack if i >= 0)
+                closed = any(found[i][1] in _RAW or found[i][1] in _ASIDE_TAGS - {"form"} for i in outer)
+                if name == "main" and not closed:
+                    return outer
+                if article is None and not closed and _ASIDE_WORDS.isdisjoint(event[2]):
+                    article = outer
+            stack.append((name, k))
+        return article or frozenset()
 
     def run(self, page: str) -> None:
+        found = list(events(page))
+        around = self._around(found) if _ANCHOR.search(page) else frozenset()
         stack, links = [("", 0, False)], 0  # name, path, aside
-        for event in events(page):
+        for k, event in enumerate(found):
             kind, name = event[0], event[1]
             if kind == "text":
                 self.text(stack[-1][1], name, links > 0, stack[-1][2])
@@ -139,18 +198,10 @@ class _Walk:
                     self.text(stack[-1][1], " ", False, stack[-1][2])
                 continue
             self.broken()
-            if kind == "close":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                continue
-            if stack[-1][0] == "p" or stack[-1][0] in _CLOSED_BY_NEXT.get(name, ()):
-                stack.pop()
-            if name in _VOID:
+            if not self._nested(found, k, stack):
                 continue
             words = event[2]
-            aside = stack[-1][2] or _is_aside(name, words)
+            aside = stack[-1][2] or (k not in around and _is_aside(name, words, self.names))
             path = _hash(stack[-1][1], f"{name} {' '.join(sorted(words))}")
             self.opened(path, stack[-1][1], name, aside)
             stack.append((name, path, aside))
@@ -158,8 +209,9 @@ class _Walk:
 
 
 def page_tokens(page: str) -> list[tuple]:
-    """(token, parent, container, aside, count, chars) of a page's elements, and of its texts with container -1."""
-    count, facts, chars = Counter(), {}, Counter()
+    """(token, parent, container, aside, count, chars) of a page's elements, with the text below them, and of its texts
+    with container -1."""
+    count, facts, chars = Counter(), {0: (0, 0, False)}, Counter()
 
     def opened(path, parent, name, aside):
         count[path] += 1
@@ -178,33 +230,40 @@ def page_tokens(page: str) -> list[tuple]:
             chars[token] += n
 
     _Walk(opened, text, lambda: None).run(page)
-    return [(token, *facts[token], n, chars[token]) for token, n in count.items()] + (
-        [(0, 0, 0, False, 1, chars[0])])
+    count[0] = 1
+    for path in reversed(facts):  # an element is met before what it holds
+        parent, container, _ = facts[path]
+        if path and container >= 0:
+            chars[parent] += chars[path]
+    return [(token, *facts[token], n, chars[token]) for token, n in count.items()]
 
 
 def main_element(tokens, pages: int) -> int:
-    """The path of the main element of ``pages`` pages, from their tokens:
+    """The path of the main element of ``pages`` pages, from those of their tokens that are in half of the pages:
     (token, parent, container, aside, n_pages, total, chars, vector)."""
     valid = [t for t in tokens if t[4] >= _SHARE * pages]
-    classes = defaultdict(list)
+    parent = {t[0]: t[1] for t in valid if t[2] >= 0 and not t[3] and t[0]}
+    holds = Counter({t[0]: t[6] for t in valid if t[2] >= 0 and not t[3]})
+    fixed = set(template_texts(valid, pages))
+    depth = {0: 0}
+    for path in parent:
+        way = []
+        while path in parent and path not in depth:
+            way.append(path)
+            path = parent[path]
+        base = depth.get(path, 0)
+        for i, p in enumerate(reversed(way)):
+            depth[p] = base + i + 1
+    taken = Counter()
     for t in valid:
-        classes[t[7]].append(t)
-    slot = {t[0]: t[6] for t in tokens if t[2] >= 0 and not t[3]}
-    if pages > 1:
-        for members in classes.values():  # text of a class with elements in it belongs to the template
-            if any(t[2] >= 0 for t in members):
-                for t in members:
-                    if t[2] < 0 and t[1] in slot:
-                        slot[t[1]] -= t[6]
-    children, holds = defaultdict(list), Counter()
-    parent = {t[0]: t[1] for t in tokens if t[2] >= 0 and not t[3] and t[0]}
-    for path, n in slot.items():
-        seen = 0
-        while True:
-            holds[path] += max(n, 0)
-            if not path or seen > 500:
-                break
-            path, seen = parent.get(path, 0), seen + 1
+        if t[0] in fixed:  # text of the template is no slot's, wherever it counts
+            taken[t[1]] += t[6]
+    for path in sorted(parent, key=lambda p: (-depth[p], p)):
+        taken[parent[path]] += taken[path]
+    own = Counter({p: n - taken[p] for p, n in holds.items()})
+    if own[0] > (1 - _OWN) * holds[0]:
+        holds = own  # else these pages are copies of each other: all of their text counts
+    children = defaultdict(list)
     skeleton = {t[0]: t[2] for t in valid if t[2] >= 1 and not t[3] and (t[5] == t[4] or t[2] == 2)}
     for path in skeleton:
         if path in parent:
@@ -212,7 +271,7 @@ def main_element(tokens, pages: int) -> int:
     at, stop = 0, False
     while not stop and children[at]:
         best = max(children[at], key=lambda p: (holds[p], p))
-        if holds[best] < _MOST * holds[at] or not holds[best]:
+        if holds[best] < _MOST * holds[at] or holds[best] <= 0:
             break
         at, stop = best, skeleton[best] == 2
     return at
@@ -225,27 +284,31 @@ def template_texts(tokens, pages: int) -> list[int]:
     return sorted(t[0] for t in valid if t[2] < 0 and t[7] in elements)
 
 
-def main_text(page: str | None, main: int, fixed: frozenset[int] = frozenset()) -> str:
-    """Text under the path ``main`` (0: anywhere), block by block, without the text tokens ``fixed``."""
-    blocks, block, under = [], [], {0: main == 0}
+def main_text(page: str | None, main: int, fixed: frozenset[int] = frozenset(), names: bool = True) -> str:
+    """Text under the path ``main`` (0: anywhere), block by block, without the text tokens ``fixed`` unless they are
+    more than ``_OWN`` of it."""
+    blocks, under, held = [], {0: main == 0}, [0, 0]
+    block: list[tuple[str, bool]] = []
 
     def opened(path, parent, name, aside):
         under[path] = path == main or under.get(parent, False)
 
     def text(path, t, in_link, aside):
-        if not aside and under.get(path, False) and not (fixed and not t.isspace() and _text_token(path, t) in fixed):
-            block.append(t)
+        if not aside and under.get(path, False):
+            again = bool(fixed) and not t.isspace() and _text_token(path, t) in fixed
+            held[again] += len(t.strip())
+            block.append((t, again))
 
     def broken():
         if block:
-            joined = " ".join(html.unescape("".join(block)).split())
-            if joined:
-                blocks.append(joined)
+            blocks.append(block.copy())
             block.clear()
 
-    _Walk(opened, text, broken).run(page or "")
+    _Walk(opened, text, broken, names).run(page or "")
     broken()
-    return "\n\n".join(blocks)
+    whole = held[1] > _OWN * sum(held)
+    texts = (" ".join(html.unescape("".join(t for t, again in b if whole or not again)).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
 
 
 def own_main(page: str) -> int:
@@ -281,9 +344,9 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         F.min("parent").alias("parent"), F.max("container").alias("container"), F.max("aside").alias("aside"),
         F.count(F.lit(1)).alias("pages"), F.sum("count").alias("total"), F.sum("chars").alias("chars"),
         F.sum("low").alias("low"), F.sum("high").alias("high"))
-    # a host's page count stands on its token 0; texts in less than half of the pages are slots, and go here
+    # a host's page count stands on its token 0; what is in less than half of the pages is slots, and goes here
     counts = vectors.where("token = 0").select("host", F.col("pages").alias("n"))
-    kept = vectors.join(counts, "host").where((F.col("container") >= 0) | (F.col("pages") >= _SHARE * F.col("n")))
+    kept = vectors.join(counts, "host").where(F.col("pages") >= _SHARE * F.col("n"))
 
     def deduce(group: pa.Table) -> pa.Table:
         cols = [group[c].to_pylist() for c in ("token", "parent", "container", "aside", "pages", "total", "chars", "low", "high")]
@@ -308,7 +371,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for page, main, fixed in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
                 text = main_text(page, main or 0, frozenset(fixed or ()))
                 if not text and page:
-                    text = main_text(page, main or 0) or main_text(page, own_main(page))
+                    text = main_text(page, own_main(page)) or main_text(page, 0, names=False)
                 texts.append(text)
             yield batch_of(schema, part.column(0), part.column(1), texts, [len(t) for t in texts])
 

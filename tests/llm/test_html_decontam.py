@@ -141,3 +141,51 @@ def test_items_in_parts(spark, documents, monkeypatch):
     assert len(parts) > 2 and sum(len(p.ids) for p in parts) == bench.count()
     texts = [(r.doc_id, r.text) for r in documents.collect()]
     assert one <= {(d, p.ids[i]) for p in parts for (d, _), h in zip(texts, p.hits([t for _, t in texts])) for i, *_ in h}
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_near_copies_on_a_host_keep_their_article(spark):
+    """Text that pages share is theirs, not the template's, where it is most of what they say."""
+    article = "\n".join(f"<p>{' '.join(f'same{b}word{j}' for j in range(30))}</p>" for b in range(4))
+    page = "<body><nav>Menu</nav><article><p>Posted on day {}.</p>{}<p>Tell a friend</p></article><footer>f</footer></body>"
+    plain = "\n\n".join(" ".join(f"same{b}word{j}" for j in range(30)) for b in range(4))
+    rows = [(i, "http://copies.example/a", page.format(i, article)) for i in range(4)]
+    got = texts_of(spark, rows)
+    assert got == {i: f"Posted on day {i}.\n\n{plain}\n\nTell a friend" for i in range(4)}
+    # syndicated: four copies, of a class of their own, beside three other articles
+    other = [" ".join(f"other{i}x{j}" for j in range(100)) for i in range(3)]
+    rows += [(10 + i, "http://copies.example/a", page.format(i, f"<p>{o}</p>")) for i, o in enumerate(other)]
+    rows = [(k, "http://syndicated.example/" + str(k), h) for k, _, h in rows]
+    got = texts_of(spark, rows)
+    assert all(got[i].startswith(f"Posted on day {i}.\n\n{plain}") for i in range(4))
+    assert all(got[10 + i].startswith(f"Posted on day {i}.\n\n{o}") for i, o in enumerate(other))
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 9])
+@pytest.mark.parametrize("name", ["has-sidebar", "layout has-sidebar no-comments", "related", "notice", "page header", "comment", "ad"])
+def test_names_only_confirm(spark, name, pages):
+    """What an article stands in, and all that a page has, is no aside, whatever its classes say."""
+    article = "<article><h1>T{0}</h1><p>" + " ".join(f"w{{0}}x{j}" for j in range(60)) + "</p></article>"
+    bare = "<h1>T{0}</h1><p>" + " ".join(f"w{{0}}x{j}" for j in range(60)) + "</p>"
+    about = '<ul class="comments"><li><article class="comment"><p>I say {0}</p></article></ul>'
+    want = "T{0}\n\n" + " ".join(f"w{{0}}x{j}" for j in range(60))
+    rows = [(i, "http://a.example/", f'<body><div class="{name}">{article}</div>{about}</body>'.format(i)) for i in range(pages)]
+    assert texts_of(spark, rows) == {i: want.format(i) for i in range(pages)}
+    rows = [(i, "http://b.example/", f'<body><div class="{name}">{bare}</div></body>'.format(i)) for i in range(pages)]
+    assert texts_of(spark, rows) == {i: want.format(i) for i in range(pages)}
+
+
+def test_paths_of_their_own_stay_out_of_the_deduction(spark):
+    """Generated class names: what goes to a host's task doesn't grow with its pages, and their text counts."""
+    page = '<body><div class="top menu">m</div><div class=post><div id="{0}x{0}"><p>{1}</p></div></div><div class=tail>read on</div></body>'
+    rows = [(i, "http://hot.example/", page.format("".join(chr(97 + int(d)) for d in str(i)), " ".join(f"v{i}y{j}" for j in range(20)))) for i in range(40)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == " ".join(f"v{i}y{j}" for j in range(20)) for i in range(40))
+
+
+def test_deep_nesting():
+    deep = "<div>" * 900 + "<p>" + "deep words " * 30 + "</p>"
+    assert main_text("<body><div class=a>short</div>" + deep, own_main("<body><div class=a>short</div>" + deep)) == ("deep words " * 30).strip()
