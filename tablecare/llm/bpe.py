@@ -33,8 +33,10 @@ from tokenizers import Tokenizer
 _UNSURE = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]")
 #: A space with white space on both sides.
 _INNER_SPACE = re.compile("[\t\n\r ] [\t\n\r ]")
-#: Entries of a chunk table; a full table is emptied, which costs time, not correctness.
-CACHE = 150_000
+#: Marks that are a pre-token of their own after letters, when nothing follows.
+_MARKS = frozenset(".,;:!?)")
+#: Bytes that a table of chunks may hold, about: those of its strings and ids, and ``_ENTRY`` for each entry's objects.
+CACHE_BYTES, _ENTRY = 48 << 20, 180
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -45,18 +47,33 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Table(dict):
-    """chunk -> value, filled on first use and emptied when full."""
+    """chunk -> value, filled on first use.  Two generations of bounded size:
+    a full one becomes the old one, from which what is asked for again moves
+    over, so frequent chunks stay and the others go."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.room, self.old = make, most or CACHE_BYTES, most or CACHE_BYTES, {}
 
     def __missing__(self, chunk):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[chunk] = self.make(chunk)
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+        return self.put(chunk, value)
+
+    def put(self, chunk, value):
+        self.room -= len(chunk) + _ENTRY + (len(value) if isinstance(value, bytes) else 0)
+        if self.room < 0:
+            self.old = dict(self)
+            super().clear()
+            self.room = self.most
+        self[chunk] = value
         return value
 
+    def clear(self):
+        super().clear()
+        self.old, self.room = {}, self.most
+
 
 class ByteBpe:
     def __init__(self, path: str):
@@ -76,7 +93,7 @@ class ByteBpe:
         self.whole = self._whole_tokens(model["vocab"], {c: b for b, c in alphabet.items()}) if self.plain else {}
         self.piece_ids = _Table(self._piece)
         self.chunk_ids = _Table(self._chunk)
-        self.chunk_sizes = _Table(lambda chunk: len(self._chunk(chunk)) // 4)
+        self.chunk_sizes = _Table(lambda chunk: len(self.chunk_ids[chunk] if chunk.isalpha() else self._chunk(chunk)) // 4)
 
     def _whole_tokens(self, vocab: dict[str, int], byte_of: dict[str, int]) -> dict[str, int]:
         """Strings proved to encode alone as their own single id."""
@@ -95,15 +112,26 @@ class ByteBpe:
         i = self.whole.get(piece)
         if i is not None:
             return i.to_bytes(4, sys.byteorder)
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_model))
-        return array("I", [t.id for t in tokens]).tobytes()
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():  # letters stand for themselves
+            written = self.to_model[32] + piece[1:]
+        else:
+            written = piece.encode().decode("latin-1").translate(self.to_model)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _pre_token(self, piece: str) -> bytes:
+        """Letters after a space are kept as the chunk that they are, other pre-tokens in a table of their own."""
+        return self.chunk_ids[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.piece_ids[piece]
 
     def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece_ids.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self._pre_token, self.pattern.findall(text)))
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk after its space; letters alone are one pre-token with it."""
-        return self.piece_ids[" " + chunk] if chunk.isalpha() else self._cut(" " + chunk)
+        """Ids of a chunk after its space; letters alone are one pre-token with it, and one mark after them is another."""
+        if chunk.isalpha():
+            return self._piece(" " + chunk)
+        if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+            return self.chunk_ids[chunk[:-1]] + self.piece_ids[chunk[-1]]
+        return self._cut(" " + chunk)
 
     def word_ids(self, word: str) -> bytes:
         """As ``_chunk``, remembering nothing: for words that come once."""
