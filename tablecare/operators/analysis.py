@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import predicates as P
 from ..session import pinned
+from .classify import date_counts
 from .infer import TypePlan, invalid_predicate, numeral_to_double
 from .rowid import ROW_ID
-from .profile import (MOMENT_KEYS, QUANTILES, approx_stats, distinct_stats, first_pass, profile, quantile_stats,
-                      value_counts_long)
+from .profile import (MOMENT_KEYS, QUANTILES, approx_stats, distinct_stats, first_pass, modes, profile, quantile_stats,
+                      spelling_counts, value_counts_long)
 
 FLAG_COLUMNS = ("_is_duplicate", "_outlier_cols", "_empty_cols", "_missing_cols",
                 "_invalid_type_cols", "_inconsistent_category_cols")
@@ -77,6 +78,8 @@ class ColumnStats:
             return a._moments[c][key]
         if key in QUANTILES:
             return a._quantiles.get(c, {}).get(key) if P.is_numeric(a.types[c]) else None
+        if key in ("mode", "mode_num") and not a.approx and "_distinct" not in a.__dict__:
+            return a.mode_of(c)[key]
         return a._distinct.get(c, {}).get(key)
 
     def __getitem__(self, key: str):
@@ -97,6 +100,7 @@ class Analysis:
         self.carried = [c for c in raw.columns if c == ROW_ID]
         self.columns = [c for c in raw.columns if c != ROW_ID]
         self.dup_keys = list(dup_keys) if dup_keys else list(self.columns)
+        self._modes: dict[str, dict] = {}
         self.raw_types = {f.name: f.dataType for f in raw.schema.fields}
 
     # ---- decisions (small jobs, results on the driver) -------------------
@@ -157,6 +161,14 @@ class Analysis:
         part = approx_stats if self.approx else distinct_stats
         return {r["column"]: r.asDict() for r in part(self.both, self.columns, self.tokens).collect()}
 
+    def mode_of(self, c: str) -> dict:
+        """A column's mode, without a count of its distinct values."""
+        if c not in self._modes:
+            text, number, _ = modes(self.both, [c], self.tokens)[c]
+            as_text = None if number is None else self.raw.sparkSession.range(1).select(F.lit(number).cast("string")).first()[0]
+            self._modes[c] = {"mode": as_text if number is not None else text, "mode_num": number}
+        return self._modes[c]
+
     @cached_property
     def _quantiles(self) -> dict[str, dict]:
         """Order statistics of the numeric columns, when first asked for."""
@@ -189,10 +201,11 @@ class Analysis:
 
     @cached_property
     def date_shares(self) -> DataFrame:
-        """``(column, date_share)`` of the text columns, from the first pass."""
+        """``(column, date_share)`` of the text columns: dates among all non-null cells, counted when first asked for."""
         f = self._first
         texts = [(i, c) for i, c in enumerate(self.columns) if P.is_string(self.raw_types[c])]
-        rows = [(c, f[f"{i}_dates"] / (f["rows"] - f[f"{i}_nulls"]) if f["rows"] > f[f"{i}_nulls"] else None) for i, c in texts]
+        dates = {r["column"]: r["dates"] for r in date_counts(self.raw, [c for _, c in texts]).collect()} if texts else {}
+        rows = [(c, dates.get(c, 0) / (f["rows"] - f[f"{i}_nulls"]) if f["rows"] > f[f"{i}_nulls"] else None) for i, c in texts]
         return self.raw.sparkSession.createDataFrame(rows, "column string, date_share double")
 
     @cached_property
@@ -206,8 +219,14 @@ class Analysis:
     @cached_property
     def _category_columns(self) -> list[str]:
         """Text columns in which some value has several spellings."""
-        return [c for c in self.columns if P.is_string(self.types[c])
-                and (self.stats[c]["lower_distinct"] or 0) < (self.stats[c]["distinct_nonblank"] or 0)]
+        texts = [c for c in self.columns if P.is_string(self.types[c])]
+        if not texts:
+            return []
+        if "_distinct" in self.__dict__:  # another result has asked for it already
+            several = {c for c in texts if (self.stats[c]["lower_distinct"] or 0) < (self.stats[c]["distinct_nonblank"] or 0)}
+        else:
+            several = {r["column"] for r in spelling_counts(self.typed, texts).where("spellings > lowered").collect()}
+        return [c for c in texts if c in several]
 
     @cached_property
     def category_table(self) -> DataFrame:
@@ -386,11 +405,11 @@ class Analysis:
         return out
 
     def _issue_counts_for(self, columns) -> DataFrame:
-        aggs = []
+        aggs, at = [], {c: i for i, c in enumerate(columns)}
         for kind in ("missing", "empty", "outlier", "invalid", "inconsistent"):
             for c, p in self.issue_preds(kind):
                 if c in columns:
-                    aggs.append(F.count_if(p).alias(f"{kind}|{c}"))
+                    aggs.append(F.count_if(p).alias(f"{kind}|{at[c]}"))
         if not aggs:
             aggs = [F.count(F.lit(1)).alias("_rows")]
         row = self.judged.agg(*aggs)
@@ -398,7 +417,7 @@ class Analysis:
         items = []
         for c in columns:
             def get(kind):
-                k = f"{kind}|{c}"
+                k = f"{kind}|{at[c]}"
                 return F.col(f"`{k}`") if k in names else F.lit(0).cast("bigint")
             items.append(F.struct(F.lit(c).alias("column"), get("missing").alias("missing"),
                                   get("empty").alias("empty"), get("outlier").alias("outliers"),

@@ -11,61 +11,76 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import predicates as P
 from .quantiles import order_stats
 
+q = P.quoted
+#: Columns of a pivoted matrix at most.
+MOST_COLUMNS = 10_000
+
 
 def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.col(q(c)) if isinstance(c, str) else c
 
 
-def value_counts(df: DataFrame, col: str, k: int | None = 10, null_label: str | None = None) -> DataFrame:
-    """``(col, count)`` by count desc; null is a group (optionally labelled)."""
-    g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    g = g.orderBy(F.desc("count"), F.asc_nulls_last(col))
+def value_counts(df: DataFrame, col: str, k: int | None = 10, null_label: str | None = None,
+                 counted: DataFrame | None = None) -> DataFrame:
+    """``(col, count)`` by count desc; null is a group (optionally labelled).
+    ``counted``: the counts of all values, where a cube has them."""
+    g = counted if counted is not None else df.groupBy(q(col)).agg(F.count(F.lit(1)).alias("count"))
+    g = g.orderBy(F.desc("count"), F.asc_nulls_last(q(col)))
     if k:
         g = g.limit(k)
     if null_label is not None:
-        g = g.select(F.coalesce(F.col(col).cast("string"), F.lit(null_label)).alias(col), "count")
+        g = g.select(F.coalesce(F.col(q(col)).cast("string"), F.lit(null_label)).alias(col), "count")
     return g
 
 
-def sum_by(df: DataFrame, cat: str, num: str, k: int | None = 15, null_label: str | None = None) -> DataFrame:
-    """``(cat, num)`` = total of ``num`` per category, largest first; null is a group (optionally labelled)."""
-    g = df.groupBy(cat).agg(F.coalesce(F.sum(num), F.lit(0)).alias(num))
-    g = g.orderBy(F.desc(num), F.asc_nulls_last(cat))
+def sum_by(df: DataFrame, cat: str, num: str, k: int | None = 15, null_label: str | None = None,
+           summed: DataFrame | None = None) -> DataFrame:
+    """``(cat, num)`` = total of ``num`` per category, largest first; null is a group (optionally labelled).
+    ``summed``: the totals of all categories, where a cube has them."""
+    g = summed if summed is not None else df.groupBy(q(cat)).agg(F.coalesce(F.sum(q(num)), F.lit(0)).alias(num))
+    g = g.orderBy(F.desc(q(num)), F.asc_nulls_last(q(cat)))
     g = g.limit(k) if k else g
     if null_label is not None:
-        g = g.select(F.coalesce(F.col(cat).cast("string"), F.lit(null_label)).alias(cat), num)
+        g = g.select(F.coalesce(F.col(q(cat)).cast("string"), F.lit(null_label)).alias(cat), q(num))
     return g
 
 
-def sum_by_date(df: DataFrame, date: str, num: str, last: int | None = 50) -> DataFrame:
-    """Totals per date over non-null dates, ascending, the last ``last`` dates."""
-    g = df.where(F.col(date).isNotNull()).groupBy(date).agg(F.coalesce(F.sum(num), F.lit(0)).alias(num))
+def sum_by_date(df: DataFrame, date: str, num: str, last: int | None = 50, summed: DataFrame | None = None) -> DataFrame:
+    """Totals per date over non-null dates, ascending, the last ``last`` dates.
+    ``summed``: the totals of all dates, where a cube has them."""
+    dated = (summed if summed is not None else df).where(F.col(q(date)).isNotNull())
+    g = dated if summed is not None else dated.groupBy(q(date)).agg(F.coalesce(F.sum(q(num)), F.lit(0)).alias(num))
     if last:
-        g = g.orderBy(F.desc(date)).limit(last)
-    return g.orderBy(date)
+        g = g.orderBy(F.desc(q(date))).limit(last)
+    return g.orderBy(q(date))
 
 
 def sum_matrix(df: DataFrame, c1: str, c2: str, num: str, pivot: bool = False) -> DataFrame:
-    """Totals per pair of categories; ``pivot=True`` for the matrix display."""
+    """Totals per pair of categories; ``pivot=True`` for the matrix
+    display, whose columns are the values of ``c2``: more than ``MOST_COLUMNS``
+    raise a ValueError (take the long form)."""
     if pivot:  # the values become columns, so they are listed first
-        values = [r[0] for r in df.select(c2).distinct().orderBy(F.asc_nulls_last(c2)).collect()]
-        return df.groupBy(c1).pivot(c2, values).agg(F.coalesce(F.sum(num), F.lit(0))).na.fill(0)
-    return df.groupBy(c1, c2).agg(F.coalesce(F.sum(num), F.lit(0)).alias(num))
+        listed = df.select(q(c2)).distinct().limit(MOST_COLUMNS + 1).orderBy(F.asc_nulls_last(q(c2))).collect()
+        if len(listed) > MOST_COLUMNS:
+            raise ValueError(f"{c2!r} has more than {MOST_COLUMNS} values, too many columns for a matrix")
+        values = [r[0] for r in listed]
+        return df.groupBy(q(c1)).pivot(q(c2), values).agg(F.coalesce(F.sum(q(num)), F.lit(0))).na.fill(0)
+    return df.groupBy(q(c1), q(c2)).agg(F.coalesce(F.sum(q(num)), F.lit(0)).alias(num))
 
 
 def mean_by(df: DataFrame, cat: str, num: str, k: int = 20, min_cv: float = 0.05) -> DataFrame:
     """Mean per category (null categories dropped), top ``k`` by mean; the
     chart is kept only when the group means vary (|std/mean| > ``min_cv``)."""
-    g = (df.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.avg(num).alias(num))
-           .where(F.col(num).isNotNull()).orderBy(F.desc(num), F.asc(cat)).limit(k))
+    g = (df.where(F.col(q(cat)).isNotNull()).groupBy(q(cat)).agg(F.avg(q(num)).alias(num))
+           .where(F.col(q(num)).isNotNull()).orderBy(F.desc(q(num)), F.asc(q(cat))).limit(k))
     w = Window.partitionBy()  # over the <= k kept rows
-    cv = F.try_divide(F.stddev_samp(num).over(w), F.avg(num).over(w))
+    cv = F.try_divide(F.stddev_samp(q(num)).over(w), F.avg(q(num)).over(w))
     return g.withColumn("cv", cv).where(F.abs(F.coalesce(F.col("cv"), F.lit(0.0))) > min_cv)
 
 
 def month_spine(df: DataFrame, ts: str) -> DataFrame:
     """Every calendar month end between the first and last date (one row per month)."""
-    b = df.agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    b = df.agg(F.min(q(ts)).alias("_a"), F.max(q(ts)).alias("_b"))
     return b.select(F.explode(F.sequence(F.trunc(F.to_date("_a"), "month"), F.trunc(F.to_date("_b"), "month"),
                                          F.expr("INTERVAL 1 MONTH"))).alias("_m")).select(
         F.last_day("_m").alias("month"))
@@ -73,8 +88,8 @@ def month_spine(df: DataFrame, ts: str) -> DataFrame:
 
 def monthly_mean(df: DataFrame, ts: str, num: str) -> DataFrame:
     """``(month, num)``: mean per calendar month end; empty months kept as null."""
-    d = df.where(F.col(ts).isNotNull())
-    means = d.groupBy(F.last_day(F.to_date(ts)).alias("month")).agg(F.avg(num).alias(num))
+    d = df.where(F.col(q(ts)).isNotNull())
+    means = d.groupBy(F.last_day(F.to_date(q(ts))).alias("month")).agg(F.avg(q(num)).alias(num))
     return month_spine(d, ts).join(means, "month", "left").orderBy("month")
 
 
@@ -82,10 +97,10 @@ def trend_summary(monthly: DataFrame, num: str, min_cv: float = 0.05, min_change
     """One row: months, first/last mean, % change, peak month, cv, keep flag."""
     s = monthly.agg(
         F.count(F.lit(1)).alias("months"),
-        F.min_by(num, "month").alias("first"), F.max_by(num, "month").alias("last"),
-        F.min_by("month", F.struct(F.when(F.col(num).isNotNull(), -F.col(num)).alias("v"), F.col("month"))
+        F.min_by(q(num), "month").alias("first"), F.max_by(q(num), "month").alias("last"),
+        F.min_by("month", F.struct(F.when(F.col(q(num)).isNotNull(), -F.col(q(num))).alias("v"), F.col("month"))
                  ).alias("peak_month"),
-        F.stddev_samp(num).alias("_sd"), F.avg(num).alias("_mu"))
+        F.stddev_samp(q(num)).alias("_sd"), F.avg(q(num)).alias("_mu"))
     chg = F.when(F.col("first").isNotNull() & (F.col("first") != 0),
                  (F.col("last") - F.col("first")) / F.col("first") * 100).otherwise(F.lit(0.0))
     cv = F.when(F.col("_mu") != 0, F.abs(F.col("_sd") / F.col("_mu"))).otherwise(F.lit(0.0))
@@ -98,16 +113,16 @@ def crosstab(df: DataFrame, x: str, y: str, rows: int = 15) -> DataFrame:
     """Long ``(x, y, n)``, zero-filled, first ``rows`` x values in sort
     order; null x or y rows are left out.  Any number of y values: the zeros
     come from the list of y values, each beside the ``rows`` x values."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    first = d.select(x).distinct().orderBy(x).limit(rows)
-    ys = d.select(F.col(y).cast("string").alias(y)).distinct()
+    d = df.where(F.col(q(x)).isNotNull() & F.col(q(y)).isNotNull())
+    first = d.select(q(x)).distinct().orderBy(q(x)).limit(rows)
+    ys = d.select(F.col(q(y)).cast("string").alias(y)).distinct()
     xs = [r[0] for r in first.collect()]                                # at most ``rows`` values
     if not xs:
-        return d.select(F.col(x), F.col(y).cast("string"), F.lit(0).cast("bigint").alias("n")).limit(0)
+        return d.select(F.col(q(x)), F.col(q(y)).cast("string"), F.lit(0).cast("bigint").alias("n")).limit(0)
     kind = d.schema[x].dataType
-    cells = ys.select(F.explode(F.array(*[F.lit(v).cast(kind) for v in xs])).alias(x), y)
-    counted = d.join(F.broadcast(first), x, "left_semi").groupBy(x, F.col(y).cast("string").alias(y)).agg(F.count(F.lit(1)).alias("n"))
-    return cells.join(counted, [x, y], "left").select(x, y, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    cells = ys.select(F.explode(F.array(*[F.lit(v).cast(kind) for v in xs])).alias(x), q(y))
+    counted = d.join(F.broadcast(first), x, "left_semi").groupBy(q(x), F.col(q(y)).cast("string").alias(y)).agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(counted, [x, y], "left").select(q(x), q(y), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def corr_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
@@ -121,8 +136,8 @@ def corr_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            xa = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-            xb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+            xa = F.when(F.col(q(b)).isNotNull(), F.col(q(a)).cast("double"))
+            xb = F.when(F.col(q(a)).isNotNull(), F.col(q(b)).cast("double"))
             r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
             aggs.append(r.alias(f"r{i}_{j}"))
     row = df.agg(*aggs)
@@ -147,7 +162,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, closed: str = "right") ->
     ``right``: bins ``(lo, hi]``, the first edge lowered by 0.1 % of the range;
     ``left``: bins ``[lo, hi)``, the last one closed.  Half-open either way, so
     a value is counted once.  Min and max enter as scalar subqueries."""
-    x = F.col(col).cast("double")
+    x = F.col(q(col)).cast("double")
     d = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     mn = d.agg(F.min("_x")).scalar()
     mx = d.agg(F.max("_x")).scalar()
@@ -180,14 +195,14 @@ def box_summary(df: DataFrame, cat: str, num: str, k: int = 15) -> DataFrame:
     """``(cat, min, q1, median, q3, max, n)`` per category (first ``k``
     categories in sort order), quartiles as ``sorted[floor(n*q)]``.  Exact,
     by rank selection: a hot category never lands on one task."""
-    d = df.where(F.col(cat).isNotNull() & F.col(num).isNotNull())
-    cats = d.select(cat).distinct().orderBy(cat).limit(k)          # <= k rows
+    d = df.where(F.col(q(cat)).isNotNull() & F.col(q(num)).isNotNull())
+    cats = d.select(q(cat)).distinct().orderBy(q(cat)).limit(k)          # <= k rows
     d = d.join(F.broadcast(cats), cat, "left_semi")
     qs = {"q1": (0.25, "floor_n"), "median": (0.5, "floor_n"), "q3": (0.75, "floor_n")}
     st = order_stats(d, [cat], num, qs)
-    mm = d.groupBy(cat).agg(F.min(F.col(num).cast("double")).alias("min"),
-                            F.max(F.col(num).cast("double")).alias("max"))
-    return st.join(mm, cat).select(cat, "min", "q1", "median", "q3", "max", "n")
+    mm = d.groupBy(q(cat)).agg(F.min(F.col(q(num)).cast("double")).alias("min"),
+                            F.max(F.col(q(num)).cast("double")).alias("max"))
+    return st.join(mm, cat).select(q(cat), "min", "q1", "median", "q3", "max", "n")
 
 
 def upper_anomalies(df: DataFrame, cols, min_n: int = 10) -> DataFrame:
@@ -198,7 +213,7 @@ def upper_anomalies(df: DataFrame, cols, min_n: int = 10) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column string, anomalies bigint")
     aggs, items = [], []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(q(c)).cast("double")
         m, s_ = df.agg(F.avg(x)).scalar(), df.agg(F.stddev_samp(x)).scalar()
         aggs += [F.count_if(x > m + 3 * s_).alias(f"a{i}"), F.count(x).alias(f"n{i}"), F.stddev_samp(x).alias(f"s{i}")]
         items.append(F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("anomalies"),
@@ -209,7 +224,7 @@ def upper_anomalies(df: DataFrame, cols, min_n: int = 10) -> DataFrame:
 
 def count_matching(df: DataFrame, col: str, term: str) -> Column:
     """Case-insensitive substring count, as an aggregate expression."""
-    return F.count_if(F.lower(F.col(col).cast("string")).contains(term.lower()))
+    return F.count_if(F.lower(F.col(q(col)).cast("string")).contains(term.lower()))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, n: int = 500, seed: int = 42, key: list[str] | None = None) -> DataFrame:
@@ -222,4 +237,4 @@ def scatter_sample(df: DataFrame, x: str, y: str, n: int = 500, seed: int = 42,
     xs, ys = F.col(P.quoted(x)), F.col(P.quoted(y))
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(P.quoted(k)).cast("string") for k in key])) if key else F.rand(seed)
     d = df.where(xs.isNotNull() & ys.isNotNull()).select(xs.alias(x), ys.alias(y), draw.alias("_draw"))
-    return d.orderBy("_draw", x, y).limit(n).drop("_draw")
+    return d.orderBy("_draw", q(x), q(y)).limit(n).drop("_draw")

@@ -37,24 +37,19 @@ def _is_date(dt: Column) -> Column:
     return dt.isin("date", "timestamp", "timestamp_ntz")
 
 
-def date_share(df: DataFrame, columns=None) -> DataFrame:
-    """``(column, date_share)`` for text columns: the share of all their
-    non-null cells that parse with a known date format; four-digit numbers are
-    not taken as dates."""
+#: What every text in one of the known date formats looks like: a cheap test before any parse.
+DATE_SHAPE = r"^[+-]?([0-9]{2,10}[-/.][0-9]{2}[-/.][+-]?[0-9]{2,}|[0-9]{8,}|[0-9]{1,2} [^0-9]{3,} [+-]?[0-9]{4,}|[^0-9]{3,} [0-9]{1,2}, [+-]?[0-9]{4,})"
+
+
+def date_counts(df: DataFrame, columns) -> DataFrame:
+    """``(column, dates)`` of text columns: how many cells parse with a known date format; four-digit numbers are not
+    taken as dates.  Only distinct texts of a date's shape are shuffled and parsed, each once, with their counts."""
     from .clean import unify_dates
-    cols = [f.name for f in df.schema.fields if P.is_string(f.dataType) and (columns is None or f.name in columns)]
-    spark = df.sparkSession
-    if not cols:
-        return spark.createDataFrame([], "column string, date_share double")
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(P.quoted(c))
-        four = P.strip_ws(x).rlike(r"^[0-9]{4}\z")
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNotNull() & ~four & unify_dates(x).isNotNull()).alias(f"p{i}")]
-    row = df.agg(*aggs)
-    items = [F.struct(F.lit(c).alias("column"), F.try_divide(F.col(f"p{i}"), F.col(f"n{i}")).alias("date_share"))
-             for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*items)))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), P.strip_ws(F.col(P.quoted(c))).alias("v"))
+                                         for i, c in enumerate(columns)])))
+    texts = cells.where(F.col("v").rlike(DATE_SHAPE)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = texts.where(unify_dates(F.col("v")).isNotNull()).groupBy("i").agg(F.sum("n").alias("dates"))
+    return found.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("column"), "dates")
 
 
 def quality_classes(prof: DataFrame, shares: DataFrame | None = None) -> DataFrame:

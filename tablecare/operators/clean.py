@@ -178,9 +178,9 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             raise ValueError(f"unknown method {method!r}")
         return keep(a.typed, None if whole else cols, which, order_by, normalise=whole)
     if issue == "Extra Spaces" and method == "Trim Spaces":
-        return _replace(a, {c: P.strip_ws(c) for c in cols if P.is_string(a.types[c])}, a.typed)
+        return _replace(a, {c: P.strip_ws(F.col(P.quoted(c))) for c in cols if P.is_string(a.types[c])}, a.typed)
     if issue == "Special Characters" and method == "Remove Special Characters":
-        return _replace(a, {c: F.regexp_replace(c, P.SPECIAL_CHARS_PATTERN, "") for c in cols
+        return _replace(a, {c: F.regexp_replace(F.col(P.quoted(c)), P.SPECIAL_CHARS_PATTERN, "") for c in cols
                             if P.is_string(a.types[c])}, a.typed)
     if issue in DROP_ISSUES:
         if method in DROP_METHODS:
@@ -194,7 +194,7 @@ def clean(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", cus
             return _replace(a, {c: F.col(P.quoted(c)).cast("string") for c in cols}, a.typed)
         raise ValueError(f"unknown method {method!r}")
     if issue == "Inconsistent Categories" and method == "Standardize Format":
-        return _replace(a, {c: F.lower(c) for c in cols if P.is_string(a.types[c])}, a.typed)
+        return _replace(a, {c: F.lower(F.col(P.quoted(c))) for c in cols if P.is_string(a.types[c])}, a.typed)
     if issue == "Date Format Problems" and method == "Convert to Single Format":
         return _replace(a, {c: unify_dates(F.col(P.quoted(c))) for c in cols}, a.typed)
     if issue == "Manual Removal":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.predicates import quoted as q
 from .rowid import ROW_ID
 
 
@@ -16,14 +17,15 @@ def removed_rows(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> D
     if id_col in before.columns and id_col in after.columns:
         return before.join(after.select(id_col), id_col, "left_anti")
     common = [c for c in before.columns if c in after.columns]
-    return before.select(*common).exceptAll(after.select(*common))
+    names = [F.col(q(c)) for c in common]
+    return before.select(*names).exceptAll(after.select(*names))
 
 
 def removed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """D1 as the reference previews it: each distinct row with the number of
     copies removed (bag difference without replicating rows)."""
     common = [c for c in before.columns if c in after.columns]
-    key = F.struct(*[F.col(c) for c in common])
+    key = F.struct(*[F.col(q(c)).alias(c) for c in common])
     b = before.groupBy(key.alias("_r")).agg(F.count(F.lit(1)).alias("_b"))
     a = after.groupBy(key.alias("_r")).agg(F.count(F.lit(1)).alias("_a"))
     j = b.join(a.withColumnRenamed("_r", "_ra"), F.col("_r").eqNullSafe(F.col("_ra")), "left")
@@ -35,10 +37,10 @@ def changed_rows(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> D
     """Rows (by id) where any common column differs, null-safe; with the
     list of changed columns.  One join on the unique id."""
     common = [c for c in before.columns if c in after.columns and c != id_col]
-    b = before.select(id_col, *[F.col(c).alias(f"b_{c}") for c in common])
-    a = after.select(id_col, *[F.col(c).alias(f"a_{c}") for c in common])
+    b = before.select(id_col, *[F.col(q(c)).alias(f"b_{i}") for i, c in enumerate(common)])
+    a = after.select(id_col, *[F.col(q(c)).alias(f"a_{i}") for i, c in enumerate(common)])
     j = b.join(a, id_col)
-    diffs = [(c, ~F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}").cast(before.schema[c].dataType))) for c in common]
+    diffs = [(c, ~F.col(f"b_{i}").eqNullSafe(F.col(f"a_{i}").cast(before.schema[c].dataType))) for i, c in enumerate(common)]
     arr = F.filter(F.array(*[F.when(p, F.lit(c)) for c, p in diffs]), lambda x: x.isNotNull())
     return j.select(id_col, arr.alias("changed_columns")).where(F.size("changed_columns") > 0)
 

@@ -19,7 +19,7 @@ def dup_key(df: DataFrame, keys=None, normalise: bool = True, tokens=P.MISSING_T
     keys = list(keys or [c for c in df.columns if c != ROW_ID])
     if normalise:
         return F.struct(*[normalised(c, types[c], tokens).alias(c) for c in keys])
-    return F.struct(*[F.col(c) for c in keys])
+    return F.struct(*[F.col(P.quoted(c)).alias(c) for c in keys])
 
 
 def duplicate_groups(df: DataFrame, keys=None, order_by=None, max_groups: int = 100, max_ids: int = 5,
@@ -53,8 +53,8 @@ def duplicate_totals(df: DataFrame, keys=None, normalise: bool = True) -> DataFr
 
 def extra_duplicates(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (raw values)."""
-    return (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
-              .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_duplicates")))
+    return (df.groupBy(*[F.col(P.quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+              .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("extra_duplicates")))
 
 
 def keep(df: DataFrame, keys=None, which: str = "first", order_by=None, normalise: bool | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def keep(df: DataFrame, keys=None, which: str = "first", order_by=None, normalis
     elif which == "last":
         pick = F.max(ROW_ID)
     elif which == "most_complete":
-        filled = P.non_null_count([F.col(c).isNotNull() for c in all_cols])
+        filled = P.non_null_count([F.col(P.quoted(c)).isNotNull() for c in all_cols])
         pick = F.min_by(F.col(ROW_ID), F.struct((-filled).alias("f"), F.col(ROW_ID).alias("i")))
     else:
         raise ValueError(which)

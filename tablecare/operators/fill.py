@@ -4,11 +4,16 @@ A plain ``last(x, true) OVER (ORDER BY id)`` plans as ``Exchange
 SinglePartition``.  Here rows are cut into blocks of consecutive ids:
 
 1. per block, the last (first) usable value -- an aggregate, one row per block;
-2. a window over that small block table carries the value across blocks;
+2. a two-level scan carries the value across blocks: blocks are cut into groups
+   of ``FAN`` consecutive ones, a window inside each group carries it from block
+   to block, and the groups' own last values are carried the same way over
+   groups of groups;
 3. inside each block a window partitioned by block finds the local value;
 4. ``coalesce(local, carried)``.
 
-Every task sees at most one block; the block table has ``rows / block`` rows.
+Every task sees at most one block of rows or ``FAN`` rows of a level above: no
+window runs over a whole table, not over that of the blocks either.  Two
+levels reach 2**48 rows with the default sizes.
 """
 
 from __future__ import annotations
@@ -19,10 +24,40 @@ from ..functions.predicates import quoted
 from .rowid import ROW_ID
 
 DEFAULT_BLOCK = 1 << 16
+#: Consecutive blocks (or groups of blocks) over which one task carries values, and the levels of that: with these,
+#: 2**48 rows.
+FAN, LEVELS = 1 << 16, 2
+
+
+def _running(column: str, way: str, last: int, window=Window):
+    """A running frame up to ``last``.  Both directions use one (unbounded
+    preceding .. current), which Spark evaluates incrementally; "following"
+    frames would be re-aggregated per row.  Backward is forward in reversed order."""
+    order = F.col(column).asc() if way == "forward" else F.col(column).desc()
+    return window.orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+
+
+def _edge(value: str, way: str, by: str) -> Column:
+    """The value of the last (forward) or first (backward) row that has one."""
+    return (F.max_by if way == "forward" else F.min_by)(F.col(value), F.when(F.col(value).isNotNull(), F.col(by)))
+
+
+def _carried(summary: DataFrame, ways: dict[str, str], fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """``summary`` (``_key``, ``_s_<name>``) to (``_key``, ``_k_<name>``): the nearest value of another key
+    before it (or after it, backward)."""
+    t = summary.withColumn("_group", F.floor(F.col("_key") / F.lit(fan)).cast("bigint"))
+    found = t.select("_key", "_group", *[F.last(F.col(f"_s_{n}"), ignorenulls=True).over(
+        _running("_key", way, -1, Window.partitionBy("_group"))).alias(f"_k_{n}") for n, way in ways.items()])
+    if levels == 1:  # one group is left
+        return found.drop("_group")
+    groups = t.groupBy("_group").agg(*[_edge(f"_s_{n}", way, "_key").alias(f"_s_{n}") for n, way in ways.items()])
+    above = _carried(groups.withColumnRenamed("_group", "_key"), ways, fan, levels - 1)
+    above = above.select(F.col("_key").alias("_group"), *[F.col(f"_k_{n}").alias(f"_a_{n}") for n in ways])
+    return found.join(above, "_group").select("_key", *[F.coalesce(f"_k_{n}", f"_a_{n}").alias(f"_k_{n}") for n in ways])
 
 
 def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str | dict[str, str] = "forward",
-                   id_col: str = ROW_ID, block: int = DEFAULT_BLOCK) -> DataFrame:
+                   id_col: str = ROW_ID, block: int = DEFAULT_BLOCK, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     """Add, for each ``name -> candidate``, the candidate value of the nearest
     row at or before (``forward``) / at or after (``backward``) the current row
     whose candidate is not null.  Candidates of both directions share one
@@ -33,25 +68,13 @@ def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str | dic
     for n in names:
         d = d.withColumn(f"_c_{n}", cands[n])
 
-    def pick(n):
-        return (F.max_by if ways[n] == "forward" else F.min_by)(F.col(f"_c_{n}"), F.when(F.col(f"_c_{n}").isNotNull(), F.col(id_col)))
-
-    # Both directions use a running frame (unbounded preceding .. current),
-    # which Spark evaluates incrementally; "following" frames would be
-    # re-aggregated per row.  Backward = forward over the reversed order.
-    def running(column, way, last, window=Window):
-        order = F.col(column).asc() if way == "forward" else F.col(column).desc()
-        return window.orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-
-    summary = d.groupBy("_blk").agg(*[pick(n).alias(f"_s_{n}") for n in names])
-    # the block table is small (rows / block); its window may sit on one task
-    carry = summary.select("_blk", *[F.last(F.col(f"_s_{n}"), ignorenulls=True).over(running("_blk", ways[n], -1)).alias(f"_k_{n}")
-                                     for n in names])
+    summary = d.groupBy("_blk").agg(*[_edge(f"_c_{n}", ways[n], id_col).alias(f"_s_{n}") for n in names])
+    carry = _carried(summary.withColumnRenamed("_blk", "_key"), {n: ways[n] for n in names}, fan, levels).withColumnRenamed("_key", "_blk")
     d = d.join(carry, "_blk", "left")
     inside = Window.partitionBy("_blk")
     out = [F.col(quoted(c)) for c in df.columns]
     for n in names:
-        local = F.last(F.col(f"_c_{n}"), ignorenulls=True).over(running(id_col, ways[n], 0, inside))
+        local = F.last(F.col(f"_c_{n}"), ignorenulls=True).over(_running(id_col, ways[n], 0, inside))
         out.append(F.coalesce(local, F.col(f"_k_{n}")).alias(n))
     return d.select(*out)
 

@@ -17,9 +17,10 @@ by the data).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import predicates as P
+from ..session import pinned
 from .quantiles import order_stats
 
 # quantile name -> (q, rule)
@@ -126,6 +127,71 @@ def distinct_stats(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS) -> Data
     )
 
 
+#: Values a heavy-hitter sketch tracks.  Its counts are off by 3.5 / 16,384 of the rows at most (its table has room for
+#: 16,384), and it names what surely has more than that: no other value is more frequent than ``LOST`` of the rows.
+TRACKED = 10_000
+LOST = 7 / 16_384
+
+
+def _mode_cells(df: DataFrame, columns, tokens) -> DataFrame:
+    """``(i, v, vn)``: the cells of ``columns`` that may be a mode, text or number."""
+    schema = {f.name: f.dataType for f in df.schema.fields}
+    items = []
+    for i, c in enumerate(columns):
+        x, num = F.col(P.quoted(c)), P.is_numeric(schema[c])
+        items.append(F.struct(F.lit(i).alias("i"), (F.lit(None) if num else x).cast("string").alias("v"),
+                              (x if num else F.lit(None)).cast("double").alias("vn")))
+    cells = df.select(F.inline(F.array(*items)))
+    text = F.col("v").isNotNull() & (P.strip_ws("v") != "") & ~F.lower(P.strip_ws("v")).isin(*tokens)
+    return cells.where(text | (F.col("vn").isNotNull() & ~F.isnan("vn"))).select("i", "v", (F.col("vn") + F.lit(0.0)).alias("vn"))
+
+
+def modes(df: DataFrame, columns, tokens=P.MISSING_TOKENS) -> dict[str, tuple[str | None, float | None, int]]:
+    """``column -> (mode as text, mode as number, its count)`` (count desc, value asc), exact.
+
+    A mergeable heavy-hitter sketch of bounded size names the values that can be a column's mode, a second scan counts
+    those alone.  A value that the sketch lost occurs in at most ``LOST`` of the rows; where the best candidate has more,
+    it is proved to be the mode.  Only columns without such a value (all their values are rare) are counted whole."""
+    if not columns:
+        return {}
+    cells = _mode_cells(df, columns, tokens)
+    sketched = pinned(cells.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(v, {TRACKED}, {TRACKED})").alias("texts"),
+        F.expr(f"approx_top_k(vn, {TRACKED}, {TRACKED})").alias("numbers")))
+    rows = {r.i: r.n for r in sketched.select("i", "n").collect()}
+    pick = [F.struct(F.col("x.item").cast("string").alias("v"), F.lit(None).cast("double").alias("vn"), F.col("x.count").alias("c")),
+            F.struct(F.lit(None).cast("string").alias("v"), F.col("x.item").cast("double").alias("vn"), F.col("x.count").alias("c"))]
+    named = [sketched.select("i", "n", F.explode(k).alias("x")).select("i", "n", p.alias("x")).select("i", "n", "x.*")
+             for k, p in zip(("texts", "numbers"), pick)]
+    named = named[0].unionByName(named[1]).where("v IS NOT NULL OR vn IS NOT NULL")
+    best = Window.partitionBy("i")
+    # at most TRACKED rows a column; estimates are off by less than LOST
+    likely = pinned(named.withColumn("_top", F.max("c").over(best)).where(F.col("c") >= F.col("_top") - F.ceil(F.col("n") * LOST)))
+    likely = likely.select(F.col("i").alias("_i"), F.col("v").alias("_v"), F.col("vn").alias("_vn"), "n")
+    met = cells.join(F.broadcast(likely), (F.col("i") == F.col("_i")) & F.col("v").eqNullSafe(F.col("_v")) & F.col("vn").eqNullSafe(F.col("_vn")))
+    counted = met.groupBy("i", "n", "v", "vn").agg(F.count(F.lit(1)).alias("c"))
+    top = counted.groupBy("i", "n").agg(F.min(F.struct((-F.col("c")).alias("less"), "v", "vn")).alias("t")).collect()
+    out = {c: (None, None, 0) for c in columns}
+    for r in top:
+        if -r.t.less > r.n * LOST:
+            out[columns[r.i]] = (r.t.v, r.t.vn, -r.t.less)
+    flat = [columns[i] for i in sorted(rows) if out[columns[i]][2] == 0]
+    if flat:  # every value is rare
+        vc = _mode_cells(df, flat, tokens).groupBy("i", "v", "vn").agg(F.count(F.lit(1)).alias("c"))
+        for r in vc.groupBy("i").agg(F.min(F.struct((-F.col("c")).alias("less"), "v", "vn")).alias("t")).collect():
+            out[flat[r.i]] = (r.t.v, r.t.vn, -r.t.less)
+    return out
+
+
+def spelling_counts(df: DataFrame, columns) -> DataFrame:
+    """``(column, spellings, lowered)`` of text columns: distinct texts that aren't blank, and their distinct
+    lower-cased forms.  Only these columns' texts are shuffled."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(P.quoted(c)).alias("v")) for c in columns])))
+    texts = cells.where(F.col("v").isNotNull() & (P.strip_ws("v") != "")).groupBy("column", "v").agg(F.count(F.lit(1)).alias("_n"))
+    return texts.groupBy("column", F.lower("v").alias("l")).agg(F.count(F.lit(1)).alias("_n")).groupBy("column").agg(
+        F.sum("_n").alias("spellings"), F.count(F.lit(1)).alias("lowered"))
+
+
 def quantile_stats(df: DataFrame, columns=None, qs=None) -> DataFrame | None:
     """Pass C over the numeric columns: exact order statistics of their counted
     values (``quantiles.order_stats``), at every size by the same plan."""
@@ -231,11 +297,10 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
     Wide tables are read once per ``chunk`` columns, with the same results.
 
     Per column: null/missing/empty counts on the cells as read; moments of
-    numeric columns; of text columns how many cells are dates; for text columns the pattern counts that decide
+    numeric columns; for text columns the pattern counts that decide
     promotion and the invalid-type pattern, plus the moments (and null
     count) of their numeral reading -- so the promoted column's statistics
     need no second scan.  Returns the single collected row as a dict."""
-    from .clean import unify_dates
     from .infer import numeral_to_double
     schema = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns or df.columns)
@@ -263,8 +328,6 @@ def first_pass(df: DataFrame, columns=None, tokens=P.MISSING_TOKENS, kinds=("num
             aggs += [F.count_if(valid).alias(f"{i}_v"), F.count_if(valid & P.matches(x, "numeric")).alias(f"{i}_vn"),
                      F.count_if(nonblank).alias(f"{i}_b")]
             aggs += [F.count_if(nonblank & P.matches(x, k)).alias(f"{i}_b{k}") for k in kinds]
-            four = P.strip_ws(x).rlike(r"^[0-9]{4}\z")
-            aggs.append(F.count_if(x.isNotNull() & P.strip_ws(x).rlike("[0-9]") & ~four & unify_dates(x).isNotNull()).alias(f"{i}_dates"))
             num = numeral_to_double(x)
             aggs += [F.count_if(num.isNull()).alias(f"{i}_xnulls")] + _moment_aggs(num, f"{i}_x")
     return df.agg(*aggs).first().asDict()

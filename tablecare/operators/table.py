@@ -21,12 +21,12 @@ def apply_filters(df: DataFrame, filters: dict) -> DataFrame:
             continue
         if isinstance(spec, (list, tuple, set)):
             if spec:
-                out = out.where(F.col(col).isin(list(spec)))
+                out = out.where(F.col(P.quoted(col)).isin(list(spec)))
         elif isinstance(spec, dict):
             if spec.get("min") is not None:
-                out = out.where(F.col(col) >= F.lit(spec["min"]))
+                out = out.where(F.col(P.quoted(col)) >= F.lit(spec["min"]))
             if spec.get("max") is not None:
-                out = out.where(F.col(col) <= F.lit(spec["max"]))
+                out = out.where(F.col(P.quoted(col)) <= F.lit(spec["max"]))
     return out
 
 
@@ -61,7 +61,7 @@ def sort_by(df: DataFrame, col: str | None, desc: bool = False, tie: str | None
     """G1: one sort column, nulls first in both directions, ties by row id."""
     if not col or col not in df.columns:
         return df.orderBy(tie) if tie and tie in df.columns else df
-    key = F.col(col).desc_nulls_first() if desc else F.col(col).asc_nulls_first()
+    key = F.col(P.quoted(col)).desc_nulls_first() if desc else F.col(P.quoted(col)).asc_nulls_first()
     keys = [key] + ([F.col(tie)] if tie and tie in df.columns else [])
     return df.orderBy(*keys)
 
@@ -69,7 +69,8 @@ def sort_by(df: DataFrame, col: str | None, desc: bool = False, tie: str | None
 def sort_as_text(df: DataFrame, col: str, desc: bool = False) -> DataFrame:
     """Null as blank, case-insensitive for text, numeric for numbers."""
     dt = df.schema[col].dataType
-    key = F.col(col) if P.is_numeric(dt) else F.lower(F.coalesce(F.col(col).cast("string"), F.lit("")))
+    x = F.col(P.quoted(col))
+    key = x if P.is_numeric(dt) else F.lower(F.coalesce(x.cast("string"), F.lit("")))
     keys = [key.desc() if desc else key.asc()] + ([F.col(ROW_ID)] if ROW_ID in df.columns else [])
     return df.orderBy(*keys)
 
@@ -92,14 +93,19 @@ def head(df: DataFrame, n: int = 5, max_cols: int | None = None, order: str = RO
     if max_cols:
         cols = cols[:max_cols]
     d = df.orderBy(order) if order in df.columns else df
-    return d.select(*cols).limit(n)
-
-
-def hash_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash of their id: same rows
-    on every run, no driver-side sampling."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed)) if id_col in df.columns else F.xxhash64(*df.columns, F.lit(seed))
-    return df.orderBy(key).limit(n)
+    return d.select(*[F.col(P.quoted(c)) for c in cols]).limit(n)
+
+
+def hash_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = ROW_ID, key: list[str] | None = None) -> DataFrame:
+    """``n`` rows.  Every row draws a number of its own and the ``n``
+    smallest win (a top-k, no full sort), so equal rows are in or out one by
+    one.  The number is the md5 of the seed and ``key``, columns that tell rows
+    apart, or else of the seed and the row id: the sample then depends on the
+    rows alone.  Without either it comes from a seeded generator, and the same
+    table read in the same splits gives the same sample."""
+    key = key or ([id_col] if id_col in df.columns else None)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(P.quoted(k)).cast("string") for k in key])) if key else F.rand(seed)
+    return df.withColumn("_draw", draw).orderBy("_draw").limit(n).drop("_draw")
 
 
 def even_sample(df: DataFrame, n: int = 100, total: int | None = None, id_col: str = ROW_ID) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import predicates as P
+from ..functions.predicates import quoted as q
 from ..operators import charts as C
 from ..operators.classify import planner_id_columns
 from ..operators.profile import profile
@@ -49,17 +50,17 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
     valid = [c for c in cats if 1 < (st[c]["distinct_nonnull"] or 0) <= 50]
     for i, c in enumerate(valid):
         kind = ("pie" if i % 2 == 0 else "donut") if st[c]["distinct_nonnull"] <= 6 else "bar"
-        plans.append({"type": kind, "x": c, "y": "count", "score": CATEGORY, "data": C.value_counts(df.where(F.col(c).isNotNull()), c, 20)})
+        plans.append({"type": kind, "x": c, "y": "count", "score": CATEGORY, "data": C.value_counts(df.where(F.col(q(c)).isNotNull()), c, 20)})
     spark = df.sparkSession
     for d in dates:
         if not nums:
             break
         # one aggregate per date column: monthly means of every numeric column
-        dd = df.where(F.col(d).isNotNull())
-        means = dd.groupBy(F.last_day(F.to_date(d)).alias("month")).agg(
-            *[F.avg(y).alias(f"_m{i}") for i, y in enumerate(nums)])
-        rows = C.month_spine(dd, d).join(means, "month", "left").collect()   # one row per month
-        small = spark.createDataFrame(rows, C.month_spine(dd, d).join(means, "month", "left").schema)
+        dd = df.where(F.col(q(d)).isNotNull())
+        means = dd.groupBy(F.last_day(F.to_date(q(d))).alias("month")).agg(
+            *[F.avg(q(y)).alias(f"_m{i}") for i, y in enumerate(nums)])
+        monthly = C.month_spine(dd, d).join(means, "month", "left")
+        small = spark.createDataFrame(monthly.collect(), monthly.schema)   # one row per month
         for i, y in enumerate(nums):
             m = small.select("month", F.col(f"_m{i}").alias(y))
             t = C.trend_summary(m, y).first()
@@ -77,7 +78,7 @@ def plan_charts(df: DataFrame, max_charts: int | None = None, max_heat: int | No
         if st[x]["distinct_nonnull"] > 20 or not nums:
             continue
         # one aggregate per category column: group means of every numeric column
-        g = df.where(F.col(x).isNotNull()).groupBy(x).agg(*[F.avg(y).alias(f"_m{i}") for i, y in enumerate(nums)])
+        g = df.where(F.col(q(x)).isNotNull()).groupBy(q(x)).agg(*[F.avg(q(y)).alias(f"_m{i}") for i, y in enumerate(nums)])
         groups = g.collect()                                               # <= 20 groups
         for i, y in enumerate(nums):
             top = sorted(((r[x], r[f"_m{i}"]) for r in groups if r[f"_m{i}"] is not None),

@@ -45,10 +45,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that
-    every branch of a later plan reads the same rows in the same partitions."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and written as Parquet into the shared checkpoint
+    folder, so that every branch of a later plan reads the same rows, and of
+    them only the columns it needs.  Columns go by number: their names may be
+    anything.  Types that Parquet doesn't hold are checkpointed as they are."""
+    spark = df.sparkSession
+    if any(kind in df.schema.simpleString() for kind in ("void", "interval", "struct<>", "variant")):
+        checkpoint_dir(spark)
+        return df.checkpoint()
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    path = scratch_path(spark, "pinned")
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path).toDF(*df.columns)
 
 
 def scratch_path(spark: SparkSession, kind: str, suffix: str = "") -> str:
