@@ -78,14 +78,45 @@ class ColumnStats:
             return a._moments[c][key]
         if key in QUANTILES:
             return a._quantiles.get(c, {}).get(key) if P.is_numeric(a.types[c]) else None
-        if key in ("mode", "mode_num") and not a.approx and "_distinct" not in a.__dict__:
-            return a.mode_of(c)[key]
-        return a._distinct.get(c, {}).get(key)
+        return a._distinct.get(c, key)
 
     def __getitem__(self, key: str):
         return self.get(key)
 
 
+class DistinctStats:
+    """Distinct counts and modes.  A mode is found without a count of the
+    distinct values; the counts of all columns come in one pass, when the first
+    of them is asked for."""
+
+    def __init__(self, analysis: Analysis):
+        self.analysis = analysis
+        self.modes: dict[str, dict] = {}
+
+    @cached_property
+    def rows(self) -> dict[str, dict]:
+        a = self.analysis
+        part = approx_stats if a.approx else distinct_stats
+        return {r["column"]: r.asDict() for r in part(a.both, a.columns, a.tokens).collect()}
+
+    @property
+    def counted(self) -> bool:
+        return "rows" in self.__dict__
+
+    def mode_of(self, c: str) -> dict:
+        if c not in self.modes:
+            a = self.analysis
+            text, number, _ = modes(a.both, [c], a.tokens)[c]
+            as_text = None if number is None else a.raw.sparkSession.range(1).select(F.lit(number).cast("string")).first()[0]
+            self.modes[c] = {"mode": as_text if number is not None else text, "mode_num": number}
+        return self.modes[c]
+
+    def get(self, column: str, key: str):
+        if key in ("mode", "mode_num") and not self.counted and not self.analysis.approx:
+            return self.mode_of(column)[key]
+        return self.rows.get(column, {}).get(key)
+
+
 class Analysis:
     def __init__(self, raw: DataFrame, tokens=P.MISSING_TOKENS, threshold: float = 0.9, share: float = 0.8,
                  ignored: dict | None = None, dup_keys: list[str] | None = None,
@@ -100,7 +131,6 @@ class Analysis:
         self.carried = [c for c in raw.columns if c == ROW_ID]
         self.columns = [c for c in raw.columns if c != ROW_ID]
         self.dup_keys = list(dup_keys) if dup_keys else list(self.columns)
-        self._modes: dict[str, dict] = {}
         self.raw_types = {f.name: f.dataType for f in raw.schema.fields}
 
     # ---- decisions (small jobs, results on the driver) -------------------
@@ -156,24 +186,15 @@ class Analysis:
         return {c: self._moment_row(i, c) for i, c in enumerate(self.columns)}
 
     @cached_property
-    def _distinct(self) -> dict[str, dict]:
+    def _distinct(self) -> DistinctStats:
         """Distinct counts and modes, when first asked for."""
-        part = approx_stats if self.approx else distinct_stats
-        return {r["column"]: r.asDict() for r in part(self.both, self.columns, self.tokens).collect()}
-
-    def mode_of(self, c: str) -> dict:
-        """A column's mode, without a count of its distinct values."""
-        if c not in self._modes:
-            text, number, _ = modes(self.both, [c], self.tokens)[c]
-            as_text = None if number is None else self.raw.sparkSession.range(1).select(F.lit(number).cast("string")).first()[0]
-            self._modes[c] = {"mode": as_text if number is not None else text, "mode_num": number}
-        return self._modes[c]
+        return DistinctStats(self)
 
     @cached_property
     def _quantiles(self) -> dict[str, dict]:
         """Order statistics of the numeric columns, when first asked for."""
         if self.approx:
-            return self._distinct
+            return self._distinct.rows
         q = quantile_stats(self.both, self.columns)
         return {} if q is None else {r["column"]: r.asDict() for r in q.collect()}
 
@@ -222,7 +243,7 @@ class Analysis:
         texts = [c for c in self.columns if P.is_string(self.types[c])]
         if not texts:
             return []
-        if "_distinct" in self.__dict__:  # another result has asked for it already
+        if self._distinct.counted:  # another result has asked for it already
             several = {c for c in texts if (self.stats[c]["lower_distinct"] or 0) < (self.stats[c]["distinct_nonblank"] or 0)}
         else:
             several = {r["column"] for r in spelling_counts(self.typed, texts).where("spellings > lowered").collect()}

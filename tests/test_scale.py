@@ -43,7 +43,7 @@ def test_a_mode_counts_candidates_only(spark, monkeypatch):
     a = Analysis(df)
     out = clean(a, "Missing Values", ["s"], "Fill with Mode")
     assert out.where("s IS NULL").count() == 0 and out.where("s = 'often'").count() > 33_000
-    assert "_distinct" not in a.__dict__ and "_quantiles" not in a.__dict__
+    assert not a._distinct.counted and "_quantiles" not in a.__dict__
 
 
 # --------------------------------------------------------------- quantiles ---
@@ -127,7 +127,7 @@ def test_date_counts_and_on_demand(spark):
 def test_spellings_need_no_other_column(spark, monkeypatch):
     df = spark.createDataFrame([("Apple", 1.0)] * 3 + [("apple", 2.0), ("Pear", 3.0), (" ", 4.0), (None, 5.0)], "`k.d` string, x double")
     a = Analysis(df)
-    assert a._category_columns == ["k.d"] and "_distinct" not in a.__dict__
+    assert a._category_columns == ["k.d"] and not a._distinct.counted
     flags = [r._inconsistent_category_cols for r in a.flag_frame().where("`k.d` = 'apple'").collect()]
     assert flags == [["k.d"]] or flags == ["k.d"]
 
