@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, batch_of, slices
+from .common import SLICE_ROWS, batch_of, ship, slices, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -73,22 +73,39 @@ def overlap(part: list[str], passage: set[tuple[str, ...]]) -> float:
     return sum(g in passage for g in grams) / len(grams) if grams else 1.0
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, mean and greatest length in words, and in how many items a word stands (at least
+    the words of the index that uses this)."""
+    items: int
+    mean: float
+    longest: int
+    held: dict[str, int]
+
+    @classmethod
+    def of(cls, found: list[Counter]) -> Statistics:
+        lengths = [sum(c.values()) for c in found]
+        return cls(len(found), sum(lengths) / max(1, len(lengths)) or 1, max(lengths, default=0), Counter(w for c in found for w in c))
+
+
 @dataclass
 class Index:
-    """Inverted index of some items; weights are shares of the item's own score."""
+    """Inverted index of some items; weights are shares of the item's own score, by the statistics of all items."""
     ids: list[int]
     texts: list[str]
+    statistics: Statistics | None = None
     terms: dict[str, int] = field(init=False)
 
     def __post_init__(self):
         found = [Counter(words(t)) for t in self.texts]
         lengths = [sum(c.values()) for c in found]
-        mean = sum(lengths) / max(1, len(lengths)) or 1
+        whole = self.statistics or Statistics.of(found)
+        mean = whole.mean
         held = Counter(w for c in found for w in c)
-        idf = {w: math.log(1 + (len(found) - n + 0.5) / (n + 0.5)) for w, n in held.items()}
+        idf = {w: math.log(1 + (whole.items - whole.held[w] + 0.5) / (whole.held[w] + 0.5)) for w in held}
         weights = [{w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in c.items()}
                    for c, n in zip(found, lengths)]
-        self.chunk = max(LEAST_CHUNK, max(lengths, default=0))
+        self.chunk = max(LEAST_CHUNK, whole.longest)
         self.parts = [question_answer(t) for t in self.texts]
         # items in order of their rarest word, so that blocks are alike; the rarer words get the lower numbers
         self.terms = {w: i for i, w in enumerate(sorted(held, key=lambda w: (held[w], w)))}
@@ -206,15 +223,42 @@ class Index:
         return [[(i, *v) for i, v in sorted(o.items())] for o in out]
 
 
+def _word_rows(items: DataFrame) -> DataFrame:
+    """(word, length): every distinct word of every item, and one row without word that has the item's length."""
+    schema = pa.schema([("word", pa.string()), ("length", pa.int64())])
+
+    def split(batches):
+        for part in slices(batches):
+            rows = []
+            for text in part.column(0).to_pylist():
+                found = words(text)
+                if found:
+                    rows += [(None, len(found)), *((w, None) for w in set(found))]
+            if rows:
+                yield batch_of(schema, *zip(*rows))
+
+    return items.select("text").mapInArrow(split, "word string, length long")
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_items: int = PART_ITEMS) -> Iterator[Index]:
-    """The items in indexes of about ``part_items`` each; one is on the driver at a time."""
+    """The items in indexes of about ``part_items`` each; one is on the driver at a time.  Statistics are of all items,
+    whatever the parts: document frequencies are counted in Spark, and a part gets those of its own words."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     parts = -(-items.count() // part_items)
+    if parts > 1:
+        split = stored(_word_rows(items))
+        size = split.where("length IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest")).first()
+        held = stored(split.where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        rows = sorted(((r.item_id, r.text) for r in rows if words(r.text)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        if rows:
-            yield Index([i for i, _ in rows], [t for _, t in rows])
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+        rows = sorted(((r.item_id, r.text) for r in part.collect() if words(r.text)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if not rows:
+            continue
+        whole = None
+        if parts > 1:
+            own = _word_rows(part).where("word IS NOT NULL").select("word").distinct()
+            whole = Statistics(size.n, size.words / size.n, size.longest, {r.word: r.n for r in held.join(own, "word", "left_semi").collect()})
+        yield Index([i for i, _ in rows], [t for _, t in rows], whole)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

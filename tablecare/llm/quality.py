@@ -10,7 +10,7 @@ dictionary has seen and weighted to the classes' shares among all labels,
 turns the difference into the probability of label 1.
 
 Fitting reads a bounded sample: at most ``SAMPLE_DOCS`` labelled documents of
-each class, in the order of a seeded hash, and ``SAMPLE_BYTES`` of each.
+each class, whole, in the order of a seeded hash (of rows that share an id, one).
 Scoring reads every text whole.  A null or empty text has difference 0.  Rows
 of ``labels`` without doc_id or label are passed over; with no labels of one
 of the classes every text scores the share of label 1 (0.5 without labels).
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import fold
 
 SAMPLE_DOCS = 3000
-SAMPLE_BYTES = 20_000
 DICTIONARY_BYTES = 32_768
 CHUNK = 1024
 #: Added to a text's bytes, so that a handful of bytes decides little.
@@ -109,9 +108,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = (df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
              .join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_docs ids
-             .select("doc_id", "label", F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(4 * sample_docs))
+             # of rows that share an id one, so that there are no more texts than ids
+             .where("length(text) > 0").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     got = sorted({(r.doc_id, r.label, r.text) for r in texts.collect() if r.text})
-    fit = {k: [t.encode()[:SAMPLE_BYTES] for i, (_, label, t) in enumerate(g for g in got if g[1] == k) if i % 3] for k in (0, 1)}
+    fit = {k: [t.encode() for i, (_, label, t) in enumerate(g for g in got if g[1] == k) if i % 3] for k in (0, 1)}
     held = [(label, t) for k in (0, 1) for i, (_, label, t) in enumerate(g for g in got if g[1] == k) if i % 3 == 0]
     if not fit[0] or not fit[1]:
         return flat

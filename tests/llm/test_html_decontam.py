@@ -139,7 +139,15 @@ def test_items_in_parts(spark, documents, monkeypatch):
     one = {(r.doc_id, r.item_id) for r in decontam.leaks(documents, bench).collect()}
     parts = list(decontam.indexes(bench, part_items=9))
     assert len(parts) > 2 and sum(len(p.ids) for p in parts) == bench.count()
+    whole = next(decontam.indexes(bench))
+    assert all((p.chunk, p.statistics.items) == (whole.chunk, bench.count()) for p in parts)
     texts = [(r.doc_id, r.text) for r in documents.collect()]
+    rows = sorted(map(tuple, decontam.leaks(documents, bench).collect()))
+    monkeypatch.setattr(decontam, "indexes", lambda b: iter(parts))
+    again = sorted(map(tuple, decontam.leaks(documents, bench).collect()))
+    assert len(rows) == len(again) > 0
+    for a, b in zip(rows, again):  # equal, whatever the parts
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
     assert one <= {(d, p.ids[i]) for p in parts for (d, _), h in zip(texts, p.hits([t for _, t in texts])) for i, *_ in h}
 
 
