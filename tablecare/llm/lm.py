@@ -21,9 +21,10 @@ Counts, classes, embeddings and weights are of all training documents, whole.
 The weights are fitted in ``ROUNDS`` rounds: documents are dealt into shards,
 each shard goes on from the common weights with its next documents, and what
 it moved them by is averaged over the shards, a subword's rows by how often
-each shard has it.  Together the rounds read every document once, and as often
-as gives ``LEAST_SUBWORDS`` (at most ``MOST_EPOCHS`` times) where there are few.  Texts are cut into blocks of about ``BLOCK_BYTES`` by a hash
-of their ids.  A block's distinct words meet the corpus counts in a join on
+each shard has it.  Together the rounds read every document once, however many
+there are.  What follows each subword, by class, is counted and not fitted.  Texts are cut into blocks of about ``BLOCK_BYTES`` by a hash
+of id, text and the part of the input a row lies in, so that neither a hot id nor a row repeated without end makes a
+large block.  A block's distinct words meet the corpus counts in a join on
 the word, so the most frequent word costs one row a block, and come back as
 the block's own dictionary: no task holds the corpus vocabulary.  Pairs of
 subwords stay a table too: the distinct words of all rows, in parts, meet the
@@ -42,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import BY_ROW, HEAD, RATE, TAIL, Attention, add_company, fit, marks_of, ranked, windows_of
+from .attention import BY_ROW, COUNTED, HEAD, RATE, TAIL, Attention, add_company, fit, following, marks_of, pairs_of, windows_of
 from .bpe import ByteBpe, byte_bpe
 from .common import batch_of, fold, slices, spread_id, stored
 from .shingles import words
 from .token_counts import DEFAULT_TOKENIZER
 
-#: Bytes of text in a shard of the fit; its rounds; and how often few documents are read again.
-SHARD_BYTES, ROUNDS, LEAST_SUBWORDS, MOST_EPOCHS = 16 << 20, 3, 4 << 20, 7
+#: Bytes of text in a shard of the fit, and its rounds.
+SHARD_BYTES, ROUNDS = 16 << 20, 3
 BLOCK_BYTES = 8 << 20
 #: Bytes of subword ids in a part of the distinct words.
 PART_BYTES = 2 << 20
@@ -146,53 +147,70 @@ def _streams(rows: DataFrame, tokenizer: str, shards: int, seed: int) -> DataFra
 
     each = (rows.where("NOT held_out").select(F.pmod(place, F.lit(shards)).alias("shard"), place.alias("place"), "text")
             .mapInArrow(spell, "shard long, place long, ids binary"))
-    return each.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "shard long, sizes binary, ids binary")
+    packed = each.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "shard long, sizes binary, ids binary")
+    return packed.repartitionById(shards, F.col("shard").cast("int"))  # a file each: the rounds' tasks have one shard
 
 
 def _documents(sizes: bytes, ids: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(ids, np.uint16).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
 
 
-def _profiles(streams: DataFrame, count: np.ndarray, seed: int) -> np.ndarray:
-    """The neighbour profiles that the classes come from; a task writes one row a subword that needs one."""
-    parts, wanted = 32, ranked(count)[1]
-    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("profile", pa.binary())])
+def _neighbours(streams: DataFrame) -> DataFrame:
+    """(before, after, n): every pair of neighbouring subwords, with its count over the training documents."""
+    schema = pa.schema([("before", pa.int64()), ("after", pa.int64()), ("n", pa.int64())])
 
-    def gather(batches):
-        profile, marks = np.zeros((VOCABULARY, 96)), marks_of(count, seed)
+    def count(batches):
         for part in slices(batches, 1):
-            stream = np.frombuffer(part.column(0)[0].as_py(), np.uint16).astype(np.int64)
-            for at in range(0, len(stream), 1 << 17):
-                add_company(profile, stream[at:at + (1 << 17) + 1], marks)
-        seen = wanted[profile[wanted].any(axis=1)]
-        yield batch_of(schema, (seen % parts).astype(np.int32), seen, [v.tobytes() for v in profile[seen].astype(np.float32)])
+            ids = np.frombuffer(part.column(0)[0].as_py(), np.uint16).astype(np.int64)
+            yield batch_of(schema, *pairs_of(np.append(END_ID, ids), VOCABULARY))  # every document follows an end
+
+    return streams.select("ids").mapInArrow(count, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+def _row_sums(pairs: DataFrame, size: int, width: int, add) -> np.ndarray:
+    """``size`` rows of ``width`` numbers, to which ``add(rows, before, after, n)`` adds what a batch of pairs gives: tasks
+    add up their own, one row of the result for each that is not zero, and parts of the rows are added up."""
+    parts = 32
+    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("row", pa.binary())])
 
-    def add(group: pa.Table) -> pa.Table:
+    def gather(batches):
+        own = np.zeros((size, width))
+        for part in slices(batches, 100_000):
+            add(own, *(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+        seen = np.nonzero(own.any(axis=1))[0]
+        yield batch_of(schema, (seen % parts).astype(np.int32), seen, [v.tobytes() for v in own[seen].astype(np.float32)])
+
+    def merge(group: pa.Table) -> pa.Table:
         ids, where = np.unique(group["id"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(ids), 96))
-        np.add.at(total, where, np.frombuffer(b"".join(group["profile"].to_pylist()), np.float32).reshape(-1, 96))
-        return pa.table({"id": ids, "profile": [v.tobytes() for v in total.astype(np.float32)]},
-                        schema=pa.schema([("id", pa.int64()), ("profile", pa.binary())]))
-
-    out = np.zeros((VOCABULARY, 96), np.float32)
-    for r in (streams.select("ids").mapInArrow(gather, "part int, id long, profile binary")
-              .groupBy("part").applyInArrow(add, "id long, profile binary").collect()):
-        out[r.id] = np.frombuffer(r.profile, np.float32)
+        total = np.zeros((len(ids), width))
+        np.add.at(total, where, np.frombuffer(b"".join(group["row"].to_pylist()), np.float32).reshape(-1, width))
+        return pa.table({"id": ids, "row": [v.tobytes() for v in total.astype(np.float32)]},
+                        schema=pa.schema([("id", pa.int64()), ("row", pa.binary())]))
+
+    out = np.zeros((size, width), np.float32)
+    for r in pairs.mapInArrow(gather, "part int, id long, row binary").groupBy("part").applyInArrow(merge, "id long, row binary").collect():
+        out[r.id] = np.frombuffer(r.row, np.float32)
     return out
 
 
 def fitted(streams: DataFrame, count: np.ndarray, shards: int, seed: int) -> Attention:
     """The attention model of all streams (see the module's head)."""
     spark = streams.sparkSession
-    model = Attention.of_counts(count, _profiles(streams, count, seed), seed)
+    pairs, marks = stored(_neighbours(streams)), marks_of(count, seed)
+    model = Attention.of_counts(count, _row_sums(pairs, VOCABULARY, 96, lambda own, *of: add_company(own, *of, marks)), seed)
     model.set_counts(count)
-    epochs = min(MOST_EPOCHS, max(1, -(-LEAST_SUBWORDS // max(1, int(count.sum())))))
-    turns = [t % ROUNDS for t in range(epochs * ROUNDS)]
-    small = [k for k in model.p if k not in BY_ROW]
+    row, cls, rows = model.row, model.cls, len(model.p["x"])
+
+    def follow(own, before, after, n):
+        own += following(row[before], cls[after], n, rows)
+
+    model.set_following(_row_sums(pairs, rows, HEAD + TAIL, follow))
+    by_row = [k for k in BY_ROW if k not in COUNTED]
+    small = [k for k in model.p if k not in BY_ROW and k not in COUNTED]
     parts = 16 + shards // 8
     ddl = "part int, shard long, rows binary, times binary, moved binary"
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("rows", pa.binary()), ("times", pa.binary()), ("moved", pa.binary())])
-    width = sum(model.p[k].shape[1] for k in BY_ROW)
+    width = sum(model.p[k].shape[1] for k in by_row)
 
     def merge(group: pa.Table) -> pa.Table:
         got = sorted(zip(*(group[c].to_pylist() for c in ("shard", "rows", "times", "moved"))))
@@ -213,23 +231,21 @@ def fitted(streams: DataFrame, count: np.ndarray, shards: int, seed: int) -> Att
         return pa.table({"part": group["part"].slice(0, 1), "rows": [rows.tobytes()], "moved": [moved.astype(np.float32).tobytes()]})
 
     for r in range(ROUNDS):
-        mine = turns[r * epochs:(r + 1) * epochs]
         rates = tuple(RATE * (1 - 0.95 * x / ROUNDS) for x in (r, r + 1))
         sent = spark.sparkContext.broadcast(model)  # bounded: the vocabulary and the weights
 
-        def go_on(batches, sent=sent, mine=mine, rates=rates):
+        def go_on(batches, sent=sent, r=r, rates=rates):
             for batch in slices(batches, 1):
                 shard, sizes, ids = (batch.column(i)[0].as_py() for i in range(3))
-                docs = _documents(sizes, ids)
-                visits = [v for v in (docs[t::ROUNDS] for t in mine) if v]
-                if not visits:
+                docs = _documents(sizes, ids)[r::ROUNDS]
+                if not docs:
                     continue
-                read = np.concatenate([d for v in visits for d in v])
+                read = np.concatenate(docs)
                 start = sent.value
                 here, used = start.part(np.append(read, END_ID))
-                fit(here, visits, END_ID, rates, seed=seed + shard % 1_000_003)
+                fit(here, [docs], END_ID, rates, seed=seed + shard % 1_000_003)
                 times = np.bincount(here.row[read], minlength=len(used)) + 1.0
-                moved = np.concatenate([here.p[k] - start.p[k][used] for k in BY_ROW], axis=1).astype(np.float16)
+                moved = np.concatenate([here.p[k] - start.p[k][used] for k in by_row], axis=1).astype(np.float16)
                 out = [(-1, shard, b"", np.array([float(len(read))]).tobytes(),
                         np.concatenate([(here.p[k] - start.p[k]).ravel() for k in small]).astype(np.float32).tobytes())]
                 for part in range(parts):
@@ -249,7 +265,7 @@ def fitted(streams: DataFrame, count: np.ndarray, shards: int, seed: int) -> Att
                     at += p[k].size
             else:
                 at = 0
-                for k in BY_ROW:
+                for k in by_row:
                     p[k][np.frombuffer(f.rows, np.int64)] += moved.reshape(-1, width)[:, at:at + p[k].shape[1]]
                     at += p[k].shape[1]
         model = Attention(model.row, model.cls, p, model.log_within)
@@ -392,7 +408,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     counts = stored(with_log_within(counts, pairs.where("kind IN (1, 4)"), model.cls, model.log_within, 1 + (totals.bytes or 0) // PART_BYTES))
     sent = spark.sparkContext.broadcast(corpus)  # bounded: the vocabulary and the weights
     blocks = 1 + size // BLOCK_BYTES
-    placed = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
+    placed = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
 
     def distinct(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         found: set = set()
