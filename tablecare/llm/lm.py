@@ -151,8 +151,9 @@ def _streams(rows: DataFrame, tokenizer: str, shards: int, seed: int) -> DataFra
     return packed.repartitionById(shards, F.col("shard").cast("int"))  # a file each: the rounds' tasks have one shard
 
 
-def _documents(sizes: bytes, ids: bytes) -> list[np.ndarray]:
-    return np.split(np.frombuffer(ids, np.uint16).astype(np.int64), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+def _documents(sizes: bytes, ids: bytes, turn: int) -> list[np.ndarray]:
+    """The documents of a shard that a round reads."""
+    return np.split(np.frombuffer(ids, np.uint16), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])[turn::ROUNDS]
 
 
 def _neighbours(streams: DataFrame) -> DataFrame:
@@ -161,8 +162,10 @@ def _neighbours(streams: DataFrame) -> DataFrame:
 
     def count(batches):
         for part in slices(batches, 1):
-            ids = np.frombuffer(part.column(0)[0].as_py(), np.uint16).astype(np.int64)
-            yield batch_of(schema, *pairs_of(np.append(END_ID, ids), VOCABULARY))  # every document follows an end
+            ids = np.frombuffer(part.column(0)[0].as_py(), np.uint16)
+            for at in range(0, len(ids), 1 << 19):  # every document follows an end
+                before, after, n = pairs_of(np.append(ids[at - 1] if at else END_ID, ids[at:at + (1 << 19)]).astype(np.int64), VOCABULARY)
+                yield batch_of(schema, before, after, n)
 
     return streams.select("ids").mapInArrow(count, "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
 
@@ -237,7 +240,7 @@ def fitted(streams: DataFrame, count: np.ndarray, shards: int, seed: int) -> Att
         def go_on(batches, sent=sent, r=r, rates=rates):
             for batch in slices(batches, 1):
                 shard, sizes, ids = (batch.column(i)[0].as_py() for i in range(3))
-                docs = _documents(sizes, ids)[r::ROUNDS]
+                docs = _documents(sizes, ids, r)
                 if not docs:
                     continue
                 read = np.concatenate(docs)
