@@ -1,11 +1,14 @@
 """Chart aggregates (E15-E30, B17): every chart is a small DataFrame computed
-over the whole table with built-in aggregates; only raw-point charts sample.
+over the whole table with built-in aggregates; only raw-point charts sample,
+and only the correlations of wide tables multiply Arrow batches with numpy.
 
 Ties are broken deterministically (count/value desc, then key asc, nulls last).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicates as P
@@ -14,6 +17,8 @@ from .quantiles import order_stats
 q = P.quoted
 #: Columns of a pivoted matrix at most.
 MOST_COLUMNS = 10_000
+#: Columns whose pairs are correlated as aggregates of one plan.
+WIDE = 16
 
 
 def _c(c) -> Column:
@@ -125,12 +130,66 @@ def crosstab(df: DataFrame, x: str, y: str, rows: int = 15) -> DataFrame:
     return cells.join(counted, [x, y], "left").select(q(x), q(y), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def comoments(df: DataFrame, cols) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy, odd)`` for every pair ``i <= j`` of
+    columns (by number): over the rows where both are given, their count, sums,
+    sums of squares and products, of values less the column's mean over the
+    whole table; ``odd`` counts rows with a NaN or infinite value, which the
+    sums leave out.  A task multiplies its rows block by block and gives one row
+    a pair; these add up in one aggregate, whatever the rows."""
+    cols = list(cols)
+    shown = df.select(*[F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    finite = [F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in shown.columns]
+    means = shown.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in finite]).first()
+    centre, width = np.array(means, float), len(cols)
+
+    def add_up(batches):
+        total = np.zeros((5, width, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in part.columns])
+                odd = ~np.isfinite(x)
+                x = np.where(odd | (given == 0), 0.0, x - centre)
+                total += (given.T @ given, x.T @ given, (x * x).T @ given, x.T @ x, odd.astype(float).T @ given)
+        n, s, ss, sxy, odd = total
+        i, j = np.triu_indices(width)
+        keep = n[i, j] > 0
+        i, j = i[keep], j[keep]
+        values = (i, j, n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], sxy[i, j], odd[i, j] + odd[j, i])
+        names = ("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy", "odd")
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in "ij" else pa.float64()) for k, v in zip(names, values)], names=names)
+
+    numbers = ("n", "sx", "sy", "sxx", "syy", "sxy", "odd")
+    rows = shown.mapInArrow(add_up, "i int, j int, " + ", ".join(f"{k} double" for k in numbers))
+    return rows.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in numbers])
+
+
+def _wide_corr(df: DataFrame, cols: list, digits: int) -> DataFrame:
+    m, n = comoments(df, cols), F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    # what rounding leaves of a constant column's variance counts as none
+    varies = (n > 1) & (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    r = F.when(F.col("odd") > 0, F.lit(float("nan"))).when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    r = F.round(r, digits)
+    got = m.select("i", "j", r.alias("r")).select(F.explode(F.array_distinct(F.array(
+        F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r")))).alias("p")).select("p.*")
+    names = F.array(*[F.lit(c) for c in cols])
+    every = df.sparkSession.range(len(cols) ** 2).selectExpr(f"CAST(id DIV {len(cols)} AS int) AS i", f"CAST(id % {len(cols)} AS int) AS j")
+    return every.join(got, ["i", "j"], "left").select(F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"),
+                                                     (F.coalesce("r", F.lit(0.0)) + F.lit(0.0)).alias("r"))
+
+
 def corr_matrix(df: DataFrame, cols, digits: int = 2) -> DataFrame:
     """``(x, y, r)`` for every ordered pair (diagonal included),
     pairwise-complete Pearson r over the whole table, rounded; undefined -> 0.
     One aggregate; the ratio is guarded so a constant column gives 0, not an
-    ANSI division error."""
+    ANSI division error.  More than ``WIDE`` columns go through ``comoments``,
+    whose plan does not grow with the pairs."""
     cols = list(cols)
+    if len(cols) > WIDE:
+        return _wide_corr(df, cols, digits)
     aggs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

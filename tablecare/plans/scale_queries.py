@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.charts import corr_matrix
 from ..operators.dashboard import cube_of, dashboard_charts, filtered_dashboard, kpis
 from ..operators.paging import SortedPages
 from ..operators.profile import modes
@@ -17,6 +18,7 @@ from .clean_queries import shape
 from .dashboard_queries import QUERIES as DASHBOARD_QUERIES, RECIPE
 from .profile_store import ProfileStore, files_under
 from .recipe import VersionStore
+from .search_index import SearchIndex
 from .views import dirty_orders, table
 
 
@@ -199,7 +201,53 @@ UNION ALL SELECT 'Sum o_totalprice', round(sum(o_totalprice), 2), 'sum', 'o_tota
 UNION ALL SELECT 'Average o_custkey', round(avg(o_custkey), 2), 'average', 'o_custkey', 'number' FROM f"""
 
 
+# --------------------------------------------------- search by an index (B11, B12) ---
+def _indexed_documents(spark, sf):
+    """``documents`` in files of a language each, and their index."""
+    docs, base = table(spark, sf, "documents"), scratch_path(spark, "documents")
+    docs.repartition("lang").write.option("maxRecordsPerFile", 2_000_000).parquet(base)
+    index = SearchIndex(spark, scratch_path(spark, "search"))
+    index.update(files_under(spark, base))
+    return index, base
+
+
+def q_search_indexed(spark, sf):
+    """A literal, in those files alone that can hold it."""
+    index, base = _indexed_documents(spark, sf)
+    return index.search(base, "All Rights Reserved").select("doc_id", "lang", "source")
+
+
+def q_search_pattern(spark, sf):
+    """A pattern, in those files alone that can hold its fixed parts."""
+    index, base = _indexed_documents(spark, sf)
+    return index.search(base, r"rights? reserved[.,;]?", regex=True, columns=["text"]).select("doc_id", "lang", "source")
+
+
+# ---------------------------------------------- correlations of a wide table (E24) ---
+WIDE_COLUMNS = 40
+
+
+def _wide_cell(k: int) -> str:
+    x = f"(l_orderkey * {k + 3} + l_partkey * {k * k + 1} + l_linenumber * {7 + k % 3}) % {90 + k * 4}"
+    return f"CASE WHEN {k} % 5 = 0 AND l_linenumber = {k % 7 + 1} THEN NULL ELSE CAST({x} AS DOUBLE) + {k % 4} * l_quantity END"
+
+
+def q_corr_wide(spark, sf):
+    """The correlation matrix of forty columns, some with nulls, from one row of co-moments a pair."""
+    cols = [f"w{k}" for k in range(WIDE_COLUMNS)]
+    return corr_matrix(table(spark, sf, "lineitem").selectExpr(*[f"{_wide_cell(k)} AS w{k}" for k in range(WIDE_COLUMNS)]), cols, 2)
+
+
+SQL_CORR_WIDE = f"""WITH w AS (SELECT {", ".join(f"{_wide_cell(k)} AS w{k}" for k in range(WIDE_COLUMNS))} FROM lineitem),
+  m AS (SELECT {", ".join(f"coalesce(round(corr(w{a}, w{b}), 2), 0) + 0.0 AS r{a}_{b}" for a in range(WIDE_COLUMNS) for b in range(a, WIDE_COLUMNS))} FROM w)
+SELECT x, y, r FROM (SELECT unnest([{", ".join(f"{{'x': 'w{a}', 'y': 'w{b}', 'r': r{min(a, b)}_{max(a, b)}}}" for a in range(WIDE_COLUMNS) for b in range(WIDE_COLUMNS))}], recursive := true) FROM m)"""
+
+
 QUERIES = {
+    "search_indexed": (q_search_indexed, "SELECT doc_id, lang, source FROM documents WHERE contains(lower(coalesce(text, '')), 'all rights reserved') "
+                                         "OR contains(lower(coalesce(lang, '')), 'all rights reserved') OR contains(lower(coalesce(source, '')), 'all rights reserved')"),
+    "search_pattern": (q_search_pattern, "SELECT doc_id, lang, source FROM documents WHERE regexp_matches(lower(text), 'rights? reserved[.,;]?')"),
+    "corr_wide": (q_corr_wide, SQL_CORR_WIDE),
     "deep_page": (q_deep_page, SQL_DEEP_PAGE),
     "recipe_version_kept": (q_recipe_version_kept, DASHBOARD_QUERIES["recipe_version"][1]),
     "dashboard_charts": (q_dashboard_charts, _charts_sql("")),
