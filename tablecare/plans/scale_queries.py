@@ -203,9 +203,9 @@ UNION ALL SELECT 'Average o_custkey', round(avg(o_custkey), 2), 'average', 'o_cu
 
 # --------------------------------------------------- search by an index (B11, B12) ---
 def _indexed_documents(spark, sf):
-    """``documents`` in files of a language each, and their index."""
+    """``documents`` in files of a language each, several where it is large, and their index."""
     docs, base = table(spark, sf, "documents"), scratch_path(spark, "documents")
-    docs.repartition("lang").write.option("maxRecordsPerFile", 2_000_000).parquet(base)
+    docs.hint("rebalance", "lang").write.option("maxRecordsPerFile", 2_000_000).parquet(base)
     index = SearchIndex(spark, scratch_path(spark, "search"))
     index.update(files_under(spark, base))
     return index, base

@@ -1,8 +1,8 @@
 """Search over many files that reads only those which can hold the term.
 
-``SearchIndex`` keeps, for each file and column, which three-letter pieces its
-lower-cased cells hold, as a bit array of ``BITS`` hashed places (``PIECE`` of
-them a row).  A term's own pieces all stand in a file that holds the term, so
+``SearchIndex`` keeps, for each file and column, which pieces of three bytes its
+lower-cased cells hold (in UTF-8), as a bit array of ``BITS`` hashed places
+(``PIECE`` of them a row).  A term's own pieces all stand in a file that holds the term, so
 files that lack one are not read; the others are searched as usual, and the
 result is that of ``table.search`` over all files.  Files are told apart by
 path, length and time of modification; ``update`` reads the files that the
@@ -15,44 +15,91 @@ files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import predicates as P
 from ..operators.table import search
 from .profile_store import files_under
 
 #: Hashed places of a file and column; places in one row of the index (those of Spark's bitmap functions).
-BITS, PIECE = 1 << 18, 1 << 15
+SHIFT = 18
+BITS, PIECE = 1 << SHIFT, 1 << 15
+#: Files and columns whose bits a task holds at once.
+HELD = 64
+#: Folder of the index's rows, by how places are found: rows of another way are not read.
+WAY = "three_bytes"
 STATE = "file string, length bigint, modified bigint, column string, part bigint, bits binary"
 KEYS = ["file", "length", "modified"]
 
 
-def letters_of(text: Column) -> Column:
-    return F.split(text, "")
-
-
-def pieces(letters: Column) -> Column:
-    """The three-letter pieces of a text, in order and with repeats; none of a shorter one.  ``letters`` is a column that
-    holds them, not an expression: the lambda would split the text again for each piece."""
-    return F.transform(F.slice(letters, 1, F.greatest(F.size(letters) - 2, F.lit(0))),
-                       lambda c, i: F.concat(c, F.get(letters, i + 1), F.get(letters, i + 2)))
-
-
-def _place(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(BITS)) + 1
+def _places(data):
+    """Place of each three-byte piece of ``data``, a numpy array of bytes."""
+    import numpy as np
+    x = data.astype(np.uint32)
+    return ((x[:-2] | x[1:-1] << 8 | x[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SHIFT)
+
+
+def _set_bits(names: list[str]):
+    """Batches of ``file`` and cells to rows of (file, column, part, bits).  Bytes are hashed a block at a time, straight from
+    the Arrow buffers; a task holds the bits of ``HELD`` files and columns at most and then gives them out."""
+    bits, piece, held, places = BITS, PIECE, HELD, _places  # Python of an executor needs no module of ours
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        seen: dict = {}
+
+        def rows():
+            out: list = [[], [], [], []]
+            for (file, column), marks in seen.items():
+                for part, row in enumerate(np.packbits(marks, bitorder="little").reshape(-1, piece // 8)):
+                    if row.any():
+                        for to, v in zip(out, (file, column, part, row.tobytes())):
+                            to.append(v)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()),
+                                               pa.array(out[3], pa.binary())], ["file", "column", "part", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files = batch.column(0).dictionary_encode(null_encoding="encode")
+            at = files.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # runs of rows of one file
+            for start, end in zip(starts, np.r_[starts[1:], len(at)]):
+                file = files.dictionary[int(at[start])].as_py()
+                for i, name in enumerate(names):
+                    cells = batch.column(i + 1).cast(pa.large_binary())
+                    ends = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset + start:cells.offset + end + 1]
+                    if ends[-1] - ends[0] < 3:
+                        continue
+                    data = np.frombuffer(cells.buffers()[2], np.uint8)
+                    marks = seen.setdefault((file, name), np.zeros(bits, bool))
+                    for low in range(int(ends[0]), int(ends[-1]) - 2, 1 << 20):
+                        high = min(low + (1 << 20) + 2, int(ends[-1]))
+                        whole = np.ones(high - low - 2, bool)  # pieces that lie in one cell
+                        cuts = ends[np.searchsorted(ends, low, "right"):np.searchsorted(ends, high, "left")] - low
+                        for back in (1, 2):
+                            over = cuts - back
+                            whole[over[(over >= 0) & (over < len(whole))]] = False
+                        marks[places(data[low:high])[whole]] = True
+                if len(seen) >= held:
+                    yield rows()
+        yield rows()
+
+    return run
 
 
 def file_pieces(df: DataFrame, file: str, all_types: bool = False) -> DataFrame:
     """(file, column, part, bits) of a table whose column ``file`` names each row's file; bits are set before the shuffle."""
-    cells = [F.struct(F.lit(f.name).alias("column"), F.lower(P.as_text(P.quoted(f.name), f.dataType)).alias("text"))
-             for f in df.schema.fields if f.name != file and (all_types or P.is_string(f.dataType))]
-    if not cells:
+    fields = [f for f in df.schema.fields if f.name != file and (all_types or P.is_string(f.dataType))]
+    if not fields:
         return df.sparkSession.createDataFrame([], "file string, column string, part bigint, bits binary")
-    cell = df.select(F.col(file).alias("file"), F.explode(F.array(*cells)).alias("c"))
-    cell = cell.select("file", "c.column", letters_of(F.col("c.text")).alias("letters")).where(F.size("letters") >= 3)
-    found = cell.select("file", "column", F.explode(pieces(F.col("letters"))).alias("piece")).withColumn("place", _place(F.col("piece")))
-    return found.groupBy("file", "column", F.expr("bitmap_bucket_number(place)").alias("part")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
+    cells = [F.lower(P.as_text(P.quoted(f.name), f.dataType)).cast("binary").alias(f"c{i}") for i, f in enumerate(fields)]
+    found = df.select(F.col(P.quoted(file)).alias("file"), *cells).mapInArrow(
+        _set_bits([f.name for f in fields]), "file string, column string, part bigint, bits binary")
+    return found.groupBy("file", "column", "part").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
 
 
 def fixed_parts(pattern: str) -> list[str]:
@@ -88,7 +135,7 @@ class SearchIndex:
     """Rows of ``STATE`` under ``folder`` (shared storage, any file system Spark knows)."""
 
     def __init__(self, spark: SparkSession, folder: str, all_types: bool = False):
-        self.spark, self.folder, self.all_types = spark, folder, all_types
+        self.spark, self.folder, self.all_types = spark, f"{folder.rstrip('/')}/{WAY}", all_types
 
     def states(self) -> DataFrame:
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
@@ -116,12 +163,11 @@ class SearchIndex:
         """The paths of ``files`` that may hold all of ``parts``, together in one column; files that are not indexed too."""
         if not parts or not files:
             return [f[0] for f in files]
-        wanted = self.spark.createDataFrame([(p,) for p in parts], "p string").select(letters_of(F.col("p")).alias("letters")).select(
-            F.explode(pieces(F.col("letters"))).alias("piece")).withColumn("place", _place(F.col("piece"))).selectExpr(
-            "bitmap_bucket_number(place) AS part", "bitmap_bit_position(place) AS bit").distinct().collect()  # no more than the term's letters
+        places = {int(k) for p in parts if len(p.encode()) >= 3 for k in _places(np.frombuffer(p.encode(), np.uint8))}
+        wanted = [(k // PIECE, k % PIECE) for k in sorted(places)]  # no more than the term's letters
         if not wanted:
             return [f[0] for f in files]
-        asked = F.array(*[F.struct(F.lit(w.part).alias("part"), F.lit(w.bit // 8 + 1).alias("byte"), F.lit(1 << w.bit % 8).alias("mask")) for w in wanted])
+        asked = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(bit // 8 + 1).alias("byte"), F.lit(1 << bit % 8).alias("mask")) for part, bit in wanted])
         held = self.states().join(self._listed(files), KEYS)
         indexed = held.select("file").distinct()
         here = F.size(F.filter(asked, lambda w: (w["part"] == F.col("part")) & (

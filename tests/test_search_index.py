@@ -83,3 +83,37 @@ def test_correlations_of_three_hundred_columns(spark):
     got = {(r.x, r.y): r.r for r in C.corr_matrix(df, names, 4).collect()}
     want = np.corrcoef(x.T)
     assert len(got) == 90_000 and all(abs(got[f"c{i}", f"c{j}"] - want[i, j]) < 1e-4 for i in range(0, 300, 7) for j in range(300))
+
+
+def test_an_index_gives_bits_not_pieces_to_the_shuffle(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablecare.plans import search_index as S
+    monkeypatch.setattr(S, "HELD", 2)
+    rows = [("a", "Abc", None), ("b", "xy", "äbcd"), ("a", "cab", "z"), (None, "null's", ""), ("c", None, "long " * 500_000 + "tail"), ("a", "q", "bca")]
+    df = spark.createDataFrame(rows, "f string, `t.t` string, u string").coalesce(2)
+    found = S.file_pieces(df, "f")
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # it was a row a piece
+    got = {(r.file, r.column, r.part * S.PIECE + k) for r in found.collect() for k in range(S.PIECE) if r.bits[k // 8] >> k % 8 & 1}
+    want = {(f, c, int(p)) for f, *cells in rows for c, x in zip(("t.t", "u"), cells) for b in [(x or "").lower().encode()]
+            for p in (S._places(S.np.frombuffer(b, S.np.uint8)) if len(b) > 2 else [])}
+    assert got == want
+    assert found.groupBy("file", "column", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count() == 0
+
+
+def test_a_frequent_language_lies_in_several_files(spark, monkeypatch, tmp_path):
+    from tablecare.plans import scale_queries as Q
+    text = " ".join(f"{i * 7919:x}" for i in range(300))
+    spark.range(0, 3000, 1, 8).selectExpr("id AS doc_id", f"concat(id, ' {text} ', sha2(cast(id AS string), 512)) AS text", "CASE WHEN id % 50 = 0 THEN 'xx' ELSE 'en' END AS lang",
+                                          "'s' AS source", "0 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Q.SearchIndex, "update", lambda self, files: None)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        base = Q._indexed_documents(spark, str(tmp_path))[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    docs = spark.read.parquet(base)
+    assert docs.count() == 3000
+    assert docs.where("lang = 'en'").selectExpr("_metadata.file_path AS f").distinct().count() > 1  # it was one task and file
