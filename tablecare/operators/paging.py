@@ -1,10 +1,12 @@
 """Deep pages of a sorted table.
 
 ``offset`` and ``limit`` on a sorted frame take offset + limit rows to one
-task.  ``SortedPages`` sorts a table once, by ranges, and keeps it in the shared
-folder with every row's range and place in it; the *rank directory* holds the
-number of rows of each range.  A page then names the ranges that hold it: only
-their row groups with its places are read, and only the page's rows are sorted.
+task.  ``SortedPages`` sorts a table once, in parts of many rows (a task each),
+and keeps it in the shared folder with every row's part and place in it.  Parts
+are cut into ranges of consecutive places; the *rank directory* follows from
+the number of rows of each part, all that comes to the driver.  A page then
+names the places that hold it: only the row groups and Parquet pages with them
+are read, and only the page's rows are sorted.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from ..session import scratch_path
 from .rowid import ROW_ID, ensure_row_id
 from .table import total_pages
 
+#: Rows of a part, about: small ranges share a task, whose result the driver keeps.
+PART_ROWS = 1 << 19
+
 
 class SortedPages:
     """Pages of ``df`` sorted by ``sort`` (nulls first in both directions), ties by ``tie``.
 
     ``tie`` -- columns that tell rows apart; without them the row id (added if
-    the table has none).  ``rows_per_range`` -- rows that a range holds, about."""
+    the table has none).  ``rows_per_range`` -- rows that a range holds at most."""
 
     def __init__(self, df: DataFrame, sort: str | None, desc: bool = False, tie: list[str] | None = None,
                  rows_per_range: int = 1 << 20):
@@ -37,15 +42,16 @@ class SortedPages:
         plain = df.toDF(*at.values())  # their own names may be anything
         first = ([F.col(at[sort]).desc_nulls_first() if desc else F.col(at[sort]).asc_nulls_first()] if sort else [])
         self._keys = [*first, *[F.col(at[c]).asc_nulls_first() for c in tie]]
-        ranges = max(1, -(-plain.count() // rows_per_range))
-        sorted_ = plain.repartitionByRange(ranges, *self._keys).sortWithinPartitions(*self._keys)
-        tagged = (sorted_.withColumn("_range", F.spark_partition_id())
-                  .withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_range").cast("bigint"), 33)))
+        self._per_range = rows_per_range
+        parts = max(1, -(-plain.count() // max(rows_per_range, PART_ROWS)))
+        sorted_ = plain.repartitionByRange(parts, *self._keys).sortWithinPartitions(*self._keys)
+        tagged = (sorted_.withColumn("_part", F.spark_partition_id())
+                  .withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)))
         path = scratch_path(spark, "sorted")
         tagged.write.parquet(path)
         self._at, self._stored = at, spark.read.schema(tagged.schema).parquet(path)
-        counts = self._stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()  # a row a range
-        self._ranges = [r["_range"] for r in counts]
+        counts = self._stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a part
+        self._parts = [r["_part"] for r in counts]
         self._ends = list(itertools.accumulate(r["n"] for r in counts))
 
     @property
@@ -54,7 +60,8 @@ class SortedPages:
 
     def directory(self) -> list[tuple[int, int, int]]:
         """(range, rank of its first row, rank after its last)."""
-        return list(zip(self._ranges, [0, *self._ends[:-1]], self._ends))
+        cuts = [(at, min(at + self._per_range, end)) for start, end in zip([0, *self._ends[:-1]], self._ends) for at in range(start, end, self._per_range)]
+        return [(i, *cut) for i, cut in enumerate(cuts)]
 
     def total_pages(self, limit: int) -> int:
         return total_pages(self.rows, limit)
@@ -63,15 +70,16 @@ class SortedPages:
         """Rows ``(page_no - 1) * limit .. page_no * limit`` in order; ``limit <= 0`` gives all."""
         start = max(0, (page_no - 1) * limit) if limit > 0 else 0
         end = start + limit if limit > 0 else self.rows
-        held = F.lit(False)
-        first, last = bisect.bisect_right(self._ends, start), bisect.bisect_left(self._ends, min(end, self.rows))
-        for i in range(first, min(last + 1, len(self._ends))):
-            before = self._ends[i - 1] if i else 0
-            part = F.col("_range") == self._ranges[i]
-            if start > before:
-                part = part & (F.col("_place") >= start - before)
-            if end < self._ends[i]:
-                part = part & (F.col("_place") < end - before)
-            held = held | part
-        rows = self._stored.where(held).orderBy("_range", "_place")
+        rows = self._stored
+        if start > 0 or end < self.rows:
+            first, last = bisect.bisect_right(self._ends, start), bisect.bisect_left(self._ends, min(end, self.rows))
+            if first >= len(self._ends):
+                rows = rows.where(F.lit(False))
+            else:
+                part, place, begins = F.col("_part"), F.col("_place"), [0, *self._ends]
+                low, high = self._parts[first], self._parts[last]
+                from_, to = place >= start - begins[first], place < end - begins[last]
+                rows = rows.where((part == low) & from_ & to if first == last else
+                                  (part == low) & from_ | (part > low) & (part < high) | (part == high) & to)
+        rows = rows.orderBy("_part", "_place")
         return rows.select(*[F.col(self._at[c]).alias(c) for c in self.columns])

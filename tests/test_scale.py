@@ -215,6 +215,24 @@ def test_pages_of_a_sorted_table(spark):
     assert SortedPages(df.limit(0), "unit.price", tie=["id"]).page(1).collect() == []
 
 
+def test_small_ranges_share_a_task(spark):
+    from tablecare.operators.paging import SortedPages
+    pages = SortedPages(spark.range(3000).selectExpr("id", "id % 7 AS k").repartition(4), "k", tie=["id"], rows_per_range=10)
+    assert pages._stored.rdd.getNumPartitions() <= 8 and len(pages._stored.inputFiles()) == 1  # it was a task and file a range
+    assert pages.directory() == [(i, i * 10, i * 10 + 10) for i in range(300)]
+    assert [r.id for r in pages.page(100, 30).collect()] == sorted(range(3000), key=lambda i: (i % 7, i))[2970:]
+
+
+def test_pages_over_several_parts(spark, monkeypatch):
+    from tablecare.operators import paging
+    monkeypatch.setattr(paging, "PART_ROWS", 100)
+    pages = paging.SortedPages(spark.range(1000).selectExpr("id", "999 - id AS k").repartition(4), "k", tie=["id"], rows_per_range=7)
+    assert len(pages._parts) > 5 and max(b - a for _, a, b in pages.directory()) == 7
+    for no, limit in ((1, 1000), (1, 0), (2, 450), (3, 333), (4, 333), (2, 1000), (17, 3)):
+        at = (no - 1) * limit
+        assert [r.k for r in pages.page(no, limit).collect()] == list(range(1000))[at:at + limit if limit else None]
+
+
 def test_deep_table_page_is_the_same(spark):
     from tablecare.operators.rowid import with_row_id
     from tablecare.plans.quality import sorted_pages, table_page
