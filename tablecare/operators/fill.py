@@ -11,8 +11,10 @@ SinglePartition``.  Here rows are cut into blocks of consecutive ids:
 3. inside each block a window partitioned by block finds the local value;
 4. ``coalesce(local, carried)``.
 
-Every task sees at most one block of rows or ``FAN`` rows of a level above: no
-window runs over a whole table, not over that of the blocks either.  Two
+Every window sees at most one block of rows or ``FAN`` rows of a level above: no
+window runs over a whole table, not over that of the blocks either.  A large
+table gets a task for every ``TASK_ROWS`` rows, so what a task sorts does not
+grow with the table.  Two
 levels reach 2**48 rows with the default sizes.
 """
 
@@ -27,6 +29,8 @@ DEFAULT_BLOCK = 1 << 16
 #: Consecutive blocks (or groups of blocks) over which one task carries values, and the levels of that: with these,
 #: 2**48 rows.
 FAN, LEVELS = 1 << 16, 2
+#: Rows of a task, on average, where the session's shuffle partitions would hold more.
+TASK_ROWS = 1 << 16
 
 
 def _running(column: str, way: str, last: int, window=Window):
@@ -37,9 +41,20 @@ def _running(column: str, way: str, last: int, window=Window):
     return window.orderBy(order).rowsBetween(Window.unboundedPreceding, last)
 
 
-def _edge(value: str, way: str, by: str) -> Column:
-    """The value of the last (forward) or first (backward) row that has one."""
-    return (F.max_by if way == "forward" else F.min_by)(F.col(value), F.when(F.col(value).isNotNull(), F.col(by)))
+def _edge(value: str, way: str, by: str, fields=()) -> Column:
+    """The value of the last (forward) or first (backward) row that has one.  ``fields`` -- those of a struct, which are
+    taken one by one: numbers are aggregated by hash, a struct by sorting all rows."""
+    at = F.when(F.col(value).isNotNull(), F.col(by))
+    pick, edge = (F.max_by, F.max) if way == "forward" else (F.min_by, F.min)
+    if fields:
+        return F.when(edge(at).isNotNull(), F.struct(*[pick(F.col(value)[f], at).alias(f) for f in fields]))
+    return pick(F.col(value), at)
+
+
+def _spread(d: DataFrame, key: str, rows: int) -> DataFrame:
+    """``d`` by ``key`` over a task for every ``TASK_ROWS`` of its ``rows``, where the session's partitions would hold more."""
+    tasks = -(-rows // TASK_ROWS)
+    return d.repartition(tasks, key) if tasks > int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) else d
 
 
 def _carried(summary: DataFrame, ways: dict[str, str], fan: int = FAN, levels: int = LEVELS) -> DataFrame:
@@ -68,9 +83,10 @@ def nearest_values(df: DataFrame, cands: dict[str, Column], direction: str | dic
     for n in names:
         d = d.withColumn(f"_c_{n}", cands[n])
 
-    summary = d.groupBy("_blk").agg(*[_edge(f"_c_{n}", ways[n], id_col).alias(f"_s_{n}") for n in names])
+    fields = {n: getattr(d.schema[f"_c_{n}"].dataType, "names", ()) for n in names}
+    summary = d.groupBy("_blk").agg(*[_edge(f"_c_{n}", ways[n], id_col, fields[n]).alias(f"_s_{n}") for n in names])
     carry = _carried(summary.withColumnRenamed("_blk", "_key"), {n: ways[n] for n in names}, fan, levels).withColumnRenamed("_key", "_blk")
-    d = d.join(carry, "_blk", "left")
+    d = _spread(d, "_blk", df.count()).join(carry, "_blk", "left")
     inside = Window.partitionBy("_blk")
     out = [F.col(quoted(c)) for c in df.columns]
     for n in names:

@@ -215,6 +215,23 @@ def test_pages_of_a_sorted_table(spark):
     assert SortedPages(df.limit(0), "unit.price", tie=["id"]).page(1).collect() == []
 
 
+def test_a_task_of_a_fill_does_not_grow_with_the_table(spark, monkeypatch):
+    from tablecare.operators import fill as L
+    monkeypatch.setattr(L, "TASK_ROWS", 40)
+    rows = [(i, None if i % 5 else float(i * i % 97), None if i % 3 or i < 30 else float(i)) for i in range(1, 2000)]
+    df = spark.createDataFrame(rows, "_row_id long, a double, b double").repartition(3)
+    out = L.fill(df, {c: F.col(c).isNull() for c in "ab"}, {c: F.col(c).isNotNull() for c in "ab"}, "linear", block=16)
+    plan = plan_of(out)
+    assert "hashpartitioning(_blk" in plan and ", 50), REPARTITION_BY_NUM" in plan
+    assert out.rdd.getNumPartitions() == 50  # it was the session's number, whatever the rows
+    known = {c: [(r[0], r[k]) for r in rows if r[k] is not None] for k, c in ((1, "a"), (2, "b"))}
+    for r in out.collect():
+        for c in "ab":
+            p, n = [x for x in known[c] if x[0] <= r["_row_id"]][-1:], [x for x in known[c] if x[0] >= r["_row_id"]][:1]
+            want = None if not (p and n) else p[0][1] if p == n else p[0][1] + (n[0][1] - p[0][1]) * (r["_row_id"] - p[0][0]) / (n[0][0] - p[0][0])
+            assert r[c] == pytest.approx(want)
+
+
 def test_small_ranges_share_a_task(spark):
     from tablecare.operators.paging import SortedPages
     pages = SortedPages(spark.range(3000).selectExpr("id", "id % 7 AS k").repartition(4), "k", tie=["id"], rows_per_range=10)
