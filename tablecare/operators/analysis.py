@@ -97,7 +97,9 @@ class DistinctStats:
     def rows(self) -> dict[str, dict]:
         a = self.analysis
         part = approx_stats if a.approx else distinct_stats
-        return {r["column"]: r.asDict() for r in part(a.both, a.columns, a.tokens).collect()}
+        rows = {c: a.known[0]._distinct.rows[c] for c in a._known_columns}
+        columns = [c for c in a.columns if c not in rows]
+        return rows | ({r["column"]: r.asDict() for r in part(a.both, columns, a.tokens).collect()} if columns or not rows else {})
 
     @property
     def counted(self) -> bool:
@@ -120,8 +122,11 @@ class DistinctStats:
 class Analysis:
     def __init__(self, raw: DataFrame, tokens=P.MISSING_TOKENS, threshold: float = 0.9, share: float = 0.8,
                  ignored: dict | None = None, dup_keys: list[str] | None = None,
-                 approx: bool = False):
+                 approx: bool = False, known: tuple[Analysis, set] | None = None):
+        """``known`` -- an analysis of another table and the columns that hold the same cells in both: their distinct
+        counts, modes and quantiles are taken from it."""
         self.raw = raw
+        self.known = known
         self.approx = approx
         self.tokens = tokens
         self.threshold, self.share = threshold, share
@@ -185,6 +190,16 @@ class Analysis:
         """Per column, what the first pass already holds."""
         return {c: self._moment_row(i, c) for i, c in enumerate(self.columns)}
 
+    @cached_property
+    def _known_columns(self) -> list[str]:
+        """Columns whose cells another analysis has counted, with the same type, tokens and method."""
+        if self.known is None:
+            return []
+        other, columns = self.known
+        if self.approx or other.approx or tuple(self.tokens) != tuple(other.tokens):
+            return []
+        return [c for c in self.columns if c in columns and self.types[c] == other.types.get(c)]
+
     @cached_property
     def _distinct(self) -> DistinctStats:
         """Distinct counts and modes, when first asked for."""
@@ -195,8 +210,10 @@ class Analysis:
         """Order statistics of the numeric columns, when first asked for."""
         if self.approx:
             return self._distinct.rows
-        q = quantile_stats(self.both, self.columns)
-        return {} if q is None else {r["column"]: r.asDict() for r in q.collect()}
+        rows = {c: self.known[0]._quantiles[c] for c in self._known_columns if P.is_numeric(self.types[c]) and c in self.known[0]._quantiles}
+        columns = [c for c in self.columns if c not in rows]
+        q = quantile_stats(self.both, columns) if columns else None
+        return rows if q is None else rows | {r["column"]: r.asDict() for r in q.collect()}
 
     @cached_property
     def _profile_rows(self):

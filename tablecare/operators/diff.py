@@ -45,21 +45,19 @@ def changed_rows(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> D
     return j.select(id_col, arr.alias("changed_columns")).where(F.size("changed_columns") > 0)
 
 
-def step_summary(before: DataFrame, after: DataFrame, id_col: str = ROW_ID) -> DataFrame:
+def step_summary(before: DataFrame, after: DataFrame, id_col: str = ROW_ID, changed=changed_rows) -> DataFrame:
     """J6 metrics as one row: dropped columns, removed rows, changed cells
-    (dropped columns count every row), rows remaining."""
+    (dropped columns count every row), rows remaining.  Rows are compared, by
+    ``changed``, only where none was removed."""
     dropped = [c for c in before.columns if c not in after.columns]
-    nb = before.agg(F.count(F.lit(1)).alias("n")).scalar()
-    na = after.agg(F.count(F.lit(1)).alias("n")).scalar()
-    spark = before.sparkSession
-    if dropped:
-        changed = nb * F.lit(len(dropped))
-    elif id_col in before.columns and id_col in after.columns:
-        changed = changed_rows(before, after, id_col).agg(F.count(F.lit(1))).scalar()
-    else:
-        changed = F.lit(0)
-    return spark.range(1).select(
+    nb, na = before.count(), after.count()
+    n = F.lit(0)
+    if nb <= na and dropped:
+        n = F.lit(nb * len(dropped))
+    elif nb <= na and id_col in before.columns and id_col in after.columns:
+        n = changed(before, after, id_col).agg(F.count(F.lit(1))).scalar()
+    return before.sparkSession.range(1).select(
         F.lit(",".join(dropped)).alias("dropped_columns"),
-        F.greatest(nb - na, F.lit(0)).alias("rows_removed"),
-        F.when(nb > na, F.lit(0)).otherwise(changed).cast("bigint").alias("values_changed"),
-        na.alias("rows_remaining"))
+        F.lit(max(nb - na, 0)).cast("bigint").alias("rows_removed"),
+        n.cast("bigint").alias("values_changed"),
+        F.lit(na).cast("bigint").alias("rows_remaining"))

@@ -199,18 +199,31 @@ def preview(a: Analysis, issue: str, columns=("all",), method: str = "Ignore", c
     from ..operators.clean import clean
     from ..operators.diff import changed_rows, removed_counts, step_summary
     from ..operators.rowid import ROW_ID, with_row_id
+    from ..session import pinned
     base = a if ROW_ID in a.raw.columns else Analysis(with_row_id(a.raw, order_by), a.tokens, a.threshold, a.share, a.ignored)
     after = clean(base, issue, list(columns), method, custom_value, order_by=order_by)
-    summary = step_summary(base.typed, after).first()
+    found = []  # ids of the changed rows and their changed columns, found once
+
+    def changed(*args):
+        found.append(pinned(changed_rows(*args)))
+        return found[0]
+
+    summary = step_summary(base.typed, after, changed=changed).first()
+    unchanged: set = set()  # columns that hold the same cells after the step
+    if found:
+        unchanged = set(base.columns) - {r[0] for r in found[0].select(F.explode("changed_columns")).distinct().collect()}
+    elif summary["dropped_columns"] and not summary["rows_removed"]:  # such a step leaves the other columns as they are
+        unchanged = set(base.columns)
     before_score = quality_scores(base).first()["overall"]
-    after_score = quality_scores(Analysis(after, base.tokens, base.threshold, base.share, base.ignored)).first()["overall"]
+    after_score = quality_scores(Analysis(after, base.tokens, base.threshold, base.share, base.ignored,
+                                          known=(base, unchanged))).first()["overall"]
     if summary["dropped_columns"]:
         b, c = base.typed.orderBy(ROW_ID).limit(samples), after.orderBy(ROW_ID).limit(samples)
     elif summary["rows_removed"]:
         b = removed_counts(base.typed.drop(ROW_ID), after.drop(ROW_ID)).limit(samples)
         c = b.limit(0)
     else:
-        ids = changed_rows(base.typed, after).select(ROW_ID).orderBy(ROW_ID).limit(samples)
+        ids = F.broadcast(found[0].select(ROW_ID).orderBy(ROW_ID).limit(samples))
         b = base.typed.join(ids, ROW_ID, "left_semi").orderBy(ROW_ID)
         c = after.join(ids, ROW_ID, "left_semi").orderBy(ROW_ID)
     metrics = a.raw.sparkSession.createDataFrame([(

@@ -121,6 +121,45 @@ def test_step_preview(spark):
     assert d["metrics"].first().rows_removed == 8
 
 
+def test_preview_counts_unchanged_columns_once(spark, monkeypatch):
+    from tablecare.operators import analysis, diff
+    from tablecare.operators.clean import clean
+    from tablecare.operators.rowid import with_row_id
+    from tablecare.plans.quality import preview, quality_scores
+    rows = [(i, None if i % 4 == 0 else float(i % 9) * (-1) ** i, f"{i % 30}.5" if i % 40 else "n/a", "  " if i % 7 == 0 else "Ab" if i % 5 else "aB", -0.0 if i % 2 else 0.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, `v.x` double, n string, s string, z double")
+    counted, compared = [], []
+    for name in ("distinct_stats", "quantile_stats"):
+        real = getattr(analysis, name)
+        monkeypatch.setattr(analysis, name, lambda d, columns, *a, real=real, name=name: counted.append((name, *columns)) or real(d, columns, *a))
+    real_rows = diff.changed_rows
+    monkeypatch.setattr(diff, "changed_rows", lambda *a: compared.append(1) or real_rows(*a))
+    every = ("k", "v.x", "n", "s", "z")
+    for issue, cols, method, custom, again, joins in (
+            ("Constant Columns", ["s", "z"], "Drop Column", None, [], 0),
+            ("Missing Values", ["v.x"], "Replace with Custom Value", "7", ["v.x"], 1),
+            ("Extra Spaces", ["s"], "Trim Spaces", None, ["s"], 1),
+            ("Missing Values", ["n"], "Drop Rows", None, list(every), 0)):
+        counted.clear()
+        compared.clear()
+        p = preview(Analysis(df), issue, cols, method, custom, order_by=["k"])
+        assert [c for name, *c in counted if name == "distinct_stats"] == [list(every)] + [again] * bool(again)
+        assert len(compared) == joins  # rows are compared once, and only where none was removed
+        monkeypatch.setattr(diff, "changed_rows", real_rows)
+        base = Analysis(with_row_id(df, ["k"]))
+        after = clean(base, issue, cols, method, custom, order_by=["k"])
+        fresh = Analysis(after)
+        m = p["metrics"].first()
+        assert m.current_score == quality_scores(base).first()["overall"] and m.estimated_score == quality_scores(fresh).first()["overall"]
+        monkeypatch.setattr(diff, "changed_rows", lambda *a: compared.append(1) or real_rows(*a))
+        known = Analysis(after, known=(base, {c for c in every if c not in again}))
+        assert sorted(map(str, known.profile_df.collect())) == sorted(map(str, fresh.profile_df.collect()))
+        if joins:
+            b, c = ({r._row_id: r for r in p[x].collect()} for x in ("before", "after"))
+            changed = sorted(r._row_id for r in real_rows(base.typed, after).collect())
+            assert sorted(b) == sorted(c) == changed[:5]
+
+
 def test_dashboard_composite(spark):
     from tablecare.operators.dashboard import dashboard, filtered_dashboard
     df = spark.createDataFrame([(f"c{i % 3}", float(i), f"r{i % 7}") for i in range(40)],
