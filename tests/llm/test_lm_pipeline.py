@@ -126,6 +126,48 @@ def test_gradients_match_differences():
         assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=2e-2, abs=2e-6), name
 
 
+def test_windows_after_the_one_before_are_a_view():
+    stream = np.arange(5 * attention.WINDOW * 3.0).reshape(5, attention.WINDOW, 3)
+    both = attention.with_before(stream)
+    assert np.shares_memory(both, stream)
+    assert np.array_equal(both, np.concatenate([stream[:-1], stream[1:]], axis=1))
+
+
+def test_fit_takes_plain_adam_steps_without_sorting(monkeypatch):
+    """Every parameter moves as by Adam alone, a step's embeddings only; a step's subwords are found without a sort."""
+    docs = small_stream(4, 30)
+    model = attention.Attention.fresh(np.concatenate(docs), 60)
+    rng = np.random.default_rng(5)
+    for v in model.p.values():
+        v += (rng.normal(size=v.shape) * 0.1).astype(np.float32)
+    plain = attention.Attention(model.row, model.cls, {k: v.copy() for k, v in model.p.items()})
+    fitted = [k for k in plain.p if k not in attention.COUNTED]
+    m, s = ({k: np.zeros_like(plain.p[k]) for k in fitted} for _ in range(2))
+    windows, first, targets, real = attention.windows_of(docs, 50)
+    blocks, order = -(-len(first) // 8), np.random.default_rng(6)
+    for j, b in enumerate(order.permutation(blocks)):
+        lo, hi = b * 8, min(len(first), (b + 1) * 8)
+        at = slice(lo * attention.WINDOW, hi * attention.WINDOW)
+        rows = model.row[windows[lo:hi + 1]]
+        _, g = plain.gradients(rows, first[lo:hi], model.cls[targets[at]], real[at].astype(np.float32))
+        rate = (0.02 - 0.01 * (j + 1) / blocks) / (1 - 0.9 ** (j + 1))
+        for k in fitted:
+            own = np.unique(rows) if k in attention.BY_ROW else slice(None)
+            m[k][own] = 0.9 * m[k][own] + 0.1 * g[k][own]
+            s[k][own] = 0.995 * s[k][own] + 0.005 * g[k][own] ** 2
+            plain.p[k][own] -= rate * m[k][own] / (np.sqrt(s[k][own] / (1 - 0.995 ** (j + 1))) + 1e-8)
+
+    def sorts(*_, **__):
+        raise AssertionError("a step sorts")
+
+    with monkeypatch.context() as patch:
+        for name in ("unique", "argsort", "sort"):
+            patch.setattr(np, name, sorts)
+        attention.fit(model, [docs], 50, (0.02, 0.01), batch=8, seed=6)
+    for k in plain.p:
+        assert np.allclose(model.p[k], plain.p[k], atol=2e-3), k
+
+
 def test_training_learns_context():
     """A stream whose next subword follows from the last one."""
     docs = [np.arange(i, i + 70) % 40 for i in range(60)]
