@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -40,6 +41,29 @@ def test_scores_of_the_table(documents):
     assert sum(r.score for r in new) / n > -5.5 and sum(r.score for r in new) > sum(r.attention_score for r in new)
 
 
+def test_split_words_as_bytes_are_split():
+    """White space of ASCII alone cuts, whatever stands around it; only A-Z are lower-cased."""
+    texts = ["", " ", "One two", "  lead\t\ntrail \r\n", "a\x0bb\x0cc", "\u00c4B\u00a0C \u0130 \u2003x", *(f"A{chr(c)}b{chr(c)}" for c in range(300))]
+    found, sizes = lm.split_words(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert [w.encode() for w in found.to_pylist()] == [w for ws in want for w in ws]
+    none, sizes = lm.split_words(pa.array([], pa.string()))
+    assert len(none) == 0 and len(sizes) == 0
+
+
+def test_counts_in_many_parts(documents, monkeypatch):
+    rows = documents.select("text", (documents.doc_id % 3 == 0).alias("held_out"))
+    monkeypatch.setattr(lm, "COUNT_BYTES", 5_000, raising=False)
+    got = {r.word: r.c for r in lm.word_counts(rows).collect()}
+    want: Counter = Counter()
+    for r in rows.collect():
+        for w in tokens(r.text)[:-1]:
+            want[w.decode()] += not r.held_out
+        want[lm.END_WORD] += not r.held_out
+    assert got == dict(want)
+
+
 def test_blocks_do_not_change_scores(documents, monkeypatch):
     some = documents.limit(60)
     one = {r.doc_id: r.score for r in lm.lm_scores(some).collect()}
