@@ -1,15 +1,20 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tablecare.llm import attention, decontam, lm, pii, quality
-from tablecare.llm.common import table
+from tablecare.llm.bpe import ByteBpe
+from tablecare.llm.common import fold, table
+from tablecare.session import checkpoint_dir
 from tablecare.llm.near_dup import near_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +69,49 @@ def test_counts_in_many_parts(documents, monkeypatch):
     assert got == dict(want)
 
 
+def test_words_spelled_together():
+    """Words that the library gets as one text have the subwords that they have alone, in whichever order they come and
+    however little the table of chunks holds."""
+    odd = ["plain", "don't", "x'll'", "'s", "Äb", "İx", "中文", "🙂", "<|endoftext|>", "a<|endoftext|>b", "_", "\x1c", "a\x00b",
+           "é́", "\u2003x", "\xa0", "a\xa0b", "\xad", "123,456", "--", "!!!", "ª", "x’s", "ɐ", "ɏ×", "wor" * 400]
+    words = [w + tail for tail in ("", ".", "7", "è", "\xa0") for w in odd] + [f"{a}{b}{c}" for a in "tqz" for b in odd[:9] for c in range(20)]
+    words = [words[i] for i in np.random.default_rng(7).permutation(len(words))]
+    bpe = ByteBpe(public_tokenizers.path(lm.DEFAULT_TOKENIZER))
+    want = [bpe.word_ids(w) for w in words]
+    size, ids = bpe.laid(words)
+    assert size.tolist() == [len(w) // 4 for w in want] and ids.tobytes() == b"".join(want)
+    bpe.chunk_ids.most = bpe.chunk_ids.room = 20_000
+    assert [bpe.spelled(words[at:at + 90]) for at in range(0, len(words), 90)] == [want[at:at + 90] for at in range(0, len(words), 90)]
+    assert bpe.laid([])[0].tolist() == [] and bpe.laid(["中", "\x1c"])[1].tobytes() == bpe.word_ids("中") + bpe.word_ids("\x1c")
+
+
+def test_subwords_as_they_lie_in_arrow():
+    """Also of slices, of chunks, and of none."""
+    spelled = [np.arange(n, dtype=np.uint16).tobytes() for n in (3, 1, 2, 5, 1)]
+    for some in (pa.array(spelled), pa.array(spelled).slice(1, 3), pa.chunked_array([spelled[:2], [], spelled[2:]], pa.binary()),
+                 pa.array([], pa.binary()), pa.chunked_array([], pa.binary())):
+        want = [np.frombuffer(x, np.uint16) for x in some.to_pylist()]
+        size, ids, starts, later = lm._laid(some)
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert starts.tolist() == (np.cumsum(size) - size).tolist() and sorted([*starts, *later]) == list(range(len(ids)))
+
+
+def test_tables_go_when_they_are_read(spark, documents):
+    """The scores read one kept table; those of the steps before are deleted, and the session's setting is as it was."""
+    folder, setting = urlparse(checkpoint_dir(spark)).path, spark.conf.get(lm.CLEANED)
+    before = set(os.listdir(folder))
+    scores = lm.lm_scores(documents)
+    assert len(set(os.listdir(folder)) - before) == 1 and spark.conf.get(lm.CLEANED) == setting
+    assert scores.count() == documents.count()
+
+
+def test_streams_are_shuffled_once(documents):
+    rows = documents.select("doc_id", "text", (fold(documents.doc_id, 7) == 2).alias("held_out"))
+    streams = lm._streams(rows, lm.DEFAULT_TOKENIZER, 5, 42)
+    assert str(streams._jdf.queryExecution().executedPlan()).count("Exchange ") == 1
+    assert streams.rdd.getNumPartitions() == 5 and {r.shard for r in streams.select("shard").collect()} == set(range(5))
+
+
 def test_blocks_do_not_change_scores(documents, monkeypatch):
     some = documents.limit(60)
     one = {r.doc_id: r.score for r in lm.lm_scores(some).collect()}
